@@ -57,7 +57,7 @@ def _side(T, kind):
     return active_rentings(T), "renting_id"
 
 
-def find_conflicts(T, candidates: dict | None = None) -> DataFrame:
+def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting")) -> DataFrame:
     """``(record_type, record_id, rule)`` for every rule a blocking
     record violates against the blocking records of ``T``.
 
@@ -65,7 +65,7 @@ def find_conflicts(T, candidates: dict | None = None) -> DataFrame:
     of new rows to test instead of the stored ones.
     """
     out = []
-    for side in ("booking", "renting"):
+    for side in sides:
         stored, sid = _side(T, side)
         me = candidates[side] if candidates and side in candidates else stored
         for rule in RULES[side]:
@@ -86,3 +86,13 @@ def find_conflicts(T, candidates: dict | None = None) -> DataFrame:
     for o in out[1:]:
         res = res.unionByName(o)
     return res
+
+
+def first_violation(hits: DataFrame, side: str = "booking") -> DataFrame:
+    """Reduce ``find_conflicts`` output to the first violated rule per record."""
+    order = F.create_map(*[x for i, r in enumerate(RULES[side]) for x in (F.lit(r), F.lit(i))])
+    return (hits.filter(F.col("record_type") == side)
+                .groupBy("record_id")
+                .agg(F.min(F.struct(order[F.col("rule")].alias("o"), F.col("rule").alias("r")))
+                     .alias("m"))
+                .select("record_id", F.col("m.r").alias("rule")))

@@ -142,11 +142,10 @@ def spend_per_customer(T) -> DataFrame:
 
 def spend_above_average(T) -> DataFrame:
     """E13 (our definition): customers whose total paid exceeds the average
-    of all customer totals.  The average is a one-row aggregate (broadcast)."""
+    of all customer totals.  The average is a one-row aggregate used as a scalar subquery."""
     s = spend_per_customer(T)
-    avg = s.agg(F.avg("total_spent").cast("decimal(20,6)").alias("avg_spent"))
-    return s.crossJoin(F.broadcast(avg)).filter(F.col("total_spent") > F.col("avg_spent")) \
-        .select("customer_id", "total_spent")
+    avg = s.agg(F.avg("total_spent").cast("decimal(20,6)").alias("avg_spent")).scalar()
+    return s.filter(F.col("total_spent") > avg).select("customer_id", "total_spent")
 
 
 def employee_performance(T) -> DataFrame:
@@ -215,10 +214,11 @@ def row_policy(df: DataFrame, T, hotel_id=None, via: str = "room_id") -> DataFra
 
 def home_counters(T) -> DataFrame:
     """Global counts, one row."""
-    return (T["hotel"].agg(F.count(F.lit(1)).alias("hotels"))
-            .crossJoin(T["room"].agg(F.count(F.lit(1)).alias("rooms")))
-            .crossJoin(T["customer"].agg(F.count(F.lit(1)).alias("customers")))
-            .crossJoin(T["employee"].agg(F.count(F.lit(1)).alias("employees"))))
+    def n(t):
+        return T[t].agg(F.count(F.lit(1))).scalar()
+    return T["hotel"].agg(F.count(F.lit(1)).alias("hotels")).select(
+        "hotels", n("room").alias("rooms"), n("customer").alias("customers"),
+        n("employee").alias("employees"))
 
 
 def issues_label(c):

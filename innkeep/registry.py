@@ -23,11 +23,25 @@ SEARCH = dict(capacity="double", min_category=3, min_total_rooms=30, max_price=1
               status="available", no_issues=True)
 
 _REG: dict[str, tuple[Callable, str | None]] = {}
-
-
-def register(name: str, sql: str | None):
+INTAKE_AS_OF = "2024-02-15"
+LEAVING_SEGMENT = "HOUSEHOLD"  # customers of this segment are deleted (J6, J7, J19)
+MIN_ROOMS = 100
+POLICY_HOTEL = 3
+
+# Helper CTEs (DuckDB) shared by several oracles; listed after the bindings.
+HELPERS = {
+    "cust_person": """SELECT c.customer_id, c.legal_id AS customer_legal_id,
+        p.first_name || ' ' || p.last_name AS customer_full_name, p.first_name, p.last_name, c.hotel_id
+        FROM customer_t c JOIN person p ON p.legal_id = c.legal_id""",
+    "room_star": """SELECT r.room_id, r.room_number, r.hotel_id, h.hotel_name, hc.chain_name
+        FROM room r JOIN hotel h ON h.hotel_id = r.hotel_id JOIN hotel_chain hc ON hc.chain_id = h.chain_id""",
+    "leaving": f"SELECT c_custkey AS customer_id FROM customer WHERE c_mktsegment = '{LEAVING_SEGMENT}'",
+}
+
+
+def register(name: str, sql: str | None, extra: dict[str, str] | None = None):
     def deco(fn):
-        _REG[name] = (fn, with_tables(sql) if sql else None)
+        _REG[name] = (fn, with_tables(sql, {**HELPERS, **(extra or {})}) if sql else None)
         return fn
     return deco
 
@@ -247,3 +261,405 @@ def _rule_sql():
 @register("conflict_rules", _rule_sql())
 def q_rules(T):
     return conflicts.find_conflicts(T)
+
+
+# ---------------------------------------------------------------- archive
+from innkeep.plans import archive as arch  # noqa: E402
+from innkeep.plans import repair, tables, transitions  # noqa: E402
+from innkeep.operators.rank import global_rank  # noqa: E402
+from innkeep.sources.bindings import booking_requests, transition_requests  # noqa: E402
+
+
+def snap_sql(kind: str, src: str, where: str = "TRUE") -> str:
+    ids = ("s.booking_id, CAST(NULL AS BIGINT)" if kind == "booking"
+           else "s.source_booking_id, s.renting_id")
+    return (f"SELECT '{kind}' AS record_type, {ids.split(', ')[0]} AS source_booking_id, "
+            f"{ids.split(', ')[1]} AS source_renting_id, rs.chain_name, rs.hotel_name, rs.room_number, "
+            f"cp.customer_full_name, cp.customer_legal_id, s.start_date, s.end_date, s.status AS final_status "
+            f"FROM {src} s JOIN room_star rs ON rs.room_id = s.room_id "
+            f"JOIN cust_person cp ON cp.customer_id = s.customer_id WHERE {where}")
+
+
+ARCHIVE_BF = (snap_sql("booking", "booking", "s.status IN ('completed', 'cancelled')") + "\nUNION ALL\n"
+              + snap_sql("renting", "renting", "s.status IN ('completed', 'cancelled')"))
+HELPERS["archive_bf"] = ARCHIVE_BF
+
+
+def _leaving(T):
+    return T["_raw"]["customer"].filter(F.col("c_mktsegment") == LEAVING_SEGMENT) \
+        .select(F.col("c_custkey").alias("customer_id"))
+
+
+@register("archive_backfill", "SELECT * FROM archive_bf")
+def q_archive_backfill(T):
+    return arch.archive_backfill(T)
+
+
+TRANS_CTES = {
+    "trans_req": """SELECT event_id AS request_id, event_id AS booking_id, ts AS arrival,
+        CASE event_type WHEN 'click' THEN 'check_in' WHEN 'view' THEN 'cancel'
+             WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'redate' ELSE 'invalid' END AS action,
+        CASE WHEN user_id % 2 = 0 THEN 'staff' ELSE 'customer' END AS actor,
+        CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) END AS new_start,
+        CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
+             + CAST(1 + event_id % 5 AS INTEGER) END AS new_end
+        FROM events""",
+    "trans_pre": f"""SELECT q.*, b.room_id, b.customer_id, b.start_date, b.end_date, b.status AS old_status,
+        CASE WHEN b.room_id IS NULL THEN 'no_such_booking'
+          WHEN q.action = 'check_in' THEN CASE WHEN b.status <> 'reserved' THEN 'not_reserved'
+               WHEN b.start_date <> DATE '{AS_OF}' THEN 'not_arrival_day' END
+          WHEN q.action = 'cancel' THEN CASE WHEN (q.actor = 'customer' AND b.status <> 'reserved')
+               OR (q.actor <> 'customer' AND b.status NOT IN ('reserved', 'checked_in')) THEN 'not_cancellable'
+               WHEN b.end_date < DATE '{AS_OF}' THEN 'already_ended' END
+          WHEN q.action = 'complete' THEN CASE WHEN b.status NOT IN ('reserved', 'checked_in') THEN 'not_open'
+               WHEN b.end_date >= DATE '{AS_OF}' THEN 'not_ended' END
+          WHEN q.action = 'redate' THEN CASE WHEN b.status <> 'reserved' THEN 'not_reserved'
+               WHEN b.start_date < DATE '{AS_OF}' THEN 'already_started'
+               WHEN q.new_start < DATE '{AS_OF}' THEN 'start_in_past'
+               WHEN q.new_end <= q.new_start THEN 'bad_range' END
+          ELSE 'unknown_action' END AS pre_reason
+        FROM trans_req q LEFT JOIN booking b ON b.booking_id = q.booking_id""",
+    "trans_decided": """SELECT t.*, coalesce(t.pre_reason, CASE WHEN t.action = 'redate' THEN CASE
+          WHEN EXISTS (SELECT 1 FROM open_booking o WHERE o.room_id = t.room_id AND o.booking_id <> t.booking_id
+               AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'room_booking'
+          WHEN EXISTS (SELECT 1 FROM active_renting o WHERE o.room_id = t.room_id
+               AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'room_renting'
+          WHEN EXISTS (SELECT 1 FROM open_booking o WHERE o.customer_id = t.customer_id AND o.booking_id <> t.booking_id
+               AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'customer_booking'
+          WHEN EXISTS (SELECT 1 FROM active_renting o WHERE o.customer_id = t.customer_id
+               AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'customer_renting'
+          END END) AS reason
+        FROM trans_pre t""",
+    "trans_out": """SELECT request_id, booking_id, action, reason IS NULL AS accepted, reason, old_status,
+        CASE WHEN reason IS NULL AND action = 'check_in' THEN 'checked_in'
+             WHEN reason IS NULL AND action = 'cancel' THEN 'cancelled'
+             WHEN reason IS NULL AND action = 'complete' THEN 'completed' ELSE old_status END AS new_status,
+        CASE WHEN reason IS NULL AND action = 'redate' THEN new_start ELSE start_date END AS new_start_date,
+        CASE WHEN reason IS NULL AND action = 'redate' THEN new_end ELSE end_date END AS new_end_date
+        FROM trans_decided""",
+}
+
+
+def _decided(T):
+    return transitions.apply_transitions(T, transition_requests(T["_raw"]["events"]), AS_OF)
+
+
+@register("transitions", "SELECT * FROM trans_out", TRANS_CTES)
+def q_transitions(T):
+    return _decided(T)
+
+
+@register("archive_transitions", snap_sql(
+    "booking", "(SELECT b.booking_id, b.room_id, b.customer_id, o.new_start_date AS start_date, "
+    "o.new_end_date AS end_date, o.new_status AS status, o.old_status FROM trans_out o "
+    "JOIN booking b ON b.booking_id = o.booking_id WHERE o.accepted)",
+    "s.status IN ('completed', 'cancelled') AND s.status IS DISTINCT FROM s.old_status "
+    "AND s.booking_id NOT IN (SELECT source_booking_id FROM archive_bf WHERE record_type = 'booking')"),
+    TRANS_CTES)
+def q_archive_transitions(T):
+    changes = transitions.transition_changes(T, _decided(T))
+    return arch.archive_transitions(T, changes, arch.archive_backfill(T))
+
+
+_HIST_SQL = (snap_sql("booking", "booking", "s.customer_id IN (SELECT customer_id FROM leaving) AND NOT EXISTS "
+                      "(SELECT 1 FROM archive_bf a WHERE a.record_type = 'booking' AND a.source_booking_id = s.booking_id)")
+             + "\nUNION ALL\n"
+             + snap_sql("renting", "renting", "s.customer_id IN (SELECT customer_id FROM leaving) AND NOT EXISTS "
+                        "(SELECT 1 FROM archive_bf a WHERE a.record_type = 'renting' AND a.source_renting_id = s.renting_id)"))
+
+
+@register("customer_history", _HIST_SQL)
+def q_customer_history(T):
+    return arch.customer_history(T, _leaving(T), arch.archive_backfill(T))
+
+
+@register("orphan_refs", """
+SELECT a.record_type,
+  CASE WHEN a.source_booking_id IN (SELECT booking_id FROM booking WHERE customer_id NOT IN (SELECT customer_id FROM leaving))
+       THEN a.source_booking_id END AS source_booking_id,
+  CASE WHEN a.record_type <> 'booking' AND a.source_renting_id IN
+       (SELECT renting_id FROM renting WHERE customer_id NOT IN (SELECT customer_id FROM leaving))
+       THEN a.source_renting_id END AS source_renting_id,
+  a.chain_name, a.hotel_name, a.room_number, a.customer_full_name, a.customer_legal_id,
+  a.start_date, a.end_date, a.final_status
+FROM (SELECT * FROM archive_bf UNION ALL SELECT * FROM hist) a""", {"hist": _HIST_SQL})
+def q_orphan_refs(T):
+    archive = arch.archive_backfill(T)
+    archive = archive.unionByName(arch.customer_history(T, _leaving(T), archive))
+    gone = _leaving(T)
+    return arch.null_orphan_refs(archive, T["booking"].join(gone, "customer_id", "left_anti"),
+                                 T["renting"].join(gone, "customer_id", "left_anti"))
+
+
+@register("delete_cascade", """
+SELECT 'customer' AS table_name, 'delete' AS action, count(*) AS n_rows FROM customer_t
+  WHERE customer_id IN (SELECT customer_id FROM leaving)
+UNION ALL SELECT 'auth_account', 'delete', count(*) FROM auth_account WHERE customer_id IN (SELECT customer_id FROM leaving)
+UNION ALL SELECT 'booking', 'delete', count(*) FROM booking WHERE customer_id IN (SELECT customer_id FROM leaving)
+UNION ALL SELECT 'renting', 'delete', count(*) FROM renting WHERE customer_id IN (SELECT customer_id FROM leaving)
+UNION ALL SELECT 'payment', 'delete', count(*) FROM payment WHERE renting_id IN
+  (SELECT renting_id FROM renting WHERE customer_id IN (SELECT customer_id FROM leaving))
+UNION ALL SELECT 'renting.source_booking_id', 'set_null', count(*) FROM renting
+  WHERE source_booking_id IN (SELECT booking_id FROM booking WHERE customer_id IN (SELECT customer_id FROM leaving))
+    AND customer_id NOT IN (SELECT customer_id FROM leaving)""")
+def q_delete(T):
+    deleted, nulled = tables.delete_cascade(T, "customer", _leaving(T))
+    return tables.delete_summary(deleted, nulled)
+
+
+# ---------------------------------------------------------------- reports (more)
+@register("stay_history", """
+SELECT b.booking_id, b.customer_id, b.room_id, b.start_date, b.end_date, b.status,
+       x.renting_id AS linked_renting_id, coalesce(x.status, 'Not checked in yet') AS renting_label
+FROM booking b LEFT JOIN renting x ON x.source_booking_id = b.booking_id""")
+def q_stay_history(T):
+    return reports.stay_history(T)
+
+
+@register("open_bookings_board", f"""
+SELECT booking_id, room_id, customer_id, start_date, end_date, status,
+  end_date < DATE '{AS_OF}' AS is_overdue,
+  status = 'reserved' AND start_date = DATE '{AS_OF}' AS can_check_in,
+  status IN ('reserved', 'checked_in') AND end_date >= DATE '{AS_OF}' AS can_cancel,
+  status = 'reserved' AND start_date >= DATE '{AS_OF}' AS can_update_dates,
+  end_date < DATE '{AS_OF}' AS can_complete
+FROM open_booking""")
+def q_board(T):
+    return reports.open_bookings_board(T, AS_OF)
+
+
+@register("payments_board", """
+SELECT p.renting_id, p.employee_id, p.amount, CASE WHEN p.method = 'credit' THEN 'card' ELSE p.method END AS method_label,
+       p.paid_at, x.room_id, r.hotel_id, r.room_number, x.customer_id, cp.customer_full_name
+FROM payment p JOIN renting x ON x.renting_id = p.renting_id JOIN room r ON r.room_id = x.room_id
+JOIN cust_person cp ON cp.customer_id = x.customer_id""")
+def q_payments(T):
+    return reports.payments_board(T)
+
+
+@register("staff_counts", """
+SELECT h.hotel_id, CAST(coalesce(e.m, 0) AS BIGINT) AS managers, CAST(coalesce(e.n, 0) AS BIGINT) AS employees,
+       CAST(coalesce(r.c, 0) AS BIGINT) AS rooms
+FROM hotel h
+LEFT JOIN (SELECT hotel_id, count(*) FILTER (WHERE is_manager) AS m, count(*) FILTER (WHERE NOT is_manager) AS n
+           FROM employee GROUP BY hotel_id) e ON e.hotel_id = h.hotel_id
+LEFT JOIN (SELECT hotel_id, count(*) AS c FROM room GROUP BY hotel_id) r ON r.hotel_id = h.hotel_id""")
+def q_staff_counts(T):
+    return reports.staff_counts(T)
+
+
+@register("customer_hotel_attribution", """
+SELECT c.customer_id, coalesce(bh.h, rh.h) AS hotel_id
+FROM customer_t c
+LEFT JOIN (SELECT b.customer_id, min(r.hotel_id) AS h FROM booking b JOIN room r ON r.room_id = b.room_id GROUP BY 1) bh
+  ON bh.customer_id = c.customer_id
+LEFT JOIN (SELECT x.customer_id, min(r.hotel_id) AS h FROM renting x JOIN room r ON r.room_id = x.room_id GROUP BY 1) rh
+  ON rh.customer_id = c.customer_id
+WHERE c.hotel_id IS NULL""")
+def q_attr(T):
+    return repair.attribute_customer_hotel(T)
+
+
+_SPEND = """SELECT x.customer_id, CAST(sum(p.amount) AS DECIMAL(20,2)) AS total_spent
+  FROM payment p JOIN renting x ON x.renting_id = p.renting_id GROUP BY x.customer_id"""
+
+
+@register("spend_above_average", """
+SELECT customer_id, total_spent FROM spend
+WHERE total_spent > (SELECT CAST(avg(total_spent) AS DECIMAL(20,6)) FROM spend)""", {"spend": _SPEND})
+def q_spend(T):
+    return reports.spend_above_average(T)
+
+
+@register("employee_performance", """
+SELECT e.employee_id, e.hotel_id, CAST(coalesce(b.n, 0) AS BIGINT) AS bookings_created,
+  CAST(coalesce(x.n, 0) AS BIGINT) AS rentings_handled, CAST(coalesce(p.n, 0) AS BIGINT) AS payments_taken,
+  CAST(coalesce(p.s, 0) AS DECIMAL(20,2)) AS amount_taken
+FROM employee e
+LEFT JOIN (SELECT created_by_employee_id AS employee_id, count(*) AS n FROM booking GROUP BY 1) b ON b.employee_id = e.employee_id
+LEFT JOIN (SELECT employee_id, count(*) AS n FROM renting GROUP BY 1) x ON x.employee_id = e.employee_id
+LEFT JOIN (SELECT employee_id, count(*) AS n, sum(amount) AS s FROM payment GROUP BY 1) p ON p.employee_id = e.employee_id""")
+def q_perf(T):
+    return reports.employee_performance(T)
+
+
+@register("missing_accounts", """
+SELECT CASE WHEN e.is_manager THEN 'manager' ELSE 'employee' END AS role,
+  CASE WHEN e.is_manager THEN 'manager' ELSE 'employee' END || CAST(e.employee_id AS VARCHAR) AS username,
+  e.employee_id, CAST(NULL AS BIGINT) AS customer_id
+FROM employee e WHERE NOT EXISTS (SELECT 1 FROM auth_account a WHERE a.employee_id = e.employee_id)
+UNION ALL
+SELECT 'customer', 'customer' || CAST(c.customer_id AS VARCHAR), CAST(NULL AS BIGINT), c.customer_id
+FROM customer_t c WHERE NOT EXISTS (SELECT 1 FROM auth_account a WHERE a.customer_id = c.customer_id)
+UNION ALL
+SELECT 'admin', 'admin', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+WHERE NOT EXISTS (SELECT 1 FROM auth_account WHERE role = 'admin')""")
+def q_missing_accounts(T):
+    return repair.missing_accounts(T)
+
+
+@register("open_stay_flags", """
+SELECT c.customer_id,
+  EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id) AS has_open_booking,
+  EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id) AS has_active_renting
+FROM customer_t c""")
+def q_open_flags(T):
+    return reports.open_stay_flags(T)
+
+
+@register("masked_register", f"""
+SELECT cp.customer_id, cp.customer_legal_id AS legal_id, cp.first_name, cp.last_name, cp.hotel_id,
+  coalesce(h.hotel_name, 'Unassigned') AS hotel_label, a.username, a.is_active,
+  CAST(NULL AS VARCHAR) AS password_plain
+FROM cust_person cp LEFT JOIN hotel h ON h.hotel_id = cp.hotel_id
+LEFT JOIN (SELECT * FROM auth_account WHERE role = 'customer') a ON a.customer_id = cp.customer_id
+WHERE cp.hotel_id = {POLICY_HOTEL} OR cp.hotel_id IS NULL""")
+def q_masked(T):
+    return reports.customer_register(T, "employee", POLICY_HOTEL)
+
+
+@register("row_policy", f"""
+SELECT * FROM open_booking WHERE room_id IN (SELECT room_id FROM room WHERE hotel_id = {POLICY_HOTEL})""")
+def q_policy(T):
+    from innkeep.plans.common import open_bookings
+    return reports.row_policy(open_bookings(T), T, POLICY_HOTEL)
+
+
+# ---------------------------------------------------------------- ranks and repair
+@register("global_rank", "SELECT renting_id, row_number() OVER (ORDER BY renting_id) AS rn FROM renting")
+def q_global_rank(T):
+    return global_rank(T["renting"].select("renting_id"), ["renting_id"], "rn")
+
+
+@register("every_fifth", """
+SELECT room_id, rn, CASE rn % 4 WHEN 0 THEN 'Minor paint damage near balcony door'
+  WHEN 1 THEN 'AC filter noise at high fan speed' WHEN 2 THEN 'Bathroom sink drains slowly'
+  ELSE 'Desk lamp flickers intermittently' END AS issues
+FROM (SELECT room_id, row_number() OVER (ORDER BY room_id) AS rn FROM room
+      WHERE nullif(trim(issues, ' '), '') IS NULL) WHERE rn % 5 = 0""")
+def q_every_fifth(T):
+    return repair.populate_issues(T["room"])
+
+
+@register("duplicate_rank", """
+SELECT legal_id, email, row_number() OVER (PARTITION BY legal_id ORDER BY email) AS duplicate_rank
+FROM person_raw""")
+def q_dup_rank(T):
+    return repair.duplicate_rank(T["person_raw"]).select("legal_id", "email", "duplicate_rank")
+
+
+@register("repair_keys", """
+SELECT legal_id, legal_id AS old_legal_id, 'SIN' AS id_type, first_name, last_name, email, false AS key_overflow
+FROM pr WHERE regexp_matches(legal_id, '^[0-9]{9}$') AND dr = 1
+UNION ALL
+SELECT lpad(CAST(m.m + f.rk AS VARCHAR), 9, '0'), f.legal_id, 'SIN', f.first_name, f.last_name, f.email,
+       m.m + f.rk > 999999999
+FROM (SELECT *, row_number() OVER (ORDER BY legal_id, email) AS rk FROM pr
+      WHERE NOT regexp_matches(legal_id, '^[0-9]{9}$') OR dr > 1) f,
+     (SELECT coalesce(max(CAST(legal_id AS BIGINT)), 100000000) AS m FROM person_raw
+      WHERE regexp_matches(legal_id, '^[0-9]{9}$')) m""",
+    {"pr": "SELECT *, row_number() OVER (PARTITION BY legal_id ORDER BY email) AS dr FROM person_raw"})
+def q_repair_keys(T):
+    return repair.repair_keys(T["person_raw"]).select(
+        "legal_id", "old_legal_id", "id_type", "first_name", "last_name", "email", "key_overflow")
+
+
+@register("legacy_coalesce", """
+SELECT room_id,
+  coalesce(CASE WHEN p_size % 5 = 0 THEN p_size % 2 = 0 END, lower(trim(v, ' ')) IN ('sea', 'sea_mountain'), false) AS has_sea_view,
+  coalesce(CASE WHEN p_size % 7 = 0 THEN true END, lower(trim(v, ' ')) IN ('mountain', 'sea_mountain'), false) AS has_mountain_view,
+  coalesce(CASE WHEN p_size % 6 = 0 THEN true END, p_size % 3 = 0, false) AS is_extendable
+FROM (SELECT p_partkey AS room_id, p_size, CASE WHEN p_size % 4 = 0 THEN 'sea' WHEN p_size % 4 = 1 THEN 'mountain'
+      WHEN p_size % 4 = 2 THEN 'sea_mountain' END AS v FROM part)""")
+def q_legacy(T):
+    return repair.coalesce_legacy_columns(repair.legacy_rooms(T["_raw"]["part"])).select(
+        "room_id", "has_sea_view", "has_mountain_view", "is_extendable")
+
+
+@register("fill_room_numbers", f"""
+SELECT hotel_id, CAST(num AS VARCHAR) AS room_number, used + k - 1 AS slot,
+  CASE (used + k - 1) % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'suite'
+       WHEN 3 THEN 'family' ELSE 'double' END AS capacity,
+  CAST(95 + hotel_id * 2 + (used + k - 1) * 12 AS DECIMAL(10,2)) AS base_price
+FROM (SELECT c.*, row_number() OVER (PARTITION BY hotel_id ORDER BY num) AS k
+      FROM (SELECT hotel_id, used, need, unnest(range(100, 100 + used + need)) AS num
+            FROM (SELECT h.hotel_id, coalesce(u.n, 0) AS used, {MIN_ROOMS} - coalesce(u.n, 0) AS need
+                  FROM hotel h LEFT JOIN (SELECT hotel_id, count(*) AS n FROM room GROUP BY 1) u
+                  ON u.hotel_id = h.hotel_id) WHERE need > 0) c
+      WHERE NOT EXISTS (SELECT 1 FROM room r WHERE r.hotel_id = c.hotel_id AND r.room_number = CAST(c.num AS VARCHAR)))
+WHERE k <= need""")
+def q_fill_rooms(T):
+    return repair.fill_rooms(T, MIN_ROOMS)
+
+
+@register("fill_staff", """
+SELECT mx.m + row_number() OVER (ORDER BY n.hotel_id, CASE WHEN n.is_manager THEN 0 ELSE 1 END) AS employee_id,
+  n.hotel_id, n.is_manager, CASE WHEN n.is_manager THEN 'Manager' ELSE 'Receptionist' END AS role_title
+FROM (SELECT h.hotel_id, true AS is_manager FROM hotel h
+      WHERE NOT EXISTS (SELECT 1 FROM employee e WHERE e.hotel_id = h.hotel_id AND e.is_manager)
+      UNION ALL
+      SELECT h.hotel_id, false FROM hotel h
+      WHERE NOT EXISTS (SELECT 1 FROM employee e WHERE e.hotel_id = h.hotel_id AND NOT e.is_manager)) n,
+     (SELECT coalesce(max(employee_id), 0) AS m FROM employee) mx""")
+def q_fill_staff(T):
+    return repair.fill_staff(T)
+
+
+# ---------------------------------------------------------------- intake and lifecycle
+BOOKING_REQ = {
+    "booking_req": """SELECT event_id AS request_id, ts AS arrival, user_id AS customer_id,
+        (event_id * 7919) % (SELECT count(*) // 4 FROM part) AS room_id,
+        CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS start_date,
+        CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
+          + CAST(1 + event_id % 5 AS INTEGER) AS end_date
+        FROM events WHERE event_type <> 'error'""",
+    "intake": f"""SELECT q.*, r.hotel_id,
+        CASE WHEN r.hotel_id IS NULL THEN 'no_such_room'
+             WHEN NOT EXISTS (SELECT 1 FROM customer_t c WHERE c.customer_id = q.customer_id) THEN 'no_such_customer'
+             WHEN q.start_date < DATE '{INTAKE_AS_OF}' THEN 'start_in_past'
+             WHEN q.end_date <= q.start_date THEN 'bad_range' END AS reason
+        FROM booking_req q LEFT JOIN room r ON r.room_id = q.room_id""",
+}
+
+
+def _intake(T):
+    req = booking_requests(T["_raw"]["events"], T["_raw"]["part"])
+    return transitions.intake_bookings(T, req, INTAKE_AS_OF)
+
+
+@register("intake_bookings", """
+SELECT request_id, arrival, room_id, customer_id, start_date, end_date, hotel_id,
+       reason IS NULL AS qualified, reason FROM intake""", BOOKING_REQ)
+def q_intake(T):
+    return _intake(T)
+
+
+@register("first_touch_hotel", """
+SELECT customer_id, hotel_id FROM (
+  SELECT i.customer_id, i.hotel_id,
+         row_number() OVER (PARTITION BY i.customer_id ORDER BY i.arrival, i.request_id) AS rn
+  FROM intake i JOIN customer_t c ON c.customer_id = i.customer_id
+  WHERE i.reason IS NULL AND c.hotel_id IS NULL) WHERE rn = 1""", BOOKING_REQ)
+def q_first_touch(T):
+    return transitions.first_touch_hotel(T, _intake(T))
+
+
+@register("bookings_to_rentings", f"""
+SELECT (SELECT coalesce(max(renting_id), 0) FROM renting) + row_number() OVER (ORDER BY booking_id) AS renting_id,
+  room_id, customer_id, created_by_employee_id AS employee_id, booking_id AS source_booking_id,
+  start_date, end_date, 'active' AS status
+FROM booking WHERE status = 'checked_in' AND start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < end_date""")
+def q_to_rentings(T):
+    return transitions.bookings_to_rentings(T, AS_OF)
+
+
+@register("one_manager_per_hotel", """
+SELECT employee_id, hotel_id, rn = 1 AS accepted FROM (
+  SELECT employee_id, hotel_id, pri, row_number() OVER (PARTITION BY hotel_id ORDER BY pri, employee_id) AS rn
+  FROM (SELECT employee_id, hotel_id, 0 AS pri FROM employee WHERE is_manager AND employee_id % 2 = 1
+        UNION ALL SELECT employee_id, hotel_id, 1 FROM employee WHERE employee_id % 2 = 0)) WHERE pri = 1""")
+def q_one_manager(T):
+    e = T["employee"]
+    # promotion requests: every even employee id asks to become manager
+    changes = e.filter(F.col("employee_id") % 2 == 0).withColumn("is_manager", F.lit(True))
+    return tables.one_manager_per_hotel(e, changes)

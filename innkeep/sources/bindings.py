@@ -229,3 +229,45 @@ def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t = bind_tables(raw)
     t["_raw"] = raw
     return t
+
+
+def _k_from_props() -> F.Column:
+    return F.coalesce(F.get_json_object(F.col("props"), "$.k").cast("int"), F.lit(0))
+
+
+def booking_requests(events: DataFrame, part: DataFrame) -> DataFrame:
+    """Arriving booking requests (J2/J17/L3) from ``events`` (not 'error').
+
+    room = (event_id * 7919) % (#parts div 4): requests crowd the first
+    quarter of the rooms so that they clash.  ``#parts`` is a scalar
+    subquery over ``part``.
+    """
+    n_rooms = part.agg((F.count(F.lit(1)) / 4).cast("bigint")).scalar()
+    e = F.col("event_id")
+    start = F.date_add(F.col("ts").cast("date"), _k_from_props())
+    return events.filter(F.col("event_type") != "error").select(
+        e.alias("request_id"), F.col("ts").alias("arrival"), F.col("user_id").alias("customer_id"),
+        ((e * 7919) % n_rooms).alias("room_id"), start.alias("start_date"),
+        F.date_add(start, (F.lit(1) + e % 5).cast("int")).alias("end_date"))
+
+
+# Event type -> transition action.
+ACTIONS = {"click": "check_in", "view": "cancel", "purchase": "complete", "signup": "redate",
+           "error": "invalid"}
+
+
+def transition_requests(events: DataFrame) -> DataFrame:
+    """Status-change requests (J15) from ``events``: booking_id = event_id."""
+    et = F.col("event_type")
+    action = F.lit(None).cast("string")
+    for k, v in reversed(list(ACTIONS.items())):
+        action = F.when(et == k, F.lit(v)).otherwise(action)
+    e = F.col("event_id")
+    new_start = F.date_add(F.col("ts").cast("date"), _k_from_props())
+    is_redate = et == "signup"
+    return events.select(
+        e.alias("request_id"), e.alias("booking_id"), F.col("ts").alias("arrival"),
+        F.coalesce(action, F.lit("invalid")).alias("action"),
+        F.when(F.col("user_id") % 2 == 0, "staff").otherwise("customer").alias("actor"),
+        F.when(is_redate, new_start).alias("new_start"),
+        F.when(is_redate, F.date_add(new_start, (F.lit(1) + e % 5).cast("int"))).alias("new_end"))
