@@ -98,7 +98,7 @@ BINDINGS: dict[str, str] = {
                      min(l_returnflag) AS flag
               FROM lineitem GROUP BY l_orderkey, l_linenumber) pl
         JOIN orders ON o_orderkey = pl.l_orderkey""",
-    "payment": """SELECT l_orderkey * 10 + l_linenumber AS renting_id, l_suppkey AS employee_id,
+    "payment": """SELECT CAST(NULL AS BIGINT) AS payment_id, l_orderkey * 10 + l_linenumber AS renting_id, l_suppkey AS employee_id,
         CAST(l_extendedprice AS DECIMAL(12,2)) AS amount,
         CASE l_orderkey % 4 WHEN 0 THEN 'cash' WHEN 1 THEN 'credit' WHEN 2 THEN 'debit' ELSE 'online' END AS method,
         l_shipdate AS paid_at

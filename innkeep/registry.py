@@ -663,3 +663,182 @@ def q_one_manager(T):
     # promotion requests: every even employee id asks to become manager
     changes = e.filter(F.col("employee_id") % 2 == 0).withColumn("is_manager", F.lit(True))
     return tables.one_manager_per_hotel(e, changes)
+
+
+# ---------------------------------------------------------------- admission (no SQL form)
+def admission_requests(T) -> DataFrame:
+    return booking_requests(T["_raw"]["events"], T["_raw"]["part"])
+
+
+def admit_requests(T, requests: DataFrame) -> DataFrame:
+    """J2 over ``requests`` against the stored blocking stays of ``T``."""
+    from innkeep.operators.admission import admit
+    from innkeep.plans.conflicts import find_conflicts, first_violation
+    cand = requests.select((-F.col("request_id") - 1).alias("booking_id"), "request_id",
+                           "room_id", "customer_id", "start_date", "end_date")
+    hits = first_violation(find_conflicts(T, {"booking": cand.drop("request_id")}, sides=("booking",)))
+    pre = hits.select((-F.col("record_id") - 1).alias("request_id"), F.col("rule").alias("reason"))
+    return admit(requests, pre)
+
+
+@register("admission", None)
+def q_admission(T):
+    return admit_requests(T, admission_requests(T))
+
+
+# ---------------------------------------------------------------- data quality
+from innkeep.plans import quality  # noqa: E402
+from innkeep.sources.schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS  # noqa: E402
+
+# Intake specs over driver text columns: (source, key columns, {column: rule}).
+INTAKE_SPECS = [
+    ("conversations", ["conv_id", "turn"], {"role": ("enum", ["user", "assistant"]),
+                                            "text": ("string", 1000)}),
+    ("pages", ["page_id"], {"host": ("username",)}),
+    ("documents", ["doc_id"], {"lang": ("enum", ["en", "fr"]), "n_chars": ("int", 1),
+                               "text": ("string", 20000)}),
+    ("events", ["event_id"], {"user_id": ("int", 1), "props": ("int", 1)}),
+]
+
+
+def _intake_frames(raw):
+    pages = raw["pages"].select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
+    docs = raw["documents"].select("doc_id", "lang", F.col("n_chars").cast("string").alias("n_chars"), "text")
+    ev = raw["events"].select("event_id", F.col("user_id").cast("string").alias("user_id"), "props")
+    return {"conversations": raw["conversations"], "pages": pages, "documents": docs, "events": ev}
+
+
+def _trim_sql(x):
+    return f"regexp_replace(coalesce({x}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def _reason_sql(col, rule, *args):
+    t = _trim_sql(col)
+    if rule == "string":
+        return f"CASE WHEN length({t}) = 0 THEN 'required' WHEN length({t}) > {args[0]} THEN 'too_long' END"
+    if rule == "enum":
+        vals = ", ".join(f"'{v}'" for v in args[0])
+        return f"CASE WHEN {t} NOT IN ({vals}) THEN 'not_allowed' END"
+    if rule == "username":
+        return f"CASE WHEN NOT regexp_matches(lower({t}), '^[a-z0-9._-]{{3,60}}$') THEN 'invalid_username' END"
+    if rule == "int":
+        p = f"regexp_extract({t}, '^[+-]?[0-9]+', 0)"
+        return (f"CASE WHEN {p} = '' OR CAST({p} AS DECIMAL(38,0)) < {args[0]} "
+                f"THEN 'not_int_ge_min' END")
+    raise ValueError(rule)
+
+
+def _intake_sql():
+    srcs = {"conversations": "SELECT conv_id, turn, role, text FROM conversations",
+            "pages": "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages",
+            "documents": "SELECT doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, text FROM documents",
+            "events": "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, props FROM events"}
+    parts = []
+    for src, keys, spec in INTAKE_SPECS:
+        key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+        for col, (rule, *args) in spec.items():
+            r = _reason_sql(col, rule, *args)
+            parts.append(f"SELECT '{src}' AS source, {key} AS row_key, '{col}' AS column_name, reason "
+                         f"FROM (SELECT *, {r} AS reason FROM ({srcs[src]})) WHERE reason IS NOT NULL")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("intake_quality", _intake_sql())
+def q_intake_quality(T):
+    frames = _intake_frames(T["_raw"])
+    out = None
+    for src, keys, spec in INTAKE_SPECS:
+        _clean, rej = quality.normalise_intake(frames[src], spec, keys)
+        r = rej.select(F.lit(src).alias("source"),
+                       F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("row_key"),
+                       F.col("column").alias("column_name"), "reason")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_AUDIT_NAMES = {"customer": "customer_t", "person": "person_raw"}
+_AUDIT_TABLES = ["hotel_chain", "hotel", "person", "customer", "employee", "auth_account", "room",
+                 "booking", "renting", "payment"]
+_AUDIT_CHECKS = {
+    "hotel": [("check_category", "category BETWEEN 1 AND 5"), ("check_total_rooms", "total_rooms >= 1")],
+    "person": [("check_id_type", "id_type = 'SIN'"), ("check_legal_id", "regexp_matches(legal_id, '^[0-9]{9}$')")],
+    "room": [("check_base_price", "base_price > 0")],
+    "booking": [("check_dates", "end_date > start_date")],
+    "renting": [("check_dates", "end_date > start_date")],
+    "payment": [("check_amount", "amount > 0")],
+    "auth_account": [("check_role_ids", """CASE WHEN role = 'admin' THEN employee_id IS NULL AND customer_id IS NULL
+        WHEN role IN ('manager', 'employee') THEN employee_id IS NOT NULL AND customer_id IS NULL
+        WHEN role = 'customer' THEN customer_id IS NOT NULL AND employee_id IS NULL ELSE true END""")],
+}
+
+
+def _audit_sql():
+    def agg(table, rule, src, cols):
+        k = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+        return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) AS n_violations, "
+                f"min({k}) AS sample_key FROM ({src}) HAVING count(*) > 0")
+    parts = []
+    for t in _AUDIT_TABLES:
+        n = _AUDIT_NAMES.get(t, t)
+        pk = PRIMARY_KEYS[t]
+        parts.append(agg(t, "pk_null", f"SELECT * FROM {n} WHERE {pk[0]} IS NULL", pk))
+        parts.append(agg(t, "pk_duplicate", f"SELECT {pk[0]} FROM {n} WHERE {pk[0]} IS NOT NULL "
+                                            f"GROUP BY {pk[0]} HAVING count(*) > 1", pk))
+        for uk in UNIQUE_KEYS.get(t, []):
+            cols = ", ".join(uk)
+            nn = " AND ".join(f"{c} IS NOT NULL" for c in uk)
+            parts.append(agg(t, "unique_" + "_".join(uk),
+                             f"SELECT {cols} FROM {n} WHERE {nn} GROUP BY {cols} HAVING count(*) > 1", uk))
+        for (tab, col), values in ENUMS.items():
+            if tab == t:
+                vals = ", ".join(f"'{v}'" for v in values)
+                parts.append(agg(t, f"enum_{col}", f"SELECT * FROM {n} WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})", pk))
+        for rule, cond in _AUDIT_CHECKS.get(t, []):
+            parts.append(agg(t, rule, f"SELECT * FROM {n} WHERE NOT coalesce({cond}, true)", pk))
+    for child, ccol, parent, pcol, _a in FOREIGN_KEYS:
+        if child in _AUDIT_TABLES and parent in _AUDIT_TABLES:
+            cn, pn = _AUDIT_NAMES.get(child, child), _AUDIT_NAMES.get(parent, parent)
+            parts.append(agg(child, f"fk_{ccol}", f"SELECT {ccol} FROM {cn} c WHERE {ccol} IS NOT NULL AND NOT EXISTS "
+                                                  f"(SELECT 1 FROM {pn} p WHERE p.{pcol} = c.{ccol})", [ccol]))
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("constraint_audit", _audit_sql())
+def q_audit(T):
+    T2 = {k: v for k, v in T.items() if k in _AUDIT_TABLES}
+    T2["person"] = T["person_raw"]
+    return quality.audit_constraints(T2, _AUDIT_TABLES)
+
+
+# ---------------------------------------------------------------- upsert
+_UPSERT_CTES = {
+    "chg": """SELECT lpad(CAST(200000000 + c_custkey AS VARCHAR), 9, '0') AS legal_id,
+        CASE WHEN c_custkey % 50 = 0 THEN 'customer' || CAST(c_custkey + 1 AS VARCHAR) || '@mail.example'
+             ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@mail.example' END AS email
+        FROM customer WHERE c_acctbal < 0""",
+    "cand": """SELECT p.legal_id, p.first_name, p.last_name, p.email, false AS is_new FROM person p
+          WHERE p.legal_id NOT IN (SELECT legal_id FROM chg)
+        UNION ALL
+        SELECT p.legal_id, p.first_name, p.last_name, c.email, true FROM person p JOIN chg c ON c.legal_id = p.legal_id""",
+    "rej": """SELECT legal_id FROM cand WHERE is_new AND email IN
+        (SELECT email FROM cand GROUP BY email HAVING count(*) > 1)""",
+}
+
+
+@register("upsert", """
+SELECT legal_id, first_name, last_name, email FROM cand WHERE legal_id NOT IN (SELECT legal_id FROM rej)
+UNION ALL
+SELECT legal_id, first_name, last_name, email FROM person WHERE legal_id IN (SELECT legal_id FROM rej)""",
+          _UPSERT_CTES)
+def q_upsert(T):
+    c = F.col("c_custkey")
+    chg = T["_raw"]["customer"].filter(F.col("c_acctbal") < 0).select(
+        F.lpad((F.lit(200000000) + c).cast("string"), 9, "0").alias("legal_id"),
+        F.when(c % 50 == 0, F.concat(F.lit("customer"), (c + 1).cast("string"), F.lit("@mail.example")))
+         .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@mail.example"))).alias("new_email"))
+    cur = T["person"].select("legal_id", "first_name", "last_name", "email")
+    changes = cur.join(chg, "legal_id").select("legal_id", "first_name", "last_name",
+                                                F.col("new_email").alias("email"),
+                                                F.lit(1).alias("changed_at"))
+    new, _rejects = tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
+    return new
