@@ -842,3 +842,81 @@ def q_upsert(T):
                                                 F.lit(1).alias("changed_at"))
     new, _rejects = tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
     return new
+
+
+# ---------------------------------------------------------------- streams (L1-L3)
+from innkeep.streaming import jobs as streams  # noqa: E402
+
+
+def _stage_changes(T):
+    spark = T["booking"].sparkSession
+    decided = _decided(T)
+    changes = transitions.transition_changes(T, decided)
+    path = streams.scratch_dir(spark, "changes")
+    return streams.stage_files(changes, path, 4, "booking_id")
+
+
+def q_stream_archive(T):
+    spark = T["booking"].sparkSession
+    src = _stage_changes(T)
+    return streams.archive_stream(spark, T, src, arch.archive_backfill(T),
+                                  streams.scratch_dir(spark, "archive-out"),
+                                  streams.scratch_dir(spark, "archive-ckpt"))
+
+
+_REG["stream_archive"] = (q_stream_archive, _REG["archive_transitions"][1])
+
+
+def _new_bookings(T):
+    """Bookings after the accepted transitions (statuses and dates replaced)."""
+    d = _decided(T).filter("accepted").select("booking_id", F.col("new_status").alias("_s"),
+                                              F.col("new_start_date").alias("_a"),
+                                              F.col("new_end_date").alias("_b"))
+    b = T["booking"].join(d, "booking_id", "left")
+    return b.select(*[F.coalesce(F.col(x), F.col(c)).alias(c) if c in ("status", "start_date", "end_date")
+                      else F.col(c) for c, x in
+                      [(c, {"status": "_s", "start_date": "_a", "end_date": "_b"}.get(c, c))
+                       for c in T["booking"].columns]])
+
+
+@register("stream_status", f"""
+SELECT DISTINCT r.room_id, CASE
+  WHEN r.current_status = 'maintenance' THEN 'maintenance'
+  WHEN EXISTS (SELECT 1 FROM active_renting x WHERE x.room_id = r.room_id
+               AND x.start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < x.end_date) THEN 'rented'
+  WHEN EXISTS (SELECT 1 FROM booking2 b WHERE b.room_id = r.room_id AND b.status IN ('reserved', 'checked_in')
+               AND b.start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < b.end_date) THEN 'booked'
+  ELSE 'available' END AS status
+FROM room r
+WHERE r.room_id IN (SELECT b.room_id FROM trans_out o JOIN booking b ON b.booking_id = o.booking_id WHERE o.accepted)""",
+          {**TRANS_CTES, "booking2": """SELECT b.booking_id, b.room_id, b.customer_id,
+        coalesce(o.new_status, b.status) AS status, coalesce(o.new_start_date, b.start_date) AS start_date,
+        coalesce(o.new_end_date, b.end_date) AS end_date
+        FROM booking b LEFT JOIN (SELECT * FROM trans_out WHERE accepted) o ON o.booking_id = b.booking_id"""})
+def q_stream_status(T):
+    spark = T["booking"].sparkSession
+    src = _stage_changes(T)
+    T2 = dict(T)
+    T2["booking"] = _new_bookings(T)
+    st = status.status_as_of(T2, AS_OF)
+    out = streams.status_stream(spark, src, st, streams.scratch_dir(spark, "status-out"),
+                                streams.scratch_dir(spark, "status-ckpt"))
+    return out.distinct()
+
+
+@register("stream_admission", None)
+def q_stream_admission(T):
+    spark = T["booking"].sparkSession
+    req = admission_requests(T)
+    src = streams.stage_files(req, streams.scratch_dir(spark, "requests"), 4, "request_id")
+
+    def intake(df):
+        return transitions.intake_bookings(T, df, INTAKE_AS_OF)
+
+    landed = streams.land_requests(spark, src, intake, streams.scratch_dir(spark, "landed-out"),
+                                   streams.scratch_dir(spark, "landed-ckpt"))
+    qualified = landed.filter("qualified")
+    decided = streams.admit_landed(T, qualified, admit_requests)
+    rejected = landed.filter(~F.col("qualified")).select(
+        "request_id", F.lit(False).alias("accepted"), "reason", F.lit(0).alias("round"))
+    return decided.unionByName(rejected)
