@@ -38,6 +38,7 @@ def stage_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
     """Write ``df`` as ``n_files`` successive appends of ``order_col`` ranges
     (quantile bounds), so a file stream (oldest file first) replays it as
     several arriving batches in order.  Used to stage test input."""
+    df = df.checkpoint(eager=True)  # compute the input once, then slice it
     qs = [i / n_files for i in range(1, n_files)]
     bounds = df.agg(F.percentile_approx(F.col(order_col), qs, 10000).alias("b")).first()["b"] or []
     edges = [None, *bounds, None]
@@ -66,6 +67,10 @@ def archive_stream(spark: SparkSession, T, changes_dir: str, archive: DataFrame
     schema = spark.read.parquet(changes_dir).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger) \
         .parquet(changes_dir)
+    if archive is not None:
+        # static side of the anti-join: materialise once, not per micro-batch
+        archive = archive.select("record_type", "source_booking_id", "source_renting_id") \
+            .checkpoint(eager=True)
     rows = arch.archive_transitions(T, stream, archive, record_type)
     rows = rows.dropDuplicates(["record_type", "source_booking_id", "source_renting_id"])
     _run(rows, out_dir, ckpt_dir)
@@ -79,6 +84,7 @@ def status_stream(spark: SparkSession, changes_dir: str, status: DataFrame, out_
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger) \
         .parquet(changes_dir)
     touched = stream.select("room_id")
+    status = status.select("room_id", "status").checkpoint(eager=True)  # static side, once
     rows = touched.join(status, "room_id").select("room_id", "status")
     _run(rows, out_dir, ckpt_dir)
     return spark.read.schema(rows.schema).parquet(out_dir)
@@ -102,6 +108,11 @@ def admit_landed(T, landed: DataFrame, admit_fn, batch_col: str = "landed_at") -
     batches = sorted(r[0] for r in landed.select(batch_col).distinct().collect())
     accepted = None
     out = None
+    # only blocking stays matter to the conflict rules: materialise them once
+    from innkeep.sources.schemas import BLOCKING_BOOKING, BLOCKING_RENTING
+    T = dict(T)
+    T["booking"] = T["booking"].filter(F.col("status").isin(*BLOCKING_BOOKING)).checkpoint(eager=True)
+    T["renting"] = T["renting"].filter(F.col("status").isin(*BLOCKING_RENTING)).checkpoint(eager=True)
     for b in batches:
         part = landed.filter(F.col(batch_col) == b)
         T_b = dict(T)
