@@ -179,3 +179,23 @@ def missing_accounts(T) -> DataFrame:
 
 
 _ = hotels_with_chain
+
+
+class MigrationIncomplete(RuntimeError):
+    pass
+
+
+def migrate_fk(child: DataFrame, person: DataFrame, old_key: str = "person_id",
+               new_key: str = "legal_id", check: bool = True) -> DataFrame:
+    """Replace a legacy ``person_id`` reference by ``legal_id``.
+
+    The precheck counts rows whose reference does not resolve (one
+    aggregate); any such row fails the migration instead of leaving NULLs.
+    """
+    mapping = person.select(F.col(old_key), F.col(new_key).alias("_new"))
+    j = child.join(mapping, old_key, "left")
+    if check:
+        missing = j.agg(F.count_if(F.col("_new").isNull()).alias("n")).first()["n"]
+        if missing:
+            raise MigrationIncomplete(f"{missing} rows without a {new_key}")
+    return j.drop(old_key).withColumnRenamed("_new", new_key)

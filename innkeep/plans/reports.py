@@ -227,3 +227,42 @@ def issues_label(c):
 
 __all__ = [n for n in dir() if not n.startswith("_")]
 _ = full_name
+
+
+def search_page(T, limit: int = 300, **criteria) -> DataFrame:
+    """K6: first page of a room search with each room's next unavailable
+    range (the unavailability lookup only touches the page's rooms)."""
+    from innkeep.plans.search import next_unavailable, search_rooms
+    page = search_rooms(T, limit=limit, **{k: v for k, v in criteria.items() if k != "as_of"})
+    nxt = next_unavailable(T, criteria.get("as_of") or criteria["start"])
+    return page.join(nxt.join(page.select("room_id"), "room_id", "left_semi"), "room_id", "left")
+
+
+def archive_history(archive: DataFrame, T, hotel_id=None, limit: int = 700) -> DataFrame:
+    """Newest archive rows first; a staff viewer only sees rows
+    of their hotel (matched by hotel and chain name, as archived)."""
+    from innkeep.functions.columns import archive_source_label
+    a = archive
+    if hotel_id is not None:
+        h = T["hotel"].filter(F.col("hotel_id") == hotel_id).join(T["hotel_chain"], "chain_id") \
+            .select("hotel_name", "chain_name")
+        a = a.join(F.broadcast(h), ["hotel_name", "chain_name"], "left_semi")
+    sid = F.coalesce("source_renting_id", "source_booking_id")
+    return a.withColumn("source_label", archive_source_label("record_type", "source_booking_id",
+                                                             "source_renting_id")) \
+        .orderBy(F.col("end_date").desc(), "record_type", sid.desc()).limit(limit)
+
+
+def staff_register(T, hotel_id=None) -> DataFrame:
+    """Staff with person data, hotel, account (credential masked)."""
+    p = T["person"].select("legal_id", "first_name", "last_name", "email", "phone")
+    h = T["hotel"].select("hotel_id", "hotel_name")
+    acc = T["auth_account"].filter(F.col("role").isin("manager", "employee")) \
+        .select("employee_id", "username", "is_active")
+    e = T["employee"]
+    if hotel_id is not None:
+        e = e.filter(F.col("hotel_id") == hotel_id)
+    return (e.join(p, "legal_id").join(F.broadcast(h), "hotel_id").join(acc, "employee_id", "left")
+            .select("employee_id", "legal_id", "first_name", "last_name", "email", "phone", "hotel_id",
+                    "hotel_name", "role_title", "is_manager", "username", "is_active",
+                    F.lit(None).cast("string").alias("password_plain")))

@@ -920,3 +920,161 @@ def q_stream_admission(T):
     rejected = landed.filter(~F.col("qualified")).select(
         "request_id", F.lit(False).alias("accepted"), "reason", F.lit(0).alias("round"))
     return decided.unionByName(rejected)
+
+
+# ---------------------------------------------------------------- guards, accounts, migration
+@register("delete_guards", f"""
+SELECT 'customer' AS entity, c.customer_id AS id,
+  NOT (EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id AND b.end_date >= DATE '{AS_OF}')
+       OR EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id AND x.end_date >= DATE '{AS_OF}')) AS can_delete,
+  CASE WHEN EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id AND b.end_date >= DATE '{AS_OF}') THEN 'open_booking'
+       WHEN EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id AND x.end_date >= DATE '{AS_OF}') THEN 'active_renting' END AS reason
+FROM customer_t c
+UNION ALL
+SELECT 'employee', e.employee_id,
+  NOT (EXISTS (SELECT 1 FROM renting x WHERE x.employee_id = e.employee_id)
+       OR EXISTS (SELECT 1 FROM payment p WHERE p.employee_id = e.employee_id)),
+  CASE WHEN EXISTS (SELECT 1 FROM renting x WHERE x.employee_id = e.employee_id) THEN 'referenced_by_renting'
+       WHEN EXISTS (SELECT 1 FROM payment p WHERE p.employee_id = e.employee_id) THEN 'referenced_by_payment' END
+FROM employee e""")
+def q_guards(T):
+    return tables.delete_guards(T, AS_OF)
+
+
+def account_requests(T) -> DataFrame:
+    """Staff-account status requests from ``events``: the acting staff
+    member is ``user_id`` (admin when user_id % 10 = 0), the target is
+    ``(event_id * 31) % #suppliers``, disable when event_id % 3 = 0."""
+    ev = T["_raw"]["events"]
+    n_staff = T["_raw"]["supplier"].agg(F.count(F.lit(1))).scalar()
+    u, e = F.col("user_id"), F.col("event_id")
+    emp = T["employee"].select(F.col("employee_id").alias("user_id"), "is_manager")
+    acts = ev.join(emp, "user_id", "left")
+    role = F.when(u % 10 == 0, "admin").when(F.col("is_manager"), "manager") \
+        .when(F.col("is_manager").isNotNull(), "employee").otherwise("none")
+    return acts.select(e.alias("request_id"), role.alias("actor_role"),
+                       u.alias("actor_employee_id"), (u * 2).alias("actor_account_id"),
+                       ((e * 31) % n_staff).alias("target_employee_id"), (e % 3 != 0).alias("is_active"))
+
+
+@register("account_status", """
+SELECT q.request_id, q.target_employee_id, a.account_id, reason IS NULL AS accepted, reason, q.is_active
+FROM (SELECT ev.event_id AS request_id,
+        CASE WHEN ev.user_id % 10 = 0 THEN 'admin' WHEN e.is_manager THEN 'manager'
+             WHEN e.is_manager IS NOT NULL THEN 'employee' ELSE 'none' END AS actor_role,
+        ev.user_id AS actor_employee_id, ev.user_id * 2 AS actor_account_id,
+        (ev.event_id * 31) % (SELECT count(*) FROM supplier) AS target_employee_id,
+        ev.event_id % 3 <> 0 AS is_active, e.hotel_id AS actor_hotel
+      FROM events ev LEFT JOIN employee e ON e.employee_id = ev.user_id) q
+LEFT JOIN (SELECT * FROM auth_account WHERE role IN ('employee', 'manager')) a ON a.employee_id = q.target_employee_id
+LEFT JOIN employee t ON t.employee_id = q.target_employee_id,
+LATERAL (SELECT CASE WHEN a.account_id IS NULL THEN 'not_found'
+     WHEN q.actor_role = 'manager' AND a.role <> 'employee' THEN 'managers_only_employees'
+     WHEN q.actor_role = 'manager' AND t.hotel_id IS DISTINCT FROM q.actor_hotel THEN 'other_hotel'
+     WHEN q.actor_role NOT IN ('admin', 'manager') THEN 'no_permission'
+     WHEN NOT q.is_active AND q.actor_account_id = a.account_id THEN 'own_account' END AS reason) r""")
+def q_account_status(T):
+    return tables.staff_account_status(T, account_requests(T))
+
+
+@register("migrate_fk", """
+SELECT c.c_custkey AS customer_id, p.legal_id
+FROM customer c LEFT JOIN (SELECT c_custkey + 1 AS person_id,
+                                  lpad(CAST(200000000 + c_custkey AS VARCHAR), 9, '0') AS legal_id FROM customer) p
+  ON p.person_id = c.c_custkey + 1""")
+def q_migrate(T):
+    raw = T["_raw"]["customer"]
+    legacy_customer = raw.select(F.col("c_custkey").alias("customer_id"),
+                                 (F.col("c_custkey") + 1).alias("person_id"))
+    legacy_person = raw.select((F.col("c_custkey") + 1).alias("person_id"),
+                               F.lpad((F.lit(200000000) + F.col("c_custkey")).cast("string"), 9, "0")
+                               .alias("legal_id"))
+    return repair.migrate_fk(legacy_customer, legacy_person)
+
+
+# ---------------------------------------------------------------- more reports
+@register("home_counters", """
+SELECT (SELECT count(*) FROM hotel) AS hotels, (SELECT count(*) FROM room) AS rooms,
+       (SELECT count(*) FROM customer_t) AS customers, (SELECT count(*) FROM employee) AS employees""")
+def q_home(T):
+    return reports.home_counters(T)
+
+
+@register("search_page", f"""
+SELECT s.*, n.next_start, n.next_end, n.next_type, n.next_source_id
+FROM (SELECT r.room_id, r.room_number, r.hotel_id, h.hotel_name, h.chain_id, c.chain_name, h.area,
+             h.category, r.capacity, r.base_price, r.current_status,
+             coalesce(nullif(trim(r.issues, ' '), ''), 'None reported') AS issues_label
+      FROM room r JOIN hotel h USING (hotel_id) JOIN hotel_chain c USING (chain_id)
+      WHERE r.capacity = 'double' AND r.base_price <= 1500
+      ORDER BY h.area, h.hotel_name, r.base_price, r.room_id LIMIT 300) s
+LEFT JOIN (SELECT room_id, start_date AS next_start, end_date AS next_end, block_type AS next_type,
+                  source_id AS next_source_id FROM {BLOCKS_SQL}
+           QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY start_date, end_date, block_type, source_id) = 1) n
+  ON n.room_id = s.room_id""")
+def q_search_page(T):
+    return reports.search_page(T, 300, capacity="double", max_price=1500, as_of=AS_OF)
+
+
+@register("archive_history", f"""
+SELECT a.*, CASE WHEN a.record_type = 'booking' THEN 'B#' || CAST(a.source_booking_id AS VARCHAR)
+                 ELSE 'R#' || CAST(a.source_renting_id AS VARCHAR) END AS source_label
+FROM archive_bf a JOIN hotel h ON h.hotel_name = a.hotel_name JOIN hotel_chain c ON c.chain_id = h.chain_id
+  AND c.chain_name = a.chain_name
+WHERE h.hotel_id = {POLICY_HOTEL}
+ORDER BY a.end_date DESC, a.record_type, coalesce(a.source_renting_id, a.source_booking_id) DESC LIMIT 400""")
+def q_archive_history(T):
+    return reports.archive_history(arch.archive_backfill(T), T, POLICY_HOTEL, 400)
+
+
+@register("staff_register", """
+SELECT e.employee_id, e.legal_id, p.first_name, p.last_name, p.email, p.phone, e.hotel_id, h.hotel_name,
+       e.role_title, e.is_manager, a.username, a.is_active, CAST(NULL AS VARCHAR) AS password_plain
+FROM employee e JOIN person p ON p.legal_id = e.legal_id JOIN hotel h ON h.hotel_id = e.hotel_id
+LEFT JOIN (SELECT * FROM auth_account WHERE role IN ('manager', 'employee')) a ON a.employee_id = e.employee_id""")
+def q_staff_register(T):
+    return reports.staff_register(T)
+
+
+@register("manager_team", f"""
+SELECT e.employee_id, e.legal_id, p.first_name, p.last_name, p.email, p.phone, e.hotel_id, h.hotel_name,
+       e.role_title, e.is_manager, a.username, a.is_active, CAST(NULL AS VARCHAR) AS password_plain
+FROM employee e JOIN person p ON p.legal_id = e.legal_id JOIN hotel h ON h.hotel_id = e.hotel_id
+LEFT JOIN (SELECT * FROM auth_account WHERE role IN ('manager', 'employee')) a ON a.employee_id = e.employee_id
+WHERE e.hotel_id = {POLICY_HOTEL}""")
+def q_team(T):
+    return reports.staff_register(T, POLICY_HOTEL)
+
+
+def customer_account_requests(T) -> DataFrame:
+    """Customer-account status requests from ``events`` (actor = user_id as
+    staff, admin when user_id % 10 = 0; target = (event_id * 17) % #customers)."""
+    ev = T["_raw"]["events"]
+    n_c = T["_raw"]["customer"].agg(F.count(F.lit(1))).scalar()
+    emp = T["employee"].select(F.col("employee_id").alias("user_id"), "is_manager")
+    u, e = F.col("user_id"), F.col("event_id")
+    role = F.when(u % 10 == 0, "admin").when(F.col("is_manager"), "manager") \
+        .when(F.col("is_manager").isNotNull(), "employee").otherwise("none")
+    return ev.join(emp, "user_id", "left").select(
+        e.alias("request_id"), role.alias("actor_role"), u.alias("actor_employee_id"),
+        ((e * 17) % n_c).alias("customer_id"), (e % 3 != 0).alias("is_active"))
+
+
+@register("customer_account_status", """
+SELECT q.request_id, q.customer_id, r.reason IS NULL AS accepted, r.reason,
+       CASE WHEN r.reason IS NULL THEN CASE WHEN a.account_id IS NULL THEN 'create' ELSE 'update' END END AS action,
+       q.is_active
+FROM (SELECT ev.event_id AS request_id,
+        CASE WHEN ev.user_id % 10 = 0 THEN 'admin' WHEN e.is_manager THEN 'manager'
+             WHEN e.is_manager IS NOT NULL THEN 'employee' ELSE 'none' END AS actor_role,
+        e.hotel_id AS actor_hotel, (ev.event_id * 17) % (SELECT count(*) FROM customer) AS customer_id,
+        ev.event_id % 3 <> 0 AS is_active
+      FROM events ev LEFT JOIN employee e ON e.employee_id = ev.user_id) q
+LEFT JOIN customer_t c ON c.customer_id = q.customer_id
+LEFT JOIN (SELECT * FROM auth_account WHERE role = 'customer') a ON a.customer_id = q.customer_id,
+LATERAL (SELECT CASE WHEN q.actor_role NOT IN ('employee', 'manager', 'admin') THEN 'no_permission'
+     WHEN c.customer_id IS NULL THEN 'not_found'
+     WHEN q.actor_role IN ('employee', 'manager') AND (c.hotel_id IS NULL OR q.actor_hotel IS NULL
+          OR c.hotel_id <> q.actor_hotel) THEN 'other_hotel' END AS reason) r""")
+def q_customer_account_status(T):
+    return tables.customer_account_status(T, customer_account_requests(T))
