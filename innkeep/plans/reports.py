@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.functions.columns import (as_date, blank_as_null, capacity_weight, full_name,
-                                       payment_method_label)
+from innkeep.functions.columns import (as_date, blank_as_null, capacity_weight, fmt_date,
+                                       fmt_timestamp, full_name, payment_method_label, status_slug)
 from innkeep.plans.common import (active_rentings, customer_person, hotels_with_chain,
                                   open_bookings)
 
@@ -92,21 +92,26 @@ def stay_history(T, customer_ids: DataFrame | None = None) -> DataFrame:
         .alias("renting_label"))
 
 
-def open_bookings_board(T, as_of, hotel_id=None) -> DataFrame:
-    """Open bookings with action flags at ``as_of``."""
+def open_bookings_board(T, as_of, hotel_id=None, limit: int | None = None) -> DataFrame:
+    """Open bookings with action flags at ``as_of``; with
+    ``limit``, the page ordered overdue first, then start date, then
+    newest id."""
     d = as_date(as_of)
     b = open_bookings(T)
     if hotel_id is not None:
         b = b.join(T["room"].filter(F.col("hotel_id") == hotel_id).select("room_id"),
                    "room_id", "left_semi")
     st = F.col("status")
-    return b.select(
+    out = b.select(
         "booking_id", "room_id", "customer_id", "start_date", "end_date", "status",
         (F.col("end_date") < d).alias("is_overdue"),
         ((st == "reserved") & (F.col("start_date") == d)).alias("can_check_in"),
         (st.isin("reserved", "checked_in") & (F.col("end_date") >= d)).alias("can_cancel"),
         ((st == "reserved") & (F.col("start_date") >= d)).alias("can_update_dates"),
-        (F.col("end_date") < d).alias("can_complete"))
+        (F.col("end_date") < d).alias("can_complete"), status_slug("status").alias("status_slug"))
+    if limit is not None:
+        out = out.orderBy(F.col("is_overdue").desc(), "start_date", F.col("booking_id").desc()).limit(limit)
+    return out
 
 
 def payments_board(T) -> DataFrame:
@@ -117,6 +122,7 @@ def payments_board(T) -> DataFrame:
     return (T["payment"].join(r, "renting_id").join(rooms, "room_id").join(cp, "customer_id")
             .select("renting_id", "employee_id", "amount",
                     payment_method_label("method").alias("method_label"), "paid_at",
+                    fmt_timestamp("paid_at").alias("paid_at_text"),
                     "room_id", "hotel_id", "room_number", "customer_id", "customer_full_name"))
 
 
@@ -266,3 +272,20 @@ def staff_register(T, hotel_id=None) -> DataFrame:
             .select("employee_id", "legal_id", "first_name", "last_name", "email", "phone", "hotel_id",
                     "hotel_name", "role_title", "is_manager", "username", "is_active",
                     F.lit(None).cast("string").alias("password_plain")))
+
+
+def active_rentings_board(T, hotel_id=None) -> DataFrame:
+    """Active rentings with room, hotel, chain and guest; walk-in
+    rentings (no source booking) are labelled."""
+    from innkeep.plans.common import hotels_with_chain
+    h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_name")
+    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(F.broadcast(h), "hotel_id")
+    if hotel_id is not None:
+        rooms = rooms.filter(F.col("hotel_id") == hotel_id)
+    cp = customer_person(T).select("customer_id", "customer_full_name")
+    return (active_rentings(T).join(rooms, "room_id").join(cp, "customer_id")
+            .select("renting_id", "room_id", "room_number", "hotel_id", "hotel_name", "chain_name",
+                    "customer_id", "customer_full_name", "start_date", "end_date",
+                    fmt_date("start_date").alias("start_text"),
+                    F.coalesce(F.concat(F.lit("Booking #"), F.col("source_booking_id").cast("string")),
+                               F.lit("Walk-in / direct")).alias("origin_label")))

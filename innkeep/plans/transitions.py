@@ -111,3 +111,35 @@ def first_touch_hotel(T, intake: DataFrame) -> DataFrame:
         F.min_by("hotel_id", F.struct("arrival", "request_id")).alias("hotel_id"))
     return T["customer"].filter(F.col("hotel_id").isNull()).select("customer_id") \
         .join(first, "customer_id")
+
+
+def intake_rentings(T, requests: DataFrame) -> DataFrame:
+    """J17 (walk-in rentings): room exists, customer found by SIN, the
+    desk employee works at the room's hotel, end after start."""
+    rooms = T["room"].select("room_id", "hotel_id")
+    cust = T["customer"].select(F.col("legal_id").alias("customer_sin"), "customer_id")
+    staff = T["employee"].select(F.col("employee_id").alias("staff_employee_id"),
+                                 F.col("hotel_id").alias("staff_hotel"))
+    j = requests.join(rooms, "room_id", "left").join(cust, "customer_sin", "left") \
+        .join(staff, "staff_employee_id", "left")
+    reason = F.when(F.col("hotel_id").isNull(), "no_such_room") \
+        .when(F.col("customer_id").isNull(), "no_such_customer") \
+        .when(F.col("staff_hotel").isNull() | (F.col("staff_hotel") != F.col("hotel_id")), "other_hotel") \
+        .when(F.col("end_date") <= F.col("start_date"), "bad_range")
+    return j.select("request_id", "room_id", "customer_id", "staff_employee_id", "start_date",
+                    "end_date", reason.isNull().alias("qualified"), reason.alias("reason"))
+
+
+def intake_payments(T, requests: DataFrame) -> DataFrame:
+    """J17 (payments): the renting must be active, the amount positive, the
+    method known ('card' is stored as 'credit', B6)."""
+    from innkeep.functions.columns import payment_method_intake
+    r = T["renting"].select("renting_id", F.col("status").alias("_rs"))
+    m = payment_method_intake("method_raw")
+    j = requests.join(r, "renting_id", "left")
+    reason = F.when(F.col("_rs").isNull(), "no_such_renting") \
+        .when(F.col("_rs") != "active", "renting_not_active") \
+        .when(F.col("amount").isNull() | (F.col("amount") <= 0), "amount_not_positive") \
+        .when(~m.isin("cash", "credit", "debit", "online"), "invalid_method")
+    return j.select("request_id", "renting_id", "employee_id", "amount", m.alias("method"),
+                    reason.isNull().alias("qualified"), reason.alias("reason"))

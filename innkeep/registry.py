@@ -422,7 +422,8 @@ SELECT booking_id, room_id, customer_id, start_date, end_date, status,
   status = 'reserved' AND start_date = DATE '{AS_OF}' AS can_check_in,
   status IN ('reserved', 'checked_in') AND end_date >= DATE '{AS_OF}' AS can_cancel,
   status = 'reserved' AND start_date >= DATE '{AS_OF}' AS can_update_dates,
-  end_date < DATE '{AS_OF}' AS can_complete
+  end_date < DATE '{AS_OF}' AS can_complete,
+  regexp_replace(lower(status), '[^a-z_]', '_', 'g') AS status_slug
 FROM open_booking""")
 def q_board(T):
     return reports.open_bookings_board(T, AS_OF)
@@ -430,7 +431,7 @@ def q_board(T):
 
 @register("payments_board", """
 SELECT p.renting_id, p.employee_id, p.amount, CASE WHEN p.method = 'credit' THEN 'card' ELSE p.method END AS method_label,
-       p.paid_at, x.room_id, r.hotel_id, r.room_number, x.customer_id, cp.customer_full_name
+       p.paid_at, strftime(p.paid_at, '%Y-%m-%d %H:%M') AS paid_at_text, x.room_id, r.hotel_id, r.room_number, x.customer_id, cp.customer_full_name
 FROM payment p JOIN renting x ON x.renting_id = p.renting_id JOIN room r ON r.room_id = x.room_id
 JOIN cust_person cp ON cp.customer_id = x.customer_id""")
 def q_payments(T):
@@ -1078,3 +1079,107 @@ LATERAL (SELECT CASE WHEN q.actor_role NOT IN ('employee', 'manager', 'admin') T
           OR c.hotel_id <> q.actor_hotel) THEN 'other_hotel' END AS reason) r""")
 def q_customer_account_status(T):
     return tables.customer_account_status(T, customer_account_requests(T))
+
+
+# ---------------------------------------------------------------- boards and intake
+@register("front_desk_page", f"""
+SELECT booking_id, room_id, customer_id, start_date, end_date, status,
+  end_date < DATE '{AS_OF}' AS is_overdue,
+  status = 'reserved' AND start_date = DATE '{AS_OF}' AS can_check_in,
+  status IN ('reserved', 'checked_in') AND end_date >= DATE '{AS_OF}' AS can_cancel,
+  status = 'reserved' AND start_date >= DATE '{AS_OF}' AS can_update_dates,
+  end_date < DATE '{AS_OF}' AS can_complete,
+  regexp_replace(lower(status), '[^a-z_]', '_', 'g') AS status_slug
+FROM open_booking WHERE room_id IN (SELECT room_id FROM room WHERE hotel_id = {POLICY_HOTEL})
+ORDER BY end_date < DATE '{AS_OF}' DESC, start_date, booking_id DESC LIMIT 200""")
+def q_front_desk(T):
+    return reports.open_bookings_board(T, AS_OF, POLICY_HOTEL, limit=200)
+
+
+@register("active_rentings_board", """
+SELECT x.renting_id, x.room_id, rs.room_number, rs.hotel_id, rs.hotel_name, rs.chain_name, x.customer_id,
+       cp.customer_full_name, x.start_date, x.end_date, strftime(x.start_date, '%Y-%m-%d') AS start_text,
+       coalesce('Booking #' || CAST(x.source_booking_id AS VARCHAR), 'Walk-in / direct') AS origin_label
+FROM active_renting x JOIN room_star rs ON rs.room_id = x.room_id JOIN cust_person cp ON cp.customer_id = x.customer_id""")
+def q_active_board(T):
+    return reports.active_rentings_board(T)
+
+
+def renting_requests(T) -> DataFrame:
+    """Walk-in renting requests from 'purchase' events: guest found by SIN
+    (user_id), desk employee = event_id % #suppliers."""
+    ev = T["_raw"]["events"].filter(F.col("event_type") == "purchase")
+    n_rooms = T["_raw"]["part"].agg(F.expr("count(1) div 4")).scalar()
+    n_staff = T["_raw"]["supplier"].agg(F.count(F.lit(1))).scalar()
+    e = F.col("event_id")
+    start = F.col("ts").cast("date")
+    return ev.select(e.alias("request_id"), ((e * 7919) % n_rooms).alias("room_id"),
+                     F.lpad((F.lit(200000000) + F.col("user_id")).cast("string"), 9, "0").alias("customer_sin"),
+                     (e % n_staff).alias("staff_employee_id"), start.alias("start_date"),
+                     F.date_add(start, (e % 3).cast("int")).alias("end_date"))
+
+
+@register("intake_rentings", """
+SELECT q.request_id, q.room_id, c.customer_id, q.staff_employee_id, q.start_date, q.end_date,
+       reason IS NULL AS qualified, reason
+FROM (SELECT event_id AS request_id, (event_id * 7919) % (SELECT count(*) // 4 FROM part) AS room_id,
+             lpad(CAST(200000000 + user_id AS VARCHAR), 9, '0') AS customer_sin,
+             event_id % (SELECT count(*) FROM supplier) AS staff_employee_id,
+             CAST(ts AS DATE) AS start_date, CAST(ts AS DATE) + CAST(event_id % 3 AS INTEGER) AS end_date
+      FROM events WHERE event_type = 'purchase') q
+LEFT JOIN room r ON r.room_id = q.room_id
+LEFT JOIN customer_t c ON c.legal_id = q.customer_sin
+LEFT JOIN employee e ON e.employee_id = q.staff_employee_id,
+LATERAL (SELECT CASE WHEN r.hotel_id IS NULL THEN 'no_such_room' WHEN c.customer_id IS NULL THEN 'no_such_customer'
+     WHEN e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id THEN 'other_hotel'
+     WHEN q.end_date <= q.start_date THEN 'bad_range' END AS reason) z""")
+def q_intake_rentings(T):
+    return transitions.intake_rentings(T, renting_requests(T))
+
+
+# Raw payment methods offered at the desk, by event_id % 5.
+RAW_METHODS = ["cash", "card", "debit", "online", "voucher"]
+
+
+def payment_requests(T) -> DataFrame:
+    """Payments from 'view' events: renting = first line of order
+    event_id, amount = event value, raw method by event_id % 5."""
+    ev = T["_raw"]["events"].filter(F.col("event_type") == "view")
+    e = F.col("event_id")
+    m = F.element_at(F.array(*[F.lit(x) for x in RAW_METHODS]), (e % 5 + 1).cast("int"))
+    return ev.select(e.alias("request_id"), (e * 10 + 1).alias("renting_id"),
+                     F.col("user_id").alias("employee_id"),
+                     F.col("value").cast("decimal(12,2)").alias("amount"), m.alias("method_raw"))
+
+
+@register("intake_payments", """
+SELECT q.request_id, q.renting_id, q.employee_id, q.amount,
+       CASE WHEN lower(trim(q.method_raw, ' ')) = 'card' THEN 'credit' ELSE lower(trim(q.method_raw, ' ')) END AS method,
+       reason IS NULL AS qualified, reason
+FROM (SELECT event_id AS request_id, event_id * 10 + 1 AS renting_id, user_id AS employee_id,
+             CAST(value AS DECIMAL(12,2)) AS amount,
+             CASE event_id % 5 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' WHEN 2 THEN 'debit' WHEN 3 THEN 'online'
+                  ELSE 'voucher' END AS method_raw
+      FROM events WHERE event_type = 'view') q
+LEFT JOIN renting x ON x.renting_id = q.renting_id,
+LATERAL (SELECT CASE WHEN x.status IS NULL THEN 'no_such_renting' WHEN x.status <> 'active' THEN 'renting_not_active'
+     WHEN q.amount IS NULL OR q.amount <= 0 THEN 'amount_not_positive'
+     WHEN (CASE WHEN lower(trim(q.method_raw, ' ')) = 'card' THEN 'credit' ELSE lower(trim(q.method_raw, ' ')) END)
+          NOT IN ('cash', 'credit', 'debit', 'online') THEN 'invalid_method' END AS reason) z""")
+def q_intake_payments(T):
+    return transitions.intake_payments(T, payment_requests(T))
+
+
+@register("upsert_rejects", """
+SELECT legal_id, 'unique_email' AS reason, 'email_registered' AS code FROM rej""", _UPSERT_CTES)
+def q_upsert_rejects(T):
+    c = F.col("c_custkey")
+    chg = T["_raw"]["customer"].filter(F.col("c_acctbal") < 0).select(
+        F.lpad((F.lit(200000000) + c).cast("string"), 9, "0").alias("legal_id"),
+        F.when(c % 50 == 0, F.concat(F.lit("customer"), (c + 1).cast("string"), F.lit("@mail.example")))
+         .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@mail.example"))).alias("new_email"))
+    cur = T["person"].select("legal_id", "first_name", "last_name", "email")
+    changes = cur.join(chg, "legal_id").select("legal_id", "first_name", "last_name",
+                                                F.col("new_email").alias("email"), F.lit(1).alias("changed_at"))
+    _new, rejects = tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
+    return rejects.withColumn("code", quality.classify_violation("reason"))
