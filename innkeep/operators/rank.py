@@ -47,3 +47,18 @@ def assign_ids(df: DataFrame, existing_max: Column | int, order: list[str | Colu
     ranked = global_rank(df, order, "_rk")
     base = existing_max if isinstance(existing_max, Column) else F.lit(existing_max)
     return ranked.withColumn(name, (base + F.col("_rk")).cast("bigint")).drop("_rk")
+
+
+def rank_within_groups(df: DataFrame, group: list[str], order: list[str | Column],
+                       name: str = "rank") -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY order)`` without
+    putting a group into one task: global rank over ``group + order``, minus
+    the group's first global rank (a partial-aggregated ``min`` per group,
+    joined back).  A group holding a third of all rows is spread over the
+    range partitions like any other rows.  ``group + order`` must be a
+    total order.
+    """
+    ranked = global_rank(df, [*group, *order], "_g")
+    first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"))
+    return ranked.join(first, group, "inner") \
+        .withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.plans.common import customer_person, hotels_with_chain
+from innkeep.plans.common import sized_broadcast, customer_person, hotels_with_chain
 from innkeep.sources.schemas import FINAL_STATUSES
 
 ARCHIVE_COLS = ["record_type", "source_booking_id", "source_renting_id", "chain_name",
@@ -24,7 +24,7 @@ def snapshot(T, stays: DataFrame, record_type: str) -> DataFrame:
     (``renting_id``, ``source_booking_id``) rows in their new state.
     """
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_name")
-    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(F.broadcast(h), "hotel_id")
+    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(sized_broadcast(h), "hotel_id")
     cp = customer_person(T).select("customer_id", "customer_full_name",
                                    F.col("legal_id").alias("customer_legal_id"))
     if record_type == "booking":

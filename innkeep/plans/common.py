@@ -9,6 +9,20 @@ from innkeep.functions.columns import area, as_date, full_name
 from innkeep.sources.schemas import BLOCKING_BOOKING, BLOCKING_RENTING
 
 
+BROADCAST_LIMIT = 64 * 1024 * 1024
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast hint only when Catalyst's size estimate of ``df`` (from file
+    sizes and row counts, no job) is below ``limit``; otherwise the join is
+    left to the planner and AQE."""
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001
+        return df
+    return F.broadcast(df) if size <= limit else df
+
+
 def open_bookings(T) -> DataFrame:
     return T["booking"].filter(F.col("status").isin(*BLOCKING_BOOKING))
 
@@ -18,18 +32,17 @@ def active_rentings(T) -> DataFrame:
 
 
 def hotels_with_chain(T) -> DataFrame:
-    """hotel ⋈ chain.  Both are dimension tables of fixed size (bounded by the
-    number of hotels), so the chain side is broadcast."""
-    return T["hotel"].join(F.broadcast(T["hotel_chain"].select("chain_id", "chain_name")),
+    """hotel ⋈ chain (dimension tables; chain side broadcast when small)."""
+    return T["hotel"].join(sized_broadcast(T["hotel_chain"].select("chain_id", "chain_name")),
                            "chain_id").withColumn("area", area("address_line"))
 
 
 def rooms_star(T, room: DataFrame | None = None) -> DataFrame:
-    """Room ⋈ hotel ⋈ chain (hotel side broadcast: bounded size)."""
+    """Room ⋈ hotel ⋈ chain (hotel side broadcast when its estimate is small)."""
     room = room if room is not None else T["room"]
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_id", "chain_name",
                                     "category", "total_rooms", "address_line", "area")
-    return room.join(F.broadcast(h), "hotel_id")
+    return room.join(sized_broadcast(h), "hotel_id")
 
 
 def customer_person(T) -> DataFrame:

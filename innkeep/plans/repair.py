@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from innkeep.functions.columns import blank_as_null, view_flags
-from innkeep.operators.rank import global_rank
+from innkeep.operators.rank import global_rank, rank_within_groups
 from innkeep.plans.common import hotels_with_chain
 
 SIN_RE = "^[0-9]{9}$"
@@ -22,10 +21,9 @@ DEFAULT_MAX_SIN = 100000000
 
 
 def duplicate_rank(person: DataFrame, tie: str = "email") -> DataFrame:
-    """rank inside each legal_id (1 = keeps the id).  Groups are the
-    rows sharing one id: bounded by the number of copies of that id."""
-    w = W.partitionBy("legal_id").orderBy(F.col(tie).asc_nulls_last())
-    return person.withColumn("duplicate_rank", F.row_number().over(w))
+    """rank inside each legal_id (1 = keeps the id), ordered by ``tie``.
+    Distributed even when one id has a huge number of copies."""
+    return rank_within_groups(person, ["legal_id"], [F.col(tie).asc_nulls_last()], "duplicate_rank")
 
 
 def repair_keys(person: DataFrame, tie: str = "email") -> DataFrame:
@@ -129,8 +127,7 @@ def fill_rooms(T, min_rooms: int = 5) -> DataFrame:
         F.lit(FIRST_ROOM_NUMBER), F.lit(FIRST_ROOM_NUMBER) + F.col("used") + F.col("need") - 1))
         .alias("num")).withColumn("room_number", F.col("num").cast("string"))
     free = cand.join(rooms, ["hotel_id", "room_number"], "left_anti")
-    w = W.partitionBy("hotel_id").orderBy("num")
-    picked = free.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("need"))
+    picked = rank_within_groups(free, ["hotel_id"], ["num"], "k").filter(F.col("k") <= F.col("need"))
     slot = F.col("used") + F.col("k") - 1
     caps = F.array(*[F.lit(c) for c in CAPACITY_CYCLE])
     return picked.select(

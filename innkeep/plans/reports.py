@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.columns import (as_date, blank_as_null, capacity_weight, fmt_date,
                                        fmt_timestamp, full_name, payment_method_label, status_slug)
-from innkeep.plans.common import (active_rentings, customer_person, hotels_with_chain,
+from innkeep.plans.common import (active_rentings, customer_person, hotels_with_chain, sized_broadcast,
                                   open_bookings)
 
 
@@ -19,7 +19,7 @@ def active_per_chain(T) -> DataFrame:
     """
     per_room = open_bookings(T).groupBy("room_id").agg(F.count("booking_id").alias("n"))
     h = hotels_with_chain(T).select("hotel_id", "chain_name")
-    rooms = T["room"].select("room_id", "hotel_id").join(F.broadcast(h), "hotel_id")
+    rooms = T["room"].select("room_id", "hotel_id").join(sized_broadcast(h), "hotel_id")
     return (rooms.join(per_room, "room_id", "left")
                  .groupBy("chain_name")
                  .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("active_bookings")))
@@ -35,7 +35,7 @@ def rooms_per_area(T) -> DataFrame:
     h = hotels_with_chain(T).select("hotel_id", "area")
     per_hotel = T["room"].filter(F.col("current_status") == "available") \
         .groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_hotel.join(F.broadcast(h), "hotel_id").groupBy("area") \
+    return per_hotel.join(sized_broadcast(h), "hotel_id").groupBy("area") \
         .agg(F.sum("n").cast("int").alias("available_rooms"))
 
 
@@ -70,7 +70,7 @@ def managers_register(T) -> DataFrame:
         .select("employee_id", F.col("username").alias("account_username"),
                 F.col("is_active").alias("account_is_active"))
     e = T["employee"].filter(F.col("is_manager"))
-    return (e.join(p, "legal_id").join(F.broadcast(h), "hotel_id").join(acc, "employee_id", "left")
+    return (e.join(p, "legal_id").join(sized_broadcast(h), "hotel_id").join(acc, "employee_id", "left")
              .select(F.col("employee_id").alias("manager_employee_id"),
                      F.col("legal_id").alias("manager_sin"), "first_name", "last_name", "email",
                      "phone", "hotel_id", "hotel_name", "chain_id", "chain_name", "role_title",
@@ -199,7 +199,7 @@ def customer_register(T, viewer_role: str = "employee", hotel_id=None) -> DataFr
     c = customer_person(T)
     if viewer_role != "admin" and hotel_id is not None:
         c = c.filter((F.col("hotel_id") == hotel_id) | F.col("hotel_id").isNull())
-    return (c.join(F.broadcast(h), "hotel_id", "left").join(acc, "customer_id", "left")
+    return (c.join(sized_broadcast(h), "hotel_id", "left").join(acc, "customer_id", "left")
             .select("customer_id", "legal_id", "first_name", "last_name", "hotel_id",
                     F.coalesce("hotel_name", F.lit("Unassigned")).alias("hotel_label"),
                     "username", "is_active",
@@ -252,7 +252,7 @@ def archive_history(archive: DataFrame, T, hotel_id=None, limit: int = 700) -> D
     if hotel_id is not None:
         h = T["hotel"].filter(F.col("hotel_id") == hotel_id).join(T["hotel_chain"], "chain_id") \
             .select("hotel_name", "chain_name")
-        a = a.join(F.broadcast(h), ["hotel_name", "chain_name"], "left_semi")
+        a = a.join(sized_broadcast(h), ["hotel_name", "chain_name"], "left_semi")
     sid = F.coalesce("source_renting_id", "source_booking_id")
     return a.withColumn("source_label", archive_source_label("record_type", "source_booking_id",
                                                              "source_renting_id")) \
@@ -268,7 +268,7 @@ def staff_register(T, hotel_id=None) -> DataFrame:
     e = T["employee"]
     if hotel_id is not None:
         e = e.filter(F.col("hotel_id") == hotel_id)
-    return (e.join(p, "legal_id").join(F.broadcast(h), "hotel_id").join(acc, "employee_id", "left")
+    return (e.join(p, "legal_id").join(sized_broadcast(h), "hotel_id").join(acc, "employee_id", "left")
             .select("employee_id", "legal_id", "first_name", "last_name", "email", "phone", "hotel_id",
                     "hotel_name", "role_title", "is_manager", "username", "is_active",
                     F.lit(None).cast("string").alias("password_plain")))
@@ -279,7 +279,7 @@ def active_rentings_board(T, hotel_id=None) -> DataFrame:
     rentings (no source booking) are labelled."""
     from innkeep.plans.common import hotels_with_chain
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_name")
-    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(F.broadcast(h), "hotel_id")
+    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(sized_broadcast(h), "hotel_id")
     if hotel_id is not None:
         rooms = rooms.filter(F.col("hotel_id") == hotel_id)
     cp = customer_person(T).select("customer_id", "customer_full_name")

@@ -854,7 +854,7 @@ def _stage_changes(T):
     decided = _decided(T)
     changes = transitions.transition_changes(T, decided)
     path = streams.scratch_dir(spark, "changes")
-    return streams.stage_files(changes, path, 4, "booking_id")
+    return streams.stage_files(changes, path, 4)
 
 
 def q_stream_archive(T):
@@ -909,7 +909,7 @@ def q_stream_status(T):
 def q_stream_admission(T):
     spark = T["booking"].sparkSession
     req = admission_requests(T)
-    src = streams.stage_files(req, streams.scratch_dir(spark, "requests"), 4, "request_id")
+    src = streams.stage_files(req, streams.scratch_dir(spark, "requests"), 4)
 
     def intake(df):
         return transitions.intake_bookings(T, df, INTAKE_AS_OF)

@@ -12,8 +12,8 @@ its checkpoint (executor or driver loss does not duplicate output).
 * L2 ``status_stream``: change records -> room status of touched rooms,
   joined with a static status table.
 * L3 ``land_requests`` + ``admit_landed``: requests land through a stream
-  (intake reason attached); each landed batch is then admitted in arrival
-  order against everything accepted before it.
+  (intake reason attached); the landed requests are then admitted in
+  arrival-time batches, each against everything accepted before it.
 """
 
 from __future__ import annotations
@@ -34,21 +34,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, n_files: int, order_col: str) -> str:
-    """Write ``df`` as ``n_files`` successive appends of ``order_col`` ranges
-    (quantile bounds), so a file stream (oldest file first) replays it as
-    several arriving batches in order.  Used to stage test input."""
-    df = df.checkpoint(eager=True)  # compute the input once, then slice it
-    qs = [i / n_files for i in range(1, n_files)]
-    bounds = df.agg(F.percentile_approx(F.col(order_col), qs, 10000).alias("b")).first()["b"] or []
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order_col) > lo)
-        if hi is not None:
-            cond = cond & (F.col(order_col) <= hi)
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+def stage_files(df: DataFrame, path: str, n_files: int) -> str:
+    """Write ``df`` as (about) ``n_files`` parquet files in one parallel job,
+    so a file stream with ``maxFilesPerTrigger`` sees several batches.
+    Used to stage test input; the stream jobs accept any source folder."""
+    df.repartition(n_files).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -101,20 +91,28 @@ def land_requests(spark: SparkSession, requests_dir: str, intake_fn, out_dir: st
     return spark.read.schema(landed.schema).parquet(out_dir)
 
 
-def admit_landed(T, landed: DataFrame, admit_fn, batch_col: str = "landed_at") -> DataFrame:
-    """L3 (admission): admit landed batches one after another; every batch
-    sees the requests accepted in earlier batches as existing bookings.
-    The loop is over batch ids (a handful), each step a distributed job."""
-    batches = sorted(r[0] for r in landed.select(batch_col).distinct().collect())
-    accepted = None
-    out = None
-    # only blocking stays matter to the conflict rules: materialise them once
+def admit_landed(T, landed: DataFrame, admit_fn, n_batches: int = 4) -> DataFrame:
+    """L3 (admission): admit landed requests batch by batch in arrival
+    order; every batch sees the requests accepted in earlier batches as
+    existing bookings.  Batches are arrival-time ranges (quantile bounds,
+    ``n_batches - 1`` values to the driver), so the outcome does not depend
+    on file or landing order and equals one sequential replay.  The loop
+    runs ``n_batches`` distributed steps."""
     from innkeep.sources.schemas import BLOCKING_BOOKING, BLOCKING_RENTING
+    t = F.unix_micros(F.col("arrival").cast("timestamp"))
+    qs = [i / n_batches for i in range(1, n_batches)]
+    bounds = landed.agg(F.percentile_approx(t, qs, 10000).alias("b")).first()["b"] or []
+    bounds = sorted(set(int(b) for b in bounds))
+    bidx = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < t)) if bounds else F.lit(0)
+    landed = landed.withColumn("_batch", bidx).checkpoint(eager=True)
+    # only blocking stays matter to the conflict rules: materialise them once
     T = dict(T)
     T["booking"] = T["booking"].filter(F.col("status").isin(*BLOCKING_BOOKING)).checkpoint(eager=True)
     T["renting"] = T["renting"].filter(F.col("status").isin(*BLOCKING_RENTING)).checkpoint(eager=True)
-    for b in batches:
-        part = landed.filter(F.col(batch_col) == b)
+    accepted = None
+    out = None
+    for b in range(len(bounds) + 1):
+        part = landed.filter(F.col("_batch") == b).drop("_batch")
         T_b = dict(T)
         if accepted is not None:
             extra = accepted.select(
@@ -124,7 +122,8 @@ def admit_landed(T, landed: DataFrame, admit_fn, batch_col: str = "landed_at") -
                 F.lit(None).cast("timestamp").alias("created_at"))
             T_b["booking"] = T["booking"].unionByName(extra)
         res = admit_fn(T_b, part).checkpoint(eager=True)
-        acc = part.join(res.filter("accepted").select("request_id"), "request_id", "left_semi")
+        acc = part.join(res.filter("accepted").select("request_id"), "request_id", "left_semi") \
+            .select("request_id", "room_id", "customer_id", "start_date", "end_date")
         accepted = acc if accepted is None else accepted.unionByName(acc)
         accepted = accepted.checkpoint(eager=True)
         out = res if out is None else out.unionByName(res)
