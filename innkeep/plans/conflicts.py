@@ -62,26 +62,32 @@ def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting
     record violates against the blocking records of ``T``.
 
     ``candidates`` optionally maps ``'booking'``/``'renting'`` to frames
-    of new rows to test instead of the stored ones.
+    of new rows to test instead of the stored ones.  Both record kinds are
+    tested together: one semi-join per (key, partner kind), four in all,
+    with the own-id and source-booking exclusions as residuals.
     """
-    out = []
+    lefts = []
     for side in sides:
         stored, sid = _side(T, side)
         me = candidates[side] if candidates and side in candidates else stored
-        for rule in RULES[side]:
-            key = "room_id" if rule.startswith("room") else "customer_id"
-            other = rule.split("_", 1)[1]
+        src = F.col("source_booking_id") if side == "renting" else F.lit(None).cast("bigint")
+        lefts.append(me.select(F.lit(side).alias("kind"), F.col(sid).alias("rid"), "room_id",
+                               "customer_id", "start_date", "end_date", src.alias("src_booking")))
+    left = lefts[0]
+    for other_left in lefts[1:]:
+        left = left.unionByName(other_left)
+    out = []
+    for key in ("room_id", "customer_id"):
+        for other in ("booking", "renting"):
             tab, oid = _side(T, other)
-            kw = {}
-            if other == side:
-                kw["exclude_same_id"] = True
-            elif side == "renting" and other == "booking":
-                kw["extra"] = (F.col("l.source_booking_id").isNull()
-                               | (F.col("r.booking_id") != F.col("l.source_booking_id")))
-                kw["left_cols"] = ["source_booking_id"]
-            hits = overlap_exists(me, tab, key, left_id=sid, right_id=oid, **kw)
-            out.append(hits.select(F.lit(side).alias("record_type"),
-                                   F.col(sid).alias("record_id"), F.lit(rule).alias("rule")))
+            residual = ~((F.col("l.kind") == other) & (F.col("l.rid") == F.col(f"r.{oid}")))
+            if other == "booking":
+                residual = residual & ~((F.col("l.kind") == "renting")
+                                        & (F.col("r.booking_id") == F.col("l.src_booking")))
+            hits = overlap_exists(left, tab, key, left_id=["kind", "rid"], right_id=oid,
+                                  extra=F.coalesce(residual, F.lit(True)), left_cols=["src_booking"])
+            out.append(hits.select(F.col("kind").alias("record_type"), F.col("rid").alias("record_id"),
+                                   F.lit(f"{key.split('_')[0]}_{other}").alias("rule")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
