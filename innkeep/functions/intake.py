@@ -75,7 +75,7 @@ def rule_enum(c: Column, allowed: list[str]):
 
 def rule_date(c: Column):
     v = js_trim(c)
-    d = F.when(v.rlike(ISO_DATE_RE), F.try_to_date(v, F.lit("yyyy-MM-dd")))
+    d = F.when(v.rlike(ISO_DATE_RE), F.try_to_date(v, "yyyy-MM-dd"))
     return d, F.when(d.isNull(), "invalid_date")
 
 
