@@ -289,3 +289,17 @@ def active_rentings_board(T, hotel_id=None) -> DataFrame:
                     fmt_date("start_date").alias("start_text"),
                     F.coalesce(F.concat(F.lit("Booking #"), F.col("source_booking_id").cast("string")),
                                F.lit("Walk-in / direct")).alias("origin_label")))
+
+
+def account_display_names(T) -> DataFrame:
+    """Display name per account: employee's name, else customer's,
+    else 'Administrator' (optional lookups are left joins)."""
+    from innkeep.functions.columns import display_name
+    p = T["person"].select("legal_id", "first_name", "last_name")
+    emp = T["employee"].select("employee_id", "legal_id").join(p, "legal_id") \
+        .select("employee_id", F.col("first_name").alias("ef"), F.col("last_name").alias("el"))
+    cus = T["customer"].select("customer_id", "legal_id").join(p, "legal_id") \
+        .select("customer_id", F.col("first_name").alias("cf"), F.col("last_name").alias("cl"))
+    return (T["auth_account"].select("account_id", "role", "employee_id", "customer_id")
+            .join(emp, "employee_id", "left").join(cus, "customer_id", "left")
+            .select("account_id", "role", display_name("ef", "el", "cf", "cl").alias("display_name")))

@@ -657,12 +657,12 @@ def q_to_rentings(T):
 @register("one_manager_per_hotel", """
 SELECT employee_id, hotel_id, rn = 1 AS accepted FROM (
   SELECT employee_id, hotel_id, pri, row_number() OVER (PARTITION BY hotel_id ORDER BY pri, employee_id) AS rn
-  FROM (SELECT employee_id, hotel_id, 0 AS pri FROM employee WHERE is_manager AND employee_id % 2 = 1
-        UNION ALL SELECT employee_id, hotel_id, 1 FROM employee WHERE employee_id % 2 = 0)) WHERE pri = 1""")
+  FROM (SELECT employee_id, hotel_id, 0 AS pri FROM employee WHERE is_manager AND role_title <> 'Concierge'
+        UNION ALL SELECT employee_id, hotel_id, 1 FROM employee WHERE role_title = 'Concierge')) WHERE pri = 1""")
 def q_one_manager(T):
     e = T["employee"]
-    # promotion requests: every even employee id asks to become manager
-    changes = e.filter(F.col("employee_id") % 2 == 0).withColumn("is_manager", F.lit(True))
+    # promotion requests: every concierge asks to become manager
+    changes = e.filter(F.col("role_title") == "Concierge").withColumn("is_manager", F.lit(True))
     return tables.one_manager_per_hotel(e, changes)
 
 
@@ -1183,3 +1183,13 @@ def q_upsert_rejects(T):
                                                 F.col("new_email").alias("email"), F.lit(1).alias("changed_at"))
     _new, rejects = tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
     return rejects.withColumn("code", quality.classify_violation("reason"))
+
+
+@register("account_display_names", """
+SELECT a.account_id, a.role,
+  coalesce(pe.first_name || ' ' || pe.last_name, pc.first_name || ' ' || pc.last_name, 'Administrator') AS display_name
+FROM auth_account a
+LEFT JOIN employee e ON e.employee_id = a.employee_id LEFT JOIN person pe ON pe.legal_id = e.legal_id
+LEFT JOIN customer_t c ON c.customer_id = a.customer_id LEFT JOIN person pc ON pc.legal_id = c.legal_id""")
+def q_display_names(T):
+    return reports.account_display_names(T)

@@ -102,3 +102,8 @@ def test_column_functions(spark):
         C.overlaps(dt.date(2020, 1, 2), dt.date(2020, 1, 2), dt.date(2020, 1, 1), dt.date(2020, 1, 5)).alias("empty"),
         C.covers(F.lit(dt.date(2020, 1, 1)), F.lit(dt.date(2020, 1, 3)), "2020-01-03").alias("end_excl")).first()
     assert (ov.touch, ov.empty, ov.end_excl) == (False, False, False)
+
+
+def test_toronto_today(spark):
+    df = spark.createDataFrame([(dt.datetime(2026, 1, 1, 3, 0),)], "ts timestamp")
+    assert df.select(C.toronto_today("ts")).first()[0] == dt.date(2025, 12, 31)
