@@ -72,8 +72,11 @@ def transition_changes(T, decided: DataFrame) -> DataFrame:
 
 def bookings_to_rentings(T, as_of, booking_ids: DataFrame | None = None) -> DataFrame:
     """Checked-in bookings running on ``as_of`` become active rentings
-    (new ids after the current maximum, in booking id order); the booking
-    itself is completed by the caller (see ``transition_changes``)."""
+    (new ids after the current maximum, in booking id order).  Each new
+    renting is checked with the J1 renting rules against the stored stays
+    (its own source booking ignored); ``accepted``/``reason`` report the
+    first violated rule.  The accepted bookings are completed by the caller
+    (see ``transition_changes``)."""
     d = as_date(as_of)
     b = T["booking"].filter((F.col("status") == "checked_in") & (F.col("start_date") <= d)
                             & (d < F.col("end_date")))
@@ -83,10 +86,13 @@ def bookings_to_rentings(T, as_of, booking_ids: DataFrame | None = None) -> Data
     ranked = global_rank(b.select("booking_id", "room_id", "customer_id",
                                   "created_by_employee_id", "start_date", "end_date"),
                          ["booking_id"], "_rk")
-    return ranked.select((mx + F.col("_rk")).alias("renting_id"), "room_id", "customer_id",
-                         F.col("created_by_employee_id").alias("employee_id"),
-                         F.col("booking_id").alias("source_booking_id"), "start_date", "end_date",
-                         F.lit("active").alias("status"))
+    new = ranked.select((mx + F.col("_rk")).alias("renting_id"), "room_id", "customer_id",
+                        F.col("created_by_employee_id").alias("employee_id"),
+                        F.col("booking_id").alias("source_booking_id"), "start_date", "end_date",
+                        F.lit("active").alias("status")).checkpoint(eager=True)  # used 5 times
+    clash = first_violation(find_conflicts(T, {"renting": new}, sides=("renting",)), "renting") \
+        .select(F.col("record_id").alias("renting_id"), F.col("rule").alias("reason"))
+    return new.join(clash, "renting_id", "left").withColumn("accepted", F.col("reason").isNull())
 
 
 def intake_bookings(T, requests: DataFrame, as_of) -> DataFrame:

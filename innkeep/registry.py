@@ -645,11 +645,30 @@ def q_first_touch(T):
     return transitions.first_touch_hotel(T, _intake(T))
 
 
-@register("bookings_to_rentings", f"""
-SELECT (SELECT coalesce(max(renting_id), 0) FROM renting) + row_number() OVER (ORDER BY booking_id) AS renting_id,
+_B2R = {"b2r": f"""SELECT (SELECT coalesce(max(renting_id), 0) FROM renting) + row_number() OVER (ORDER BY booking_id) AS renting_id,
   room_id, customer_id, created_by_employee_id AS employee_id, booking_id AS source_booking_id,
   start_date, end_date, 'active' AS status
-FROM booking WHERE status = 'checked_in' AND start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < end_date""")
+FROM booking WHERE status = 'checked_in' AND start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < end_date"""}
+
+
+def _rule_exists(key, other, me="n"):
+    tab = "open_booking" if other == "booking" else "active_renting"
+    oid = "booking_id" if other == "booking" else "renting_id"
+    cond = f"o.{key} = {me}.{key} AND {ovl(me, 'o')}"
+    if other == "renting":
+        cond += f" AND o.renting_id <> {me}.renting_id"
+    else:
+        cond += f" AND ({me}.source_booking_id IS NULL OR o.booking_id <> {me}.source_booking_id)"
+    _ = oid
+    return f"EXISTS (SELECT 1 FROM {tab} o WHERE {cond})"
+
+
+@register("bookings_to_rentings", f"""
+SELECT n.*, r.reason, r.reason IS NULL AS accepted FROM b2r n,
+LATERAL (SELECT CASE WHEN {_rule_exists('room_id', 'renting')} THEN 'room_renting'
+     WHEN {_rule_exists('room_id', 'booking')} THEN 'room_booking'
+     WHEN {_rule_exists('customer_id', 'renting')} THEN 'customer_renting'
+     WHEN {_rule_exists('customer_id', 'booking')} THEN 'customer_booking' END AS reason) r""", _B2R)
 def q_to_rentings(T):
     return transitions.bookings_to_rentings(T, AS_OF)
 

@@ -76,3 +76,17 @@ def test_populate_issues_one_pass(G):
     before = G["room"].filter(blank_as_null("issues").isNotNull()).count()
     picked = populate_issues(G["room"]).count()
     assert (before, before + picked) == (4, 43)
+
+
+def test_delete_cascade_restrict_and_customer(spark, G):
+    from innkeep.plans.tables import RestrictViolation, delete_cascade, delete_summary
+    # hotel 1 -> its employees (cascade) are still referenced by rentings (RESTRICT)
+    with pytest.raises(RestrictViolation):
+        delete_cascade(G, "hotel", spark.createDataFrame([(1,)], "hotel_id long"))
+    deleted, nulled = delete_cascade(G, "customer", spark.createDataFrame([(21,)], "customer_id long"))
+    got = {(r.table_name, r.action): r.n_rows for r in delete_summary(deleted, nulled).collect()}
+    assert got[("customer", "delete")] == 1
+    assert got[("renting", "delete")] == 1      # renting 1 belongs to customer 21
+    assert got[("payment", "delete")] == 1      # payment of renting 1
+    assert got[("auth_account", "delete")] == 1
+    assert got[("booking", "delete")] == 0

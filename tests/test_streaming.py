@@ -26,3 +26,31 @@ def test_stream_admission_equals_batch(T_small):
     unq = {r.request_id for r in intake.filter(~F.col("qualified")).collect()}
     assert {k: v for k, v in streamed.items() if k not in unq} == batch
     assert all(not streamed[k] for k in unq)
+
+
+def test_archive_stream_split_points(spark, T_small):
+    """Same archive whether the change files arrive one or three per batch."""
+    from innkeep.plans import archive as arch
+    from innkeep.registry import _stage_changes
+    from innkeep.streaming import jobs
+    src = _stage_changes(T_small)
+    results = []
+    for per in (1, 3):
+        out = jobs.archive_stream(spark, T_small, src, arch.archive_backfill(T_small),
+                                  jobs.scratch_dir(spark, "a-out"), jobs.scratch_dir(spark, "a-ck"),
+                                  files_per_trigger=per)
+        results.append(rows(out))
+    assert results[0] == results[1]
+
+
+def test_admission_batches_split_points(spark, T_small):
+    """Admitting in 1, 3 or 6 arrival batches gives the same decisions."""
+    from innkeep.plans import transitions
+    from innkeep.registry import INTAKE_AS_OF, admission_requests, admit_requests
+    from innkeep.streaming import jobs
+    intake = transitions.intake_bookings(T_small, admission_requests(T_small), INTAKE_AS_OF)
+    q = intake.filter("qualified").select("request_id", "arrival", "room_id", "customer_id",
+                                         "start_date", "end_date")
+    outs = [{r.request_id: r.accepted for r in jobs.admit_landed(T_small, q, admit_requests, n).collect()}
+            for n in (1, 3, 6)]
+    assert outs[0] == outs[1] == outs[2]
