@@ -1212,3 +1212,16 @@ LEFT JOIN employee e ON e.employee_id = a.employee_id LEFT JOIN person pe ON pe.
 LEFT JOIN customer_t c ON c.customer_id = a.customer_id LEFT JOIN person pc ON pc.legal_id = c.legal_id""")
 def q_display_names(T):
     return reports.account_display_names(T)
+
+
+@register("free_rooms_today", f"""
+SELECT r.room_id, r.room_number, r.capacity, r.base_price FROM room r
+WHERE r.hotel_id = {POLICY_HOTEL} AND r.current_status <> 'maintenance'
+  AND NOT EXISTS (SELECT 1 FROM open_booking b WHERE b.room_id = r.room_id
+                  AND {ovl_win('b', AS_OF, '1998-06-16')})
+  AND NOT EXISTS (SELECT 1 FROM active_renting x WHERE x.room_id = r.room_id
+                  AND {ovl_win('x', AS_OF, '1998-06-16')})""")
+def q_free_today(T):
+    """K8: rooms of the desk's hotel free for the night of ``as_of``."""
+    rooms = T["room"].filter((F.col("hotel_id") == POLICY_HOTEL) & (F.col("current_status") != "maintenance"))
+    return search.free_rooms(T, AS_OF, "1998-06-16", rooms).select("room_id", "room_number", "capacity", "base_price")
