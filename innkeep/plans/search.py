@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.columns import all_of, as_date, blank_as_null, overlaps
 from innkeep.operators.intervals import occupied_days as _occupied_days
-from innkeep.plans.common import active_rentings, blocks, open_bookings, rooms_star
+from innkeep.plans.common import active_rentings, blocks, open_bookings, rooms_star  # noqa: F401
 
 
 def blocked_rooms(T, start, end) -> DataFrame:

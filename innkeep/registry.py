@@ -1225,3 +1225,19 @@ def q_free_today(T):
     """K8: rooms of the desk's hotel free for the night of ``as_of``."""
     rooms = T["room"].filter((F.col("hotel_id") == POLICY_HOTEL) & (F.col("current_status") != "maintenance"))
     return search.free_rooms(T, AS_OF, "1998-06-16", rooms).select("room_id", "room_number", "capacity", "base_price")
+
+
+@register("open_days", f"""
+SELECT r.room_id, CAST(d AS DATE) AS day FROM (
+  SELECT room_id, unnest(generate_series(CAST(DATE '{AS_OF}' AS TIMESTAMP),
+                                         CAST(DATE '{AS_OF}' + {HORIZON} AS TIMESTAMP), INTERVAL 1 DAY)) AS d
+  FROM room WHERE hotel_id = {POLICY_HOTEL}) r
+WHERE NOT EXISTS (SELECT 1 FROM {BLOCKS_SQL} b WHERE b.room_id = r.room_id
+                  AND b.start_date <= CAST(r.d AS DATE) AND CAST(r.d AS DATE) < b.end_date)""")
+def q_open_days(T):
+    """J25 complement: free room-days of the desk's hotel inside the horizon."""
+    from innkeep.operators.intervals import occupied_days, open_days
+    rooms = T["room"].filter(F.col("hotel_id") == POLICY_HOTEL).select("room_id")
+    blocks = search.blocks(T, AS_OF).join(rooms, "room_id", "left_semi")
+    occ = occupied_days(blocks, AS_OF, HORIZON)
+    return open_days(rooms, occ, AS_OF, HORIZON)

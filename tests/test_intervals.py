@@ -58,3 +58,33 @@ def test_occupied_days(spark, stays, as_of_off, horizon):
             if as_of <= day <= as_of + dt.timedelta(horizon):
                 exp.add((k, day))
     assert got == exp
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 20), st.integers(0, 6),
+                          st.sampled_from(["reserved", "checked_in", "cancelled", "completed", "active"])),
+                max_size=20),
+       st.integers(0, 25), st.sets(st.integers(0, 4)))
+def test_status_as_of_brute_force(spark, stays, day_off, maint):
+    from innkeep.plans.status import status_as_of
+    day = D0 + dt.timedelta(day_off)
+    b = [(i, k, D0 + dt.timedelta(s), D0 + dt.timedelta(s + n), stt)
+         for i, (k, s, n, stt) in enumerate(stays) if stt != "active"]
+    r = [(i, k, D0 + dt.timedelta(s), D0 + dt.timedelta(s + n), "active")
+         for i, (k, s, n, stt) in enumerate(stays) if stt == "active"]
+    T = {"room": spark.createDataFrame([(k, "maintenance" if k in maint else "available") for k in range(5)],
+                                       "room_id long, current_status string"),
+         "booking": spark.createDataFrame(b, "booking_id long, room_id long, start_date date, end_date date, status string"),
+         "renting": spark.createDataFrame(r, "renting_id long, room_id long, start_date date, end_date date, status string")}
+    got = {x.room_id: x.status for x in status_as_of(T, day).collect()}
+    exp = {}
+    for k in range(5):
+        if k in maint:
+            exp[k] = "maintenance"
+        elif any(x[1] == k and x[2] <= day < x[3] for x in r):
+            exp[k] = "rented"
+        elif any(x[1] == k and x[4] in ("reserved", "checked_in") and x[2] <= day < x[3] for x in b):
+            exp[k] = "booked"
+        else:
+            exp[k] = "available"
+    assert got == exp
