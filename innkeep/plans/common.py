@@ -9,18 +9,12 @@ from innkeep.functions.columns import area, as_date, full_name
 from innkeep.sources.schemas import BLOCKING_BOOKING, BLOCKING_RENTING
 
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
-
-
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint only when Catalyst's size estimate of ``df`` (from file
-    sizes and row counts, no job) is below ``limit``; otherwise the join is
-    left to the planner and AQE."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        return df
-    return F.broadcast(df) if size <= limit else df
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """Dimension side of a join.  No hint is forced: Spark broadcasts it when
+    its estimated size is below ``spark.sql.autoBroadcastJoinThreshold`` and
+    AQE re-checks with the measured size at run time, so a dimension that
+    outgrows the threshold falls back to a shuffled join by itself."""
+    return df
 
 
 def open_bookings(T) -> DataFrame:
