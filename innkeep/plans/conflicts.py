@@ -57,6 +57,27 @@ def _side(T, kind):
     return active_rentings(T), "renting_id"
 
 
+def _narrowed_to_candidates(T, candidates: dict | None):
+    """With candidate rows, only stored stays inside the candidates' overall
+    date range can clash.  The range (two values, one small aggregate) is
+    applied as literal filters, so they reach the Parquet scan and prune
+    row groups of date-clustered tables."""
+    if not candidates:
+        return T
+    frames = [c.select("start_date", "end_date") for c in candidates.values()]
+    allc = frames[0]
+    for f in frames[1:]:
+        allc = allc.unionByName(f)
+    lo, hi = allc.agg(F.min("start_date"), F.max("end_date")).first()
+    T = dict(T)
+    for name in ("booking", "renting"):
+        if lo is None:
+            T[name] = T[name].filter(F.lit(False))
+        else:
+            T[name] = T[name].filter((F.col("start_date") < F.lit(hi)) & (F.col("end_date") > F.lit(lo)))
+    return T
+
+
 def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting")) -> DataFrame:
     """``(record_type, record_id, rule)`` for every rule a blocking
     record violates against the blocking records of ``T``.
@@ -66,6 +87,7 @@ def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting
     tested together: one semi-join per (key, partner kind), four in all,
     with the own-id and source-booking exclusions as residuals.
     """
+    T = _narrowed_to_candidates(T, candidates)
     lefts = []
     for side in sides:
         stored, sid = _side(T, side)
