@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.functions.columns import blank_as_null, view_flags
+from innkeep.functions.columns import as_date, blank_as_null, view_flags
 from innkeep.operators.rank import global_rank, rank_within_groups
 from innkeep.plans.common import hotels_with_chain
 
@@ -17,6 +17,14 @@ ISSUE_TEXTS = ["Minor paint damage near balcony door", "AC filter noise at high
                "Bathroom sink drains slowly", "Desk lamp flickers intermittently"]
 CAPACITY_CYCLE = ["single", "double", "suite", "family", "double"]
 FIRST_ROOM_NUMBER = 100
+NEW_ROOM_AMENITIES = "WiFi, TV"
+# Fixed values for staff created by J13: titles (manager, employee), first
+# names, last-name prefixes (+ hotel id), mail suffix, street suffix.
+STAFF_TITLES = ["Manager", "Guest Services Agent"]
+NEW_STAFF_FIRST = ["Hotel", "Frontdesk"]
+NEW_STAFF_LAST = ["Manager", "Employee"]
+NEW_STAFF_MAIL = "@workmail.com"
+NEW_STAFF_STREET = " Service Road"
 DEFAULT_MAX_SIN = 100000000
 
 
@@ -130,28 +138,47 @@ def fill_rooms(T, min_rooms: int = 5) -> DataFrame:
     picked = rank_within_groups(free, ["hotel_id"], ["num"], "k").filter(F.col("k") <= F.col("need"))
     slot = F.col("used") + F.col("k") - 1
     caps = F.array(*[F.lit(c) for c in CAPACITY_CYCLE])
+    cap = F.element_at(caps, (slot % 5 + 1).cast("int"))
     return picked.select(
-        "hotel_id", "room_number", slot.alias("slot"),
-        F.element_at(caps, (slot % 5 + 1).cast("int")).alias("capacity"),
-        (F.lit(95) + F.col("hotel_id") * 2 + slot * 12).cast("decimal(10,2)").alias("base_price"))
+        "hotel_id", "room_number", slot.alias("slot"), cap.alias("capacity"),
+        (F.lit(95) + F.col("hotel_id") * 2 + slot * 12).cast("decimal(10,2)").alias("base_price"),
+        F.lit(False).alias("has_sea_view"), F.lit(False).alias("has_mountain_view"),
+        cap.isin("double", "family").alias("is_extendable"), F.lit(NEW_ROOM_AMENITIES).alias("amenities"),
+        F.lit(None).cast("string").alias("issues"), F.lit("available").alias("current_status"))
 
 
-def fill_staff(T) -> DataFrame:
+def fill_staff(T, as_of) -> DataFrame:
     """J13 (staff): hotels without a manager get one, hotels without a
-    non-manager employee get one; new employee ids follow the current
-    maximum in (hotel_id, manager first) order."""
+    non-manager employee get one.  New staff are numbered in (hotel id,
+    manager first) order: employee id = current maximum + rank, legal id =
+    largest valid SIN + rank; the person fields follow fixed patterns."""
     e = T["employee"].groupBy("hotel_id").agg(
         F.count_if(F.col("is_manager")).alias("m"), F.count_if(~F.col("is_manager")).alias("n"))
     h = T["hotel"].select("hotel_id").join(e, "hotel_id", "left")
     mgr = h.filter(F.coalesce("m", F.lit(0)) == 0).select("hotel_id", F.lit(True).alias("is_manager"))
     emp = h.filter(F.coalesce("n", F.lit(0)) == 0).select("hotel_id", F.lit(False).alias("is_manager"))
     new = mgr.unionByName(emp)
-    mx = T["employee"].agg(F.coalesce(F.max("employee_id"), F.lit(0)).alias("mx"))
+    mx = T["employee"].agg(F.coalesce(F.max("employee_id"), F.lit(0))).scalar()
+    max_sin = T["person"].filter(F.col("legal_id").rlike(SIN_RE)).agg(
+        F.coalesce(F.max(F.col("legal_id").cast("bigint")), F.lit(DEFAULT_MAX_SIN))).scalar()
     ranked = global_rank(new.withColumn("_o", F.when(F.col("is_manager"), 0).otherwise(1)),
                          ["hotel_id", "_o"], "rk")
-    return ranked.withColumn("mx", mx.scalar()).select(
-        (F.col("mx") + F.col("rk")).alias("employee_id"), "hotel_id", "is_manager",
-        F.when(F.col("is_manager"), "Manager").otherwise("Receptionist").alias("role_title"))
+    sin = max_sin + F.col("rk")
+    sin_txt = F.lpad(sin.cast("string"), 9, "0")
+    mgr_c = F.col("is_manager")
+    hid = F.col("hotel_id").cast("string")
+    phone = (F.lit(2000000000) + sin % 7000000000).cast("string")
+    return ranked.select(
+        (mx + F.col("rk")).alias("employee_id"), "hotel_id", "is_manager",
+        F.when(mgr_c, STAFF_TITLES[0]).otherwise(STAFF_TITLES[1]).alias("role_title"),
+        sin_txt.alias("legal_id"),
+        F.when(mgr_c, NEW_STAFF_FIRST[0]).otherwise(NEW_STAFF_FIRST[1]).alias("first_name"),
+        F.concat(F.when(mgr_c, NEW_STAFF_LAST[0]).otherwise(NEW_STAFF_LAST[1]), hid).alias("last_name"),
+        F.concat(F.when(mgr_c, "manager").otherwise("employee"), F.lit(".hotel"), hid, F.lit("."), sin_txt,
+                 F.lit(NEW_STAFF_MAIL)).alias("email"),
+        F.substring(phone, -10, 10).alias("phone"),
+        F.concat((F.col("hotel_id") + 300).cast("string"), F.lit(NEW_STAFF_STREET)).alias("address_line"),
+        as_date(as_of).alias("hired_on"))
 
 
 def missing_accounts(T) -> DataFrame:

@@ -581,7 +581,9 @@ def q_legacy(T):
 SELECT hotel_id, CAST(num AS VARCHAR) AS room_number, used + k - 1 AS slot,
   CASE (used + k - 1) % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'suite'
        WHEN 3 THEN 'family' ELSE 'double' END AS capacity,
-  CAST(95 + hotel_id * 2 + (used + k - 1) * 12 AS DECIMAL(10,2)) AS base_price
+  CAST(95 + hotel_id * 2 + (used + k - 1) * 12 AS DECIMAL(10,2)) AS base_price,
+  false AS has_sea_view, false AS has_mountain_view, (used + k - 1) % 5 IN (1, 3, 4) AS is_extendable,
+  'WiFi, TV' AS amenities, CAST(NULL AS VARCHAR) AS issues, 'available' AS current_status
 FROM (SELECT c.*, row_number() OVER (PARTITION BY hotel_id ORDER BY num) AS k
       FROM (SELECT hotel_id, used, need, unnest(range(100, 100 + used + need)) AS num
             FROM (SELECT h.hotel_id, coalesce(u.n, 0) AS used, {MIN_ROOMS} - coalesce(u.n, 0) AS need
@@ -593,17 +595,28 @@ def q_fill_rooms(T):
     return repair.fill_rooms(T, MIN_ROOMS)
 
 
-@register("fill_staff", """
-SELECT mx.m + row_number() OVER (ORDER BY n.hotel_id, CASE WHEN n.is_manager THEN 0 ELSE 1 END) AS employee_id,
-  n.hotel_id, n.is_manager, CASE WHEN n.is_manager THEN 'Manager' ELSE 'Receptionist' END AS role_title
-FROM (SELECT h.hotel_id, true AS is_manager FROM hotel h
-      WHERE NOT EXISTS (SELECT 1 FROM employee e WHERE e.hotel_id = h.hotel_id AND e.is_manager)
-      UNION ALL
-      SELECT h.hotel_id, false FROM hotel h
-      WHERE NOT EXISTS (SELECT 1 FROM employee e WHERE e.hotel_id = h.hotel_id AND NOT e.is_manager)) n,
-     (SELECT coalesce(max(employee_id), 0) AS m FROM employee) mx""")
+@register("fill_staff", f"""
+SELECT mx.m + z.rk AS employee_id, z.hotel_id, z.is_manager,
+  CASE WHEN z.is_manager THEN 'Manager' ELSE 'Guest Services Agent' END AS role_title,
+  lpad(CAST(ms.s + z.rk AS VARCHAR), 9, '0') AS legal_id,
+  CASE WHEN z.is_manager THEN 'Hotel' ELSE 'Frontdesk' END AS first_name,
+  CASE WHEN z.is_manager THEN 'Manager' ELSE 'Employee' END || CAST(z.hotel_id AS VARCHAR) AS last_name,
+  CASE WHEN z.is_manager THEN 'manager' ELSE 'employee' END || '.hotel' || CAST(z.hotel_id AS VARCHAR) || '.'
+    || lpad(CAST(ms.s + z.rk AS VARCHAR), 9, '0') || '@workmail.com' AS email,
+  right(CAST(2000000000 + (ms.s + z.rk) % 7000000000 AS VARCHAR), 10) AS phone,
+  CAST(z.hotel_id + 300 AS VARCHAR) || ' Service Road' AS address_line,
+  DATE '{AS_OF}' AS hired_on
+FROM (SELECT n.*, row_number() OVER (ORDER BY n.hotel_id, CASE WHEN n.is_manager THEN 0 ELSE 1 END) AS rk
+      FROM (SELECT h.hotel_id, true AS is_manager FROM hotel h
+            WHERE NOT EXISTS (SELECT 1 FROM employee e WHERE e.hotel_id = h.hotel_id AND e.is_manager)
+            UNION ALL
+            SELECT h.hotel_id, false FROM hotel h
+            WHERE NOT EXISTS (SELECT 1 FROM employee e WHERE e.hotel_id = h.hotel_id AND NOT e.is_manager)) n) z,
+     (SELECT coalesce(max(employee_id), 0) AS m FROM employee) mx,
+     (SELECT coalesce(max(CAST(legal_id AS BIGINT)), 100000000) AS s FROM person
+      WHERE regexp_matches(legal_id, '^[0-9]{{9}}$')) ms""")
 def q_fill_staff(T):
-    return repair.fill_staff(T)
+    return repair.fill_staff(T, AS_OF)
 
 
 # ---------------------------------------------------------------- intake and lifecycle
