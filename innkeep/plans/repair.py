@@ -199,7 +199,7 @@ def missing_accounts(T) -> DataFrame:
     admin = has_admin.filter("n = 0").select(
         F.lit("admin").alias("role"), F.lit("admin").alias("username"),
         F.lit(None).cast("bigint").alias("employee_id"), F.lit(None).cast("bigint").alias("customer_id"))
-    return staff.unionByName(custs).unionByName(admin)
+    return staff.unionByName(custs).unionByName(admin).withColumn("is_active", F.lit(True))
 
 
 _ = hotels_with_chain

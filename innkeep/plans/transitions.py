@@ -14,34 +14,50 @@ from innkeep.sources.schemas import BLOCKING_BOOKING
 def apply_transitions(T, requests: DataFrame, as_of) -> DataFrame:
     """Decide status-change requests against the stored bookings.
 
-    cancel: customers only 'reserved', staff 'reserved'/'checked_in', and the
-    stay must not have ended; check_in: 'reserved' and starts on ``as_of``;
-    complete: open and ended before ``as_of``; redate: 'reserved', not yet
-    started, new start not in the past, new end after new start, and the
-    new range may not clash with other blocking stays (own id ignored;
-    first violated rule is the reason).  Re-dates are checked against the
-    stored state, one at a time; clashes among new requests are the job of
-    ``admit`` (J2).
+    ``requests``: ``request_id, booking_id, action, actor ('admin' | 'staff'
+    | 'customer'), actor_employee_id, actor_customer_id, new_start,
+    new_end``.  Checks, in the order the reference applies them:
+
+    * customers may only cancel, and only their own bookings, while
+      'reserved' and not ended;
+    * staff act only on bookings of their own hotel (admins on any);
+    * cancel: 'reserved'/'checked_in' and not ended; check_in: 'reserved'
+      and starting on ``as_of``; complete: open and ended before ``as_of``;
+    * redate: new start not in the past and new end after it (checked
+      before the booking is looked up), booking 'reserved', and the new
+      range may not clash with other blocking stays (own id ignored; first
+      violated J1 rule).  Re-dates are checked against the stored state one
+      at a time; clashes among new requests are the job of ``admit`` (J2).
     """
     d = as_date(as_of)
+    rooms = T["room"].select("room_id", F.col("hotel_id").alias("booking_hotel"))
     b = T["booking"].select("booking_id", "room_id", "customer_id", "start_date", "end_date",
-                            F.col("status").alias("old_status"))
-    j = requests.join(b, "booking_id", "left")
+                            F.col("status").alias("old_status")).join(rooms, "room_id", "left")
+    staff = T["employee"].select(F.col("employee_id").alias("actor_employee_id"),
+                                 F.col("hotel_id").alias("actor_hotel"))
+    j = requests.join(b, "booking_id", "left").join(staff, "actor_employee_id", "left")
     st, act, c = F.col("old_status"), F.col("action"), F.col
+    missing = c("room_id").isNull()
+    is_cust = c("actor") == "customer"
+    is_staff = c("actor") == "staff"
+    scope = is_staff & (c("actor_hotel").isNull() | (c("actor_hotel") != c("booking_hotel")))
+    open_ = st.isin(*BLOCKING_BOOKING)
     reason = (
-        F.when(c("room_id").isNull(), "no_such_booking")
-        .when(act == "check_in", F.when(st != "reserved", "not_reserved")
-              .when(c("start_date") != d, "not_arrival_day"))
-        .when(act == "cancel", F.when(((c("actor") == "customer") & (st != "reserved"))
-                                      | ((c("actor") != "customer") & ~st.isin(*BLOCKING_BOOKING)),
-                                      "not_cancellable")
+        F.when(is_cust & (act != "cancel") & (act != "invalid"), "staff_only")
+        .when(act == "redate", F.when(c("new_start") < d, "start_in_past")
+              .when(c("new_end") <= c("new_start"), "bad_range")
+              .when(missing, "no_such_booking").when(scope, "other_hotel")
+              .when(st != "reserved", "not_reserved"))
+        .when(act == "cancel", F.when(missing | (is_cust & (c("customer_id") != c("actor_customer_id"))),
+                                      "no_such_booking")
+              .when(scope, "other_hotel")
+              .when(is_cust & (st != "reserved"), "not_cancellable")
+              .when(~is_cust & ~open_, "not_cancellable")
               .when(c("end_date") < d, "already_ended"))
-        .when(act == "complete", F.when(~st.isin(*BLOCKING_BOOKING), "not_open")
-              .when(c("end_date") >= d, "not_ended"))
-        .when(act == "redate", F.when(st != "reserved", "not_reserved")
-              .when(c("start_date") < d, "already_started")
-              .when(c("new_start") < d, "start_in_past")
-              .when(c("new_end") <= c("new_start"), "bad_range"))
+        .when(act == "check_in", F.when(missing, "no_such_booking").when(scope, "other_hotel")
+              .when(st != "reserved", "not_reserved").when(c("start_date") != d, "not_arrival_day"))
+        .when(act == "complete", F.when(missing, "no_such_booking").when(scope, "other_hotel")
+              .when(~open_, "not_open").when(c("end_date") >= d, "not_ended"))
         .otherwise("unknown_action"))
     j = j.withColumn("reason", reason)
     redates = j.filter((act == "redate") & c("reason").isNull()).select(
@@ -49,7 +65,8 @@ def apply_transitions(T, requests: DataFrame, as_of) -> DataFrame:
         F.col("new_end").alias("end_date"))
     clash = first_violation(find_conflicts(T, {"booking": redates}, sides=("booking",))) \
         .select(F.col("record_id").alias("booking_id"), F.col("rule").alias("_clash"))
-    j = j.join(clash, "booking_id", "left").withColumn("reason", F.coalesce("reason", "_clash"))
+    j = j.join(clash, "booking_id", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(act == "redate", F.col("_clash"))))
     ok = c("reason").isNull()
     new_status = F.when(ok & (act == "check_in"), "checked_in") \
         .when(ok & (act == "cancel"), "cancelled").when(ok & (act == "complete"), "completed") \

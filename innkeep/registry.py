@@ -299,26 +299,38 @@ TRANS_CTES = {
     "trans_req": """SELECT event_id AS request_id, event_id AS booking_id, ts AS arrival,
         CASE event_type WHEN 'click' THEN 'check_in' WHEN 'view' THEN 'cancel'
              WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'redate' ELSE 'invalid' END AS action,
-        CASE WHEN user_id % 2 = 0 THEN 'staff' ELSE 'customer' END AS actor,
+        CASE WHEN user_id % 10 = 0 THEN 'admin' WHEN user_id % 2 = 0 THEN 'staff' ELSE 'customer' END AS actor,
+        CASE WHEN user_id % 10 <> 0 AND user_id % 2 = 0 THEN user_id END AS actor_employee_id,
+        CASE WHEN user_id % 2 = 1 THEN CASE WHEN user_id % 4 = 1 THEN user_id ELSE o.o_custkey END END AS actor_customer_id,
         CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) END AS new_start,
         CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
              + CAST(1 + event_id % 5 AS INTEGER) END AS new_end
-        FROM events""",
+        FROM events LEFT JOIN orders o ON o.o_orderkey = events.event_id""",
     "trans_pre": f"""SELECT q.*, b.room_id, b.customer_id, b.start_date, b.end_date, b.status AS old_status,
-        CASE WHEN b.room_id IS NULL THEN 'no_such_booking'
-          WHEN q.action = 'check_in' THEN CASE WHEN b.status <> 'reserved' THEN 'not_reserved'
-               WHEN b.start_date <> DATE '{AS_OF}' THEN 'not_arrival_day' END
-          WHEN q.action = 'cancel' THEN CASE WHEN (q.actor = 'customer' AND b.status <> 'reserved')
-               OR (q.actor <> 'customer' AND b.status NOT IN ('reserved', 'checked_in')) THEN 'not_cancellable'
+        CASE WHEN q.actor = 'customer' AND q.action NOT IN ('cancel', 'invalid') THEN 'staff_only'
+          WHEN q.action = 'redate' THEN CASE WHEN q.new_start < DATE '{AS_OF}' THEN 'start_in_past'
+               WHEN q.new_end <= q.new_start THEN 'bad_range'
+               WHEN b.room_id IS NULL THEN 'no_such_booking'
+               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
+               WHEN b.status <> 'reserved' THEN 'not_reserved' END
+          WHEN q.action = 'cancel' THEN CASE
+               WHEN b.room_id IS NULL OR (q.actor = 'customer' AND b.customer_id <> q.actor_customer_id) THEN 'no_such_booking'
+               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
+               WHEN q.actor = 'customer' AND b.status <> 'reserved' THEN 'not_cancellable'
+               WHEN q.actor <> 'customer' AND b.status NOT IN ('reserved', 'checked_in') THEN 'not_cancellable'
                WHEN b.end_date < DATE '{AS_OF}' THEN 'already_ended' END
-          WHEN q.action = 'complete' THEN CASE WHEN b.status NOT IN ('reserved', 'checked_in') THEN 'not_open'
+          WHEN q.action = 'check_in' THEN CASE WHEN b.room_id IS NULL THEN 'no_such_booking'
+               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
+               WHEN b.status <> 'reserved' THEN 'not_reserved'
+               WHEN b.start_date <> DATE '{AS_OF}' THEN 'not_arrival_day' END
+          WHEN q.action = 'complete' THEN CASE WHEN b.room_id IS NULL THEN 'no_such_booking'
+               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
+               WHEN b.status NOT IN ('reserved', 'checked_in') THEN 'not_open'
                WHEN b.end_date >= DATE '{AS_OF}' THEN 'not_ended' END
-          WHEN q.action = 'redate' THEN CASE WHEN b.status <> 'reserved' THEN 'not_reserved'
-               WHEN b.start_date < DATE '{AS_OF}' THEN 'already_started'
-               WHEN q.new_start < DATE '{AS_OF}' THEN 'start_in_past'
-               WHEN q.new_end <= q.new_start THEN 'bad_range' END
           ELSE 'unknown_action' END AS pre_reason
-        FROM trans_req q LEFT JOIN booking b ON b.booking_id = q.booking_id""",
+        FROM trans_req q LEFT JOIN booking b ON b.booking_id = q.booking_id
+        LEFT JOIN room r ON r.room_id = b.room_id
+        LEFT JOIN employee e ON e.employee_id = q.actor_employee_id""",
     "trans_decided": """SELECT t.*, coalesce(t.pre_reason, CASE WHEN t.action = 'redate' THEN CASE
           WHEN EXISTS (SELECT 1 FROM open_booking o WHERE o.room_id = t.room_id AND o.booking_id <> t.booking_id
                AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'room_booking'
@@ -341,7 +353,8 @@ TRANS_CTES = {
 
 
 def _decided(T):
-    return transitions.apply_transitions(T, transition_requests(T["_raw"]["events"]), AS_OF)
+    return transitions.apply_transitions(
+        T, transition_requests(T["_raw"]["events"], T["_raw"]["orders"]), AS_OF)
 
 
 @register("transitions", "SELECT * FROM trans_out", TRANS_CTES)
@@ -487,13 +500,13 @@ def q_perf(T):
 @register("missing_accounts", """
 SELECT CASE WHEN e.is_manager THEN 'manager' ELSE 'employee' END AS role,
   CASE WHEN e.is_manager THEN 'manager' ELSE 'employee' END || CAST(e.employee_id AS VARCHAR) AS username,
-  e.employee_id, CAST(NULL AS BIGINT) AS customer_id
+  e.employee_id, CAST(NULL AS BIGINT) AS customer_id, true AS is_active
 FROM employee e WHERE NOT EXISTS (SELECT 1 FROM auth_account a WHERE a.employee_id = e.employee_id)
 UNION ALL
-SELECT 'customer', 'customer' || CAST(c.customer_id AS VARCHAR), CAST(NULL AS BIGINT), c.customer_id
+SELECT 'customer', 'customer' || CAST(c.customer_id AS VARCHAR), CAST(NULL AS BIGINT), c.customer_id, true
 FROM customer_t c WHERE NOT EXISTS (SELECT 1 FROM auth_account a WHERE a.customer_id = c.customer_id)
 UNION ALL
-SELECT 'admin', 'admin', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+SELECT 'admin', 'admin', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), true
 WHERE NOT EXISTS (SELECT 1 FROM auth_account WHERE role = 'admin')""")
 def q_missing_accounts(T):
     return repair.missing_accounts(T)

@@ -256,18 +256,27 @@ ACTIONS = {"click": "check_in", "view": "cancel", "purchase": "complete", "signu
            "error": "invalid"}
 
 
-def transition_requests(events: DataFrame) -> DataFrame:
-    """Status-change requests (J15) from ``events``: booking_id = event_id."""
+def transition_requests(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Status-change requests (J15) from ``events``: booking_id = event_id.
+
+    Actor: admin when user_id % 10 = 0, staff (employee user_id) when
+    user_id is even, else a customer.  A customer actor is normally the
+    owner of the booking (o_custkey of order event_id); when user_id % 4 = 1
+    it is customer user_id instead (a request on someone else's booking).
+    """
     et = F.col("event_type")
     action = F.lit(None).cast("string")
     for k, v in reversed(list(ACTIONS.items())):
         action = F.when(et == k, F.lit(v)).otherwise(action)
-    e = F.col("event_id")
+    e, u = F.col("event_id"), F.col("user_id")
     new_start = F.date_add(F.col("ts").cast("date"), _k_from_props())
     is_redate = et == "signup"
-    return events.select(
+    role = F.when(u % 10 == 0, "admin").when(u % 2 == 0, "staff").otherwise("customer")
+    owner = orders.select(F.col("o_orderkey").alias("event_id"), "o_custkey")
+    return events.join(owner, "event_id", "left").select(
         e.alias("request_id"), e.alias("booking_id"), F.col("ts").alias("arrival"),
-        F.coalesce(action, F.lit("invalid")).alias("action"),
-        F.when(F.col("user_id") % 2 == 0, "staff").otherwise("customer").alias("actor"),
+        F.coalesce(action, F.lit("invalid")).alias("action"), role.alias("actor"),
+        F.when(role == "staff", u).alias("actor_employee_id"),
+        F.when(role == "customer", F.when(u % 4 == 1, u).otherwise(F.col("o_custkey"))).alias("actor_customer_id"),
         F.when(is_redate, new_start).alias("new_start"),
         F.when(is_redate, F.date_add(new_start, (F.lit(1) + e % 5).cast("int"))).alias("new_end"))
