@@ -113,56 +113,71 @@ def bookings_to_rentings(T, as_of, booking_ids: DataFrame | None = None) -> Data
 
 
 def intake_bookings(T, requests: DataFrame, as_of) -> DataFrame:
-    """Reject-reason ladder for new booking requests (room exists,
-    customer exists, start not before ``as_of``, end after start)."""
+    """J17 (bookings, customer requests): start not before ``as_of``, end
+    after start, room exists, customer exists (checked in this order)."""
     d = as_date(as_of)
     rooms = T["room"].select("room_id", "hotel_id")
     cust = T["customer"].select("customer_id", F.lit(True).alias("_cust"))
     j = requests.join(rooms, "room_id", "left").join(cust, "customer_id", "left")
-    reason = F.when(F.col("hotel_id").isNull(), "no_such_room") \
-        .when(F.col("_cust").isNull(), "no_such_customer") \
-        .when(F.col("start_date") < d, "start_in_past") \
-        .when(F.col("end_date") <= F.col("start_date"), "bad_range")
+    reason = F.when(F.col("start_date") < d, "start_in_past") \
+        .when(F.col("end_date") <= F.col("start_date"), "bad_range") \
+        .when(F.col("hotel_id").isNull(), "no_such_room") \
+        .when(F.col("_cust").isNull(), "no_such_customer")
     return j.select("request_id", "arrival", "room_id", "customer_id", "start_date", "end_date",
                     "hotel_id", reason.isNull().alias("qualified"), reason.alias("reason"))
 
 
-def first_touch_hotel(T, intake: DataFrame) -> DataFrame:
-    """Customers without a hotel are attached to the hotel of the room
-    of their first qualified request (accepted or not)."""
-    first = intake.filter("qualified").groupBy("customer_id").agg(
-        F.min_by("hotel_id", F.struct("arrival", "request_id")).alias("hotel_id"))
-    return T["customer"].filter(F.col("hotel_id").isNull()).select("customer_id") \
-        .join(first, "customer_id")
-
-
 def intake_rentings(T, requests: DataFrame) -> DataFrame:
-    """J17 (walk-in rentings): room exists, customer found by SIN, the
-    desk employee works at the room's hotel, end after start."""
+    """J17 (walk-in rentings by staff): end after start, room exists,
+    customer found by SIN, room at the employee's hotel, customer not
+    registered at another hotel (checked in this order)."""
     rooms = T["room"].select("room_id", "hotel_id")
-    cust = T["customer"].select(F.col("legal_id").alias("customer_sin"), "customer_id")
+    cust = T["customer"].select(F.col("legal_id").alias("customer_sin"), "customer_id",
+                                F.col("hotel_id").alias("customer_hotel"))
     staff = T["employee"].select(F.col("employee_id").alias("staff_employee_id"),
                                  F.col("hotel_id").alias("staff_hotel"))
     j = requests.join(rooms, "room_id", "left").join(cust, "customer_sin", "left") \
         .join(staff, "staff_employee_id", "left")
-    reason = F.when(F.col("hotel_id").isNull(), "no_such_room") \
+    reason = F.when(F.col("end_date") <= F.col("start_date"), "bad_range") \
+        .when(F.col("hotel_id").isNull(), "no_such_room") \
         .when(F.col("customer_id").isNull(), "no_such_customer") \
         .when(F.col("staff_hotel").isNull() | (F.col("staff_hotel") != F.col("hotel_id")), "other_hotel") \
-        .when(F.col("end_date") <= F.col("start_date"), "bad_range")
+        .when(F.col("customer_hotel").isNotNull() & (F.col("customer_hotel") != F.col("staff_hotel")),
+              "customer_of_other_hotel")
     return j.select("request_id", "room_id", "customer_id", "staff_employee_id", "start_date",
                     "end_date", reason.isNull().alias("qualified"), reason.alias("reason"))
 
 
+# Payment methods accepted at the desk and how they are stored.
+DESK_METHODS = {"cash": "cash", "card": "credit"}
+
+
 def intake_payments(T, requests: DataFrame) -> DataFrame:
-    """J17 (payments): the renting must be active, the amount positive, the
-    method known ('card' is stored as 'credit', B6)."""
-    from innkeep.functions.columns import payment_method_intake
-    r = T["renting"].select("renting_id", F.col("status").alias("_rs"))
-    m = payment_method_intake("method_raw")
-    j = requests.join(r, "renting_id", "left")
-    reason = F.when(F.col("_rs").isNull(), "no_such_renting") \
+    """J17 (payments by staff; ``actor`` 'admin' skips the hotel scope):
+    amount at least 0.01, method 'cash' or 'card' (stored as 'credit',
+    B6), renting exists, renting active, renting at the employee's hotel
+    (checked in this order)."""
+    rooms = T["room"].select("room_id", F.col("hotel_id").alias("renting_hotel"))
+    r = T["renting"].select("renting_id", F.col("status").alias("_rs"), "room_id").join(rooms, "room_id", "left")
+    staff = T["employee"].select("employee_id", F.col("hotel_id").alias("staff_hotel"))
+    m = F.btrim(F.col("method_raw"))
+    j = requests.join(r, "renting_id", "left").join(staff, "employee_id", "left")
+    reason = F.when(F.col("amount").isNull() | (F.col("amount") < F.lit(0.01)), "amount_not_positive") \
+        .when(~m.isin(*DESK_METHODS), "invalid_method") \
+        .when(F.col("_rs").isNull(), "no_such_renting") \
         .when(F.col("_rs") != "active", "renting_not_active") \
-        .when(F.col("amount").isNull() | (F.col("amount") <= 0), "amount_not_positive") \
-        .when(~m.isin("cash", "credit", "debit", "online"), "invalid_method")
-    return j.select("request_id", "renting_id", "employee_id", "amount", m.alias("method"),
+        .when((F.col("actor") != "admin")
+              & (F.col("staff_hotel").isNull() | (F.col("staff_hotel") != F.col("renting_hotel"))), "other_hotel")
+    stored = F.when(m == "card", F.lit(DESK_METHODS["card"])).when(m == "cash", F.lit("cash"))
+    return j.select("request_id", "renting_id", "employee_id", "amount", stored.alias("method"),
                     reason.isNull().alias("qualified"), reason.alias("reason"))
+
+
+def first_touch_hotel(T, intake: DataFrame) -> DataFrame:
+    """Customers without a hotel are attached to the hotel of the room
+    of their first qualified request (accepted or not)."""
+    first = intake.filter("qualified").groupBy("customer_id").agg(
+        F.min_by("hotel_id", F.struct("arrival", "request_id")).alias("hotel_id"))
+    return T["customer"].filter(F.col("hotel_id").isNull()).select("customer_id") \
+        .join(first, "customer_id")
+

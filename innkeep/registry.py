@@ -641,10 +641,11 @@ BOOKING_REQ = {
           + CAST(1 + event_id % 5 AS INTEGER) AS end_date
         FROM events WHERE event_type <> 'error'""",
     "intake": f"""SELECT q.*, r.hotel_id,
-        CASE WHEN r.hotel_id IS NULL THEN 'no_such_room'
+        CASE WHEN q.start_date < DATE '{INTAKE_AS_OF}' THEN 'start_in_past'
+             WHEN q.end_date <= q.start_date THEN 'bad_range'
+             WHEN r.hotel_id IS NULL THEN 'no_such_room'
              WHEN NOT EXISTS (SELECT 1 FROM customer_t c WHERE c.customer_id = q.customer_id) THEN 'no_such_customer'
-             WHEN q.start_date < DATE '{INTAKE_AS_OF}' THEN 'start_in_past'
-             WHEN q.end_date <= q.start_date THEN 'bad_range' END AS reason
+             END AS reason
         FROM booking_req q LEFT JOIN room r ON r.room_id = q.room_id""",
 }
 
@@ -1175,42 +1176,48 @@ FROM (SELECT event_id AS request_id, (event_id * 7919) % (SELECT count(*) // 4 F
 LEFT JOIN room r ON r.room_id = q.room_id
 LEFT JOIN customer_t c ON c.legal_id = q.customer_sin
 LEFT JOIN employee e ON e.employee_id = q.staff_employee_id,
-LATERAL (SELECT CASE WHEN r.hotel_id IS NULL THEN 'no_such_room' WHEN c.customer_id IS NULL THEN 'no_such_customer'
+LATERAL (SELECT CASE WHEN q.end_date <= q.start_date THEN 'bad_range'
+     WHEN r.hotel_id IS NULL THEN 'no_such_room' WHEN c.customer_id IS NULL THEN 'no_such_customer'
      WHEN e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id THEN 'other_hotel'
-     WHEN q.end_date <= q.start_date THEN 'bad_range' END AS reason) z""")
+     WHEN c.hotel_id IS NOT NULL AND c.hotel_id <> e.hotel_id THEN 'customer_of_other_hotel' END AS reason) z""")
 def q_intake_rentings(T):
     return transitions.intake_rentings(T, renting_requests(T))
 
 
-# Raw payment methods offered at the desk, by event_id % 5.
-RAW_METHODS = ["cash", "card", "debit", "online", "voucher"]
+# Raw payment method strings entered at the desk, by event_id % 5.
+RAW_METHODS = ["cash", "card", "debit", " card ", "Card"]
 
 
 def payment_requests(T) -> DataFrame:
-    """Payments from 'view' events: renting = first line of order
-    event_id, amount = event value, raw method by event_id % 5."""
+    """Payments from 'view' events: renting = first line of order event_id,
+    amount = event value, raw method by event_id % 5, taken by employee
+    user_id (an administrator when user_id % 10 = 0)."""
     ev = T["_raw"]["events"].filter(F.col("event_type") == "view")
-    e = F.col("event_id")
+    e, u = F.col("event_id"), F.col("user_id")
     m = F.element_at(F.array(*[F.lit(x) for x in RAW_METHODS]), (e % 5 + 1).cast("int"))
-    return ev.select(e.alias("request_id"), (e * 10 + 1).alias("renting_id"),
-                     F.col("user_id").alias("employee_id"),
+    return ev.select(e.alias("request_id"), (e * 10 + 1).alias("renting_id"), u.alias("employee_id"),
+                     F.when(u % 10 == 0, "admin").otherwise("staff").alias("actor"),
                      F.col("value").cast("decimal(12,2)").alias("amount"), m.alias("method_raw"))
 
 
 @register("intake_payments", """
 SELECT q.request_id, q.renting_id, q.employee_id, q.amount,
-       CASE WHEN lower(trim(q.method_raw, ' ')) = 'card' THEN 'credit' ELSE lower(trim(q.method_raw, ' ')) END AS method,
+       CASE trim(q.method_raw, ' ') WHEN 'card' THEN 'credit' WHEN 'cash' THEN 'cash' END AS method,
        reason IS NULL AS qualified, reason
 FROM (SELECT event_id AS request_id, event_id * 10 + 1 AS renting_id, user_id AS employee_id,
+             CASE WHEN user_id % 10 = 0 THEN 'admin' ELSE 'staff' END AS actor,
              CAST(value AS DECIMAL(12,2)) AS amount,
-             CASE event_id % 5 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' WHEN 2 THEN 'debit' WHEN 3 THEN 'online'
-                  ELSE 'voucher' END AS method_raw
+             CASE event_id % 5 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' WHEN 2 THEN 'debit' WHEN 3 THEN ' card '
+                  ELSE 'Card' END AS method_raw
       FROM events WHERE event_type = 'view') q
-LEFT JOIN renting x ON x.renting_id = q.renting_id,
-LATERAL (SELECT CASE WHEN x.status IS NULL THEN 'no_such_renting' WHEN x.status <> 'active' THEN 'renting_not_active'
-     WHEN q.amount IS NULL OR q.amount <= 0 THEN 'amount_not_positive'
-     WHEN (CASE WHEN lower(trim(q.method_raw, ' ')) = 'card' THEN 'credit' ELSE lower(trim(q.method_raw, ' ')) END)
-          NOT IN ('cash', 'credit', 'debit', 'online') THEN 'invalid_method' END AS reason) z""")
+LEFT JOIN renting x ON x.renting_id = q.renting_id
+LEFT JOIN room r ON r.room_id = x.room_id
+LEFT JOIN employee e ON e.employee_id = q.employee_id,
+LATERAL (SELECT CASE WHEN q.amount IS NULL OR q.amount < 0.01 THEN 'amount_not_positive'
+     WHEN trim(q.method_raw, ' ') NOT IN ('cash', 'card') THEN 'invalid_method'
+     WHEN x.status IS NULL THEN 'no_such_renting' WHEN x.status <> 'active' THEN 'renting_not_active'
+     WHEN q.actor <> 'admin' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
+     END AS reason) z""")
 def q_intake_payments(T):
     return transitions.intake_payments(T, payment_requests(T))
 
