@@ -133,8 +133,8 @@ def status_slug(c) -> Column:
 
 
 def view_flags(view) -> tuple[Column, Column]:
-    """Legacy view code -> (has_sea_view, has_mountain_view)."""
-    v = F.lower(F.btrim(_c(view)))
+    """Legacy view code -> (has_sea_view, has_mountain_view), exact codes."""
+    v = _c(view)
     return v.isin("sea", "sea_mountain"), v.isin("mountain", "sea_mountain")
 
 

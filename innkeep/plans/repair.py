@@ -84,38 +84,47 @@ def attribute_customer_hotel(T) -> DataFrame:
             .select("customer_id", F.coalesce("booking_hotel", "renting_hotel").alias("hotel_id")))
 
 
+# Legacy room column -> current column.
+LEGACY_ROOM_COLUMNS = {"hotel_room_id": "hotel_id", "room_capacity": "capacity", "price": "base_price",
+                       "status": "current_status", "extendable": "is_extendable", "problems": "issues"}
+
+
 def legacy_rooms(part: DataFrame) -> DataFrame:
-    """Driver-derived room rows in the old layout (J11 input): a ``view``
-    code instead of two flags, ``sea_view`` set only on some rows."""
-    s = F.col("p_size")
-    view = F.when(s % 4 == 0, "sea").when(s % 4 == 1, "mountain").when(s % 4 == 2, "sea_mountain")
+    """Driver-derived room rows in the mixed old/new layout (J11 input):
+    current columns are NULL on some rows, legacy columns carry values, and
+    a ``view`` code is set on some rows."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    cap = F.when(s % 4 == 0, "single").when(s % 4 == 1, "double").when(s % 4 == 2, "suite").otherwise("family")
+    view = F.when(s % 11 == 0, "sea").when(s % 11 == 1, "sea_mountain").when(s % 11 == 2, "mountain")
     return part.select(
-        F.col("p_partkey").alias("room_id"), view.alias("view"),
-        F.when(s % 5 == 0, s % 2 == 0).alias("has_sea_view"),
-        F.when(s % 7 == 0, F.lit(True)).alias("has_mountain_view"),
-        F.when(s % 3 == 0, F.lit("legacy")).alias("extendable"),
-        F.when(s % 6 == 0, F.lit(True)).alias("is_extendable"))
+        k.alias("room_id"),
+        F.when(s % 10 != 0, k % 25).alias("hotel_id"), (k % 25).alias("hotel_room_id"),
+        F.when(s % 7 != 0, cap).alias("capacity"), cap.alias("room_capacity"),
+        F.when(s % 8 != 0, F.col("p_retailprice").cast("decimal(10,2)")).alias("base_price"),
+        F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
+        F.when(s % 6 != 0, F.lit("available")).alias("current_status"),
+        F.when(s == 13, "maintenance").otherwise("available").alias("status"),
+        F.when(s % 5 != 0, k % 2 == 0).alias("is_extendable"), (s % 2 == 0).alias("extendable"),
+        F.lit(None).cast("string").alias("issues"), F.when(s % 9 == 0, F.col("p_name")).alias("problems"),
+        (s % 4 == 0).alias("has_sea_view"), (s % 3 == 0).alias("has_mountain_view"), view.alias("view"))
 
 
 def coalesce_legacy_columns(room: DataFrame) -> DataFrame:
-    """Fold legacy columns into the current ones, driven by
-    ``df.columns``: new value wins, else the decoded legacy value, else
-    False; legacy columns are dropped."""
+    """Fold legacy columns into the current ones, driven by
+    ``df.columns``.  A current value wins, else the legacy value; a
+    non-NULL legacy ``view`` code sets both view flags; legacy columns are
+    dropped.  Columns that are absent are left alone."""
     cols = set(room.columns)
     out = room
-    sea_l = mtn_l = None
+    for legacy, new in LEGACY_ROOM_COLUMNS.items():
+        if legacy in cols and new in cols:
+            out = out.withColumn(new, F.coalesce(F.col(new), F.col(legacy)))
     if "view" in cols:
-        sea_l, mtn_l = view_flags("view")
-    for new, legacy in (("has_sea_view", sea_l), ("has_mountain_view", mtn_l)):
-        parts = [F.col(new)] if new in cols else []
-        if legacy is not None:
-            parts.append(legacy)
-        out = out.withColumn(new, F.coalesce(*parts, F.lit(False)))
-    ext = [F.col("is_extendable")] if "is_extendable" in cols else []
-    if "extendable" in cols:
-        ext.append(F.col("extendable").isNotNull())
-    out = out.withColumn("is_extendable", F.coalesce(*ext, F.lit(False)))
-    return out.drop(*[c for c in ("view", "extendable") if c in cols])
+        sea, mountain = view_flags("view")
+        has_view = F.col("view").isNotNull()
+        out = out.withColumn("has_sea_view", F.when(has_view, sea).otherwise(F.col("has_sea_view"))) \
+                 .withColumn("has_mountain_view", F.when(has_view, mountain).otherwise(F.col("has_mountain_view")))
+    return out.drop(*[c for c in [*LEGACY_ROOM_COLUMNS, "view"] if c in cols])
 
 
 def fill_rooms(T, min_rooms: int = 5) -> DataFrame:

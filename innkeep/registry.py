@@ -579,15 +579,29 @@ def q_repair_keys(T):
 
 
 @register("legacy_coalesce", """
-SELECT room_id,
-  coalesce(CASE WHEN p_size % 5 = 0 THEN p_size % 2 = 0 END, lower(trim(v, ' ')) IN ('sea', 'sea_mountain'), false) AS has_sea_view,
-  coalesce(CASE WHEN p_size % 7 = 0 THEN true END, lower(trim(v, ' ')) IN ('mountain', 'sea_mountain'), false) AS has_mountain_view,
-  coalesce(CASE WHEN p_size % 6 = 0 THEN true END, p_size % 3 = 0, false) AS is_extendable
-FROM (SELECT p_partkey AS room_id, p_size, CASE WHEN p_size % 4 = 0 THEN 'sea' WHEN p_size % 4 = 1 THEN 'mountain'
-      WHEN p_size % 4 = 2 THEN 'sea_mountain' END AS v FROM part)""")
+SELECT room_id, coalesce(hotel_id, hotel_room_id) AS hotel_id, coalesce(capacity, room_capacity) AS capacity,
+  coalesce(base_price, price) AS base_price, coalesce(current_status, status) AS current_status,
+  coalesce(is_extendable, extendable) AS is_extendable, coalesce(issues, problems) AS issues,
+  CASE WHEN v IS NOT NULL THEN v IN ('sea', 'sea_mountain') ELSE has_sea_view END AS has_sea_view,
+  CASE WHEN v IS NOT NULL THEN v IN ('mountain', 'sea_mountain') ELSE has_mountain_view END AS has_mountain_view
+FROM (SELECT p_partkey AS room_id,
+        CASE WHEN p_size % 10 <> 0 THEN p_partkey % 25 END AS hotel_id, p_partkey % 25 AS hotel_room_id,
+        CASE WHEN p_size % 7 <> 0 THEN c END AS capacity, c AS room_capacity,
+        CASE WHEN p_size % 8 <> 0 THEN CAST(p_retailprice AS DECIMAL(10,2)) END AS base_price,
+        CAST(p_retailprice AS DECIMAL(10,2)) AS price,
+        CASE WHEN p_size % 6 <> 0 THEN 'available' END AS current_status,
+        CASE WHEN p_size = 13 THEN 'maintenance' ELSE 'available' END AS status,
+        CASE WHEN p_size % 5 <> 0 THEN p_partkey % 2 = 0 END AS is_extendable, p_size % 2 = 0 AS extendable,
+        CAST(NULL AS VARCHAR) AS issues, CASE WHEN p_size % 9 = 0 THEN p_name END AS problems,
+        p_size % 4 = 0 AS has_sea_view, p_size % 3 = 0 AS has_mountain_view,
+        CASE WHEN p_size % 11 = 0 THEN 'sea' WHEN p_size % 11 = 1 THEN 'sea_mountain'
+             WHEN p_size % 11 = 2 THEN 'mountain' END AS v
+      FROM (SELECT *, CASE p_size % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'suite'
+                      ELSE 'family' END AS c FROM part))""")
 def q_legacy(T):
     return repair.coalesce_legacy_columns(repair.legacy_rooms(T["_raw"]["part"])).select(
-        "room_id", "has_sea_view", "has_mountain_view", "is_extendable")
+        "room_id", "hotel_id", "capacity", "base_price", "current_status", "is_extendable", "issues",
+        "has_sea_view", "has_mountain_view")
 
 
 @register("fill_room_numbers", f"""
