@@ -227,6 +227,8 @@ def migrate_fk(child: DataFrame, person: DataFrame, old_key: str = "person_id",
     """
     mapping = person.select(F.col(old_key), F.col(new_key).alias("_new"))
     j = child.join(mapping, old_key, "left")
+    if new_key in child.columns:  # keep values already migrated, fill the rest
+        j = j.withColumn("_new", F.coalesce(F.col(new_key), F.col("_new"))).drop(new_key)
     if check:
         missing = j.agg(F.count_if(F.col("_new").isNull()).alias("n")).first()["n"]
         if missing:
