@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Timestamps are TIMESTAMP_NTZ (wall-clock, like the driver data and the
+# reference's TIMESTAMP without time zone): results do not depend on the
+# session time zone.
 L, I, S, D, TS, B = (T.LongType(), T.IntegerType(), T.StringType(), T.DateType(),
-                     T.TimestampType(), T.BooleanType())
+                     T.TimestampNTZType(), T.BooleanType())
 MONEY = T.DecimalType(10, 2)
 
 

@@ -50,7 +50,7 @@ def append_archive(spark: SparkSession, rows: DataFrame, path: str, archived_at=
     else:
         new, base = rows, F.lit(0)
     ranked = global_rank(new, [F.col(c).asc_nulls_first() for c in ARCHIVE_KEY], "_rk")
-    ts = F.current_timestamp() if archived_at is None else F.lit(archived_at).cast("timestamp")
+    ts = (F.current_timestamp() if archived_at is None else F.lit(archived_at)).cast("timestamp_ntz")
     out = ranked.withColumn("archive_id", (base + F.col("_rk")).cast("bigint")) \
         .withColumn("archived_at", ts).drop("_rk")
     out = out.checkpoint(eager=True)  # ids fixed before the write

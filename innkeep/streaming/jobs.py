@@ -119,7 +119,7 @@ def admit_landed(T, landed: DataFrame, admit_fn, n_batches: int = 4) -> DataFram
                 (-F.col("request_id") - 1).alias("booking_id"), "room_id", "customer_id",
                 F.lit(None).cast("bigint").alias("created_by_employee_id"), "start_date",
                 "end_date", F.lit("reserved").alias("status"),
-                F.lit(None).cast("timestamp").alias("created_at"))
+                F.lit(None).cast("timestamp_ntz").alias("created_at"))
             T_b["booking"] = T["booking"].unionByName(extra)
         res = admit_fn(T_b, part).checkpoint(eager=True)
         acc = part.join(res.filter("accepted").select("request_id"), "request_id", "left_semi") \
