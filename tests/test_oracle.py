@@ -36,3 +36,16 @@ def test_entry_contract(spark):
     assert len(rows) > 0
     assert df.columns == ["chain_name", "active_bookings"]
     assert set(SQL) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", ["payments_board", "row_policy"])
+def test_timestamps_independent_of_session_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Toronto")
+    try:
+        df = E.queries()[name](spark, SF_SMALL)
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = con.execute(SQL[name])
+    assert canon(df.columns, rows) == canon([d[0] for d in res.description], res.fetchall())
