@@ -914,15 +914,15 @@ def _stage_changes(T):
     decided = _decided(T)
     changes = transitions.transition_changes(T, decided)
     path = streams.scratch_dir(spark, "changes")
-    return streams.stage_files(changes, path, 4)
+    return streams.stage_files(changes, path, 4)  # (path, files per trigger)
 
 
 def q_stream_archive(T):
     spark = T["booking"].sparkSession
-    src = _stage_changes(T)
+    src, per = _stage_changes(T)
     return streams.archive_stream(spark, T, src, arch.archive_backfill(T),
                                   streams.scratch_dir(spark, "archive-out"),
-                                  streams.scratch_dir(spark, "archive-ckpt"))
+                                  streams.scratch_dir(spark, "archive-ckpt"), files_per_trigger=per)
 
 
 _REG["stream_archive"] = (q_stream_archive, _REG["archive_transitions"][1])
@@ -956,12 +956,12 @@ WHERE r.room_id IN (SELECT b.room_id FROM trans_out o JOIN booking b ON b.bookin
         FROM booking b LEFT JOIN (SELECT * FROM trans_out WHERE accepted) o ON o.booking_id = b.booking_id"""})
 def q_stream_status(T):
     spark = T["booking"].sparkSession
-    src = _stage_changes(T)
+    src, per = _stage_changes(T)
     T2 = dict(T)
     T2["booking"] = _new_bookings(T)
     st = status.status_as_of(T2, AS_OF)
     out = streams.status_stream(spark, src, st, streams.scratch_dir(spark, "status-out"),
-                                streams.scratch_dir(spark, "status-ckpt"))
+                                streams.scratch_dir(spark, "status-ckpt"), files_per_trigger=per)
     return out.distinct()
 
 
@@ -969,13 +969,13 @@ def q_stream_status(T):
 def q_stream_admission(T):
     spark = T["booking"].sparkSession
     req = admission_requests(T)
-    src = streams.stage_files(req, streams.scratch_dir(spark, "requests"), 4)
+    src, per = streams.stage_files(req, streams.scratch_dir(spark, "requests"), 4)
 
     def intake(df):
         return transitions.intake_bookings(T, df, INTAKE_AS_OF)
 
     landed = streams.land_requests(spark, src, intake, streams.scratch_dir(spark, "landed-out"),
-                                   streams.scratch_dir(spark, "landed-ckpt"))
+                                   streams.scratch_dir(spark, "landed-ckpt"), files_per_trigger=per)
     qualified = landed.filter("qualified")
     decided = streams.admit_landed(T, qualified, admit_requests)
     rejected = landed.filter(~F.col("qualified")).select(

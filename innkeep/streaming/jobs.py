@@ -34,12 +34,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, n_files: int) -> str:
-    """Write ``df`` as (about) ``n_files`` parquet files in one parallel job,
-    so a file stream with ``maxFilesPerTrigger`` sees several batches.
-    Used to stage test input; the stream jobs accept any source folder."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
-    return path
+def stage_files(df: DataFrame, path: str, n_batches: int) -> tuple[str, int]:
+    """Write ``df`` in one job with its natural parallelism (no funnel into a
+    few tasks) and return ``(path, files_per_trigger)`` so that a file
+    stream reads it in about ``n_batches`` micro-batches.  Used to stage
+    test input; the stream jobs accept any source folder."""
+    df.write.mode("overwrite").parquet(path)
+    n_files = len(df.sparkSession.read.parquet(path).inputFiles())
+    return path, max(1, -(-n_files // n_batches))
 
 
 def _run(stream_df: DataFrame, out: str, ckpt: str, mode: str = "append"):

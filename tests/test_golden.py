@@ -53,3 +53,11 @@ def test_hotels_without_staff_sf0001(T_small):
     from innkeep.plans.reports import staff_counts
     sc = staff_counts(T_small)
     assert sc.filter((F.col("managers") + F.col("employees")) == 0).count() == 15
+
+
+def test_unavailable_list_form(T_small):
+    from innkeep.plans.search import unavailable_ranges
+    flat = {r.room_id: r.n_blocks for r in unavailable_ranges(T_small, "1998-06-15", horizon=5000).collect()}
+    lists = {r.room_id: len(r.ranges) for r in
+             unavailable_ranges(T_small, "1998-06-15", horizon=5000, as_list=True).collect()}
+    assert flat == lists

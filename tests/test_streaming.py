@@ -33,7 +33,7 @@ def test_archive_stream_split_points(spark, T_small):
     from innkeep.plans import archive as arch
     from innkeep.registry import _stage_changes
     from innkeep.streaming import jobs
-    src = _stage_changes(T_small)
+    src, _per = _stage_changes(T_small)
     results = []
     for per in (1, 3):
         out = jobs.archive_stream(spark, T_small, src, arch.archive_backfill(T_small),
