@@ -90,3 +90,28 @@ def test_delete_cascade_restrict_and_customer(spark, G):
     assert got[("payment", "delete")] == 1      # payment of renting 1
     assert got[("auth_account", "delete")] == 1
     assert got[("booking", "delete")] == 0
+
+
+def test_archive_transitions_rules(spark, G):
+    from innkeep.plans import archive as arch
+    b = G["booking"]
+    changes = (b.filter(F.col("booking_id") == 3).withColumn("status", F.lit("cancelled"))
+               .withColumn("old_status", F.lit("reserved")).withColumn("op", F.lit("update"))
+               .unionByName(b.filter(F.col("booking_id") == 4).withColumn("old_status", F.lit("reserved"))
+                            .withColumn("op", F.lit("update")))
+               .unionByName(b.filter(F.col("booking_id") == 11).withColumn("old_status", F.lit(None).cast("string"))
+                            .withColumn("op", F.lit("insert"))))
+    existing = arch.archive_backfill(G)
+    out = arch.archive_transitions(G, changes, existing).collect()
+    # 3: status really changed -> archived; 4: unchanged -> nothing; 11: already archived -> nothing
+    assert [(r.source_booking_id, r.final_status) for r in out] == [(3, "cancelled")]
+
+
+def test_overwrite_partitions(spark, tmp_path):
+    from innkeep.sources.sinks import overwrite_partitions
+    path = str(tmp_path / "facts")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string")
+    overwrite_partitions(df, path, ["p"])
+    overwrite_partitions(spark.createDataFrame([(3, "a")], "v int, p string"), path, ["p"])
+    got = sorted((r.v, r.p) for r in spark.read.parquet(path).collect())
+    assert got == [(2, "b"), (3, "a")]
