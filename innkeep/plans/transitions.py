@@ -181,3 +181,12 @@ def first_touch_hotel(T, intake: DataFrame) -> DataFrame:
     return T["customer"].filter(F.col("hotel_id").isNull()).select("customer_id") \
         .join(first, "customer_id")
 
+
+
+def complete_rentings(T, renting_ids: DataFrame) -> DataFrame:
+    """Renting completion (J15, renting side): like the reference there is no
+    guard (any existing id, any status, any hotel).  Returns renting-shaped
+    change rows (``status`` = 'completed', ``old_status``, ``op``) for J4."""
+    r = T["renting"].join(renting_ids.select("renting_id").distinct(), "renting_id", "left_semi")
+    return r.withColumn("old_status", F.col("status")).withColumn("status", F.lit("completed")) \
+        .withColumn("op", F.lit("update"))

@@ -1288,3 +1288,18 @@ def q_open_days(T):
     blocks = search.blocks(T, AS_OF).join(rooms, "room_id", "left_semi")
     occ = occupied_days(blocks, AS_OF, HORIZON)
     return open_days(rooms, occ, AS_OF, HORIZON)
+
+
+@register("renting_completion_archive", snap_sql(
+    "renting", "(SELECT x.renting_id, x.room_id, x.customer_id, x.source_booking_id, x.start_date, x.end_date, "
+    "'completed' AS status, x.status AS old_status FROM renting x "
+    "WHERE x.renting_id IN (SELECT event_id * 10 + 1 FROM events WHERE event_type = 'purchase'))",
+    "s.status IS DISTINCT FROM s.old_status AND s.renting_id NOT IN "
+    "(SELECT source_renting_id FROM archive_bf WHERE record_type = 'renting')"))
+def q_renting_completion(T):
+    """Rentings completed from 'purchase' events (renting = first line of
+    order event_id) and the archive rows that the completion produces."""
+    ids = T["_raw"]["events"].filter(F.col("event_type") == "purchase") \
+        .select((F.col("event_id") * 10 + 1).alias("renting_id"))
+    changes = transitions.complete_rentings(T, ids)
+    return arch.archive_transitions(T, changes, arch.archive_backfill(T), "renting")
