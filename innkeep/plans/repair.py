@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.columns import as_date, blank_as_null, view_flags
 from innkeep.operators.rank import global_rank, rank_within_groups
-from innkeep.plans.common import hotels_with_chain
 
 SIN_RE = "^[0-9]{9}$"
 
@@ -211,8 +210,6 @@ def missing_accounts(T) -> DataFrame:
     return staff.unionByName(custs).unionByName(admin).withColumn("is_active", F.lit(True))
 
 
-_ = hotels_with_chain
-
 
 class MigrationIncomplete(RuntimeError):
     pass

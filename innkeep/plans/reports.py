@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.functions.columns import (as_date, blank_as_null, capacity_weight, fmt_date,
-                                       fmt_timestamp, full_name, payment_method_label, status_slug)
+                                       fmt_timestamp, payment_method_label, status_slug)
 from innkeep.plans.common import (active_rentings, customer_person, hotels_with_chain, sized_broadcast,
                                   open_bookings)
 
@@ -231,8 +231,6 @@ def issues_label(c):
     return F.coalesce(blank_as_null(c), F.lit("None reported"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = full_name
 
 
 def search_page(T, limit: int = 300, **criteria) -> DataFrame:
@@ -277,7 +275,6 @@ def staff_register(T, hotel_id=None) -> DataFrame:
 def active_rentings_board(T, hotel_id=None) -> DataFrame:
     """Active rentings with room, hotel, chain and guest; walk-in
     rentings (no source booking) are labelled."""
-    from innkeep.plans.common import hotels_with_chain
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_name")
     rooms = T["room"].select("room_id", "hotel_id", "room_number").join(sized_broadcast(h), "hotel_id")
     if hotel_id is not None:

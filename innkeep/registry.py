@@ -694,13 +694,11 @@ FROM booking WHERE status = 'checked_in' AND start_date <= DATE '{AS_OF}' AND DA
 
 def _rule_exists(key, other, me="n"):
     tab = "open_booking" if other == "booking" else "active_renting"
-    oid = "booking_id" if other == "booking" else "renting_id"
     cond = f"o.{key} = {me}.{key} AND {ovl(me, 'o')}"
     if other == "renting":
         cond += f" AND o.renting_id <> {me}.renting_id"
     else:
         cond += f" AND ({me}.source_booking_id IS NULL OR o.booking_id <> {me}.source_booking_id)"
-    _ = oid
     return f"EXISTS (SELECT 1 FROM {tab} o WHERE {cond})"
 
 
