@@ -302,8 +302,8 @@ TRANS_CTES = {
         CASE WHEN user_id % 10 = 0 THEN 'admin' WHEN user_id % 2 = 0 THEN 'staff' ELSE 'customer' END AS actor,
         CASE WHEN user_id % 10 <> 0 AND user_id % 2 = 0 THEN user_id END AS actor_employee_id,
         CASE WHEN user_id % 2 = 1 THEN CASE WHEN user_id % 4 = 1 THEN user_id ELSE o.o_custkey END END AS actor_customer_id,
-        CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) END AS new_start,
-        CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
+        CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) END AS new_start,
+        CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
              + CAST(1 + event_id % 5 AS INTEGER) END AS new_end
         FROM events LEFT JOIN orders o ON o.o_orderkey = events.event_id""",
     "trans_pre": f"""SELECT q.*, b.room_id, b.customer_id, b.start_date, b.end_date, b.status AS old_status,
@@ -650,8 +650,8 @@ def q_fill_staff(T):
 BOOKING_REQ = {
     "booking_req": """SELECT event_id AS request_id, ts AS arrival, user_id AS customer_id,
         (event_id * 7919) % (SELECT count(*) // 4 FROM part) AS room_id,
-        CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS start_date,
-        CAST(ts AS DATE) + coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
+        CAST(ts AS DATE) + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS start_date,
+        CAST(ts AS DATE) + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
           + CAST(1 + event_id % 5 AS INTEGER) AS end_date
         FROM events WHERE event_type <> 'error'""",
     "intake": f"""SELECT q.*, r.hotel_id,
@@ -782,8 +782,8 @@ def _reason_sql(col, rule, *args):
         return f"CASE WHEN NOT regexp_matches(lower({t}), '^[a-z0-9._-]{{3,60}}$') THEN 'invalid_username' END"
     if rule == "int":
         p = f"regexp_extract({t}, '^[+-]?[0-9]+', 0)"
-        return (f"CASE WHEN {p} = '' OR CAST({p} AS DECIMAL(38,0)) < {args[0]} "
-                f"THEN 'not_int_ge_min' END")
+        return (f"CASE WHEN TRY_CAST(nullif({p}, '') AS DECIMAL(38,0)) IS NULL "
+                f"OR TRY_CAST(nullif({p}, '') AS DECIMAL(38,0)) < {args[0]} THEN 'not_int_ge_min' END")
     raise ValueError(rule)
 
 
@@ -1209,7 +1209,7 @@ def payment_requests(T) -> DataFrame:
     m = F.element_at(F.array(*[F.lit(x) for x in RAW_METHODS]), (e % 5 + 1).cast("int"))
     return ev.select(e.alias("request_id"), (e * 10 + 1).alias("renting_id"), u.alias("employee_id"),
                      F.when(u % 10 == 0, "admin").otherwise("staff").alias("actor"),
-                     F.col("value").cast("decimal(12,2)").alias("amount"), m.alias("method_raw"))
+                     F.col("value").try_cast("decimal(12,2)").alias("amount"), m.alias("method_raw"))
 
 
 @register("intake_payments", """
@@ -1218,7 +1218,7 @@ SELECT q.request_id, q.renting_id, q.employee_id, q.amount,
        reason IS NULL AS qualified, reason
 FROM (SELECT event_id AS request_id, event_id * 10 + 1 AS renting_id, user_id AS employee_id,
              CASE WHEN user_id % 10 = 0 THEN 'admin' ELSE 'staff' END AS actor,
-             CAST(value AS DECIMAL(12,2)) AS amount,
+             TRY_CAST(value AS DECIMAL(12,2)) AS amount,
              CASE event_id % 5 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' WHEN 2 THEN 'debit' WHEN 3 THEN ' card '
                   ELSE 'Card' END AS method_raw
       FROM events WHERE event_type = 'view') q

@@ -232,7 +232,7 @@ def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _k_from_props() -> F.Column:
-    return F.coalesce(F.get_json_object(F.col("props"), "$.k").cast("int"), F.lit(0))
+    return F.coalesce(F.get_json_object(F.col("props"), "$.k").try_cast("int"), F.lit(0))
 
 
 def booking_requests(events: DataFrame, part: DataFrame) -> DataFrame:

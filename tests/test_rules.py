@@ -75,6 +75,9 @@ def test_intake_rules(spark):
     assert [r for _v, r in evaluate(spark, ["123-456-789", "12345678"], "sin")] == [None, "sin_not_9_digits"]
     assert evaluate(spark, ["12abc", " 7", "0", "x1", "-3"], "int", 1) == \
         [(12, None), (7, None), (None, "not_int_ge_min"), (None, "not_int_ge_min"), (None, "not_int_ge_min")]
+    assert evaluate(spark, ["9" * 45], "int", 1) == [(None, "not_int_ge_min")]  # overflow is a reject
+    assert [r for _v, r in evaluate(spark, ["12.5kg", "abc", "0.001"], "number", 0.01)] == \
+        [None, "not_number_ge_min", "not_number_ge_min"]
     assert evaluate(spark, ["Yes", "off", "maybe"], "bool") == [(True, None), (False, None), (None, "invalid_boolean")]
     assert [r for _v, r in evaluate(spark, ["2024-02-30", "2024-02-28", "24-2-1"], "date")] == \
         ["invalid_date", None, "invalid_date"]
