@@ -300,3 +300,10 @@ def account_display_names(T) -> DataFrame:
     return (T["auth_account"].select("account_id", "role", "employee_id", "customer_id")
             .join(emp, "employee_id", "left").join(cus, "customer_id", "left")
             .select("account_id", "role", display_name("ef", "el", "cf", "cl").alias("display_name")))
+
+
+def find_account(T, username: str) -> DataFrame:
+    """Account lookup by user name, case-insensitive (login lookup's
+    data part; no credential logic)."""
+    return T["auth_account"].filter(F.lower(F.col("username")) == F.lower(F.lit(username))) \
+        .select("account_id", "role", "username", "employee_id", "customer_id", "is_active")

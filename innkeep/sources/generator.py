@@ -109,7 +109,11 @@ def gen_tables(spark: SparkSession, as_of, n_hotels: int = 40, rooms_per_hotel:
     staff = people(n_staff, 700000000, n_customers, ("team", "@workmail.com"), "3439", 80, " Lakeview Drive")
     person = conform(guests.drop("g").unionByName(staff.drop("g")), "person")
 
-    rn = F.col("g")  # guests are numbered in legal_id order already
+    # Guests are the persons with a guest mail address (LIKE prefix/suffix),
+    # numbered in legal_id order (g follows it)
+    guests = guests.filter(F.col("email").like("guest%@staymail.com"))
+    staff = staff.filter(F.col("email").like("team%@workmail.com"))
+    rn = F.col("g")
     customer = conform(guests.select(
         rn.alias("customer_id"), "legal_id", ((rn - 1) % n_hotels + 1).alias("hotel_id"),
         F.date_sub(D, (rn % 400).cast("int")).alias("registration_date")), "customer")

@@ -115,3 +115,9 @@ def test_overwrite_partitions(spark, tmp_path):
     overwrite_partitions(spark.createDataFrame([(3, "a")], "v int, p string"), path, ["p"])
     got = sorted((r.v, r.p) for r in spark.read.parquet(path).collect())
     assert got == [(2, "b"), (3, "a")]
+
+
+def test_find_account_case_insensitive(G):
+    from innkeep.plans.reports import find_account
+    assert [r.username for r in find_account(G, "CUSTOMER7").collect()] == ["customer7"]
+    assert [r.role for r in find_account(G, "Admin").collect()] == ["admin"]
