@@ -33,6 +33,7 @@ def main():
                           app="innkeep-bench")
     T = load_tables(spark, sf_dir)
     times = {}
+    errors = {}
     # bind the driver tables to the domain model once and store them (timed);
     # queries then read the stored tables, as they would in a deployment.
     # BENCH_STORED=0 runs every query on the lazily bound tables instead.
@@ -45,13 +46,18 @@ def main():
         if only and name not in only:
             continue
         t0 = time.time()
-        fn(T).write.format("noop").mode("overwrite").save()
+        try:
+            fn(T).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - one failing query must not hide the others
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {errors[name]}", file=sys.stderr)
+            continue
         times[name] = round(time.time() - t0, 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_sec", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus,
+                      "cpus": cpus, "errors": errors,
                       "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions")}))
 
 
