@@ -9,6 +9,9 @@ from tools.check_oracle import VIEWS, canon
 from .conftest import SF_SMALL
 
 SQL = E.oracle_sql()
+# Spark type name -> DuckDB type name (decimals compare as DECIMAL(p,s) on both sides)
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE"}
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +31,9 @@ def test_query_matches_oracle(spark, con, name):
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert canon(df.columns, rows) == canon(dcols, drows)
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    for col, t in df.dtypes:
+        assert DUCK_TYPE.get(t, t.upper()) == duck_types[col], (col, t, duck_types[col])
 
 
 def test_entry_contract(spark):
