@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +31,22 @@ LAYOUT = {
 }
 
 
-def store_tables(spark: SparkSession, T: dict, base: str | None = None) -> str:
+def store_tables(spark: SparkSession, T: dict, base: str | None = None, parallel: int = 4) -> str:
+    """Write every domain table under ``base``; independent tables are
+    written as concurrent Spark jobs (``parallel`` at a time)."""
     base = base or os.path.join(ensure_checkpoint_dir(spark), "stored", uuid.uuid4().hex[:12])
-    for name, df in T.items():
-        if name.startswith("_"):
-            continue
-        out: DataFrame = df
+
+    def write(name: str, df: DataFrame) -> None:
+        out = df
         if name in LAYOUT:
             rng, srt = LAYOUT[name]
             out = out.repartitionByRange(*rng).sortWithinPartitions(*srt)
         out.write.mode("overwrite").parquet(f"{base}/{name}")
+
+    items = [(n, df) for n, df in T.items() if not n.startswith("_")]
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        for f in [pool.submit(write, n, df) for n, df in items]:
+            f.result()
     return base
 
 
