@@ -75,7 +75,7 @@ def gen_tables(spark: SparkSession, as_of, n_hotels: int = 40, rooms_per_hotel:
         ((g - 1) % 5 + 1).cast("short").alias("category"),
         (24 + g % 14).cast("int").alias("total_rooms"),
         F.concat((120 + g).cast("string"), F.lit(" Market Street, "), _pick(CITIES, g - 1)).alias("address_line"),
-        F.concat(F.lit("frontdesk"), g.cast("string"), F.lit("@demo-ehotels.com")).alias("contact_email"),
+        F.concat(F.lit("frontdesk"), g.cast("string"), F.lit("@hotels.example")).alias("contact_email"),
         F.concat(F.lit("5557"), F.lpad(g.cast("string"), 6, "0")).alias("contact_phone"),
         F.lit(None).cast("timestamp").alias("created_at"))
     hotel = conform(hotel, "hotel")
