@@ -1301,3 +1301,27 @@ def q_renting_completion(T):
         .select((F.col("event_id") * 10 + 1).alias("renting_id"))
     changes = transitions.complete_rentings(T, ids)
     return arch.archive_transitions(T, changes, arch.archive_backfill(T), "renting")
+
+
+# ---------------------------------------------------------------- sign-ups (J18 new customers; no SQL form)
+def signup_requests(T) -> DataFrame:
+    """Customer sign-ups from 'signup' events: SIN and e-mail from user_id
+    (repeat sign-ups of a user clash), user name 'customer<user_id>' for
+    every third user (clashes with existing accounts), phone from event_id."""
+    ev = T["_raw"]["events"].filter(F.col("event_type") == "signup")
+    u, e = F.col("user_id"), F.col("event_id")
+    return ev.select(
+        e.alias("request_id"), F.col("ts").alias("arrival"),
+        F.lpad((F.lit(300000000) + u).cast("string"), 9, "0").alias("sin_raw"),
+        F.lit("Guest").alias("first_name_raw"), F.concat(F.lit("User"), u.cast("string")).alias("last_name_raw"),
+        F.concat(F.lit("user"), u.cast("string"), F.lit("@mail.example")).alias("email_raw"),
+        F.lpad(e.cast("string"), 10, "5").alias("phone_raw"),
+        F.concat(u.cast("string"), F.lit(" Queen Street")).alias("address_raw"),
+        F.when(u % 3 == 0, F.concat(F.lit("customer"), u.cast("string")))
+         .otherwise(F.concat(F.lit("user"), e.cast("string"))).alias("username_raw"))
+
+
+@register("signup_customers", None)
+def q_signup(T):
+    from innkeep.plans.signup import register_customers
+    return register_customers(T, signup_requests(T), AS_OF)
