@@ -87,6 +87,9 @@ def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting
     tested together: one semi-join per (key, partner kind), four in all,
     with the own-id and source-booking exclusions as residuals.
     """
+    if candidates:
+        # candidates feed the date bounds and four semi-joins: compute them once
+        candidates = {k: v.checkpoint(eager=True) for k, v in candidates.items()}
     T = _narrowed_to_candidates(T, candidates)
     lefts = []
     for side in sides:
