@@ -47,3 +47,18 @@ def test_filters_reach_scan(T_small):
     from innkeep.plans.search import free_rooms
     p = plan(free_rooms(T_small, "1998-06-15", "1998-06-20"))
     assert "PushedFilters" in p
+
+
+def test_rank_within_groups_hot_group(spark):
+    import random
+
+    from innkeep.operators.rank import rank_within_groups
+    rnd = random.Random(9)
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 20), i * 7 % 1009) for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, o long")
+    got = {(r.g, r.o): r.rank for r in rank_within_groups(df, ["g"], ["o"], "rank").collect()}
+    exp = {}
+    for g in {r[0] for r in rows}:
+        for i, o in enumerate(sorted(o for gg, o in rows if gg == g)):
+            exp[(g, o)] = i + 1
+    assert got == exp
