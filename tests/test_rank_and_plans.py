@@ -30,7 +30,9 @@ def single_partition_rows(p: str) -> bool:
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             nxt = lines[i + 1] if i + 1 < len(lines) else ""
-            if not ("HashAggregate(keys=[]" in nxt and "partial_" in nxt):
+            keyless = any(k in nxt for k in ("HashAggregate(keys=[]", "SortAggregate(key=[]",
+                                             "ObjectHashAggregate(keys=[]"))
+            if not (keyless and "partial_" in nxt):
                 return True
     return False
 
@@ -62,3 +64,14 @@ def test_rank_within_groups_hot_group(spark):
         for i, o in enumerate(sorted(o for gg, o in rows if gg == g)):
             exp[(g, o)] = i + 1
     assert got == exp
+
+
+ITERATIVE = {"admission", "stream_admission", "stream_archive", "stream_status", "signup_customers"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry()) - ITERATIVE - set(BIG)))
+def test_no_cartesian_anywhere(T_small, name):
+    p = plan(registry()[name][0](T_small))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in p, (name, bad)
+    assert not single_partition_rows(p), name
