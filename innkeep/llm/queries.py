@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, exact_dedup, minhash, mixing, sharding
+from innkeep.llm import chat, decontam, exact_dedup, minhash, mixing, quality, sharding, toxicity
 from innkeep.llm.store import table
 
 
+def remainder(n: int):
+    """crc32 of the id as text, modulo ``n``: what the contracts split learning rows by."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = remainder(5) == 0
+    model = spark.sparkContext.broadcast(toxicity.train(docs, labels.filter(~held)))
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.score_column(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"),
                                                         F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -43,12 +60,21 @@ def op7_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = remainder(4) == 2
+    model = quality.train(docs, labels.filter(~held))
+    scored = docs.select("doc_id", held.alias("held_out"), quality.score_column(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_format, op5_minhash_near_dedup, op6_source_mixing, op7_shard_tree,
-                                   op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op2_toxicity, op4_chat_format, op5_minhash_near_dedup, op6_source_mixing,
+    op7_shard_tree, op8_quality, op9_exact_dedup)}
 
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
