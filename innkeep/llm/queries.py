@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontam, exact_dedup, minhash, mixing, quality, sharding, toxicity
+from innkeep.llm import chat, decontam, exact_dedup, lm, minhash, mixing, quality, sharding, toxicity
 from innkeep.llm.store import table
 
 
@@ -26,6 +26,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (remainder(7) == 2).alias("held_out"), "text")
+    return lm.score_documents(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"),
                                                         F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -73,7 +78,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_toxicity, op4_chat_format, op5_minhash_near_dedup, op6_source_mixing,
+    op1_benchmark_decontamination, op2_toxicity, op3_lm_scoring, op4_chat_format, op5_minhash_near_dedup, op6_source_mixing,
     op7_shard_tree, op8_quality, op9_exact_dedup)}
 
 OP9_SQL = """
