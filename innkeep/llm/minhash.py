@@ -101,8 +101,8 @@ def _set_ids(sets: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, bands, sketch) per row of (doc_id, text); the last three are
-    null for an empty set."""
+    """(doc_id, text_hash, n_shingles, cls, bands, sketch) per row of (doc_id, text_hash, text);
+    the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +118,11 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 at = np.cumsum(full) - 1
                 bands = pa.array([keys[at[i]] if full[i] else None for i in range(len(n))], pa.list_(pa.int64()))
                 sketch = pa.array([sketches[at[i]].tobytes() if full[i] else None for i in range(len(n))], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), _set_ids(sets, offs), bands, sketch],
-                                                 ["doc_id", "n_shingles", "cls", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(n), _set_ids(sets, offs), bands, sketch],
+                                                 ["doc_id", "text_hash", "n_shingles", "cls", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, sketch binary")
 
 
 def class_texts(docs: DataFrame, need: DataFrame, size: int) -> DataFrame:
@@ -255,10 +255,11 @@ def compared(dealt: DataFrame, limit: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (and cls, the set's identity)."""
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept (and cls, the set's identity)."""
     limit = most_flips(percent / 100)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(signed(plain, size).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    keyed = plain.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = stored(signed(keyed, size).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     sig = rows.join(classes.select("row"), "row", "left_semi")
 
@@ -301,5 +302,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     named = linked.join(least, "root").select("cls", "component_id")
     named = named.unionByName(classes.join(roots, "cls", "left_anti").select("cls", F.col("least").alias("component_id")))
     return (rows.join(named, "cls", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+            .select("doc_id", "text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text",
+                            doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that name their component: one of each group.
+
+    Rows are told apart by id and text.  Rows that repeat both are one document and leave one
+    row.  Documents without an id stay unless a document with an id is in their component.
+    """
+    found = near_duplicates(docs, size, percent, text, doc_id).select("doc_id", "text_hash", "kept")
+    keys = stored(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("kept"), "kept")
+    k = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("n") > 1).alias("__more"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash"))
+    single = docs.join(k.filter("not __more"), same, "left_semi")
+    if keys.filter("n > 1").isEmpty():
+        return single
+    return single.unionByName(docs.join(k.filter("__more"), same, "left_semi").dropDuplicates([doc_id, text]))

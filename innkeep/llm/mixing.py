@@ -94,51 +94,93 @@ def leaf_budgets(leaves: DataFrame, total: Column | float, weights: dict[tuple[s
             return level.select(*LEVELS, "tokens", F.col("given").alias("budget"))
 
 
-def select_mixture(docs: DataFrame, share: float = 0.8, weights: dict[tuple[str, ...], float] | None = None,
-                   max_epochs: int = 4, seed: int = 0, domain: Column | None = None, language: str = "lang",
-                   source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows taken into the mixture: id, text digest, leaf, tokens, n_taken (times taken),
-    leaf_tokens, leaf_budget and last_epoch (whether the cut epoch reached the row).
-
-    ``share``: the root's budget as a share of all tokens.  Rows with n_taken 0 are returned
-    too, so a caller sees what was left out.
-    """
+def _leaf_columns(domain: Column | None, language: str, source: str) -> list[Column]:
     part = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     dom = domain if domain is not None else F.lit("all")
-    rows = docs.select(
+    return [part(dom).alias("domain"), part(F.col(language)).alias("language"), part(F.col(source)).alias("source")]
+
+
+def _position(whole: Column, seed: int) -> Column:
+    """Place of a row in the epoch that is cut: a hash of the row and the epoch's number."""
+    return F.xxhash64("id", "digest", whole + F.lit(seed * 1000003))
+
+
+def leaf_cuts(docs: DataFrame, share: float = 0.8, weights: dict[tuple[str, ...], float] | None = None,
+              max_epochs: int = 4, seed: int = 0, domain: Column | None = None, language: str = "lang",
+              source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per leaf: leaf_tokens, leaf_budget, whole (epochs taken whole), bits (of the bin
+    number), cut (first bin that does not fit) and last (last row taken in that bin).
+
+    ``share``: the root's budget as a share of all tokens.
+    """
+    rows = stored(docs.select(
         F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
-        part(dom).alias("domain"), part(F.col(language)).alias("language"), part(F.col(source)).alias("source"),
-        token_count(F.col(text)).alias("tokens"))
-    rows = stored(rows, "mix-rows")
+        *_leaf_columns(domain, language, source), token_count(F.col(text)).alias("tokens")), "mix-rows")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).first()
-    bins = 1
-    while bins * BIN_ROWS < (stats["n"] or 0):
-        bins *= 2
+    bits = max(1, (-(-stats["n"] // BIN_ROWS)).bit_length())
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, float(share) * (stats["t"] or 0), weights or {}, max_epochs)
-    budgets = budgets.select(
-        *LEVELS, F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"),
-        F.when(F.col("tokens") > 0, F.floor((F.col("budget") + F.lit(1e-6)) / F.col("tokens"))).otherwise(F.lit(0)).cast("long").alias("whole"))
-    budgets = budgets.withColumn("rest", F.floor(F.col("leaf_budget") + F.lit(1e-6) - F.col("whole") * F.col("leaf_tokens")))
-
-    # position of a row in the epoch that is cut: a hash of the epoch's number
-    ranked = rows.join(budgets, list(LEVELS)).withColumn(
-        "pos", F.xxhash64("id", "digest", F.col("whole") + F.lit(seed * 1000003)))
-    ranked = ranked.withColumn("bin", F.shiftrightunsigned("pos", 64 - bins.bit_length() + 1) if bins > 1 else F.lit(0).cast("long"))
+    slack = F.lit(1e-6)
+    whole = F.when(F.col("tokens") > 0, F.floor((F.col("budget") + slack) / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
+    budgets = budgets.select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"), whole.alias("whole"))
+    budgets = stored(budgets.withColumn("rest", F.floor(F.col("leaf_budget") + slack - F.col("whole") * F.col("leaf_tokens"))), "mix-leaves")
+
+    ranked = rows.join(budgets, list(LEVELS)).withColumn("pos", _position(F.col("whole"), seed))
+    ranked = ranked.withColumn("bin", F.shiftrightunsigned("pos", 64 - bits))
     sums = ranked.groupBy(*LEVELS, "bin", "rest").agg(F.sum("tokens").alias("bin_tokens"))
     before = Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (sums.withColumn("start", F.coalesce(F.sum("bin_tokens").over(before), F.lit(0)))
-            .withColumn("fits", F.col("start") + F.col("bin_tokens") <= F.col("rest")))
-    edges = sums.groupBy(*LEVELS).agg(
-        F.min(F.when(~F.col("fits"), F.struct("bin", "start"))).alias("cut"))
-    ranked = ranked.join(edges, list(LEVELS))
-    in_bin = ranked.filter(F.col("bin") == F.col("cut.bin"))
+    sums = sums.withColumn("start", F.coalesce(F.sum("bin_tokens").over(before), F.lit(0)))
+    edges = (sums.filter(F.col("start") + F.col("bin_tokens") > F.col("rest"))
+             .groupBy(*LEVELS).agg(F.min(F.struct("bin", "start")).alias("cut")))
+    edges = stored(edges, "mix-edges")
     order = Window.partitionBy(*LEVELS).orderBy("pos", "id", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    in_bin = in_bin.withColumn("upto", F.sum("tokens").over(order) + F.col("cut.start"))
-    in_bin = in_bin.withColumn("last_epoch", (F.col("rest") > 0) & (F.col("upto") <= F.col("rest")))
-    outside = ranked.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut.bin")))
-    outside = outside.withColumn("last_epoch", (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin"))))
-    cols = ["id", "digest", *LEVELS, "tokens", "whole", "last_epoch", "leaf_tokens", "leaf_budget"]
-    return in_bin.select(cols).unionByName(outside.select(cols)).select(
-        F.col("id").alias("doc_id"), "digest", *LEVELS, "tokens",
-        (F.col("whole") + F.col("last_epoch").cast("long")).alias("n_taken"), "last_epoch", "leaf_tokens", "leaf_budget")
+    last = (ranked.join(edges, list(LEVELS)).filter(F.col("bin") == F.col("cut.bin"))
+            .withColumn("upto", F.sum("tokens").over(order) + F.col("cut.start")).filter(F.col("upto") <= F.col("rest"))
+            .groupBy(*LEVELS).agg(F.max(F.struct("pos", "id", "digest")).alias("last")))
+    return stored(budgets.join(edges, list(LEVELS), "left").join(last, list(LEVELS), "left")
+                  .select(*LEVELS, "leaf_tokens", "leaf_budget", "whole", "rest", F.lit(64 - bits).alias("shift"),
+                          F.col("cut.bin").alias("cut"), "last"), "mix-cuts")
+
+
+def with_times(docs: DataFrame, cuts: DataFrame, seed: int = 0, domain: Column | None = None, language: str = "lang",
+               source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` (id, leaf and text columns as named) with the leaf's columns, tokens, digest and
+    n_taken: how often a row is in the mixture.  Only the leaves' cuts, a row each, are joined."""
+    df = docs.select("*", *[c.alias("__" + n) for c, n in zip(_leaf_columns(domain, language, source), LEVELS, strict=True)],
+                     F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+                     token_count(F.col(text)).alias("tokens"))
+    keys = cuts.select(*[F.col(c).alias("__" + c) for c in LEVELS], *[c for c in cuts.columns if c not in LEVELS])
+    df = df.join(keys, ["__" + c for c in LEVELS]).withColumn("pos", _position(F.col("whole"), seed))
+    own_bin = F.expr("shiftrightunsigned(pos, shift)")
+    upto = F.coalesce(F.struct("pos", "id", "digest") <= F.col("last"), F.lit(False))
+    reached = (F.col("rest") > 0) & (F.col("cut").isNull() | (own_bin < F.col("cut")) | ((own_bin == F.col("cut")) & upto))
+    return df.withColumn("n_taken", F.col("whole") + reached.cast("long"))
+
+
+def select_mixture(docs: DataFrame, share: float = 0.8, weights: dict[tuple[str, ...], float] | None = None,
+                   max_epochs: int = 4, seed: int = 0, domain: Column | None = None, language: str = "lang",
+                   source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, digest, domain, language, source, tokens, n_taken, leaf_tokens, leaf_budget.
+
+    Rows with n_taken 0 are returned too, so a caller sees what was left out.
+    """
+    names = {"language": language, "source": source, "text": text, "doc_id": doc_id}
+    cuts = leaf_cuts(docs, share, weights, max_epochs, seed, domain, **names)
+    df = docs.select(doc_id, *_leaf_columns(domain, language, source), F.col(text).alias("__text"))
+    df = with_times(df, cuts, seed, F.col("domain"), "language", "source", "__text", doc_id)
+    return df.select(F.col("id").alias("doc_id"), "digest", *[F.col("__" + c).alias(c) for c in LEVELS], "tokens", "n_taken",
+                     "leaf_tokens", "leaf_budget")
+
+
+def mixture(docs: DataFrame, share: float = 0.8, weights: dict[tuple[str, ...], float] | None = None,
+            max_epochs: int = 4, seed: int = 0, domain: Column | None = None, language: str = "lang",
+            source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, each as often as the mixture takes it."""
+    names = {"language": language, "source": source, "text": text, "doc_id": doc_id}
+    cuts = leaf_cuts(docs, share, weights, max_epochs, seed, domain, **names)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"),
+                        *_leaf_columns(domain, language, source), F.col(text).alias("__text"))
+    df = with_times(whole, cuts, seed, F.col("domain"), "language", "source", "__text", "__id").filter("n_taken > 0")
+    if max_epochs > 1:
+        df = df.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("n_taken").cast("int"))))
+    return df.select("__row.*")

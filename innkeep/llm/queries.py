@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontam, exact_dedup, lm, minhash, mixing, quality, sharding, toxicity
+from innkeep.llm import chat, decontam, exact_dedup, lm, minhash, mixing, pii, quality, sharding, toxicity
 from innkeep.llm.store import table
 
 
@@ -77,9 +77,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf_dir, "documents"), ["doc_id"])
+    return pii.digest_columns(found, ["doc_id"])
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_toxicity, op3_lm_scoring, op4_chat_format, op5_minhash_near_dedup, op6_source_mixing,
-    op7_shard_tree, op8_quality, op9_exact_dedup)}
+    op7_shard_tree, op8_quality, op9_exact_dedup, op10_pii_sanitisation)}
 
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
