@@ -6,11 +6,13 @@
    are folded into an odd sketch: bit h(i, value_i) is flipped per sample, so the population count
    of the XOR of two sketches measures the samples on which they differ.
 3. Stars: in each bucket every class meets the bucket's least class, under two random orders.
-   A class keeps its least acceptable partner per order, is confirmed on the full shingle
-   sets and joined to it: large groups collapse to one component here.
-4. Rest: buckets that still hold two components compare all members of different components
-   by their sketches, in blocks of at most ``BLOCK`` members, inside a task.  Only pairs that the
-   sketch accepts leave the task; they too are confirmed on full sets.
+   A class keeps two of these partners, the least one that the sketches call similar and the closest
+   one, is confirmed on the full shingle sets and joined to it: large groups become a few components.
+4. Rest: buckets that still hold two components are dealt into cells of at most about
+   2 * ``BLOCK`` members, with their texts.  A cell confirms, on full sets, every pair of different
+   components that the sketches accept and that no band before has in a common bucket, unless links
+   already found join the two.  Only the joining links leave the task, so its output is linear in
+   its members, however many pairs are similar.
 
 The bands miss a pair of similarity 0.8 with probability (1 - 0.8^6)^32 < 7e-5, the sketch
 threshold is 4.5 standard deviations below the expectation at the wanted similarity.
@@ -39,8 +41,8 @@ from innkeep.llm.store import stored
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket that meet as many others in one cell.
+BLOCK = 256
 
 _RNG = np.random.default_rng(20240501)
 _MUL = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -168,16 +170,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 (sa, oa), (sb, ob) = sides
                 ok = np.zeros(piece.num_rows, bool)
                 for i in range(piece.num_rows):
-                    x, y = sa[oa[i]:oa[i + 1]], sb[ob[i]:ob[i + 1]]
-                    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                    ok[i] = similar(sa[oa[i]:oa[i + 1]], sb[ob[i]:ob[i + 1]], percent)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(ok)], ["a", "b", "ok"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, ok boolean")
 
 
 def cells(places: DataFrame) -> DataFrame:
-    """Members (band, cls, root) of buckets with several components, dealt into cells.
+    """Members (band, bi, cls, root) of buckets with several components, dealt into cells.
 
     In each bucket the largest component is set apart.  The others are cut into blocks of
     about BLOCK members and every two blocks meet in a cell; so do every block of the
@@ -198,59 +198,89 @@ def cells(places: DataFrame) -> DataFrame:
     meet = F.transform(upto("nm"), lambda x: cell(1, me, x, F.lit(0)))
     large = F.transform(upto("no"), lambda x: cell(1, x, me, F.lit(1)))
     return (df.withColumn("cell", F.explode(F.when(big, large).otherwise(F.concat(others, meet))))
-            .select("band", "cell.*", "cls", "root"))
-
-
-def _compare(cell: pd.DataFrame, limit: int, percent: int) -> tuple[list, list]:
-    """Accepted pairs of one cell: different components, close sizes, close sketches."""
-    own = cell["kind"].iat[0] == 0 and cell["i"].iat[0] == cell["j"].iat[0]
-    left = cell if own else cell[cell["side"] == 0]
-    right = cell if own else cell[cell["side"] == 1]
-    a, b = [], []
-    if not len(left) or not len(right):
-        return a, b
-    x, y = (np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1).view(np.uint64) for s in (left, right))
-    roots = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
-    ra, rb = roots[:len(left)], roots[len(left):]
-    na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-    ca, cb = left["cls"].to_numpy(), right["cls"].to_numpy()
-    for i in range(len(left)):
-        ok = (ra[i] != rb) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
-        if own:
-            ok[:i + 1] = False
-        js = np.flatnonzero(ok)
-        if len(js):
-            js = js[np.bitwise_count(x[i] ^ y[js]).sum(axis=1) <= limit]
-            a += [max(ca[i], cb[j]) for j in js]
-            b += [min(ca[i], cb[j]) for j in js]
-    return a, b
-
-
-def compared(dealt: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Accepted pairs (a, b) of all cells; a cell of at most about 2 * BLOCK rows is held at a time."""
+            .select("band", "bi", "cell.*", "cls", "root"))
+
+
+class _Cell:
+    """Members of one cell, their sets made only when a pair is confirmed."""
+
+    def __init__(self, rows: pa.RecordBatch, size: int, percent: int, limit: int):
+        col = lambda name: rows.column(rows.schema.get_field_index(name))
+        self.cls, self.text, self.size, self.percent, self.limit = col("cls").to_pylist(), col("text"), size, percent, limit
+        self.label = pd.factorize(np.array(col("root").to_pylist(), object))[0]
+        self.n = col("n").to_numpy()
+        self.sketch = np.frombuffer(b"".join(col("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        self.bands = col("bands").flatten().to_numpy().reshape(rows.num_rows, BANDS)
+        self.index = int(col("bi")[0].as_py())
+        self.own = col("kind")[0].as_py() == 0 and col("i")[0].as_py() == col("j")[0].as_py()
+        self.side = np.asarray(col("side").to_numpy())
+        self.sets: dict[int, np.ndarray] = {}
+
+    def _set(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            words, first = tx.word_hashes(*tx.text_bytes(self.text.slice(k, 1)))
+            self.sets[k] = tx.shingle_sets(words, first, self.size)[0]
+        return self.sets[k]
+
+    def links(self) -> Iterator[tuple[bytes, bytes]]:
+        left = np.arange(len(self.n)) if self.own else np.flatnonzero(self.side == 0)
+        right = left if self.own else np.flatnonzero(self.side == 1)
+        for at, i in enumerate(left):
+            js = right[at + 1:] if self.own else right
+            js = js[self.label[js] != self.label[i]]
+            js = js[100 * np.minimum(self.n[i], self.n[js]) >= self.percent * np.maximum(self.n[i], self.n[js])]
+            if not len(js):
+                continue
+            flips = np.bitwise_count(self.sketch[i] ^ self.sketch[js]).sum(axis=1)
+            js, flips = js[flips <= self.limit], flips[flips <= self.limit]
+            if not len(js):
+                continue
+            js = js[np.argsort(flips, kind="stable")]
+            js = js[(self.bands[i] == self.bands[js]).argmax(axis=1) == self.index]
+            for j in js:
+                if self.label[i] != self.label[j] and similar(self._set(i), self._set(j), self.percent):
+                    self.label[self.label == self.label[j]] = self.label[i]
+                    yield self.cls[i], self.cls[j]
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets without repeats."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int(np.count_nonzero(y[at] == x)) if len(y) else 0
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def joining_links(dealt: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join different components, of all cells; one cell is held at a time."""
     key = ["band", "kind", "i", "j"]
+    cols = [*key, "side", "bi", "cls", "root", "n", "sketch", "bands", "text"]
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        pairs = list(_Cell(rows.combine_chunks().to_batches()[0], size, percent, limit).links())
+        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], ["a", "b"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for pdf in batches:
-            kept = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            if not len(kept):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            k = kept[key].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            begin = 0
-            a, b = [], []
-            for end in cuts:
-                x, y = _compare(kept.iloc[begin:end], limit, percent)
-                a, b, begin = a + x, b + y, end
-            yield pd.DataFrame({"a": a, "b": b})
-            kept = kept.iloc[begin:]
-        if kept is not None and len(kept):
-            a, b = _compare(kept, limit, percent)
-            yield pd.DataFrame({"a": a, "b": b})
-
-    return (dealt.repartition(*key).sortWithinPartitions(*key)
-            .select(*key, "side", "cls", "root", "n", "sketch").mapInPandas(run, "a binary, b binary").distinct())
+            k = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(k[a].tolist())
+                if last is not None and now != last:
+                    yield found(pa.concat_tables(open_))
+                    open_ = []
+                open_.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+                last = now
+        if open_:
+            yield found(pa.concat_tables(open_))
+
+    return (dealt.repartition(*key).sortWithinPartitions(*key).select(*cols).mapInArrow(run, "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text",
@@ -263,34 +293,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     sig = rows.join(classes.select("row"), "row", "left_semi")
 
-    member = sig.select("cls", F.explode("bands").alias("band"))
+    member = sig.select("cls", F.posexplode("bands").alias("bi", "band"))
     one, two = F.xxhash64("cls", F.lit(1)), F.xxhash64("cls", F.lit(2))
     heads = (member.groupBy("band").agg(F.min(F.struct(one.alias("h"), F.col("cls"))).alias("c1"),
                                         F.min(F.struct(two.alias("h"), F.col("cls"))).alias("c2"), F.count(F.lit(1)).alias("m"))
              .filter("m > 1"))
-    member = stored(member.join(heads, "band").select("cls", "band", "c1", "c2"), "buckets")
+    member = stored(member.join(heads, "band").select("cls", "band", "bi", "c1", "c2"), "buckets")
     need = sig.select("cls", "doc_id").join(member.select("cls").distinct(), "cls", "left_semi")
     texts = stored(class_texts(plain, need, size), "texts")
-    facts = stored(sig.select("cls", F.col("n_shingles").alias("n"), "sketch").join(need.select("cls"), "cls", "left_semi"), "sketches")
+    facts = stored(sig.select("cls", F.col("n_shingles").alias("n"), "sketch", "bands").join(need.select("cls"), "cls", "left_semi"), "sketches")
 
-    head = lambda o, c: F.struct(F.lit(o).alias("o"), F.col(c + ".h").alias("h"), F.col(c + ".cls").alias("head"))
-    star = (member.select("cls", F.explode(F.array(head(1, "c1"), head(2, "c2"))).alias("s"))
-            .select("cls", "s.*").filter("cls <> head").groupBy("cls", "head", "o").agg(F.min("h").alias("h")))
+    star = (member.select("cls", F.explode(F.array("c1", "c2")).alias("s")).select("cls", F.col("s.h").alias("h"), F.col("s.cls").alias("head"))
+            .filter("cls <> head").distinct())
     other = facts.select(F.col("cls").alias("head"), F.col("n").alias("hn"), F.col("sketch").alias("hs"))
-    star = (star.join(facts, "cls").join(other, "head")
+    far = (F.col("flips") > expected_flips(percent / 100)).cast("int")
+    star = (star.join(facts.drop("bands"), "cls").join(other, "head")
             .filter(100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
             .withColumn("flips", _flips(F.col("sketch"), F.col("hs"))).filter(F.col("flips") <= limit)
-            .groupBy("cls", "o").agg(F.min(F.struct("h", "head")).alias("p"))
-            .select(F.greatest("cls", "p.head").alias("a"), F.least("cls", "p.head").alias("b")).distinct())
+            .groupBy("cls").agg(F.min(F.struct(far.alias("far"), "h", "head"))["head"].alias("x"), F.min(F.struct("flips", "h", "head"))["head"].alias("y"))
+            .select("cls", F.explode(F.array_distinct(F.array("x", "y"))).alias("head"))
+            .select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b")).distinct())
     tried = stored(confirmed(star, texts, size, percent), "links")
     comps = stored(components(tried.filter("ok")), "components")
 
-    places = (member.select("cls", "band").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-              .select("cls", "band", F.coalesce("root", "cls").alias("root")))
-    rest = compared(cells(stored(places, "places")).join(facts, "cls"), limit, percent)
-    more = stored(confirmed(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, size, percent), "links")
+    places = (member.select("cls", "band", "bi").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+              .select("cls", "band", "bi", F.coalesce("root", "cls").alias("root")))
+    dealt = cells(stored(places, "places")).join(facts, "cls").join(texts, "cls")
+    more = stored(joining_links(dealt, size, limit, percent), "links")
     # the second pass only joins components of the first
-    step = (more.filter("ok").join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    step = (more.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
             .join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
             .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     joined = stored(components(step), "components")
