@@ -30,6 +30,8 @@ from innkeep.llm import textops as tx
 #: Bounds of the training samples, in rows; chosen by a hash of the id.
 POSITIVES, UNLABELLED = 12_000, 20_000
 HIDDEN, STEPS, RATE, BATCH = 16, 600, 0.02, 2048
+#: Weight decay times the number of positives: the fewer there are, the plainer the model.
+RIDGE = 10.0
 
 _SIGNS = [ord(c) for c in "!%$&*#|.,?-_/\\=+<>@:;()[]{}'\""]
 
@@ -119,6 +121,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     """Minimise the non-negative unbiased risk with Adam; a constant without positives."""
     if not len(positive) or not len(unlabelled):
         return prior
+    ridge = RIDGE / max(len(positive), 300)
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     f = both.shape[1]
@@ -147,7 +150,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             rest = minus[k] - prior * as_minus[k]
             g = prior * plus[k] + rest if negative >= 0 else -rest
             if k in ("w1", "w2"):
-                g = g + 1e-4 * getattr(model, k)
+                g = g + ridge * getattr(model, k)
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
             hat = (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.99 ** step)) + 1e-8)
