@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
+from innkeep.llm.store import bounded_sample
 
 #: Bounds of the training samples, in rows; chosen by a hash of the id.
 POSITIVES, UNLABELLED = 12_000, 20_000
@@ -188,14 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if prior is None:
         prior = 0.5 if share is None else share
     prior = float(np.clip(prior, 0.02, 0.98))
-    order = F.xxhash64("id")
-    positive = known.filter("y > 0").orderBy(order, "id").limit(POSITIVES).select("id")
+    positive = bounded_sample(known.filter("y > 0").select("id"), POSITIVES)
     every = docs.select(F.col(doc_id).alias("id")).filter("id is not null")
-    web = every.join(known, "id", "left_anti").orderBy(order, "id").limit(UNLABELLED)
+    web = bounded_sample(every.join(known, "id", "left_anti"), UNLABELLED)
     p = _sampled(docs, positive, text, doc_id)
     u = _sampled(docs, web, text, doc_id)
     if not len(u):  # every text is labelled: the labelled ones without their labels
-        u = _sampled(docs, known.orderBy(order, "id").limit(UNLABELLED).select("id"), text, doc_id)
+        u = _sampled(docs, bounded_sample(known.select("id"), UNLABELLED), text, doc_id)
     return fit(p, u, prior)
 
 

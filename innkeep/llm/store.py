@@ -5,12 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from innkeep.session import ensure_checkpoint_dir
 
-#: Rows of one Arrow batch handed to Python; texts are a few KB, so a batch is a few MB.
-ARROW_ROWS = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table (a file or a folder of files) by Spark's own reader."""
@@ -38,3 +36,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def bounded_sample(ids: DataFrame, bound: int, key: str = "id") -> DataFrame:
+    """At most ``bound`` rows, chosen by a hash of ``key``.
+
+    A hash threshold leaves little more than ``bound`` rows before they are sorted, so no task
+    sees more than that however many partitions there are.
+    """
+    n, place = ids.count(), F.pmod(F.xxhash64(key), F.lit(1 << 24))
+    if n > bound:
+        ids = ids.filter(place < int((1.05 * bound + 200) / n * (1 << 24)))
+    return ids.orderBy(place, key).limit(bound)
