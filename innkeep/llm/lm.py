@@ -13,8 +13,8 @@ tokens in a tree of bounded fan-in, ``ROUNDS`` times.  Scoring: the scores of al
 outputs are two matrix products, and the normaliser of every context is one more, so each
 token's log-probability is normalised exactly.
 
-Word counts are exact and over all training texts.  The ``FREQUENT`` most frequent tokens'
-counts (a bounded table) travel to the tasks; other words are joined by hash.
+Word counts are exact and over all training texts.  The most frequent tokens' counts
+(at most ``FREQUENT``, whole bins of equal counts) travel to the tasks; other words are joined by hash.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are scored each;
 without training tokens every token is unseen and the model is uniform over its outputs; an
@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
@@ -104,10 +104,27 @@ class Vocabulary:
         return np.where(self.ids[at] == t, at, WORDS + (t & 63))
 
 
+def _rank_bin(c: Column) -> Column:
+    """Bin of a count: exact below 4096, then 64 to each doubling (a few thousand bins at most)."""
+    return F.when(c < 4096, c).otherwise(F.floor(4096 + 64 * F.log2(c / 4096.0))).cast("long")
+
+
+def _least_bin(counts: DataFrame) -> int:
+    """The lowest bin such that it and all above hold at most FREQUENT tokens."""
+    bins = counts.groupBy(_rank_bin(F.col("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, least = 0, 1 << 62
+    for k, n in sorted(((r["k"], r["n"]) for r in bins), reverse=True):
+        total += n
+        if total > FREQUENT:
+            break
+        least = k
+    return least
+
+
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """The vocabulary, and ids and counts of the FREQUENT most frequent tokens (ids ascending)."""
+    """The vocabulary, and ids and counts of at most FREQUENT most frequent tokens (ids ascending)."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "id").limit(FREQUENT).toArrow()
+    top = counts.filter(_rank_bin(F.col("c")) >= _least_bin(counts)).toArrow()
     ids, c = top.column("id").to_numpy(), top.column("c").to_numpy()
     first = np.lexsort((ids, -c))
     words = np.sort(ids[first[:WORDS]])
