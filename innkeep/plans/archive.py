@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.plans.common import sized_broadcast, customer_person, hotels_with_chain
+from innkeep.plans.common import customer_person, hotels_with_chain, left_join_known
 from innkeep.sources.schemas import FINAL_STATUSES
 
 ARCHIVE_COLS = ["record_type", "source_booking_id", "source_renting_id", "chain_name",
@@ -24,7 +24,7 @@ def snapshot(T, stays: DataFrame, record_type: str) -> DataFrame:
     (``renting_id``, ``source_booking_id``) rows in their new state.
     """
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_name")
-    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(sized_broadcast(h), "hotel_id")
+    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(h, "hotel_id")
     cp = customer_person(T).select("customer_id", "customer_full_name",
                                    F.col("legal_id").alias("customer_legal_id"))
     if record_type == "booking":
@@ -69,8 +69,12 @@ def archive_transitions(T, changes: DataFrame, archive: DataFrame | None = None,
     new = F.col("status")
     fires = new.isin(*FINAL_STATUSES) & (
         (F.col("op") == "insert") | ((F.col("op") == "update") & ~new.eqNullSafe(F.col("old_status"))))
-    rows = snapshot(T, changes.filter(fires), record_type)
-    return _not_archived(rows, archive)
+    fired = changes.filter(fires)
+    if "seq" in changes.columns:
+        key = f"{record_type}_id"
+        others = [c for c in changes.columns if c != key]
+        fired = fired.groupBy(key).agg(F.min_by(F.struct(*others), "seq").alias("_first")).select(key, "_first.*")
+    return _not_archived(snapshot(T, fired, record_type), archive)
 
 
 def customer_history(T, customer_ids: DataFrame, archive: DataFrame | None = None) -> DataFrame:
@@ -85,17 +89,8 @@ def customer_history(T, customer_ids: DataFrame, archive: DataFrame | None = Non
 def null_orphan_refs(archive: DataFrame, booking: DataFrame, renting: DataFrame) -> DataFrame:
     """Source ids that no longer exist become NULL; booking rows never
     carry a renting id."""
-    bk = booking.select(F.col("booking_id").alias("_bk"))
-    rk = renting.select(F.col("renting_id").alias("_rk"))
-    a = archive.join(bk, archive.source_booking_id == bk._bk, "left") \
-               .join(rk, archive.source_renting_id == rk._rk, "left")
-    cols = []
-    for c in archive.columns:
-        if c == "source_booking_id":
-            cols.append(F.when(F.col("_bk").isNotNull(), F.col(c)).alias(c))
-        elif c == "source_renting_id":
-            cols.append(F.when((F.col("record_type") != "booking") & F.col("_rk").isNotNull(),
-                               F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return a.select(*cols)
+    bk = booking.select(F.col("booking_id").alias("source_booking_id"), F.lit(True).alias("_bk"))
+    rk = renting.select(F.col("renting_id").alias("source_renting_id"), F.lit(True).alias("_rk"))
+    a = left_join_known(left_join_known(archive, bk, "source_booking_id"), rk, "source_renting_id")
+    keep = {"source_booking_id": F.col("_bk"), "source_renting_id": F.col("_rk") & (F.col("record_type") != "booking")}
+    return a.select(*[F.when(keep[c], F.col(c)).alias(c) if c in keep else F.col(c) for c in archive.columns])

@@ -9,12 +9,15 @@ from innkeep.functions.columns import area, as_date, full_name
 from innkeep.sources.schemas import BLOCKING_BOOKING, BLOCKING_RENTING
 
 
-def sized_broadcast(df: DataFrame) -> DataFrame:
-    """Dimension side of a join.  No hint is forced: Spark broadcasts it when
-    its estimated size is below ``spark.sql.autoBroadcastJoinThreshold`` and
-    AQE re-checks with the measured size at run time, so a dimension that
-    outgrows the threshold falls back to a shuffled join by itself."""
-    return df
+def left_join_known(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` in which rows without a key take no part.
+
+    They match nothing anyway, but would all hash to one partition.
+    """
+    joined = df.filter(F.col(key).isNotNull()).join(other, key, "left")
+    bare = df.filter(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema if f.name != key])
+    return joined.select(*bare.columns).unionByName(bare)
 
 
 def open_bookings(T) -> DataFrame:
@@ -27,7 +30,7 @@ def active_rentings(T) -> DataFrame:
 
 def hotels_with_chain(T) -> DataFrame:
     """hotel ⋈ chain (dimension tables; chain side broadcast when small)."""
-    return T["hotel"].join(sized_broadcast(T["hotel_chain"].select("chain_id", "chain_name")),
+    return T["hotel"].join(T["hotel_chain"].select("chain_id", "chain_name"),
                            "chain_id").withColumn("area", area("address_line"))
 
 
@@ -36,7 +39,7 @@ def rooms_star(T, room: DataFrame | None = None) -> DataFrame:
     room = room if room is not None else T["room"]
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_id", "chain_name",
                                     "category", "total_rooms", "address_line", "area")
-    return room.join(sized_broadcast(h), "hotel_id")
+    return room.join(h, "hotel_id")
 
 
 def customer_person(T) -> DataFrame:

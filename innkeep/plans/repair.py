@@ -38,8 +38,8 @@ def repair_keys(person: DataFrame, tie: str = "email") -> DataFrame:
     (rank over ``(legal_id, tie)``), zero padded to 9 digits; id_type is
     forced to 'SIN'.  Returns the whole repaired table plus ``old_legal_id``.
 
-    Padding to 9 digits truncates ids past 999 999 999 (as LPAD does), so
-    ``key_overflow`` flags rows whose new id would not fit.
+    A row whose new id would need more than 9 digits gets none: its id is
+    NULL and ``key_overflow`` marks it as a reject (``repair_rejects``).
     """
     ranked = duplicate_rank(person, tie)
     bad = ~F.col("legal_id").rlike(SIN_RE) | (F.col("duplicate_rank") > 1)
@@ -50,7 +50,8 @@ def repair_keys(person: DataFrame, tie: str = "email") -> DataFrame:
     fixed = to_fix.withColumn("m", m).select(
         *[c for c in person.columns if c != "legal_id"],
         F.col("legal_id").alias("old_legal_id"),
-        F.lpad((F.col("m") + F.col("fix_rank")).cast("string"), 9, "0").alias("legal_id"),
+        F.when(F.col("m") + F.col("fix_rank") <= 999999999,
+               F.lpad((F.col("m") + F.col("fix_rank")).cast("string"), 9, "0")).alias("legal_id"),
         ((F.col("m") + F.col("fix_rank")) > 999999999).alias("key_overflow"))
     good = ranked.filter(~bad).select(*[c for c in person.columns],
                                       F.col("legal_id").alias("old_legal_id"),
@@ -59,6 +60,11 @@ def repair_keys(person: DataFrame, tie: str = "email") -> DataFrame:
     return out.withColumn("id_type", F.lit("SIN"))
 
 
+def repair_rejects(repaired: DataFrame) -> DataFrame:
+    """Rows of ``repair_keys`` for which no nine-digit id was left."""
+    return repaired.filter("key_overflow")
+
+
 def populate_issues(room: DataFrame) -> DataFrame:
     """Among rooms without issues (NULL or blank), ranked by room id,
     every 5th gets an issue text chosen by rank % 4.  Returns the picked rooms."""
@@ -172,7 +178,8 @@ def fill_staff(T, as_of) -> DataFrame:
     ranked = global_rank(new.withColumn("_o", F.when(F.col("is_manager"), 0).otherwise(1)),
                          ["hotel_id", "_o"], "rk")
     sin = max_sin + F.col("rk")
-    sin_txt = F.lpad(sin.cast("string"), 9, "0")
+    # past nine digits there is no id: the row is a reject without one
+    sin_txt = F.when(sin <= 999999999, F.lpad(sin.cast("string"), 9, "0"))
     mgr_c = F.col("is_manager")
     hid = F.col("hotel_id").cast("string")
     phone = (F.lit(2000000000) + sin % 7000000000).cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.columns import (as_date, blank_as_null, capacity_weight, fmt_date,
                                        fmt_timestamp, payment_method_label, status_slug)
-from innkeep.plans.common import (active_rentings, customer_person, hotels_with_chain, sized_broadcast,
+from innkeep.plans.common import (active_rentings, customer_person, hotels_with_chain, left_join_known,
                                   open_bookings)
 
 
@@ -19,7 +19,7 @@ def active_per_chain(T) -> DataFrame:
     """
     per_room = open_bookings(T).groupBy("room_id").agg(F.count("booking_id").alias("n"))
     h = hotels_with_chain(T).select("hotel_id", "chain_name")
-    rooms = T["room"].select("room_id", "hotel_id").join(sized_broadcast(h), "hotel_id")
+    rooms = T["room"].select("room_id", "hotel_id").join(h, "hotel_id")
     return (rooms.join(per_room, "room_id", "left")
                  .groupBy("chain_name")
                  .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("active_bookings")))
@@ -35,7 +35,7 @@ def rooms_per_area(T) -> DataFrame:
     h = hotels_with_chain(T).select("hotel_id", "area")
     per_hotel = T["room"].filter(F.col("current_status") == "available") \
         .groupBy("hotel_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_hotel.join(sized_broadcast(h), "hotel_id").groupBy("area") \
+    return per_hotel.join(h, "hotel_id").groupBy("area") \
         .agg(F.sum("n").cast("int").alias("available_rooms"))
 
 
@@ -70,7 +70,7 @@ def managers_register(T) -> DataFrame:
         .select("employee_id", F.col("username").alias("account_username"),
                 F.col("is_active").alias("account_is_active"))
     e = T["employee"].filter(F.col("is_manager"))
-    return (e.join(p, "legal_id").join(sized_broadcast(h), "hotel_id").join(acc, "employee_id", "left")
+    return (e.join(p, "legal_id").join(h, "hotel_id").join(acc, "employee_id", "left")
              .select(F.col("employee_id").alias("manager_employee_id"),
                      F.col("legal_id").alias("manager_sin"), "first_name", "last_name", "email",
                      "phone", "hotel_id", "hotel_name", "chain_id", "chain_name", "role_title",
@@ -107,13 +107,20 @@ def open_bookings_board(T, as_of, hotel_id=None, limit: int | None = None) -> Da
         (F.col("end_date") < d).alias("is_overdue"),
         ((st == "reserved") & (F.col("start_date") == d)).alias("can_check_in"),
         (st.isin("reserved", "checked_in") & (F.col("end_date") >= d)).alias("can_cancel"),
-        ((st == "reserved") & (F.col("start_date") >= d)).alias("can_update_dates"),
+        ((st == "reserved") & (F.col("end_date") >= d)).alias("can_update_dates"),
         (F.col("end_date") < d).alias("can_complete"), status_slug("status").alias("status_slug"))
     if limit is not None:
         out = out.orderBy(F.col("is_overdue").desc(), "start_date", F.col("booking_id").desc()).limit(limit)
     return out
 
 
+def desk_free_rooms(T, hotel_id) -> DataFrame:
+    """K8: the desk's free-room list: stored status 'available', first 200 by room id."""
+    h = T["hotel"].select("hotel_id", "hotel_name", F.col("address_line").alias("location"))
+    return (T["room"].filter((F.col("current_status") == "available") & (F.col("hotel_id") == hotel_id))
+            .join(h, "hotel_id").select("room_id", "room_number", "hotel_name", "location").orderBy("room_id").limit(200))
+
+
 def payments_board(T) -> DataFrame:
     """Payment ⋈ renting ⋈ room ⋈ customer ⋈ person."""
     r = T["renting"].select("renting_id", "room_id", "customer_id")
@@ -199,7 +206,7 @@ def customer_register(T, viewer_role: str = "employee", hotel_id=None) -> DataFr
     c = customer_person(T)
     if viewer_role != "admin" and hotel_id is not None:
         c = c.filter((F.col("hotel_id") == hotel_id) | F.col("hotel_id").isNull())
-    return (c.join(sized_broadcast(h), "hotel_id", "left").join(acc, "customer_id", "left")
+    return (c.join(h, "hotel_id", "left").join(acc, "customer_id", "left")
             .select("customer_id", "legal_id", "first_name", "last_name", "hotel_id",
                     F.coalesce("hotel_name", F.lit("Unassigned")).alias("hotel_label"),
                     "username", "is_active",
@@ -250,7 +257,7 @@ def archive_history(archive: DataFrame, T, hotel_id=None, limit: int = 700) -> D
     if hotel_id is not None:
         h = T["hotel"].filter(F.col("hotel_id") == hotel_id).join(T["hotel_chain"], "chain_id") \
             .select("hotel_name", "chain_name")
-        a = a.join(sized_broadcast(h), ["hotel_name", "chain_name"], "left_semi")
+        a = a.join(h, ["hotel_name", "chain_name"], "left_semi")
     sid = F.coalesce("source_renting_id", "source_booking_id")
     return a.withColumn("source_label", archive_source_label("record_type", "source_booking_id",
                                                              "source_renting_id")) \
@@ -266,7 +273,7 @@ def staff_register(T, hotel_id=None) -> DataFrame:
     e = T["employee"]
     if hotel_id is not None:
         e = e.filter(F.col("hotel_id") == hotel_id)
-    return (e.join(p, "legal_id").join(sized_broadcast(h), "hotel_id").join(acc, "employee_id", "left")
+    return (e.join(p, "legal_id").join(h, "hotel_id").join(acc, "employee_id", "left")
             .select("employee_id", "legal_id", "first_name", "last_name", "email", "phone", "hotel_id",
                     "hotel_name", "role_title", "is_manager", "username", "is_active",
                     F.lit(None).cast("string").alias("password_plain")))
@@ -276,7 +283,7 @@ def active_rentings_board(T, hotel_id=None) -> DataFrame:
     """Active rentings with room, hotel, chain and guest; walk-in
     rentings (no source booking) are labelled."""
     h = hotels_with_chain(T).select("hotel_id", "hotel_name", "chain_name")
-    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(sized_broadcast(h), "hotel_id")
+    rooms = T["room"].select("room_id", "hotel_id", "room_number").join(h, "hotel_id")
     if hotel_id is not None:
         rooms = rooms.filter(F.col("hotel_id") == hotel_id)
     cp = customer_person(T).select("customer_id", "customer_full_name")
@@ -290,16 +297,17 @@ def active_rentings_board(T, hotel_id=None) -> DataFrame:
 
 def account_display_names(T) -> DataFrame:
     """Display name per account: employee's name, else customer's,
-    else 'Administrator' (optional lookups are left joins)."""
+    else 'Administrator'.  Accounts without an employee id (or without a
+    customer id) bypass that join, so their NULL keys never meet in one task."""
     from innkeep.functions.columns import display_name
     p = T["person"].select("legal_id", "first_name", "last_name")
     emp = T["employee"].select("employee_id", "legal_id").join(p, "legal_id") \
         .select("employee_id", F.col("first_name").alias("ef"), F.col("last_name").alias("el"))
     cus = T["customer"].select("customer_id", "legal_id").join(p, "legal_id") \
         .select("customer_id", F.col("first_name").alias("cf"), F.col("last_name").alias("cl"))
-    return (T["auth_account"].select("account_id", "role", "employee_id", "customer_id")
-            .join(emp, "employee_id", "left").join(cus, "customer_id", "left")
-            .select("account_id", "role", display_name("ef", "el", "cf", "cl").alias("display_name")))
+    acc = left_join_known(T["auth_account"].select("account_id", "role", "employee_id", "customer_id"), emp, "employee_id")
+    acc = left_join_known(acc, cus, "customer_id")
+    return acc.select("account_id", "role", display_name("ef", "el", "cf", "cl").alias("display_name"))
 
 
 def find_account(T, username: str) -> DataFrame:

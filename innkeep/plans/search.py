@@ -87,7 +87,8 @@ def unavailable_ranges(T, as_of, rooms: DataFrame | None = None, horizon: int |
     """Per room, the blocks not ended at ``as_of``.
 
     Flattened form (default): count, first start, last end.  ``as_list``
-    returns the ordered list per room and requires a ``horizon``.
+    returns the ordered list per room (one output row holds a room's list).
+    ``horizon`` optionally leaves out blocks that start later.
     """
     b = blocks(T, as_of)
     if horizon is not None:
@@ -95,10 +96,6 @@ def unavailable_ranges(T, as_of, rooms: DataFrame | None = None, horizon: int |
     if rooms is not None:
         b = b.join(rooms.select("room_id"), "room_id", "left_semi")
     if as_list:
-        if horizon is None:
-            # a per-room list must stay bounded: the horizon caps it at
-            # horizon + 1 blocks of at least one day for non-overlapping stays
-            raise ValueError("as_list needs a horizon")
         return b.groupBy("room_id").agg(F.sort_array(F.collect_list(
             F.struct("start_date", "end_date", "block_type", "source_id"))).alias("ranges"))
     return b.groupBy("room_id").agg(

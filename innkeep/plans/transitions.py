@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions.columns import as_date
 from innkeep.operators.rank import global_rank
+from innkeep.plans.common import left_join_known
 from innkeep.plans.conflicts import find_conflicts, first_violation
 from innkeep.sources.schemas import BLOCKING_BOOKING
 
@@ -35,7 +36,8 @@ def apply_transitions(T, requests: DataFrame, as_of) -> DataFrame:
                             F.col("status").alias("old_status")).join(rooms, "room_id", "left")
     staff = T["employee"].select(F.col("employee_id").alias("actor_employee_id"),
                                  F.col("hotel_id").alias("actor_hotel"))
-    j = requests.join(b, "booking_id", "left").join(staff, "actor_employee_id", "left")
+    j = requests.join(b, "booking_id", "left")
+    j = left_join_known(j, staff, "actor_employee_id")
     st, act, c = F.col("old_status"), F.col("action"), F.col
     missing = c("room_id").isNull()
     is_cust = c("actor") == "customer"

@@ -434,7 +434,7 @@ SELECT booking_id, room_id, customer_id, start_date, end_date, status,
   end_date < DATE '{AS_OF}' AS is_overdue,
   status = 'reserved' AND start_date = DATE '{AS_OF}' AS can_check_in,
   status IN ('reserved', 'checked_in') AND end_date >= DATE '{AS_OF}' AS can_cancel,
-  status = 'reserved' AND start_date >= DATE '{AS_OF}' AS can_update_dates,
+  status = 'reserved' AND end_date >= DATE '{AS_OF}' AS can_update_dates,
   end_date < DATE '{AS_OF}' AS can_complete,
   regexp_replace(lower(status), '[^a-z_]', '_', 'g') AS status_slug
 FROM open_booking""")
@@ -566,7 +566,7 @@ def q_dup_rank(T):
 SELECT legal_id, legal_id AS old_legal_id, 'SIN' AS id_type, first_name, last_name, email, false AS key_overflow
 FROM pr WHERE regexp_matches(legal_id, '^[0-9]{9}$') AND dr = 1
 UNION ALL
-SELECT lpad(CAST(m.m + f.rk AS VARCHAR), 9, '0'), f.legal_id, 'SIN', f.first_name, f.last_name, f.email,
+SELECT CASE WHEN m.m + f.rk <= 999999999 THEN lpad(CAST(m.m + f.rk AS VARCHAR), 9, '0') END, f.legal_id, 'SIN', f.first_name, f.last_name, f.email,
        m.m + f.rk > 999999999
 FROM (SELECT *, row_number() OVER (ORDER BY legal_id, email) AS rk FROM pr
       WHERE NOT regexp_matches(legal_id, '^[0-9]{9}$') OR dr > 1) f,
@@ -625,11 +625,11 @@ def q_fill_rooms(T):
 @register("fill_staff", f"""
 SELECT mx.m + z.rk AS employee_id, z.hotel_id, z.is_manager,
   CASE WHEN z.is_manager THEN 'Manager' ELSE 'Guest Services Agent' END AS role_title,
-  lpad(CAST(ms.s + z.rk AS VARCHAR), 9, '0') AS legal_id,
+  CASE WHEN ms.s + z.rk <= 999999999 THEN lpad(CAST(ms.s + z.rk AS VARCHAR), 9, '0') END AS legal_id,
   CASE WHEN z.is_manager THEN 'Hotel' ELSE 'Frontdesk' END AS first_name,
   CASE WHEN z.is_manager THEN 'Manager' ELSE 'Employee' END || CAST(z.hotel_id AS VARCHAR) AS last_name,
   CASE WHEN z.is_manager THEN 'manager' ELSE 'employee' END || '.hotel' || CAST(z.hotel_id AS VARCHAR) || '.'
-    || lpad(CAST(ms.s + z.rk AS VARCHAR), 9, '0') || '@workmail.com' AS email,
+    || CASE WHEN ms.s + z.rk <= 999999999 THEN lpad(CAST(ms.s + z.rk AS VARCHAR), 9, '0') END || '@workmail.com' AS email,
   right(CAST(2000000000 + (ms.s + z.rk) % 7000000000 AS VARCHAR), 10) AS phone,
   CAST(z.hotel_id + 300 AS VARCHAR) || ' Service Road' AS address_line,
   DATE '{AS_OF}' AS hired_on
@@ -982,12 +982,12 @@ def q_stream_admission(T):
 
 
 # ---------------------------------------------------------------- guards, accounts, migration
-@register("delete_guards", f"""
+@register("delete_guards", """
 SELECT 'customer' AS entity, c.customer_id AS id,
-  NOT (EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id AND b.end_date >= DATE '{AS_OF}')
-       OR EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id AND x.end_date >= DATE '{AS_OF}')) AS can_delete,
-  CASE WHEN EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id AND b.end_date >= DATE '{AS_OF}') THEN 'open_booking'
-       WHEN EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id AND x.end_date >= DATE '{AS_OF}') THEN 'active_renting' END AS reason
+  NOT (EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id)
+       OR EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id)) AS can_delete,
+  CASE WHEN EXISTS (SELECT 1 FROM open_booking b WHERE b.customer_id = c.customer_id) THEN 'open_booking'
+       WHEN EXISTS (SELECT 1 FROM active_renting x WHERE x.customer_id = c.customer_id) THEN 'active_renting' END AS reason
 FROM customer_t c
 UNION ALL
 SELECT 'employee', e.employee_id,
@@ -997,7 +997,7 @@ SELECT 'employee', e.employee_id,
        WHEN EXISTS (SELECT 1 FROM payment p WHERE p.employee_id = e.employee_id) THEN 'referenced_by_payment' END
 FROM employee e""")
 def q_guards(T):
-    return tables.delete_guards(T, AS_OF)
+    return tables.delete_guards(T)
 
 
 def account_requests(T) -> DataFrame:
@@ -1145,7 +1145,7 @@ SELECT booking_id, room_id, customer_id, start_date, end_date, status,
   end_date < DATE '{AS_OF}' AS is_overdue,
   status = 'reserved' AND start_date = DATE '{AS_OF}' AS can_check_in,
   status IN ('reserved', 'checked_in') AND end_date >= DATE '{AS_OF}' AS can_cancel,
-  status = 'reserved' AND start_date >= DATE '{AS_OF}' AS can_update_dates,
+  status = 'reserved' AND end_date >= DATE '{AS_OF}' AS can_update_dates,
   end_date < DATE '{AS_OF}' AS can_complete,
   regexp_replace(lower(status), '[^a-z_]', '_', 'g') AS status_slug
 FROM open_booking WHERE room_id IN (SELECT room_id FROM room WHERE hotel_id = {POLICY_HOTEL})
@@ -1260,16 +1260,24 @@ def q_display_names(T):
 
 
 @register("free_rooms_today", f"""
-SELECT r.room_id, r.room_number, r.capacity, r.base_price FROM room r
-WHERE r.hotel_id = {POLICY_HOTEL} AND r.current_status <> 'maintenance'
-  AND NOT EXISTS (SELECT 1 FROM open_booking b WHERE b.room_id = r.room_id
-                  AND {ovl_win('b', AS_OF, '1998-06-16')})
-  AND NOT EXISTS (SELECT 1 FROM active_renting x WHERE x.room_id = r.room_id
-                  AND {ovl_win('x', AS_OF, '1998-06-16')})""")
+SELECT r.room_id, r.room_number, h.hotel_name, h.address_line AS location
+FROM room r JOIN hotel h ON h.hotel_id = r.hotel_id
+WHERE r.current_status = 'available' AND r.hotel_id = {POLICY_HOTEL} ORDER BY r.room_id LIMIT 200""")
 def q_free_today(T):
-    """K8: rooms of the desk's hotel free for the night of ``as_of``."""
-    rooms = T["room"].filter((F.col("hotel_id") == POLICY_HOTEL) & (F.col("current_status") != "maintenance"))
-    return search.free_rooms(T, AS_OF, "1998-06-16", rooms).select("room_id", "room_number", "capacity", "base_price")
+    return reports.desk_free_rooms(T, POLICY_HOTEL)
+
+
+@register("unavailable_list", f"""
+SELECT room_id, count(*) AS n_blocks,
+       string_agg(strftime(start_date, '%Y-%m-%d') || '/' || strftime(end_date, '%Y-%m-%d') || '/' || block_type || '/' || CAST(source_id AS VARCHAR), ','
+                  ORDER BY start_date, end_date, block_type, source_id) AS ranges
+FROM {BLOCKS_SQL} b WHERE b.end_date > DATE '{AS_OF}' GROUP BY room_id""")
+def q_unavailable_list(T):
+    """Every block of every room not ended yet, in order."""
+    lists = search.unavailable_ranges(T, AS_OF, as_list=True)
+    text = F.transform("ranges", lambda r: F.concat_ws(
+        "/", r["start_date"].cast("string"), r["end_date"].cast("string"), r["block_type"], r["source_id"].cast("string")))
+    return lists.select("room_id", F.size("ranges").cast("long").alias("n_blocks"), F.array_join(text, ",").alias("ranges"))
 
 
 @register("open_days", f"""
