@@ -11,10 +11,10 @@ renting is reported once, as a booking violation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.operators.intervals import overlap_exists, overlap_pairs
+from innkeep.operators.intervals import day_cells, overlap_pairs
 from innkeep.plans.common import active_rentings, open_bookings
 
 # Rule order per record type.
@@ -37,18 +37,35 @@ def booking_renting_pairs(T, key: str = "room_id") -> DataFrame:
 
 def conflict_flags(T) -> DataFrame:
     """Per open booking, whether it clashes (by room) with an active
-    renting / another open booking.  Semi-joins only: no pair output."""
+    renting / another open booking.  One join on room-days, no pairs."""
     ob = open_bookings(T)
-    ar = active_rentings(T)
-    with_r = overlap_exists(ob, ar, "room_id", left_id="booking_id", right_id="renting_id") \
-        .withColumn("has_renting_clash", F.lit(True))
-    with_b = overlap_exists(ob, ob, "room_id", left_id="booking_id", exclude_same_id=True) \
-        .withColumn("has_booking_clash", F.lit(True))
-    return (ob.select("booking_id").join(with_r, "booking_id", "left")
-              .join(with_b, "booking_id", "left")
-              .select("booking_id",
-                      F.coalesce("has_renting_clash", F.lit(False)).alias("has_renting_clash"),
-                      F.coalesce("has_booking_clash", F.lit(False)).alias("has_booking_clash")))
+    mine = day_cells(ob, ["booking_id"], ["room"])
+    hit = mine.join(_held_cells(T, ["room"]), ["kind", "key", "day"]).groupBy("booking_id").agg(
+        F.max(F.col("renting_lo").isNotNull()).alias("r"), F.max(_another("booking", F.col("booking_id"))).alias("b"))
+    return ob.select("booking_id").join(hit, "booking_id", "left").select(
+        "booking_id", F.coalesce("r", F.lit(False)).alias("has_renting_clash"),
+        F.coalesce("b", F.lit(False)).alias("has_booking_clash"))
+
+
+def _held_cells(T, kinds=("room", "customer")) -> DataFrame:
+    """Per (kind, key, day): least and largest id of the bookings and of the
+    rentings that block it.  Another row than x blocks the cell exactly
+    where the least or the largest id is not x, so two ids say it all.
+    Rows are combined before the shuffle: a hot room is a row per day."""
+    frames = []
+    for side in ("booking", "renting"):
+        rows, sid = _side(T, side)
+        frames.append(day_cells(rows.withColumn("_id", F.col(sid)).withColumn("_side", F.lit(side)), ["_side", "_id"], kinds))
+    both = frames[0].unionByName(frames[1])
+    pick = lambda f, side: f(F.when(F.col("_side") == side, F.col("_id")))
+    return both.groupBy("kind", "key", "day").agg(
+        *[pick(f, side).alias(f"{side}_{n}") for side in ("booking", "renting") for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def _another(side: str, own) -> Column:
+    """Whether a stay of ``side`` other than ``own`` (may be null) holds the cell."""
+    lo, hi = F.col(f"{side}_lo"), F.col(f"{side}_hi")
+    return lo.isNotNull() & (own.isNull() | (lo != own) | (hi != own))
 
 
 def _side(T, kind):
@@ -83,40 +100,33 @@ def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting
     record violates against the blocking records of ``T``.
 
     ``candidates`` optionally maps ``'booking'``/``'renting'`` to frames
-    of new rows to test instead of the stored ones.  Both record kinds are
-    tested together: one semi-join per (key, partner kind), four in all,
-    with the own-id and source-booking exclusions as residuals.
+    of new rows to test instead of the stored ones.  A candidate's id is
+    ``record_id`` where it has that column; the stored row of its
+    ``booking_id``/``renting_id`` is its own and ignored.  All rules come
+    from one join of the records' day cells with the cells that are held.
     """
     if candidates:
-        # candidates feed the date bounds and four semi-joins: compute them once
+        # candidates feed the date bounds and the join: compute them once
         candidates = {k: v.checkpoint(eager=True) for k, v in candidates.items()}
     T = _narrowed_to_candidates(T, candidates)
     lefts = []
     for side in sides:
         stored, sid = _side(T, side)
         me = candidates[side] if candidates and side in candidates else stored
-        src = F.col("source_booking_id") if side == "renting" else F.lit(None).cast("bigint")
-        lefts.append(me.select(F.lit(side).alias("kind"), F.col(sid).alias("rid"), "room_id",
-                               "customer_id", "start_date", "end_date", src.alias("src_booking")))
+        rid = "record_id" if "record_id" in me.columns else sid
+        skip_b = F.col("source_booking_id") if side == "renting" else F.col(sid)
+        skip_r = F.col(sid) if side == "renting" else F.lit(None).cast("bigint")
+        lefts.append(me.select(F.lit(side).alias("record_type"), F.col(rid).alias("record_id"), "room_id",
+                               "customer_id", "start_date", "end_date", skip_b.cast("bigint").alias("skip_b"),
+                               skip_r.cast("bigint").alias("skip_r")))
     left = lefts[0]
     for other_left in lefts[1:]:
         left = left.unionByName(other_left)
-    out = []
-    for key in ("room_id", "customer_id"):
-        for other in ("booking", "renting"):
-            tab, oid = _side(T, other)
-            residual = ~((F.col("l.kind") == other) & (F.col("l.rid") == F.col(f"r.{oid}")))
-            if other == "booking":
-                residual = residual & ~((F.col("l.kind") == "renting")
-                                        & (F.col("r.booking_id") == F.col("l.src_booking")))
-            hits = overlap_exists(left, tab, key, left_id=["kind", "rid"], right_id=oid,
-                                  extra=F.coalesce(residual, F.lit(True)), left_cols=["src_booking"])
-            out.append(hits.select(F.col("kind").alias("record_type"), F.col("rid").alias("record_id"),
-                                   F.lit(f"{key.split('_')[0]}_{other}").alias("rule")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    cells = day_cells(left, ["record_type", "record_id", "skip_b", "skip_r"]).join(_held_cells(T), ["kind", "key", "day"])
+    rules = [F.when(_another("booking", F.col("skip_b")), F.concat("kind", F.lit("_booking"))),
+             F.when(_another("renting", F.col("skip_r")), F.concat("kind", F.lit("_renting")))]
+    return (cells.select("record_type", "record_id", F.explode(F.array(*rules)).alias("rule"))
+            .filter("rule is not null").distinct())
 
 
 def first_violation(hits: DataFrame, side: str = "booking") -> DataFrame:

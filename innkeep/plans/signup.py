@@ -6,10 +6,9 @@ rejected when its SIN or e-mail is already a person, or its user name an
 account ('sin_registered', 'email_registered', 'username_taken' - J28
 codes, checked in that order).  Inside the batch, requests are replayed in
 arrival order: a request is rejected when an earlier *accepted* request
-has the same SIN, e-mail or user name.  As in J2 this is resolved in
-rounds of left-semi joins (equal key + arrival-order residual), so no
-pairs are built; rejected requests reserve nothing.  Accepted requests
-get new customer ids after the current maximum, in arrival order.
+has the same SIN, e-mail or user name (``first_come`` over these values);
+rejected requests reserve nothing.  Accepted requests get new customer ids
+after the current maximum, in arrival order.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.functions import intake as R
+from innkeep.operators.first_come import first_come
 from innkeep.operators.rank import global_rank
 
 KEYS = [("legal_id", "sin_registered"), ("email", "email_registered"), ("username", "username_taken")]
@@ -37,14 +37,7 @@ def _validate(req: DataFrame) -> DataFrame:
                       ad.alias("address_line"), un.alias("username"), reason.alias("reason"))
 
 
-def _earlier_same(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    l, r = left.alias("l"), right.alias("r")
-    cond = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (
-        F.struct(F.col("r.arrival"), F.col("r.request_id")) < F.struct(F.col("l.arrival"), F.col("l.request_id")))
-    return l.join(r, cond, "left_semi").select("request_id")
-
-
-def register_customers(T, requests: DataFrame, as_of, max_rounds: int = 1000) -> DataFrame:
+def register_customers(T, requests: DataFrame, as_of) -> DataFrame:
     """``requests``: request_id, arrival, sin_raw, first_name_raw,
     last_name_raw, email_raw, phone_raw, address_raw, username_raw.
     Returns ``(request_id, accepted, reason, customer_id, legal_id, email,
@@ -62,50 +55,22 @@ def register_customers(T, requests: DataFrame, as_of, max_rounds: int = 1000) ->
         reason = F.when(F.col(f"_{key}").isNotNull(), F.lit(code)).otherwise(reason)
     flagged = flagged.withColumn("reason", reason).drop(*[f"_{k}" for k, _ in KEYS]).checkpoint(eager=True)
     taken = flagged.filter(F.col("reason").isNotNull())
-    und = flagged.filter(F.col("reason").isNull()).checkpoint(eager=True)
-    decided = []
-    rnd = 0
-    while not und.isEmpty():
-        rnd += 1
-        if rnd > max_rounds:
-            raise RuntimeError(f"sign-up resolution did not converge in {max_rounds} rounds")
-        blocked = None
-        for key, _code in KEYS:
-            b = _earlier_same(und, und, key)
-            blocked = b if blocked is None else blocked.unionByName(b)
-        acc = und.join(blocked, "request_id", "left_anti")
-        rest = und.join(acc.select("request_id"), "request_id", "left_anti")
-        rej = None
-        for key, _code in KEYS:
-            r = _earlier_same(rest, acc, key)
-            rej = r if rej is None else rej.unionByName(r)
-        dec = (acc.select("request_id", F.lit(True).alias("accepted"))
-               .unionByName(rej.distinct().select("request_id", F.lit(False).alias("accepted")))
-               ).checkpoint(eager=True)
-        decided.append(dec)
-        und = und.join(dec.select("request_id"), "request_id", "left_anti").checkpoint(eager=True)
-    # reasons once all decisions are known: the first key shared with an
-    # earlier accepted request (an earlier request may be accepted in a later
-    # round than the one that rejected this request)
-    resolved = None
-    for d in decided:
-        resolved = d if resolved is None else resolved.unionByName(d)
-    if resolved is not None:
-        resolved = resolved.checkpoint(eager=True)
-        acc_all = flagged.join(resolved.filter("accepted").select("request_id"), "request_id", "left_semi")
-        rej_all = flagged.join(resolved.filter(~F.col("accepted")).select("request_id"), "request_id", "left_semi")
-        why = None
-        for key, code in KEYS:
-            w = _earlier_same(rej_all, acc_all, key).select("request_id", F.lit(code).alias("reason"))
-            if why is not None:
-                w = w.join(why.select("request_id"), "request_id", "left_anti")
-            why = w if why is None else why.unionByName(w)
-        decided = [resolved.join(why, "request_id", "left").select(
-            "request_id", "accepted", F.when(~F.col("accepted"), F.col("reason")).alias("reason"))]
+    live = flagged.filter(F.col("reason").isNull())
+    claims = live.select("request_id", "arrival", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("rule"), F.col(key).alias("value")) for i, (key, _code) in enumerate(KEYS)])).alias("c")) \
+        .select("request_id", "arrival", "c.rule", "c.value").filter("value is not null").checkpoint(eager=True)
+    state = first_come(live, claims, ["rule", "value"]).checkpoint(eager=True)
+    # the first key shared with an earlier accepted request, the only one that holds the value
+    held = claims.join(state.filter("accepted").select("request_id"), "request_id", "left_semi") \
+        .select("rule", "value", F.struct("arrival", "request_id").alias("holder"))
+    why = (claims.join(state.filter("not accepted").select("request_id"), "request_id", "left_semi")
+           .join(held, ["rule", "value"]).filter(F.col("holder") < F.struct("arrival", "request_id"))
+           .groupBy("request_id").agg(F.min("rule").alias("rule")))
+    codes = F.array(*[F.lit(code) for _key, code in KEYS])
+    decided = state.join(why, "request_id", "left").select(
+        "request_id", "accepted", F.when(~F.col("accepted"), F.get(codes, F.col("rule"))).alias("reason"))
     out = invalid.select("request_id", F.lit(False).alias("accepted"), "reason") \
-        .unionByName(taken.select("request_id", F.lit(False).alias("accepted"), "reason"))
-    for d in decided:
-        out = out.unionByName(d)
+        .unionByName(taken.select("request_id", F.lit(False).alias("accepted"), "reason")).unionByName(decided)
     accepted = v.join(out.filter("accepted").select("request_id"), "request_id", "left_semi")
     mx = T["customer"].agg(F.coalesce(F.max("customer_id"), F.lit(0))).scalar()
     ids = global_rank(accepted.select("request_id", "arrival"), ["arrival", "request_id"], "_rk") \

@@ -63,11 +63,11 @@ def apply_transitions(T, requests: DataFrame, as_of) -> DataFrame:
         .otherwise("unknown_action"))
     j = j.withColumn("reason", reason)
     redates = j.filter((act == "redate") & c("reason").isNull()).select(
-        "booking_id", "room_id", "customer_id", F.col("new_start").alias("start_date"),
-        F.col("new_end").alias("end_date"))
+        F.col("request_id").alias("record_id"), "booking_id", "room_id", "customer_id",
+        F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"))
     clash = first_violation(find_conflicts(T, {"booking": redates}, sides=("booking",))) \
-        .select(F.col("record_id").alias("booking_id"), F.col("rule").alias("_clash"))
-    j = j.join(clash, "booking_id", "left").withColumn(
+        .select(F.col("record_id").alias("request_id"), F.col("rule").alias("_clash"))
+    j = j.join(clash, "request_id", "left").withColumn(
         "reason", F.coalesce("reason", F.when(act == "redate", F.col("_clash"))))
     ok = c("reason").isNull()
     new_status = F.when(ok & (act == "check_in"), "checked_in") \

@@ -870,37 +870,38 @@ def q_audit(T):
 
 
 # ---------------------------------------------------------------- upsert
+# Every customer asks for a change: most for a new e-mail, some (credit in
+# hand) for the one they have, every fiftieth for the next customer's.  That
+# one is free only where the next customer gave it up before.
 _UPSERT_CTES = {
-    "chg": """SELECT lpad(CAST(200000000 + c_custkey AS VARCHAR), 9, '0') AS legal_id,
-        CASE WHEN c_custkey % 50 = 0 THEN 'customer' || CAST(c_custkey + 1 AS VARCHAR) || '@mail.example'
+    "chg": """SELECT p.legal_id, p.first_name, p.last_name, c.c_custkey AS k,
+        CASE WHEN c_acctbal >= 0 THEN p.email
+             WHEN c_custkey % 50 = 0 THEN 'customer' || CAST(c_custkey + 1 AS VARCHAR) || '@mail.example'
              ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@mail.example' END AS email
-        FROM customer WHERE c_acctbal < 0""",
-    "cand": """SELECT p.legal_id, p.first_name, p.last_name, p.email, false AS is_new FROM person p
-          WHERE p.legal_id NOT IN (SELECT legal_id FROM chg)
-        UNION ALL
-        SELECT p.legal_id, p.first_name, p.last_name, c.email, true FROM person p JOIN chg c ON c.legal_id = p.legal_id""",
-    "rej": """SELECT legal_id FROM cand WHERE is_new AND email IN
-        (SELECT email FROM cand GROUP BY email HAVING count(*) > 1)""",
+        FROM customer c JOIN person p ON p.legal_id = lpad(CAST(200000000 + c_custkey AS VARCHAR), 9, '0')""",
+    "rej": """SELECT g.legal_id FROM chg g JOIN customer me ON me.c_custkey = g.k JOIN customer nxt ON nxt.c_custkey = g.k + 1
+        WHERE me.c_acctbal < 0 AND g.k % 50 = 0 AND NOT (g.k % 100 = 50 AND nxt.c_acctbal < 0)""",
 }
 
 
-@register("upsert", """
-SELECT legal_id, first_name, last_name, email FROM cand WHERE legal_id NOT IN (SELECT legal_id FROM rej)
-UNION ALL
-SELECT legal_id, first_name, last_name, email FROM person WHERE legal_id IN (SELECT legal_id FROM rej)""",
-          _UPSERT_CTES)
-def q_upsert(T):
+def _upserted(T):
     c = F.col("c_custkey")
-    chg = T["_raw"]["customer"].filter(F.col("c_acctbal") < 0).select(
-        F.lpad((F.lit(200000000) + c).cast("string"), 9, "0").alias("legal_id"),
-        F.when(c % 50 == 0, F.concat(F.lit("customer"), (c + 1).cast("string"), F.lit("@mail.example")))
-         .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@mail.example"))).alias("new_email"))
     cur = T["person"].select("legal_id", "first_name", "last_name", "email")
-    changes = cur.join(chg, "legal_id").select("legal_id", "first_name", "last_name",
-                                                F.col("new_email").alias("email"),
-                                                F.lit(1).alias("changed_at"))
-    new, _rejects = tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
-    return new
+    raw = T["_raw"]["customer"].select(F.lpad((F.lit(200000000) + c).cast("string"), 9, "0").alias("legal_id"), "c_custkey", "c_acctbal")
+    new = F.when(F.col("c_acctbal") >= 0, F.col("email")) \
+        .when(c % 50 == 0, F.concat(F.lit("customer"), (c + 1).cast("string"), F.lit("@mail.example"))) \
+        .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@mail.example")))
+    changes = cur.join(raw, "legal_id").select("legal_id", "first_name", "last_name", new.alias("email"),
+                                               (c + F.when(c % 100 == 50, 10).otherwise(0)).alias("changed_at"))
+    return tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
+
+
+@register("upsert", """
+SELECT p.legal_id, p.first_name, p.last_name,
+       CASE WHEN g.legal_id IS NULL OR p.legal_id IN (SELECT legal_id FROM rej) THEN p.email ELSE g.email END AS email
+FROM person p LEFT JOIN chg g ON g.legal_id = p.legal_id""", _UPSERT_CTES)
+def q_upsert(T):
+    return _upserted(T)[0]
 
 
 # ---------------------------------------------------------------- streams (L1-L3)
@@ -1237,16 +1238,7 @@ def q_intake_payments(T):
 @register("upsert_rejects", """
 SELECT legal_id, 'unique_email' AS reason, 'email_registered' AS code FROM rej""", _UPSERT_CTES)
 def q_upsert_rejects(T):
-    c = F.col("c_custkey")
-    chg = T["_raw"]["customer"].filter(F.col("c_acctbal") < 0).select(
-        F.lpad((F.lit(200000000) + c).cast("string"), 9, "0").alias("legal_id"),
-        F.when(c % 50 == 0, F.concat(F.lit("customer"), (c + 1).cast("string"), F.lit("@mail.example")))
-         .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@mail.example"))).alias("new_email"))
-    cur = T["person"].select("legal_id", "first_name", "last_name", "email")
-    changes = cur.join(chg, "legal_id").select("legal_id", "first_name", "last_name",
-                                                F.col("new_email").alias("email"), F.lit(1).alias("changed_at"))
-    _new, rejects = tables.upsert(cur, changes, ["legal_id"], "changed_at", [["email"]])
-    return rejects.withColumn("code", quality.classify_violation("reason"))
+    return _upserted(T)[1].withColumn("code", quality.classify_violation("reason"))
 
 
 @register("account_display_names", """
