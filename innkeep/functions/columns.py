@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "as_date", "date_or_col", "area", "full_name", "capacity_weight", "overlaps", "covers",
-    "blank_as_null", "not_ended", "match_or_unassigned", "all_of",
+    "blank_as_null", "all_of",
     "payment_method_label", "payment_method_intake", "archive_source_label",
-    "fmt_date", "fmt_timestamp", "status_slug", "view_flags", "account_name",
+    "fmt_date", "fmt_timestamp", "status_slug", "view_flags",
     "toronto_today", "display_name",
 ]
 
@@ -53,7 +53,6 @@ def full_name(first, last) -> Column:
 
 
 # Guests per capacity class (anything else counts 0).
-CAPACITY_WEIGHT = {"single": 1, "double": 2, "suite": 3, "family": 4}
 
 
 def capacity_weight(capacity) -> Column:
@@ -81,16 +80,6 @@ def blank_as_null(c) -> Column:
     return F.nullif(F.btrim(_c(c)), F.lit(""))
 
 
-def not_ended(end, as_of) -> Column:
-    """Stay still running or in the future at ``as_of``."""
-    return _c(end) > as_date(as_of)
-
-
-def match_or_unassigned(c, value) -> Column:
-    """``c = value OR c IS NULL``."""
-    return (_c(c) == F.lit(value)) | _c(c).isNull()
-
-
 def all_of(conds) -> Column:
     """AND of a list of optional conjuncts (C1); TRUE when empty."""
     conds = [c for c in conds if c is not None]
@@ -138,13 +127,6 @@ def view_flags(view) -> tuple[Column, Column]:
     return v.isin("sea", "sea_mountain"), v.isin("mountain", "sea_mountain")
 
 
-def account_name(role, employee_id, customer_id) -> Column:
-    """``manager<id>`` / ``employee<id>`` / ``customer<id>``."""
-    r = _c(role)
-    return F.when(r == "customer", F.concat(F.lit("customer"), _c(customer_id).cast("string"))) \
-        .otherwise(F.concat(r, _c(employee_id).cast("string")))
-
-
 def toronto_today(ts) -> Column:
     """Local calendar day in America/Toronto for a UTC timestamp."""
     return F.to_date(F.from_utc_timestamp(_c(ts), "America/Toronto"))

@@ -41,14 +41,6 @@ def global_rank(df: DataFrame, order: list[str | Column], name: str = "rn",
     return ranged.withColumn(name, off + within + 1)
 
 
-def assign_ids(df: DataFrame, existing_max: Column | int, order: list[str | Column],
-               name: str) -> DataFrame:
-    """SERIAL-style keys: ``existing_max + global rank``."""
-    ranked = global_rank(df, order, "_rk")
-    base = existing_max if isinstance(existing_max, Column) else F.lit(existing_max)
-    return ranked.withColumn(name, (base + F.col("_rk")).cast("bigint")).drop("_rk")
-
-
 def rank_within_groups(df: DataFrame, group: list[str], order: list[str | Column],
                        name: str = "rank") -> DataFrame:
     """``row_number() OVER (PARTITION BY group ORDER BY order)`` without

@@ -107,6 +107,17 @@ BINDINGS: dict[str, str] = {
     "active_renting": "SELECT * FROM renting WHERE status = 'active'",
 }
 
+_SIN = re.compile(r"lpad\(CAST\(([27])00000000 \+ (\w+)( - 1)? AS VARCHAR\), 9, '0'\)")
+
+
+def wide_ids(sql: str) -> str:
+    """Legal ids past a hundred million keys: leading digit and the key in 18 digits."""
+    return _SIN.sub(lambda m: f"(CASE WHEN {m[2]}{m[3] or ''} < 100000000 THEN {m[0]} ELSE "
+                              f"'{m[1]}' || lpad(CAST({m[2]}{m[3] or ''} AS VARCHAR), 18, '0') END)", sql)
+
+
+BINDINGS = {name: wide_ids(sql) for name, sql in BINDINGS.items()}
+
 # CTEs that read other CTEs (listed after their inputs).
 _DEPS = {"open_booking": ["booking"], "active_renting": ["renting"]}
 _ORDER = list(BINDINGS)

@@ -77,8 +77,9 @@ def audit_constraints(T, tables: list[str] | None = None) -> DataFrame:
             for c in uk:
                 nn = nn.filter(F.col(c).isNotNull())
             add(t, "unique_" + "_".join(uk), nn.groupBy(*uk).count().filter("count > 1"), uk)
-    # foreign keys: all references to one parent key are checked together, so
-    # each parent is scanned and shuffled once (one anti-join per parent)
+    # foreign keys: references are counted per value first (a hot value is one
+    # row per task); all references to one parent key are then checked together,
+    # so each parent is scanned and shuffled once (one anti-join per parent)
     by_parent: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for child, ccol, parent, pcol, _action in FOREIGN_KEYS:
         if child in tables and parent in T:
@@ -89,11 +90,11 @@ def audit_constraints(T, tables: list[str] | None = None) -> DataFrame:
         for child, ccol in refs:
             r = T[child].filter(F.col(ccol).isNotNull()).select(
                 F.lit(child).alias("table_name"), F.lit(f"fk_{ccol}").alias("rule"),
-                F.col(ccol).cast(vtype).alias("_v"))
+                F.col(ccol).cast(vtype).alias("_v")).groupBy("table_name", "rule", "_v").agg(F.count(F.lit(1)).alias("_n"))
             refs_df = r if refs_df is None else refs_df.unionByName(r)
         orphans = refs_df.join(T[parent].select(F.col(pcol).alias("_v")), "_v", "left_anti")
         parts.append(orphans.groupBy("table_name", "rule").agg(
-            F.count(F.lit(1)).alias("n_violations"), F.min(F.col("_v").cast("string")).alias("sample_key"))
+            F.sum("_n").alias("n_violations"), F.min(F.col("_v").cast("string")).alias("sample_key"))
             .select("table_name", "rule", "n_violations", "sample_key"))
     out = parts[0]
     for p in parts[1:]:

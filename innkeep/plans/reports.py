@@ -234,12 +234,6 @@ def home_counters(T) -> DataFrame:
         n("employee").alias("employees"))
 
 
-def issues_label(c):
-    return F.coalesce(blank_as_null(c), F.lit("None reported"))
-
-
-
-
 def search_page(T, limit: int = 300, **criteria) -> DataFrame:
     """K6: first page of a room search with each room's next unavailable
     range (the unavailability lookup only touches the page's rooms)."""

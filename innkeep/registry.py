@@ -746,6 +746,7 @@ def q_admission(T):
 
 
 # ---------------------------------------------------------------- data quality
+from innkeep.functions.intake import EMAIL_RE, FALSE_WORDS, TRUE_WORDS  # noqa: E402
 from innkeep.plans import quality  # noqa: E402
 from innkeep.sources.schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, UNIQUE_KEYS  # noqa: E402
 
@@ -756,15 +757,30 @@ INTAKE_SPECS = [
     ("pages", ["page_id"], {"host": ("username",)}),
     ("documents", ["doc_id"], {"lang": ("enum", ["en", "fr"]), "n_chars": ("int", 1),
                                "text": ("string", 20000)}),
-    ("events", ["event_id"], {"user_id": ("int", 1), "props": ("int", 1)}),
+    ("events", ["event_id"], {"user_id": ("int", 1), "props": ("int", 1), "value": ("number", 20.0),
+                              "day": ("date",), "flag": ("bool",)}),
+    ("customer", ["c_custkey"], {"phone": ("phone",), "c_name": ("sin",), "mail": ("email",), "c_mktsegment": ("checkbox",)}),
 ]
 
 
 def _intake_frames(raw):
     pages = raw["pages"].select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
     docs = raw["documents"].select("doc_id", "lang", F.col("n_chars").cast("string").alias("n_chars"), "text")
-    ev = raw["events"].select("event_id", F.col("user_id").cast("string").alias("user_id"), "props")
-    return {"conversations": raw["conversations"], "pages": pages, "documents": docs, "events": ev}
+    e = F.col("event_id")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    ev = raw["events"].select(
+        "event_id", F.col("user_id").cast("string").alias("user_id"), "props",
+        F.concat(F.floor(F.col("value")).cast("bigint").cast("string"), F.lit(".5 CAD")).alias("value"),
+        F.when(e % 3 == 0, F.concat(F.lit(" "), day)).when(e % 3 == 1, F.concat(F.substring(day, 1, 8), F.lit("32"))).otherwise(F.col("event_type")).alias("day"),
+        F.when(e % 4 == 0, "Yes").when(e % 4 == 1, " off ").when(e % 4 == 2, "0").otherwise(F.col("event_type")).alias("flag"))
+    c = F.col("c_custkey")
+    cu = raw["customer"].select("c_custkey", "c_name", "c_mktsegment", F.concat(F.lit("(613) 55-"), (c * 97 % 100000).cast("string")).alias("phone"), F.when(c % 3 == 0, F.concat(F.lit(" Guest"), c.cast("string"), F.lit("@Mail.example ")))
+                                .when(c % 3 == 1, F.concat(F.lit("guest"), c.cast("string"), F.lit("@mail"))).otherwise(F.lit(" ")).alias("mail"))
+    return {"conversations": raw["conversations"], "pages": pages, "documents": docs, "events": ev, "customer": cu}
+
+
+EMAIL_SQL = EMAIL_RE.replace("'", "''")
+BOOL_SQL = ", ".join(f"'{w}'" for w in (*TRUE_WORDS, *FALSE_WORDS))
 
 
 def _trim_sql(x):
@@ -784,6 +800,24 @@ def _reason_sql(col, rule, *args):
         p = f"regexp_extract({t}, '^[+-]?[0-9]+', 0)"
         return (f"CASE WHEN TRY_CAST(nullif({p}, '') AS DECIMAL(38,0)) IS NULL "
                 f"OR TRY_CAST(nullif({p}, '') AS DECIMAL(38,0)) < {args[0]} THEN 'not_int_ge_min' END")
+    digits = f"regexp_replace(coalesce({col}, ''), '[^0-9]', '', 'g')"
+    if rule == "phone":
+        return f"CASE WHEN length({digits}) <> 10 THEN 'phone_not_10_digits' END"
+    if rule == "sin":
+        return f"CASE WHEN length({digits}) <> 9 THEN 'sin_not_9_digits' END"
+    if rule == "email":
+        return (f"CASE WHEN length({t}) = 0 THEN 'required' WHEN length({t}) > 120 THEN 'too_long' "
+                f"WHEN NOT regexp_matches(lower({t}), '{EMAIL_SQL}') THEN 'invalid_email' END")
+    if rule == "number":
+        p = f"TRY_CAST(nullif(regexp_extract({t}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)', 0), '') AS DOUBLE)"
+        return f"CASE WHEN {p} IS NULL OR {p} < {args[0]} THEN 'not_number_ge_min' END"
+    if rule == "date":
+        return (f"CASE WHEN NOT regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') OR TRY_CAST({t} AS DATE) IS NULL "
+                f"THEN 'invalid_date' END")
+    if rule == "bool":
+        return f"CASE WHEN lower({t}) NOT IN ({BOOL_SQL}) THEN 'invalid_boolean' END"
+    if rule == "checkbox":
+        return "CAST(NULL AS VARCHAR)"
     raise ValueError(rule)
 
 
@@ -791,7 +825,13 @@ def _intake_sql():
     srcs = {"conversations": "SELECT conv_id, turn, role, text FROM conversations",
             "pages": "SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages",
             "documents": "SELECT doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, text FROM documents",
-            "events": "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, props FROM events"}
+            "events": """SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, props,
+                CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.5 CAD' AS value,
+                CASE event_id % 3 WHEN 0 THEN ' ' || strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-') || '32' ELSE event_type END AS day,
+                CASE event_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' off ' WHEN 2 THEN '0' ELSE event_type END AS flag FROM events""",
+            "customer": """SELECT c_custkey, c_name, c_mktsegment, '(613) 55-' || CAST(c_custkey * 97 % 100000 AS VARCHAR) AS phone,
+                CASE c_custkey % 3 WHEN 0 THEN ' Guest' || CAST(c_custkey AS VARCHAR) || '@Mail.example '
+                     WHEN 1 THEN 'guest' || CAST(c_custkey AS VARCHAR) || '@mail' ELSE ' ' END AS mail FROM customer"""}
     parts = []
     for src, keys, spec in INTAKE_SPECS:
         key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
@@ -1276,15 +1316,14 @@ def q_unavailable_list(T):
 SELECT r.room_id, CAST(d AS DATE) AS day FROM (
   SELECT room_id, unnest(generate_series(CAST(DATE '{AS_OF}' AS TIMESTAMP),
                                          CAST(DATE '{AS_OF}' + {HORIZON} AS TIMESTAMP), INTERVAL 1 DAY)) AS d
-  FROM room WHERE hotel_id = {POLICY_HOTEL}) r
+  FROM room) r
 WHERE NOT EXISTS (SELECT 1 FROM {BLOCKS_SQL} b WHERE b.room_id = r.room_id
                   AND b.start_date <= CAST(r.d AS DATE) AND CAST(r.d AS DATE) < b.end_date)""")
 def q_open_days(T):
-    """J25 complement: free room-days of the desk's hotel inside the horizon."""
+    """J25 complement: free room-days of all rooms inside the horizon."""
     from innkeep.operators.intervals import occupied_days, open_days
-    rooms = T["room"].filter(F.col("hotel_id") == POLICY_HOTEL).select("room_id")
-    blocks = search.blocks(T, AS_OF).join(rooms, "room_id", "left_semi")
-    occ = occupied_days(blocks, AS_OF, HORIZON)
+    rooms = T["room"].select("room_id")
+    occ = occupied_days(search.blocks(T, AS_OF), AS_OF, HORIZON)
     return open_days(rooms, occ, AS_OF, HORIZON)
 
 
@@ -1325,3 +1364,146 @@ def signup_requests(T) -> DataFrame:
 def q_signup(T):
     from innkeep.plans.signup import register_customers
     return register_customers(T, signup_requests(T), AS_OF)
+
+
+# ---------------------------------------------------------------- desk pages and desk requests
+from innkeep.plans import desk  # noqa: E402
+
+_PLACE = "JOIN room rm ON rm.room_id = b.room_id JOIN hotel h ON h.hotel_id = rm.hotel_id"
+
+
+@register("booking_history", f"""
+SELECT customer_id, position, booking_id, room_id, room_number, hotel_name, hotel_location, start_date, end_date, status, created_at,
+       linked_renting_id, linked_renting_status
+FROM (SELECT b.customer_id, b.booking_id, b.room_id, rm.room_number, h.hotel_name, h.address_line AS hotel_location, b.start_date,
+        b.end_date, b.status, b.created_at, rt.renting_id AS linked_renting_id, rt.status AS linked_renting_status,
+        row_number() OVER (PARTITION BY b.customer_id ORDER BY b.created_at DESC, b.booking_id DESC, coalesce(rt.renting_id, -1)) AS position
+      FROM booking b {_PLACE} LEFT JOIN renting rt ON rt.source_booking_id = b.booking_id) WHERE position <= 300""")
+def q_booking_history(T):
+    return desk.booking_history(T)
+
+
+@register("renting_history", f"""
+SELECT customer_id, position, renting_id, source_booking_id, room_id, room_number, hotel_name, hotel_location, start_date, end_date, status, created_at
+FROM (SELECT b.*, rm.room_number, h.hotel_name, h.address_line AS hotel_location,
+        row_number() OVER (PARTITION BY b.customer_id ORDER BY b.created_at DESC, b.renting_id DESC) AS position
+      FROM renting b {_PLACE}) WHERE position <= 300""")
+def q_renting_history(T):
+    return desk.renting_history(T)
+
+
+@register("desk_bookings", f"""
+SELECT b.booking_id, b.room_id, b.customer_id, p.legal_id AS customer_sin, b.start_date, b.end_date, b.status
+FROM open_booking b JOIN room rm ON rm.room_id = b.room_id JOIN customer_t c ON c.customer_id = b.customer_id
+JOIN person p ON p.legal_id = c.legal_id WHERE rm.hotel_id = {POLICY_HOTEL}
+ORDER BY (b.end_date < DATE '{AS_OF}') DESC, b.start_date, b.booking_id DESC LIMIT 200""")
+def q_desk_bookings(T):
+    return desk.desk_bookings(T, POLICY_HOTEL, AS_OF)
+
+
+@register("desk_rentings", f"""
+SELECT b.renting_id, b.room_id, b.customer_id, p.legal_id AS customer_sin, b.employee_id, b.start_date, b.end_date, b.status
+FROM active_renting b JOIN room rm ON rm.room_id = b.room_id JOIN customer_t c ON c.customer_id = b.customer_id
+JOIN person p ON p.legal_id = c.legal_id WHERE rm.hotel_id = {POLICY_HOTEL} ORDER BY b.renting_id DESC LIMIT 200""")
+def q_desk_rentings(T):
+    return desk.desk_rentings(T, POLICY_HOTEL)
+
+
+@register("desk_payments", f"""
+SELECT y.payment_id, y.renting_id, y.employee_id, y.amount, y.method, y.paid_at, b.room_id, p.legal_id AS customer_sin
+FROM payment y JOIN renting b ON b.renting_id = y.renting_id JOIN room rm ON rm.room_id = b.room_id
+JOIN customer_t c ON c.customer_id = b.customer_id JOIN person p ON p.legal_id = c.legal_id WHERE rm.hotel_id = {POLICY_HOTEL}
+ORDER BY y.payment_id DESC NULLS LAST, y.renting_id DESC, y.paid_at, y.amount, y.employee_id LIMIT 200""")
+def q_desk_payments(T):
+    return desk.desk_payments(T, POLICY_HOTEL)
+
+
+@register("managers_report", """
+SELECT e.employee_id AS manager_employee_id, hc.chain_name, h.hotel_name, p.last_name, p.first_name,
+       row_number() OVER (ORDER BY hc.chain_name, h.hotel_name, p.last_name, p.first_name, e.employee_id) AS line
+FROM employee e JOIN person p ON p.legal_id = e.legal_id JOIN hotel h ON h.hotel_id = e.hotel_id
+JOIN hotel_chain hc ON hc.chain_id = h.chain_id WHERE e.is_manager""")
+def q_managers_report(T):
+    return desk.managers_in_order(reports.managers_register(T)).select(
+        "manager_employee_id", "chain_name", "hotel_name", "last_name", "first_name", "line")
+
+
+@register("account_lookup", """
+SELECT q.username, a.account_id, a.role, a.is_active
+FROM (SELECT DISTINCT 'Customer' || CAST(user_id AS VARCHAR) AS username FROM events
+      UNION SELECT DISTINCT 'MANAGER' || CAST(user_id AS VARCHAR) FROM events) q
+JOIN auth_account a ON lower(a.username) = lower(q.username)""")
+def q_account_lookup(T):
+    """Names typed by event users, in another case than stored."""
+    u = T["_raw"]["events"].select(F.col("user_id").cast("string").alias("u"))
+    return desk.find_accounts(T, u.select(F.explode(F.array(F.concat(F.lit("Customer"), "u"), F.concat(F.lit("MANAGER"), "u"))).alias("username")))
+
+
+def staff_booking_requests(T) -> DataFrame:
+    """Bookings asked for by desk staff, one per event: any room number up to
+    a tenth past the last, guest by SIN, range of -1 to 5 nights."""
+    n_rooms = T["_raw"]["part"].agg(F.expr("count(1) * 11 div 10")).scalar()
+    n_staff = T["_raw"]["supplier"].agg(F.count(F.lit(1))).scalar()
+    e, u = F.col("event_id"), F.col("user_id")
+    start = F.date_add(F.col("ts").cast("date"), (e % 40).cast("int"))
+    return T["_raw"]["events"].select(
+        e.alias("request_id"), F.when(e % 3 == 0, "admin").otherwise("staff").alias("actor"), (e % n_staff).alias("actor_employee_id"),
+        F.lpad((F.lit(200000000) + u * 2).cast("string"), 9, "0").alias("customer_sin"), ((e * 7919) % n_rooms).alias("room_id"),
+        start.alias("start_date"), F.date_add(start, (e % 7 - 1).cast("int")).alias("end_date"))
+
+
+@register("intake_staff_bookings", f"""
+SELECT q.request_id, q.room_id, c.customer_id, q.actor_employee_id AS created_by_employee_id, q.start_date, q.end_date,
+       reason IS NULL AS qualified, reason
+FROM (SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'admin' ELSE 'staff' END AS actor,
+        event_id % (SELECT count(*) FROM supplier) AS actor_employee_id, lpad(CAST(200000000 + user_id * 2 AS VARCHAR), 9, '0') AS customer_sin,
+        (event_id * 7919) % (SELECT count(*) * 11 // 10 FROM part) AS room_id, CAST(ts AS DATE) + CAST(event_id % 40 AS INTEGER) AS start_date,
+        CAST(ts AS DATE) + CAST(event_id % 40 + event_id % 7 - 1 AS INTEGER) AS end_date FROM events) q
+LEFT JOIN room r ON r.room_id = q.room_id LEFT JOIN customer_t c ON c.legal_id = q.customer_sin
+LEFT JOIN employee e ON e.employee_id = q.actor_employee_id,
+LATERAL (SELECT CASE WHEN q.start_date < DATE '{INTAKE_AS_OF}' THEN 'start_in_past' WHEN q.end_date <= q.start_date THEN 'bad_range'
+     WHEN r.hotel_id IS NULL THEN 'no_such_room' WHEN c.customer_id IS NULL THEN 'no_such_customer'
+     WHEN q.actor <> 'admin' AND e.hotel_id IS DISTINCT FROM r.hotel_id THEN 'other_hotel'
+     WHEN q.actor <> 'admin' AND c.hotel_id IS NOT NULL AND c.hotel_id <> e.hotel_id THEN 'customer_of_other_hotel' END AS reason) z""")
+def q_staff_bookings(T):
+    return desk.staff_bookings(T, staff_booking_requests(T), INTAKE_AS_OF)
+
+
+def renting_from_booking_requests(T) -> DataFrame:
+    """One request per order (some twice, some for no booking) by an employee or an administrator."""
+    n_staff = T["_raw"]["supplier"].agg(F.count(F.lit(1))).scalar()
+    k = F.col("o_orderkey")
+    o = T["_raw"]["orders"].select(k.alias("k"), F.explode(F.sequence(F.lit(0), F.when(k % 2 == 0, 1).otherwise(0))).alias("i"))
+    k = F.col("k")
+    return o.select((k * 2 + F.col("i")).alias("request_id"), (-F.col("i")).alias("arrival"), F.when(k % 11 == 0, -k).otherwise(k).alias("booking_id"),
+                    F.when(k % 4 == 0, "staff").otherwise("admin").alias("actor"), F.when(k % 13 == 0, F.lit(None)).otherwise(k % n_staff).alias("employee_id"))
+
+
+@register("renting_requests_from_bookings", f"""
+SELECT request_id, booking_id, employee_id, room_id, customer_id, start_date, end_date,
+       coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY booking_id, reason ORDER BY arrival, request_id) > 1 THEN 'not_checked_in' END) IS NULL AS accepted,
+       coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY booking_id, reason ORDER BY arrival, request_id) > 1 THEN 'not_checked_in' END) AS reason
+FROM (SELECT n.*, coalesce(pre, CASE WHEN {_rule_exists('room_id', 'renting')} THEN 'room_renting'
+        WHEN {_rule_exists('room_id', 'booking')} THEN 'room_booking' WHEN {_rule_exists('customer_id', 'renting')} THEN 'customer_renting'
+        WHEN {_rule_exists('customer_id', 'booking')} THEN 'customer_booking' END) AS reason
+      FROM (SELECT q.*, b.room_id, b.customer_id, b.start_date, b.end_date, -1 AS renting_id, q.booking_id AS source_booking_id,
+              CASE WHEN e.employee_id IS NULL THEN 'no_employee' WHEN b.room_id IS NULL THEN 'no_such_booking'
+                WHEN b.status <> 'checked_in' THEN 'not_checked_in'
+                WHEN q.actor <> 'admin' AND e.hotel_id IS DISTINCT FROM r.hotel_id THEN 'other_hotel'
+                WHEN b.start_date > DATE '{AS_OF}' OR b.end_date <= DATE '{AS_OF}' THEN 'outside_stay' END AS pre
+            FROM (SELECT o_orderkey * 2 + i AS request_id, -i AS arrival, CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS booking_id,
+                    CASE WHEN o_orderkey % 4 = 0 THEN 'staff' ELSE 'admin' END AS actor,
+                    CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % (SELECT count(*) FROM supplier) END AS employee_id
+                  FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0, 1] ELSE [0] END) AS i FROM orders)) q
+            LEFT JOIN booking b ON b.booking_id = q.booking_id LEFT JOIN room r ON r.room_id = b.room_id
+            LEFT JOIN employee e ON e.employee_id = q.employee_id) n)""")
+def q_rentings_from_bookings(T):
+    return desk.rentings_from_bookings(T, renting_from_booking_requests(T), AS_OF)
+
+
+@register("local_days", """
+SELECT event_id, CAST(timezone('America/Toronto', timezone('UTC', ts)) AS DATE) AS local_day FROM events""")
+def q_local_days(T):
+    """The calendar day of each event at the hotel office."""
+    from innkeep.functions.columns import toronto_today
+    return T["_raw"]["events"].select("event_id", toronto_today("ts").alias("local_day"))

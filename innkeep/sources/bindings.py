@@ -39,7 +39,11 @@ def load_driver(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataF
 
 
 def _lpad_id(base: int, key) -> F.Column:
-    return F.lpad((F.lit(base) + key).cast("string"), 9, "0")
+    """Legal id of a key: nine digits from ``base``, or, past a hundred
+    million keys, the leading digit of ``base`` and the key in 18 digits.
+    The ids of two bases never meet and none is cut short."""
+    return F.when(key < 100_000_000, F.lpad((F.lit(base) + key).cast("string"), 9, "0")) \
+        .otherwise(F.concat(F.lit(str(base)[0]), F.lpad(key.cast("string"), 18, "0")))
 
 
 def hotel_chain(region: DataFrame) -> DataFrame:
