@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
+from innkeep.llm.store import small_batches
 
 Q, WINDOW, PER_EDIT, LEAST = 12, 96, 16, 24
 STEP = 8
@@ -213,6 +214,7 @@ def leaks(text: Column, index) -> Column:
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
     """Lists of (item_id, text), each of at most about INDEX_BYTES of texts."""
+    small_batches(benchmark.sparkSession)
     size = F.octet_length(text)
     items = benchmark.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("t"), size.alias("b"))
     total = items.agg(F.sum("b")).first()[0] or 0

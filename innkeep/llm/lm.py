@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
-from innkeep.llm.store import stored
+from innkeep.llm.store import small_batches, stored
 
 WORDS, CLASSES, DIM = 960, 64, 16
 VOCAB = WORDS + CLASSES
@@ -329,6 +329,7 @@ def score(docs: DataFrame, model: Model, voc: Vocabulary, ids: np.ndarray, count
 
 def score_documents(docs: DataFrame, learn_from, keep: list[str], text: str = "text") -> DataFrame:
     """Train on the rows of ``docs`` where the column ``learn_from`` holds, score all of them."""
+    small_batches(docs.sparkSession)
     training = docs.filter(learn_from)
     counts = stored(word_counts(training, text), "lm-counts")
     voc, ids, c = vocabulary(counts)

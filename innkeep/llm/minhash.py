@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
 from innkeep.llm.graph import components
-from innkeep.llm.store import stored
+from innkeep.llm.store import small_batches, stored
 
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
@@ -286,6 +286,7 @@ def joining_links(dealt: DataFrame, size: int, limit: int, percent: int) -> Data
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept (and cls, the set's identity)."""
+    small_batches(docs.sparkSession)
     limit = most_flips(percent / 100)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = plain.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))

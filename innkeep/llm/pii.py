@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
-from innkeep.llm.store import stored
+from innkeep.llm.store import small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, REACH, SUPPORT = 5, 200, 3
@@ -185,6 +185,7 @@ def disclosing_terms(near: DataFrame, frequencies: DataFrame, n_texts: int) -> D
 
 def find_private(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep``, base (start, kind, end) and terms (start, end, disclosure) per row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = stored(detected(docs, keep, text).withColumn("row", F.monotonically_increasing_id()), "private")
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
     telling = stored(disclosing_terms(near, text_frequencies(docs, text), rows.count()), "telling")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
-from innkeep.llm.store import bounded_sample
+from innkeep.llm.store import bounded_sample, small_batches
 
 #: Bounds of the training samples, in rows; chosen by a hash of the id.
 POSITIVES, UNLABELLED = 12_000, 20_000
@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     ``labels`` holds only the rows to be learned from; documents outside it are unlabelled.
     """
+    small_batches(docs.sparkSession)
     known = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y")))
     share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]

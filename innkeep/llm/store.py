@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from innkeep.session import ensure_checkpoint_dir
 
+#: Bounds of one Arrow batch handed to a Python worker: rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to a few MB, so that a worker's memory doesn't depend on the texts' length."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table (a file or a folder of files) by Spark's own reader."""

@@ -167,7 +167,7 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.nd
     return (np.concatenate(sets) if sets else np.empty(0, U64)), offs
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of one piece hold about ``max_bytes`` (one text at least)."""
     i = batch.schema.get_field_index(column)
     _, offs = text_bytes(batch.column(i))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
 from innkeep.llm.decontam import normalised
-from innkeep.llm.store import bounded_sample
+from innkeep.llm.store import bounded_sample, small_batches
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -103,6 +103,7 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """Model of P(toxic) from ``labels``, which holds only the rows to be learned from."""
+    small_batches(docs.sparkSession)
     known = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).alias("__id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y")))
     known = bounded_sample(known, SAMPLE, "__id")
