@@ -14,7 +14,7 @@ A plain global window moves every row into one task.  Instead:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innkeep.session import ensure_checkpoint_dir
@@ -54,3 +54,27 @@ def rank_within_groups(df: DataFrame, group: list[str], order: list[str | Column
     first = ranked.groupBy(*group).agg(F.min("_g").alias("_g0"))
     return ranked.join(first, group, "inner") \
         .withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+
+
+def last_before(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the non-NULL ``value`` of the latest earlier row of the same group.
+
+    A running ``last`` over a group would need the whole group in one task.  Instead the rows are
+    range-partitioned on ``group + order`` (a total order), which cuts a large group into chunks;
+    a window runs inside each chunk, and a chunk starts from the last value of the chunks before
+    it: one small row per chunk.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *group, *order).checkpoint(eager=True)
+    placed = ranged.withColumn("_chunk", F.spark_partition_id())
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    last = placed.groupBy(*group, "_chunk").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    carry = last.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_chunk").alias("_c"),
+                        F.last("_end", ignorenulls=True).over(earlier(*group).orderBy("_chunk")).alias("_carry")) \
+        .filter(F.col("_carry").isNotNull())
+    here = placed.withColumn(name, F.last(value, ignorenulls=True).over(earlier(*group, "_chunk").orderBy(*order)))
+    on = [F.col("_chunk") == F.col("_c"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]]
+    return here.join(carry, on, "left").withColumn(name, F.coalesce(name, "_carry")).select(*df.columns, name)

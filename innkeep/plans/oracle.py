@@ -144,4 +144,5 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
 
     visit(body)
     parts = [f"{n} AS ({ctes[n]})" for n in order if n in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    with_ = "WITH RECURSIVE " if any(re.search(rf"\b{n}\b", ctes[n]) and "UNION ALL" in ctes[n] for n in needed) else "WITH "
+    return (with_ + ",\n".join(parts) + "\n" + body) if parts else body

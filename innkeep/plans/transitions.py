@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.functions.columns import as_date
-from innkeep.operators.rank import global_rank
+from innkeep.operators.rank import global_rank, last_before
 from innkeep.plans.common import left_join_known
 from innkeep.plans.conflicts import find_conflicts, first_violation
 from innkeep.sources.schemas import BLOCKING_BOOKING
 
 
+# The status that an accepted action leaves.
+TARGETS = {"check_in": "checked_in", "cancel": "cancelled", "complete": "completed"}
+
+
 def apply_transitions(T, requests: DataFrame, as_of) -> DataFrame:
-    """Decide status-change requests against the stored bookings.
+    """Decide status-change requests, per booking in (arrival, request_id) order.
 
-    ``requests``: ``request_id, booking_id, action, actor ('admin' | 'staff'
+    ``requests``: ``request_id, booking_id, arrival, action, actor ('admin' | 'staff'
     | 'customer'), actor_employee_id, actor_customer_id, new_start,
     new_end``.  Checks, in the order the reference applies them:
 
@@ -24,69 +28,102 @@ def apply_transitions(T, requests: DataFrame, as_of) -> DataFrame:
     * staff act only on bookings of their own hotel (admins on any);
     * cancel: 'reserved'/'checked_in' and not ended; check_in: 'reserved'
       and starting on ``as_of``; complete: open and ended before ``as_of``;
-    * redate: new start not in the past and new end after it (checked
+    * redate: both dates given, new start not in the past and new end after it (checked
       before the booking is looked up), booking 'reserved', and the new
       range may not clash with other blocking stays (own id ignored; first
-      violated J1 rule).  Re-dates are checked against the stored state one
-      at a time; clashes among new requests are the job of ``admit`` (J2).
+      violated J1 rule).
+
+    Each request meets its booking as the accepted requests before it left it: ``old_*`` is that
+    state, ``new_*`` the state after it.  A booking changes its status twice at most (arrival, then
+    an end), so two passes that look for the earliest request that passes settle the statuses,
+    and the dates are those of the last valid re-date before (``last_before``); no booking's
+    requests are gathered in one task.  Clashes with other bookings are checked against the stored
+    stays; clashes among new ranges of different bookings are the job of ``admit`` (J2).
     """
-    d = as_date(as_of)
+    d, c = as_date(as_of), F.col
+    act, order = c("action"), ["arrival", "request_id"]
+    at = F.struct(*order)
     rooms = T["room"].select("room_id", F.col("hotel_id").alias("booking_hotel"))
-    b = T["booking"].select("booking_id", "room_id", "customer_id", "start_date", "end_date",
-                            F.col("status").alias("old_status")).join(rooms, "room_id", "left")
+    b = T["booking"].select("booking_id", "room_id", "customer_id", F.col("start_date").alias("_start"),
+                            F.col("end_date").alias("_end"), F.col("status").alias("_stored")).join(rooms, "room_id", "left")
     staff = T["employee"].select(F.col("employee_id").alias("actor_employee_id"),
                                  F.col("hotel_id").alias("actor_hotel"))
-    j = requests.join(b, "booking_id", "left")
-    j = left_join_known(j, staff, "actor_employee_id")
-    st, act, c = F.col("old_status"), F.col("action"), F.col
+    j = left_join_known(left_join_known(requests, b, "booking_id"), staff, "actor_employee_id")
     missing = c("room_id").isNull()
     is_cust = c("actor") == "customer"
-    is_staff = c("actor") == "staff"
-    scope = is_staff & (c("actor_hotel").isNull() | (c("actor_hotel") != c("booking_hotel")))
-    open_ = st.isin(*BLOCKING_BOOKING)
-    reason = (
-        F.when(is_cust & (act != "cancel") & (act != "invalid"), "staff_only")
-        .when(act == "redate", F.when(c("new_start") < d, "start_in_past")
-              .when(c("new_end") <= c("new_start"), "bad_range")
-              .when(missing, "no_such_booking").when(scope, "other_hotel")
-              .when(st != "reserved", "not_reserved"))
-        .when(act == "cancel", F.when(missing | (is_cust & (c("customer_id") != c("actor_customer_id"))),
-                                      "no_such_booking")
-              .when(scope, "other_hotel")
-              .when(is_cust & (st != "reserved"), "not_cancellable")
-              .when(~is_cust & ~open_, "not_cancellable")
-              .when(c("end_date") < d, "already_ended"))
-        .when(act == "check_in", F.when(missing, "no_such_booking").when(scope, "other_hotel")
-              .when(st != "reserved", "not_reserved").when(c("start_date") != d, "not_arrival_day"))
-        .when(act == "complete", F.when(missing, "no_such_booking").when(scope, "other_hotel")
-              .when(~open_, "not_open").when(c("end_date") >= d, "not_ended"))
-        .otherwise("unknown_action"))
-    j = j.withColumn("reason", reason)
-    redates = j.filter((act == "redate") & c("reason").isNull()).select(
+    scope = (c("actor") == "staff") & (c("actor_hotel").isNull() | (c("actor_hotel") != c("booking_hotel")))
+    found = F.when(missing, "no_such_booking").when(scope, "other_hotel")
+
+    def reason(st, start, end):
+        """Why a request fails on a booking of this status and range; NULL: it passes."""
+        open_ = st.isin(*BLOCKING_BOOKING)
+        return (
+            F.when(is_cust & (act != "cancel") & (act != "invalid"), "staff_only")
+            .when(act == "redate", F.when(c("new_start").isNull() | c("new_end").isNull(), "no_date")
+                  .when(c("new_start") < d, "start_in_past").when(c("new_end") <= c("new_start"), "bad_range")
+                  .otherwise(found.when(st != "reserved", "not_reserved")))
+            .when(act == "cancel", F.when(missing | (is_cust & (c("customer_id") != c("actor_customer_id"))),
+                                          "no_such_booking")
+                  .when(scope, "other_hotel")
+                  .when(is_cust & (st != "reserved"), "not_cancellable")
+                  .when(~is_cust & ~open_, "not_cancellable")
+                  .when(end < d, "already_ended"))
+            .when(act == "check_in", found.when(st != "reserved", "not_reserved").when(start != d, "not_arrival_day"))
+            .when(act == "complete", found.when(~open_, "not_open").when(end >= d, "not_ended"))
+            .otherwise("unknown_action"))
+
+    # valid re-dates of bookings that are reserved at first; they hold until the status changes
+    j = j.withColumn("_valid", reason(c("_stored"), c("_start"), c("_end")).isNull())
+    redates = j.filter((act == "redate") & c("_valid")).select(
         F.col("request_id").alias("record_id"), "booking_id", "room_id", "customer_id",
         F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"))
     clash = first_violation(find_conflicts(T, {"booking": redates}, sides=("booking",))) \
         .select(F.col("record_id").alias("request_id"), F.col("rule").alias("_clash"))
     j = j.join(clash, "request_id", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(act == "redate", F.col("_clash"))))
+        "_moved", F.when((act == "redate") & c("_valid") & c("_clash").isNull(),
+                         F.struct(F.col("new_start").alias("start"), F.col("new_end").alias("end"))))
+    j = last_before(j, ["booking_id"], order, "_moved", "_before")
+    j = j.withColumn("_before", F.coalesce("_before", F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))))
+    start, end = c("_before.start"), c("_before.end")
+    j = j.withColumn("_st", F.col("_stored"))
+    target = F.create_map(*[F.lit(x) for kv in TARGETS.items() for x in kv])
+    for n in (1, 2):  # the earliest request that changes the status
+        turn = j.filter(act.isin(*TARGETS) & reason(c("_st"), start, end).isNull())
+        turn = turn.filter(c("_at1") < at) if n == 2 else turn
+        turn = turn.groupBy("booking_id").agg(F.min(at).alias(f"_at{n}"), F.min_by(target[act], at).alias("_to"),
+                                              F.min_by("_before", at).alias("_then"))
+        j = left_join_known(j, turn, "booking_id")
+        later = F.coalesce(at > c(f"_at{n}"), F.lit(False))
+        j = j.withColumn("_st", F.when(later, c("_to")).otherwise(c("_st"))) \
+            .withColumn("_before", F.when(later, c("_then")).otherwise(c("_before"))).drop("_to", "_then")
+    j = j.withColumn("reason", F.coalesce(reason(c("_st"), start, end), F.when(act == "redate", c("_clash"))))
     ok = c("reason").isNull()
-    new_status = F.when(ok & (act == "check_in"), "checked_in") \
-        .when(ok & (act == "cancel"), "cancelled").when(ok & (act == "complete"), "completed") \
-        .otherwise(st)
     moved = ok & (act == "redate")
-    return j.select("request_id", "booking_id", "action", ok.alias("accepted"), "reason",
-                    "old_status", new_status.alias("new_status"),
-                    F.when(moved, c("new_start")).otherwise(c("start_date")).alias("new_start_date"),
-                    F.when(moved, c("new_end")).otherwise(c("end_date")).alias("new_end_date"))
+    return j.select("request_id", "booking_id", "arrival", "action", ok.alias("accepted"), "reason",
+                    c("_st").alias("old_status"), start.alias("old_start_date"), end.alias("old_end_date"),
+                    F.when(ok & act.isin(*TARGETS), target[act]).otherwise(c("_st")).alias("new_status"),
+                    F.when(moved, c("new_start")).otherwise(start).alias("new_start_date"),
+                    F.when(moved, c("new_end")).otherwise(end).alias("new_end_date"))
 
 
 def transition_changes(T, decided: DataFrame) -> DataFrame:
-    """Accepted transitions as booking-shaped change rows for J4."""
+    """Accepted transitions as booking-shaped change rows for J4, with the state they met."""
     b = T["booking"].drop("status", "start_date", "end_date")
     return decided.filter("accepted").join(b, "booking_id").select(
         *[c for c in b.columns], F.col("new_status").alias("status"),
         F.col("new_start_date").alias("start_date"), F.col("new_end_date").alias("end_date"),
-        "old_status", F.lit("update").alias("op"))
+        "old_status", "old_start_date", "old_end_date", F.lit("update").alias("op"))
+
+
+def bookings_after(T, decided: DataFrame) -> DataFrame:
+    """The stored bookings as the accepted transitions leave them."""
+    at = F.struct("arrival", "request_id")
+    last = decided.filter("accepted").groupBy("booking_id").agg(F.max_by(
+        F.struct(F.col("new_status").alias("status"), F.col("new_start_date").alias("start_date"),
+                 F.col("new_end_date").alias("end_date")), at).alias("_last"))
+    b = T["booking"].join(last, "booking_id", "left")
+    return b.select(*[F.coalesce(F.col(f"_last.{x}"), F.col(x)).alias(x) if x in ("status", "start_date", "end_date")
+                      else F.col(x) for x in T["booking"].columns])
 
 
 def bookings_to_rentings(T, as_of, booking_ids: DataFrame | None = None) -> DataFrame:

@@ -296,7 +296,7 @@ def q_archive_backfill(T):
 
 
 TRANS_CTES = {
-    "trans_req": """SELECT event_id AS request_id, event_id AS booking_id, ts AS arrival,
+    "trans_req": """SELECT event_id AS request_id, event_id - event_id % 4 AS booking_id, ts AS arrival,
         CASE event_type WHEN 'click' THEN 'check_in' WHEN 'view' THEN 'cancel'
              WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'redate' ELSE 'invalid' END AS action,
         CASE WHEN user_id % 10 = 0 THEN 'admin' WHEN user_id % 2 = 0 THEN 'staff' ELSE 'customer' END AS actor,
@@ -305,33 +305,22 @@ TRANS_CTES = {
         CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) END AS new_start,
         CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0)
              + CAST(1 + event_id % 5 AS INTEGER) END AS new_end
-        FROM events LEFT JOIN orders o ON o.o_orderkey = events.event_id""",
-    "trans_pre": f"""SELECT q.*, b.room_id, b.customer_id, b.start_date, b.end_date, b.status AS old_status,
+        FROM events LEFT JOIN orders o ON o.o_orderkey = events.event_id - events.event_id % 4""",
+    # checks that don't depend on the booking's state, and the turn of each request
+    "trans_seq": f"""SELECT q.*, b.room_id, b.customer_id,
+        row_number() OVER (PARTITION BY q.booking_id ORDER BY q.arrival, q.request_id) AS n,
         CASE WHEN q.actor = 'customer' AND q.action NOT IN ('cancel', 'invalid') THEN 'staff_only'
-          WHEN q.action = 'redate' THEN CASE WHEN q.new_start < DATE '{AS_OF}' THEN 'start_in_past'
-               WHEN q.new_end <= q.new_start THEN 'bad_range'
-               WHEN b.room_id IS NULL THEN 'no_such_booking'
-               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
-               WHEN b.status <> 'reserved' THEN 'not_reserved' END
-          WHEN q.action = 'cancel' THEN CASE
-               WHEN b.room_id IS NULL OR (q.actor = 'customer' AND b.customer_id <> q.actor_customer_id) THEN 'no_such_booking'
-               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
-               WHEN q.actor = 'customer' AND b.status <> 'reserved' THEN 'not_cancellable'
-               WHEN q.actor <> 'customer' AND b.status NOT IN ('reserved', 'checked_in') THEN 'not_cancellable'
-               WHEN b.end_date < DATE '{AS_OF}' THEN 'already_ended' END
-          WHEN q.action = 'check_in' THEN CASE WHEN b.room_id IS NULL THEN 'no_such_booking'
-               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
-               WHEN b.status <> 'reserved' THEN 'not_reserved'
-               WHEN b.start_date <> DATE '{AS_OF}' THEN 'not_arrival_day' END
-          WHEN q.action = 'complete' THEN CASE WHEN b.room_id IS NULL THEN 'no_such_booking'
-               WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel'
-               WHEN b.status NOT IN ('reserved', 'checked_in') THEN 'not_open'
-               WHEN b.end_date >= DATE '{AS_OF}' THEN 'not_ended' END
-          ELSE 'unknown_action' END AS pre_reason
+          WHEN q.action = 'invalid' THEN 'unknown_action'
+          WHEN q.action = 'redate' AND (q.new_start IS NULL OR q.new_end IS NULL) THEN 'no_date'
+          WHEN q.action = 'redate' AND q.new_start < DATE '{AS_OF}' THEN 'start_in_past'
+          WHEN q.action = 'redate' AND q.new_end <= q.new_start THEN 'bad_range'
+          WHEN b.room_id IS NULL THEN 'no_such_booking'
+          WHEN q.actor = 'customer' AND b.customer_id <> q.actor_customer_id THEN 'no_such_booking'
+          WHEN q.actor = 'staff' AND (e.hotel_id IS NULL OR e.hotel_id <> r.hotel_id) THEN 'other_hotel' END AS fixed
         FROM trans_req q LEFT JOIN booking b ON b.booking_id = q.booking_id
         LEFT JOIN room r ON r.room_id = b.room_id
         LEFT JOIN employee e ON e.employee_id = q.actor_employee_id""",
-    "trans_decided": """SELECT t.*, coalesce(t.pre_reason, CASE WHEN t.action = 'redate' THEN CASE
+    "trans_clash": """SELECT t.request_id, CASE
           WHEN EXISTS (SELECT 1 FROM open_booking o WHERE o.room_id = t.room_id AND o.booking_id <> t.booking_id
                AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'room_booking'
           WHEN EXISTS (SELECT 1 FROM active_renting o WHERE o.room_id = t.room_id
@@ -340,15 +329,35 @@ TRANS_CTES = {
                AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'customer_booking'
           WHEN EXISTS (SELECT 1 FROM active_renting o WHERE o.customer_id = t.customer_id
                AND o.start_date < t.new_end AND t.new_start < o.end_date AND o.start_date < o.end_date AND t.new_start < t.new_end) THEN 'customer_renting'
-          END END) AS reason
-        FROM trans_pre t""",
-    "trans_out": """SELECT request_id, booking_id, action, reason IS NULL AS accepted, reason, old_status,
-        CASE WHEN reason IS NULL AND action = 'check_in' THEN 'checked_in'
-             WHEN reason IS NULL AND action = 'cancel' THEN 'cancelled'
-             WHEN reason IS NULL AND action = 'complete' THEN 'completed' ELSE old_status END AS new_status,
-        CASE WHEN reason IS NULL AND action = 'redate' THEN new_start ELSE start_date END AS new_start_date,
-        CASE WHEN reason IS NULL AND action = 'redate' THEN new_end ELSE end_date END AS new_end_date
-        FROM trans_decided""",
+          END AS clash
+        FROM trans_seq t WHERE t.action = 'redate' AND t.fixed IS NULL""",
+    # the row lock's order: every booking meets its requests one after another
+    "trans_state": f"""SELECT booking_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS reason,
+          status AS old_status, start_date AS old_start_date, end_date AS old_end_date, status, start_date, end_date FROM booking
+        UNION ALL
+        SELECT booking_id, n, request_id, reason, old_status, old_start_date, old_end_date,
+          CASE WHEN reason IS NOT NULL THEN old_status WHEN action = 'check_in' THEN 'checked_in'
+               WHEN action = 'cancel' THEN 'cancelled' WHEN action = 'complete' THEN 'completed' ELSE old_status END,
+          CASE WHEN reason IS NULL AND action = 'redate' THEN new_start ELSE old_start_date END,
+          CASE WHEN reason IS NULL AND action = 'redate' THEN new_end ELSE old_end_date END
+        FROM (SELECT s.booking_id, q.n, q.request_id, q.action, q.new_start, q.new_end,
+                s.status AS old_status, s.start_date AS old_start_date, s.end_date AS old_end_date,
+                CASE WHEN q.fixed IS NOT NULL THEN q.fixed
+                  WHEN q.action = 'redate' THEN CASE WHEN s.status <> 'reserved' THEN 'not_reserved' ELSE c.clash END
+                  WHEN q.action = 'cancel' THEN CASE
+                    WHEN q.actor = 'customer' AND s.status <> 'reserved' THEN 'not_cancellable'
+                    WHEN s.status NOT IN ('reserved', 'checked_in') THEN 'not_cancellable'
+                    WHEN s.end_date < DATE '{AS_OF}' THEN 'already_ended' END
+                  WHEN q.action = 'check_in' THEN CASE WHEN s.status <> 'reserved' THEN 'not_reserved'
+                    WHEN s.start_date <> DATE '{AS_OF}' THEN 'not_arrival_day' END
+                  WHEN q.action = 'complete' THEN CASE WHEN s.status NOT IN ('reserved', 'checked_in') THEN 'not_open'
+                    WHEN s.end_date >= DATE '{AS_OF}' THEN 'not_ended' END END AS reason
+              FROM trans_state s JOIN trans_seq q ON q.booking_id = s.booking_id AND q.n = s.n + 1
+              LEFT JOIN trans_clash c ON c.request_id = q.request_id) step""",
+    "trans_out": """SELECT q.request_id, q.booking_id, q.action, coalesce(s.reason, CASE WHEN s.request_id IS NULL THEN q.fixed END) IS NULL AS accepted,
+        coalesce(s.reason, CASE WHEN s.request_id IS NULL THEN q.fixed END) AS reason, s.old_status, s.old_start_date, s.old_end_date,
+        s.status AS new_status, s.start_date AS new_start_date, s.end_date AS new_end_date
+        FROM trans_seq q LEFT JOIN trans_state s ON s.request_id = q.request_id""",
 }
 
 
@@ -359,7 +368,7 @@ def _decided(T):
 
 @register("transitions", "SELECT * FROM trans_out", TRANS_CTES)
 def q_transitions(T):
-    return _decided(T)
+    return _decided(T).drop("arrival")
 
 
 @register("archive_transitions", snap_sql(
@@ -967,18 +976,6 @@ def q_stream_archive(T):
 _REG["stream_archive"] = (q_stream_archive, _REG["archive_transitions"][1])
 
 
-def _new_bookings(T):
-    """Bookings after the accepted transitions (statuses and dates replaced)."""
-    d = _decided(T).filter("accepted").select("booking_id", F.col("new_status").alias("_s"),
-                                              F.col("new_start_date").alias("_a"),
-                                              F.col("new_end_date").alias("_b"))
-    b = T["booking"].join(d, "booking_id", "left")
-    return b.select(*[F.coalesce(F.col(x), F.col(c)).alias(c) if c in ("status", "start_date", "end_date")
-                      else F.col(c) for c, x in
-                      [(c, {"status": "_s", "start_date": "_a", "end_date": "_b"}.get(c, c))
-                       for c in T["booking"].columns]])
-
-
 @register("stream_status", f"""
 SELECT DISTINCT r.room_id, CASE
   WHEN r.current_status = 'maintenance' THEN 'maintenance'
@@ -990,18 +987,14 @@ SELECT DISTINCT r.room_id, CASE
 FROM room r
 WHERE r.room_id IN (SELECT b.room_id FROM trans_out o JOIN booking b ON b.booking_id = o.booking_id WHERE o.accepted)""",
           {**TRANS_CTES, "booking2": """SELECT b.booking_id, b.room_id, b.customer_id,
-        coalesce(o.new_status, b.status) AS status, coalesce(o.new_start_date, b.start_date) AS start_date,
-        coalesce(o.new_end_date, b.end_date) AS end_date
-        FROM booking b LEFT JOIN (SELECT * FROM trans_out WHERE accepted) o ON o.booking_id = b.booking_id"""})
+        arg_max(s.status, s.n) AS status, arg_max(s.start_date, s.n) AS start_date, arg_max(s.end_date, s.n) AS end_date
+        FROM booking b JOIN trans_state s ON s.booking_id = b.booking_id GROUP BY 1, 2, 3"""})
 def q_stream_status(T):
     spark = T["booking"].sparkSession
     src, per = _stage_changes(T)
-    T2 = dict(T)
-    T2["booking"] = _new_bookings(T)
-    st = status.status_as_of(T2, AS_OF)
-    out = streams.status_stream(spark, src, st, streams.scratch_dir(spark, "status-out"),
-                                streams.scratch_dir(spark, "status-ckpt"), files_per_trigger=per)
-    return out.distinct()
+    return streams.latest_status(streams.status_stream(
+        spark, T, src, AS_OF, streams.scratch_dir(spark, "status-out"),
+        streams.scratch_dir(spark, "status-ckpt"), files_per_trigger=per))
 
 
 @register("stream_admission", None)

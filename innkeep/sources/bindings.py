@@ -261,11 +261,12 @@ ACTIONS = {"click": "check_in", "view": "cancel", "purchase": "complete", "signu
 
 
 def transition_requests(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Status-change requests (J15) from ``events``: booking_id = event_id.
+    """Status-change requests (J15) from ``events``: four events to a booking
+    (booking_id = event_id rounded down to a multiple of four).
 
     Actor: admin when user_id % 10 = 0, staff (employee user_id) when
     user_id is even, else a customer.  A customer actor is normally the
-    owner of the booking (o_custkey of order event_id); when user_id % 4 = 1
+    owner of the booking (o_custkey of that order); when user_id % 4 = 1
     it is customer user_id instead (a request on someone else's booking).
     """
     et = F.col("event_type")
@@ -276,9 +277,9 @@ def transition_requests(events: DataFrame, orders: DataFrame) -> DataFrame:
     new_start = F.date_add(F.col("ts").cast("date"), _k_from_props())
     is_redate = et == "signup"
     role = F.when(u % 10 == 0, "admin").when(u % 2 == 0, "staff").otherwise("customer")
-    owner = orders.select(F.col("o_orderkey").alias("event_id"), "o_custkey")
-    return events.join(owner, "event_id", "left").select(
-        e.alias("request_id"), e.alias("booking_id"), F.col("ts").alias("arrival"),
+    owner = orders.select(F.col("o_orderkey").alias("booking_id"), "o_custkey")
+    return events.withColumn("booking_id", e - e % 4).join(owner, "booking_id", "left").select(
+        e.alias("request_id"), "booking_id", F.col("ts").alias("arrival"),
         F.coalesce(action, F.lit("invalid")).alias("action"), role.alias("actor"),
         F.when(role == "staff", u).alias("actor_employee_id"),
         F.when(role == "customer", F.when(u % 4 == 1, u).otherwise(F.col("o_custkey"))).alias("actor_customer_id"),

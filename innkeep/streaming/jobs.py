@@ -10,7 +10,7 @@ its checkpoint (executor or driver loss does not duplicate output).
   ``(record_type, source id)`` (state = archived keys, kept in the
   distributed state store), anti-joined with the existing archive.
 * L2 ``status_stream``: change records -> room status of touched rooms,
-  joined with a static status table.
+  from a running count per room of the open bookings that cover the day.
 * L3 ``land_requests`` + ``admit_landed``: requests land through a stream
   (intake reason attached); the landed requests are then admitted in
   arrival-time batches, each against everything accepted before it.
@@ -21,11 +21,16 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from innkeep.functions.columns import as_date, covers
 from innkeep.plans import archive as arch
+from innkeep.plans.common import active_rentings, open_bookings
 from innkeep.session import ensure_checkpoint_dir
+from innkeep.sources.schemas import BLOCKING_BOOKING
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -69,17 +74,52 @@ def archive_stream(spark: SparkSession, T, changes_dir: str, archive: DataFrame
     return spark.read.schema(rows.schema).parquet(out_dir)
 
 
-def status_stream(spark: SparkSession, changes_dir: str, status: DataFrame, out_dir: str,
+def _running_status(key, frames, state):
+    """State of a room: changes seen, and their net effect on the bookings covering the day."""
+    seen, net = state.get if state.exists else (0, 0)
+    first = None
+    for f in frames:
+        first = f.iloc[0] if first is None else first
+        seen, net = seen + len(f), net + int(f["delta"].sum())
+    state.update((seen, net))
+    status = ("maintenance" if first["maintenance"] else "rented" if first["rented"]
+              else "booked" if first["booked"] + net > 0 else "available")
+    yield pd.DataFrame({"room_id": [key[0]], "n_changes": [seen], "status": [status]})
+
+
+def status_stream(spark: SparkSession, T, changes_dir: str, as_of, out_dir: str,
                   ckpt_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """L2: status of the rooms touched by each micro-batch (append)."""
+    """L2: (room_id, n_changes, status) of the rooms touched by each micro-batch (append).
+
+    A change adds or takes away one booking covering ``as_of``, by the states before and after
+    it (``transition_changes``), so the status follows from the stored count and the changes
+    landed so far, in any order of files.  State is two numbers per touched room.
+    """
+    d = as_date(as_of)
     schema = spark.read.parquet(changes_dir).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger) \
         .parquet(changes_dir)
-    touched = stream.select("room_id")
-    status = status.select("room_id", "status").checkpoint(eager=True)  # static side, once
-    rows = touched.join(status, "room_id").select("room_id", "status")
+    covering = lambda st, a, b: F.coalesce(
+        (F.col(st).isin(*BLOCKING_BOOKING) & (F.col(a) <= d) & (d < F.col(b))).cast("int"), F.lit(0))
+    delta = covering("status", "start_date", "end_date") - covering("old_status", "old_start_date", "old_end_date")
+    rented = active_rentings(T).filter(covers("start_date", "end_date", as_of)) \
+        .select("room_id").distinct().withColumn("rented", F.lit(True))
+    booked = open_bookings(T).filter(covers("start_date", "end_date", as_of)) \
+        .groupBy("room_id").agg(F.count(F.lit(1)).alias("booked"))
+    static = T["room"].select("room_id", "current_status").join(rented, "room_id", "left").join(booked, "room_id", "left") \
+        .select("room_id", F.coalesce(F.col("current_status") == "maintenance", F.lit(False)).alias("maintenance"),
+                F.coalesce("rented", F.lit(False)).alias("rented"), F.coalesce("booked", F.lit(0)).alias("booked")) \
+        .checkpoint(eager=True)  # static side, once
+    out = "room_id bigint, n_changes bigint, status string"
+    rows = stream.select(F.col("room_id").cast("bigint").alias("room_id"), delta.alias("delta")).join(static, "room_id").groupBy("room_id") \
+        .applyInPandasWithState(_running_status, out, "seen bigint, net bigint", "append", GroupStateTimeout.NoTimeout)
     _run(rows, out_dir, ckpt_dir)
-    return spark.read.schema(rows.schema).parquet(out_dir)
+    return spark.read.schema(out).parquet(out_dir)
+
+
+def latest_status(emitted: DataFrame) -> DataFrame:
+    """Each touched room's status after the micro-batches so far."""
+    return emitted.groupBy("room_id").agg(F.max_by("status", "n_changes").alias("status"))
 
 
 def land_requests(spark: SparkSession, requests_dir: str, intake_fn, out_dir: str,
