@@ -3,16 +3,19 @@
 1. Entities: e-mail addresses, IP addresses, card and phone numbers, by fixed patterns, as
    spans in code points.
 2. Terms: the ``NEAR`` words on either side of an entity (within ``REACH`` code points).  Over the
-   whole corpus, c(e, t) is the number of different contexts of entity e that hold term t,
-   c(e) the number of its contexts, d(t) the number of texts with t, N the number of texts.
+   whole corpus, c(e, t) is the number of different texts with entity e that hold term t beside it,
+   c(e) the number of different texts with e, d(t) the number of different texts with t, N the
+   number of different texts.  All four count a text and its copies once.
 3. With information content IC(e) = log(N / c(e)) and pointwise mutual information
    PMI(e, t) = log(N c(e, t) / (c(e) d(t))), a term discloses PMI / IC of its entity.  A term
-   seen in ``SUPPORT`` contexts or more that discloses ``GENERALISE`` or more becomes a span of its own
+   seen in ``SUPPORT`` different texts or more that discloses ``GENERALISE`` or more becomes a span of its own
    (kind ``term``) beside that entity; from ``REMOVE`` on it is removed, below it is generalised to
-   its shape.  Contexts that are copies of each other count once.
+   its shape.
 
-Entities are one row per (entity, context), combined before each shuffle, so an address that
-stands in a third of all texts is not one group.
+Copies are found by hash buckets: a text whose bucket holds no repeated hash is certainly single and
+is counted where it is read; only the others are shuffled and made distinct by their whole text.
+Counts are combined per Arrow batch before each shuffle, so an address that stands in a third of
+all texts is not one group.
 
 Defined cases: null and empty texts have no spans; repeated rows are reported each; a text
 of any length is read whole; an empty table gives an empty result.
@@ -20,9 +23,8 @@ of any length is read whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,8 @@ from innkeep.llm.store import small_batches, stored
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, REACH, SUPPORT = 5, 200, 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Hash buckets (2^BITS) of the sets that travel to the tasks, whatever the corpus's size.
+BITS = 22
 
 # The patterns of the four kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,25 +122,78 @@ def _hash64(values: list[str]) -> np.ndarray:
     return words.view(np.int64)
 
 
+def _contexts(body: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """The words beside each entity (entity, term, start, end)."""
+    out = []
+    for s, kind, e in spans:
+        own = _context(body, s, e, spans)
+        if own:
+            entity = _entity_hashes(body, [(s, kind, e)])[0]
+            out += [{"entity": int(entity), "term": int(h), "start": a, "end": b} for h, (a, b) in zip(_hash64([body[a:b] for a, b in own]), own, strict=True)]
+    return out
+
+
+def _entity_hashes(body: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    return _hash64([_entity(kind, body[s:e]).replace(" ", "") for s, kind, e in spans])
+
+
+def _bucket(column: Column) -> Column:
+    return F.shiftrightunsigned(column, 64 - BITS)
+
+
+def _marked(buckets: DataFrame) -> np.ndarray:
+    """Mask of the buckets in the one column of ``buckets``."""
+    out = np.zeros(1 << BITS, bool)
+    out[buckets.distinct().toArrow().column(0).to_numpy()] = True
+    return out
+
+
+def _hits(mask: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mask[hashes.view(np.uint64) >> np.uint64(64 - BITS)]
+
+
+class Texts:
+    """Every different text of ``docs`` once (null counts as empty), and their number ``n``."""
+
+    def __init__(self, docs: DataFrame, text: str = "text"):
+        self.rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+        buckets = stored(self.rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).groupBy(_bucket(F.col("h")).alias("bucket"))
+                         .agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("each")), "copies")
+        marked = self.marked = docs.sparkSession.sparkContext.broadcast(_marked(buckets.filter("most > 1").select("bucket")))
+
+        def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_hits(marked.value, batch.column(1).to_numpy()))).select(["text"])
+
+        self.once = stored(self.rows.mapInArrow(repeated, "text string").distinct(), "once")
+        self.n = self.once.count() + (buckets.filter("most = 1").agg(F.sum("each")).first()[0] or 0)
+
+    def over(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """``run`` as in mapInArrow over batches of the one column text."""
+        marked = self.marked
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return run(b.filter(pa.array(~_hits(marked.value, b.column(1).to_numpy()))).select(["text"]) for b in batches)
+
+        return self.rows.mapInArrow(single, schema).unionByName(self.once.mapInArrow(run, schema))
+
+
+def _counted(keys: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Distinct rows of the columns of ``keys`` and how often each stands there (column n)."""
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([*[pa.array(k[first]) for k in keys], pa.array(np.diff(np.append(first, len(order))).astype(np.int64))], [*names, "n"])
+
+
 def detected(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep``, spans (start, kind, end) and contexts (entity, fp, term, start, end) per row."""
+    """Columns ``keep``, spans (start, kind, end) and contexts (entity, term, start, end) per row."""
     schema = docs.select(*keep).schema
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("fp", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-
-    def contexts(body: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-        out = []
-        for s, kind, e in spans:
-            own = _context(body, s, e, spans)
-            if not own:
-                continue
-            terms = [body[a:b] for a, b in own]
-            entity = _hash64([_entity(kind, body[s:e]).replace(" ", "")])[0]
-            hashes = _hash64(terms)
-            fp = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "big", signed=True)
-            out += [{"entity": int(entity), "fp": fp, "term": int(h), "start": a, "end": b} for h, (a, b) in zip(hashes, own, strict=True)]
-        return out
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,17 +202,17 @@ def detected(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 for body in piece.column(piece.num_columns - 1).to_pylist():
                     found = base_spans(body or "")
                     spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                    near_.append(contexts(body, found) if found else [])
+                    near_.append(_contexts(body, found) if found else [])
                 yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(piece.num_columns - 1)], pa.array(spans, span), pa.array(near_, near)],
                                                  [*schema.names, "spans", "near"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(
         run, fields + "spans array<struct<start:long,kind:int,end:long>>, "
-        "near array<struct<entity:long,fp:long,term:long,start:long,end:long>>")
+        "near array<struct<entity:long,term:long,start:long,end:long>>")
 
 
-def text_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, d): number of texts that hold each word, combined per Arrow batch before the shuffle."""
+def text_frequencies(texts: Texts) -> DataFrame:
+    """(term, d): number of different texts that hold each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,18 +222,48 @@ def text_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
                 for i in range(piece.num_rows):
                     each.append(np.unique(words[first[i]:first[i + 1]]))
             if each:
-                u, n = np.unique(np.concatenate(each), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "d"])
+                yield _counted([np.concatenate(each).view(np.int64)], ["term"])
+
+    return texts.over(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("d"))
+
+
+def entity_frequencies(texts: Texts) -> DataFrame:
+    """(entity, c): number of different texts that hold each entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = []
+            for piece in tx.slices(batch, "text"):
+                for body in piece.column(0).to_pylist():
+                    if found := base_spans(body):
+                        each.append(np.unique(_entity_hashes(body, found)))
+            if each:
+                yield _counted([np.concatenate(each)], ["entity"])
+
+    return texts.over(run, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("c"))
+
+
+def pair_frequencies(texts: Texts) -> DataFrame:
+    """(entity, term, both): number of different texts that hold a term beside an entity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = []
+            for piece in tx.slices(batch, "text"):
+                for body in piece.column(0).to_pylist():
+                    if found := base_spans(body):
+                        each += {(x["entity"], x["term"]) for x in _contexts(body, found)}
+            if each:
+                yield _counted(list(np.array(each, np.int64).T), ["entity", "term"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, d long").groupBy("term").agg(F.sum("d").alias("d"))
+    return texts.over(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("both"))
 
 
-def disclosing_terms(near: DataFrame, frequencies: DataFrame, n_texts: int) -> DataFrame:
-    """(entity, term, disclosure) of terms at or above GENERALISE.  near: (entity, fp, term)."""
-    pairs = near.select("entity", "term", "fp").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    whole = near.select("entity", "fp").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.filter(F.col("both") >= SUPPORT).join(whole, "entity").join(frequencies, "term")
-    n = F.lit(float(n_texts))
+def disclosing_terms(texts: Texts) -> DataFrame:
+    """(entity, term, disclosure) of terms at or above GENERALISE."""
+    whole = entity_frequencies(texts).filter(F.col("c") >= SUPPORT)
+    pairs = pair_frequencies(texts).filter(F.col("both") >= SUPPORT).join(whole, "entity").join(text_frequencies(texts), "term")
+    n = F.lit(float(texts.n))
     content = F.log(n / F.col("c"))
     pmi = F.log(n * F.col("both") / (F.col("c") * F.col("d")))
     return (pairs.withColumn("disclosure", F.when(content > 0, pmi / content))
@@ -188,7 +275,7 @@ def find_private(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     small_batches(docs.sparkSession)
     rows = stored(detected(docs, keep, text).withColumn("row", F.monotonically_increasing_id()), "private")
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    telling = stored(disclosing_terms(near, text_frequencies(docs, text), rows.count()), "telling")
+    telling = stored(disclosing_terms(Texts(docs, text)), "telling")
     terms = (near.join(telling, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
              .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
     none = F.array().cast("array<struct<start:long,end:long,disclosure:double>>")

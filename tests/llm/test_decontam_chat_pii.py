@@ -180,3 +180,24 @@ def test_terms_that_reveal_an_entity(spark):
     clean = found.filter("doc_id = 0").select(pii.sanitised_column(found["text"], found["base"], found["terms"]).alias("t")).first()["t"]
     assert "zorblax" not in clean and "ann.lee" not in clean and "[EMAIL]" in clean and "[REMOVED]" in clean
     assert pii.find_private(df.limit(0), ["doc_id"]).count() == 0
+
+
+def told(spark, texts):
+    """The marked terms of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["terms"] for r in pii.find_private(df, ["doc_id"]).collect()}
+    return [[t[x["start"]:x["end"]] for x in got[i]] for i, t in enumerate(texts)]
+
+
+def test_copies_and_fixed_blocks_hide_no_term(spark):
+    rng = random.Random(4)
+    fill = lambda n: " ".join(rng.choice(["the", "of", "and", "to", "in", "now", "call"]) for _ in range(n))
+    plain = [fill(12 + i % 7) for i in range(300)]
+    # three contexts, one of them copied; the term also stands in a copied text without the address
+    three = [f"{fill(9)} zorblax ann.lee@corp.example {fill(9)}" for _ in range(3)]
+    assert told(spark, plain + three + [three[0]] * 100) == [[]] * 300 + [["zorblax"]] * 103
+    # one block of five words on either side in different texts
+    block = "now call the zorblax of bob@corp.example and to in the of"
+    assert told(spark, plain + [f"{fill(3 + i)} {block} {fill(4)}" for i in range(20)]) == [[]] * 300 + [["zorblax"]] * 20
+    # copies alone tell nothing
+    assert told(spark, plain + [three[0]] * 50) == [[]] * 350
