@@ -2,20 +2,23 @@
 
 1. Entities: e-mail addresses, IP addresses, card and phone numbers, by fixed patterns, as
    spans in code points.
-2. Terms: the ``NEAR`` words on either side of an entity (within ``REACH`` code points).  Over the
-   whole corpus, c(e, t) is the number of different texts with entity e that hold term t beside it,
-   c(e) the number of different texts with e, d(t) the number of different texts with t, N the
-   number of different texts.  All four count a text and its copies once.
+2. Terms: all words outside entities.  Over the whole corpus, c(e, t) is the number of different
+   texts with entity e that hold term t anywhere, c(e) the number of different texts with e, d(t)
+   the number of different texts with t, N the number of different texts.  All four count a text
+   and its copies once.
 3. With information content IC(e) = log(N / c(e)) and pointwise mutual information
    PMI(e, t) = log(N c(e, t) / (c(e) d(t))), a term discloses PMI / IC of its entity.  A term
    seen in ``SUPPORT`` different texts or more that discloses ``GENERALISE`` or more becomes a span of its own
-   (kind ``term``) beside that entity; from ``REMOVE`` on it is removed, below it is generalised to
-   its shape.
+   (kind ``term``) wherever it stands, with its entity or without it, as it tells of the entity in
+   either; from ``REMOVE`` on it is removed, below it is generalised to its shape.  A term that
+   tells of several entities counts by the one it discloses most.
 
 Copies are found by hash buckets: a text whose bucket holds no repeated hash is certainly single and
 is counted where it is read; only the others are shuffled and made distinct by their whole text.
 Counts are combined per Arrow batch before each shuffle, so an address that stands in a third of
-all texts is not one group.
+all texts is not one group.  Pairs are made only for entities and terms that can reach
+``SUPPORT`` and ``GENERALISE`` (both need max(c, d) <= N^(1 - g) c^g, g = ``GENERALISE``), found by a
+mask of hash buckets; what a mask lets through in error is dropped by the exact joins after it.
 
 Defined cases: null and empty texts have no spans; repeated rows are reported each; a text
 of any length is read whole; an empty table gives an empty result.
@@ -36,10 +39,12 @@ from innkeep.llm import textops as tx
 from innkeep.llm.store import small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, REACH, SUPPORT = 5, 200, 3
+SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 #: Hash buckets (2^BITS) of the sets that travel to the tasks, whatever the corpus's size.
 BITS = 22
+#: Pairs made at a time.
+PAIRS = 1 << 18
 
 # The patterns of the four kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,7 +53,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -92,25 +96,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _context(text: str, begin: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Whole words beside the token that holds [begin, end), outside all spans."""
-    left, right = max(0, begin - REACH), min(len(text), end + REACH)
-    before = [m.span() for m in _WORD.finditer(text, left, begin)]
-    if before and before[-1][1] == begin:
-        before.pop()
-    if before and left and before[0][0] == left and not _blank(text[left - 1]):
-        before.pop(0)
-    after = [m.span() for m in _WORD.finditer(text, end, right)]
-    if after and after[0][0] == end:
-        after.pop(0)
-    if after and right < len(text) and after[-1][1] == right and not _blank(text[right]):
-        after.pop()
-    words = before[-NEAR:] + after[:NEAR]
-    return [(s, e) for s, e in words if not any(s < z and a < e for a, _, z in spans)]
-
-
-def _blank(c: str) -> bool:
-    return c in " \t\n\x0b\x0c\r"
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (code points) of all words that overlap no span."""
+    raw, offs = tx.text_bytes(pa.array([text], pa.string()))
+    starts, ends = tx.word_spans(raw, offs)
+    words, _ = tx.word_hashes(raw, offs)
+    point = np.cumsum((raw & 0xC0) != 0x80)
+    starts, ends = point[starts] - 1, point[ends - 1]
+    inside = np.zeros(len(text) + 1, np.int64)
+    for a, _, z in spans:
+        inside[a] += 1
+        inside[z] -= 1
+    before = np.concatenate([[0], np.cumsum(np.cumsum(inside) > 0)])
+    free = before[starts] == before[ends]
+    return words.view(np.int64)[free], starts[free], ends[free]
 
 
 def _entity(kind: int, value: str) -> str:
@@ -122,17 +121,6 @@ def _hash64(values: list[str]) -> np.ndarray:
     return words.view(np.int64)
 
 
-def _contexts(body: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The words beside each entity (entity, term, start, end)."""
-    out = []
-    for s, kind, e in spans:
-        own = _context(body, s, e, spans)
-        if own:
-            entity = _entity_hashes(body, [(s, kind, e)])[0]
-            out += [{"entity": int(entity), "term": int(h), "start": a, "end": b} for h, (a, b) in zip(_hash64([body[a:b] for a, b in own]), own, strict=True)]
-    return out
-
-
 def _entity_hashes(body: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return _hash64([_entity(kind, body[s:e]).replace(" ", "") for s, kind, e in spans])
 
@@ -188,27 +176,33 @@ def _counted(keys: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[pa.array(k[first]) for k in keys], pa.array(np.diff(np.append(first, len(order))).astype(np.int64))], [*names, "n"])
 
 
-def detected(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep``, spans (start, kind, end) and contexts (entity, term, start, end) per row."""
+def detected(docs: DataFrame, keep: list[str], telling: np.ndarray, text: str = "text") -> DataFrame:
+    """Columns ``keep``, spans (start, kind, end) and near (term, start, end) per row: the words in buckets of ``telling``."""
     schema = docs.select(*keep).schema
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    near = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    mask = docs.sparkSession.sparkContext.broadcast(telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tx.slices(batch, "__text"):
+                words, first = tx.word_hashes(*tx.text_bytes(piece.column(piece.num_columns - 1)))
+                some = np.concatenate([[0], np.cumsum(_hits(mask.value, words))])[first]
                 spans, near_ = [], []
-                for body in piece.column(piece.num_columns - 1).to_pylist():
-                    found = base_spans(body or "")
+                for i, body in enumerate(piece.column(piece.num_columns - 1).to_pylist()):
+                    found, own = base_spans(body or ""), []
+                    if some[i + 1] > some[i]:
+                        term, start, end = _terms(body, found)
+                        hit = _hits(mask.value, term)
+                        own = [{"term": t, "start": s, "end": e} for t, s, e in zip(term[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)]
                     spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                    near_.append(_contexts(body, found) if found else [])
+                    near_.append(own)
                 yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(piece.num_columns - 1)], pa.array(spans, span), pa.array(near_, near)],
                                                  [*schema.names, "spans", "near"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(
-        run, fields + "spans array<struct<start:long,kind:int,end:long>>, "
-        "near array<struct<entity:long,term:long,start:long,end:long>>")
+        run, fields + "spans array<struct<start:long,kind:int,end:long>>, near array<struct<term:long,start:long,end:long>>")
 
 
 def text_frequencies(texts: Texts) -> DataFrame:
@@ -243,41 +237,67 @@ def entity_frequencies(texts: Texts) -> DataFrame:
     return texts.over(run, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("c"))
 
 
-def pair_frequencies(texts: Texts) -> DataFrame:
-    """(entity, term, both): number of different texts that hold a term beside an entity."""
+def pair_frequencies(texts: Texts, entities: np.ndarray, terms: np.ndarray) -> DataFrame:
+    """(entity, term, both): number of different texts that hold both, for the buckets of ``entities`` and ``terms``."""
+    masks = texts.rows.sparkSession.sparkContext.broadcast((entities, terms))
+
+    def pairs(body: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not (found := base_spans(body)):
+            return
+        own = np.unique(_entity_hashes(body, found))
+        own = own[_hits(masks.value[0], own)]
+        if len(own):
+            words = np.unique(_terms(body, found)[0])
+            words = words[_hits(masks.value[1], words)]
+            for a in range(0, len(words), PAIRS):
+                part = words[a:a + PAIRS]
+                step = max(1, PAIRS // len(part))
+                for b in range(0, len(own), step):
+                    e = own[b:b + step]
+                    yield np.repeat(e, len(part)), np.tile(part, len(e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = []
+            each, size = [], 0
             for piece in tx.slices(batch, "text"):
                 for body in piece.column(0).to_pylist():
-                    if found := base_spans(body):
-                        each += {(x["entity"], x["term"]) for x in _contexts(body, found)}
+                    for pair in pairs(body):
+                        each.append(pair)
+                        size += len(pair[0])
+                        if size >= PAIRS:
+                            yield _counted([np.concatenate(x) for x in zip(*each, strict=True)], ["entity", "term"])
+                            each, size = [], 0
             if each:
-                yield _counted(list(np.array(each, np.int64).T), ["entity", "term"])
+                yield _counted([np.concatenate(x) for x in zip(*each, strict=True)], ["entity", "term"])
 
     return texts.over(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("both"))
 
 
 def disclosing_terms(texts: Texts) -> DataFrame:
-    """(entity, term, disclosure) of terms at or above GENERALISE."""
-    whole = entity_frequencies(texts).filter(F.col("c") >= SUPPORT)
-    pairs = pair_frequencies(texts).filter(F.col("both") >= SUPPORT).join(whole, "entity").join(text_frequencies(texts), "term")
+    """(term, disclosure) of terms at or above GENERALISE, by the entity that a term discloses most."""
     n = F.lit(float(texts.n))
+    # a term in most texts of an entity, or an entity in most texts of a term, tells at most log(N / max(c, d))
+    most = lambda c: F.pow(n, 1 - GENERALISE) * F.pow(c, GENERALISE) * (1 + 1e-9)
+    whole = stored(entity_frequencies(texts).filter(F.col("c") >= SUPPORT), "entities")
+    largest = whole.agg(F.max("c")).first()[0] or 0
+    words = stored(text_frequencies(texts).filter((F.col("d") >= SUPPORT) & (F.col("d") <= most(F.lit(float(largest))))), "words")
+    pairs = pair_frequencies(texts, *[_marked(x.select(_bucket(F.col(c)))) for x, c in ((whole, "entity"), (words, "term"))])
+    pairs = pairs.filter(F.col("both") >= SUPPORT).join(whole, "entity").join(words, "term")
     content = F.log(n / F.col("c"))
     pmi = F.log(n * F.col("both") / (F.col("c") * F.col("d")))
     return (pairs.withColumn("disclosure", F.when(content > 0, pmi / content))
-            .filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
+            .filter(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
 
 
 def find_private(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep``, base (start, kind, end) and terms (start, end, disclosure) per row of ``docs``."""
     small_batches(docs.sparkSession)
-    rows = stored(detected(docs, keep, text).withColumn("row", F.monotonically_increasing_id()), "private")
-    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
     telling = stored(disclosing_terms(Texts(docs, text)), "telling")
-    terms = (near.join(telling, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-             .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
+    mask = _marked(telling.select(_bucket(F.col("term"))))
+    rows = stored(detected(docs, keep, mask, text).withColumn("row", F.monotonically_increasing_id()), "private")
+    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    terms = (near.join(telling, "term").groupBy("row")
+             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
     none = F.array().cast("array<struct<start:long,end:long,disclosure:double>>")
     return (rows.drop("near").join(terms, "row", "left")
             .select(*keep, F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms")))

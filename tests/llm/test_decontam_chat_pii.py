@@ -201,3 +201,32 @@ def test_copies_and_fixed_blocks_hide_no_term(spark):
     assert told(spark, plain + [f"{fill(3 + i)} {block} {fill(4)}" for i in range(20)]) == [[]] * 300 + [["zorblax"]] * 20
     # copies alone tell nothing
     assert told(spark, plain + [three[0]] * 50) == [[]] * 350
+
+
+def test_terms_far_from_their_entity(spark):
+    rng = random.Random(5)
+    fill = lambda n: " ".join(rng.choice(["the", "of", "é", "to", "in", "now", "call"]) for _ in range(n))
+    plain = [fill(12 + i % 7) for i in range(300)]
+    far = [f"Zorblax {fill(40 + i)} <ann.lee@corp.example>, {fill(30)} zorblax é" for i in range(6)]
+    got = told(spark, plain + far + ["zorblax alone", "zorblax@corp.example"])
+    assert got == [[]] * 300 + [["Zorblax", "zorblax"]] * 6 + [["zorblax"], []]
+
+
+def test_pairs_made_in_parts_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(pii, "PAIRS", 7)
+    names = [f"w{i}" for i in range(40)]
+    mails = [f"m{i}@corp.example" for i in range(8)]
+    texts = [" ".join(rng.choices(names, k=6) + rng.choices(mails, k=i % 3)) for i in range(150)]
+    texts += [f"only{k} {rng.choice(names)} {mails[k]} {j}" for k in range(4) for j in range(4)] + texts[:30]
+    n = len(set(texts))
+    sets = [(set(t.split()) - set(mails), set(t.split()) & set(mails)) for t in set(texts)]
+    telling = set()
+    for e in mails:
+        c = sum(e in m for _, m in sets)
+        for w in set().union(*[x for x, _ in sets]):
+            both, d = sum(w in x and e in m for x, m in sets), sum(w in x for x, _ in sets)
+            if both >= 3 and np.log(n * both / (c * d)) / np.log(n / c) >= 0.8:
+                telling.add(w)
+    assert telling and telling < set(names) | {f"only{k}" for k in range(4)} | set("0123")
+    assert told(spark, texts) == [[w for w in t.split() if w in telling] for t in texts]
