@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into windows of ``WINDOW`` normalised characters (steps of half a
-window, the last one ending with the item).  A window of m characters may differ from a
+Benchmark items are cut into windows of ``WINDOW`` normalised characters at steps of
+``PASSAGE`` - ``WINDOW`` + 1 (the last one ends with the item), so every passage of ``PASSAGE``
+characters holds a whole window wherever it begins: no quotation of that length is missed.
+A window of m characters may differ from a
 document's region by k = m // ``PER_EDIT`` edits.  Such a region shares at least
 T = m - q + 1 - k * q of the window's q-grams, all on diagonals (text position minus window
 position) within a strip of k + 1.  Hits are counted in diagonal bands that overlap by k, so
@@ -15,8 +17,8 @@ bounded whatever the benchmark's) travels to the tasks; a larger benchmark takes
 over the documents per block.
 
 Defined cases: null and empty texts match nothing; items under ``LEAST`` normalised
-characters hold too little to be told from chance and match only a document whose whole
-normalised text they are; null or empty items match nothing; repeated items are items of
+characters match without edits and between word borders, those of one word (which any text may
+hold) only a document whose whole normalised text they are; null or empty items match nothing; repeated items are items of
 their own; repeated documents are each reported.
 """
 
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from innkeep.llm import textops as tx
 from innkeep.llm.store import small_batches
 
-Q, WINDOW, PER_EDIT, LEAST = 12, 96, 16, 24
+Q, WINDOW, PER_EDIT, LEAST = 12, 48, 16, 24
+#: The shortest passage out of a longer item that is always found.
+PASSAGE = 64
 STEP = 8
 INDEX_BYTES = 1 << 20
 #: Normalised bytes searched at a time.
@@ -79,15 +83,17 @@ class Index:
         raw, offs = tx.text_bytes(pa.array(items, pa.string()))
         data, at = normalised(raw, offs)
         self.whole: dict[bytes, list[int]] = {}
+        self.inside: dict[int, dict[bytes, list[int]]] = {}
         windows, owner = [], []
         for i in range(len(items)):
             x = data[at[i]:at[i + 1] - 1]
             if 0 < len(x) < LEAST:
-                self.whole.setdefault(x.tobytes(), []).append(i)
+                same = self.inside.setdefault(len(x), {}) if 0x20 in x else self.whole
+                same.setdefault(x.tobytes(), []).append(i)
                 continue
             if len(x) < LEAST:
                 continue
-            starts = [*range(0, max(1, len(x) - WINDOW), WINDOW // 2), max(0, len(x) - WINDOW)]
+            starts = [*range(0, max(1, len(x) - WINDOW), PASSAGE - WINDOW + 1), max(0, len(x) - WINDOW)]
             for s in sorted(set(starts)):
                 windows.append(x[s:s + WINDOW])
                 owner.append(i)
@@ -146,6 +152,23 @@ class Index:
                                              diagonal[part], STEP + int(m) // PER_EDIT, int(m) // PER_EDIT)
         return best
 
+    def short(self, data: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of the items under LEAST characters found between word borders."""
+        found = set()
+        for a in range(0, len(data) if self.inside else 0, BLOCK):
+            part = data[a:a + BLOCK + LEAST]
+            border = (part == 0x20) | (part == 0)
+            for n, items in self.inside.items():
+                wanted = np.sort([tx.gram_hashes(np.frombuffer(x, np.uint8), n)[0] for x in items])
+                h = tx.gram_hashes(part, n)[:BLOCK]
+                g = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                for p in np.flatnonzero(wanted[g] == h).tolist():
+                    begins = border[p - 1] if p else not a or data[a - 1] in (0x20, 0)
+                    if begins and border[p + n]:
+                        d = int(np.searchsorted(at, a + p, side="right")) - 1
+                        found |= {(d, i) for i in items.get(part[p:p + n].tobytes(), [])}
+        return found
+
     def search(self, data: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """Per text: (item, windows found, least distance)."""
         out: list[list] = [[] for _ in range(len(at) - 1)]
@@ -153,6 +176,8 @@ class Index:
             for i in range(len(at) - 1):
                 if 0 < at[i + 1] - 1 - at[i] < LEAST:
                     out[i] = [(w, 1, 0) for w in self.whole.get(data[at[i]:at[i + 1] - 1].tobytes(), [])]
+        for d, item in sorted(self.short(data, at)):
+            out[d].append((item, 1, 0))
         if not len(self.grams):
             return out
         found: dict[tuple[int, int], dict[int, int]] = {}

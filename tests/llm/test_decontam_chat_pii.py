@@ -230,3 +230,22 @@ def test_pairs_made_in_parts_equal_brute_force(spark, monkeypatch):
                 telling.add(w)
     assert telling and telling < set(names) | {f"only{k}" for k in range(4)} | set("0123")
     assert told(spark, texts) == [[w for w in t.split() if w in telling] for t in texts]
+
+
+def test_every_passage_of_an_item_is_found(monkeypatch):
+    rng = random.Random(9)
+    for n in (12, 30, 60):
+        item = words(rng, n)
+        texts = [words(rng, 9) + " " + item[o:o + 64] + " " + words(rng, 9) for o in range(len(item) - 63)]
+        data, at = decontam.normalised(*tx.text_bytes(pa.array(texts)))
+        assert len(texts) > 1 and [[x[0] for x in f] for f in decontam.Index([item]).search(data, at)] == [[0]] * len(texts)
+
+
+def test_short_items_between_word_borders(monkeypatch):
+    items = ["Two words", "tiny", "a b", "in 1999, no?", None, "two words"]
+    texts = ["It has two WORDS.", "two wordsmith", "atwo words", "two words", "tiny", "a tiny", "xa b a b", "IN 1999 no", "a", "b", "", None, "so: in 1999; no"]
+    want = [[0, 5], [], [], [0, 5], [1], [], [2], [3], [], [], [], [], [3]]
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        data, at = decontam.normalised(*tx.text_bytes(pa.array(texts)))
+        assert [[x[0] for x in f] for f in decontam.Index(items).search(data, at)] == want
