@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from innkeep.llm import textops as tx
 from innkeep.llm.store import small_batches
 
-Q, WINDOW, PER_EDIT, LEAST = 12, 48, 16, 24
+#: T is 3 or more for every window of LEAST to WINDOW characters with this Q.
+Q, WINDOW, PER_EDIT, LEAST = 10, 48, 16, 24
 #: The shortest passage out of a longer item that is always found.
 PASSAGE = 64
 STEP = 8

@@ -249,3 +249,16 @@ def test_short_items_between_word_borders(monkeypatch):
         monkeypatch.setattr(decontam, "BLOCK", block)
         data, at = decontam.normalised(*tx.text_bytes(pa.array(texts)))
         assert [[x[0] for x in f] for f in decontam.Index(items).search(data, at)] == want
+
+
+def test_edits_spread_over_items_of_any_length():
+    rng = random.Random(10)
+    for m in range(decontam.LEAST, decontam.WINDOW + 1):
+        item, k = "".join(rng.choices("abcdefghijklmnop", k=m)), m // decontam.PER_EDIT
+        index = decontam.Index([item])
+        assert index.least.min() >= 1
+        t = list(item)
+        for j in range(k):
+            t[(j + 1) * m // (k + 1)] = "z"
+        data, at = decontam.normalised(*tx.text_bytes(pa.array([words(rng, 9) + " " + "".join(t) + " " + words(rng, 9)])))
+        assert index.search(data, at) == [[(0, 1, k)]]
