@@ -267,7 +267,7 @@ def q_rules(T):
 from innkeep.plans import archive as arch  # noqa: E402
 from innkeep.plans import repair, tables, transitions  # noqa: E402
 from innkeep.operators.rank import global_rank  # noqa: E402
-from innkeep.sources.bindings import booking_requests, transition_requests  # noqa: E402
+from innkeep.sources.bindings import _lpad_id, booking_requests, transition_requests  # noqa: E402
 
 
 def snap_sql(kind: str, src: str, where: str = "TRUE") -> str:
@@ -936,7 +936,7 @@ _UPSERT_CTES = {
 def _upserted(T):
     c = F.col("c_custkey")
     cur = T["person"].select("legal_id", "first_name", "last_name", "email")
-    raw = T["_raw"]["customer"].select(F.lpad((F.lit(200000000) + c).cast("string"), 9, "0").alias("legal_id"), "c_custkey", "c_acctbal")
+    raw = T["_raw"]["customer"].select(_lpad_id(200000000, c).alias("legal_id"), "c_custkey", "c_acctbal")
     new = F.when(F.col("c_acctbal") >= 0, F.col("email")) \
         .when(c % 50 == 0, F.concat(F.lit("customer"), (c + 1).cast("string"), F.lit("@mail.example"))) \
         .otherwise(F.concat(F.lit("new"), c.cast("string"), F.lit("@mail.example")))
@@ -1080,8 +1080,7 @@ def q_migrate(T):
     legacy_customer = raw.select(F.col("c_custkey").alias("customer_id"),
                                  (F.col("c_custkey") + 1).alias("person_id"))
     legacy_person = raw.select((F.col("c_custkey") + 1).alias("person_id"),
-                               F.lpad((F.lit(200000000) + F.col("c_custkey")).cast("string"), 9, "0")
-                               .alias("legal_id"))
+                               _lpad_id(200000000, F.col("c_custkey")).alias("legal_id"))
     return repair.migrate_fk(legacy_customer, legacy_person)
 
 
@@ -1206,7 +1205,7 @@ def renting_requests(T) -> DataFrame:
     e = F.col("event_id")
     start = F.col("ts").cast("date")
     return ev.select(e.alias("request_id"), ((e * 7919) % n_rooms).alias("room_id"),
-                     F.lpad((F.lit(200000000) + F.col("user_id")).cast("string"), 9, "0").alias("customer_sin"),
+                     _lpad_id(200000000, F.col("user_id")).alias("customer_sin"),
                      (e % n_staff).alias("staff_employee_id"), start.alias("start_date"),
                      F.date_add(start, (e % 3).cast("int")).alias("end_date"))
 
@@ -1441,7 +1440,7 @@ def staff_booking_requests(T) -> DataFrame:
     start = F.date_add(F.col("ts").cast("date"), (e % 40).cast("int"))
     return T["_raw"]["events"].select(
         e.alias("request_id"), F.when(e % 3 == 0, "admin").otherwise("staff").alias("actor"), (e % n_staff).alias("actor_employee_id"),
-        F.lpad((F.lit(200000000) + u * 2).cast("string"), 9, "0").alias("customer_sin"), ((e * 7919) % n_rooms).alias("room_id"),
+        _lpad_id(200000000, u * 2).alias("customer_sin"), ((e * 7919) % n_rooms).alias("room_id"),
         start.alias("start_date"), F.date_add(start, (e % 7 - 1).cast("int")).alias("end_date"))
 
 
