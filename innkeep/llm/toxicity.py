@@ -2,13 +2,15 @@
 
 Texts are lowered (A-Z) and every run of ASCII signs becomes one blank.  A feature is the
 presence of a character n-gram (``SIZES`` bytes) in a text, hashed to one of ``BUCKETS``.
-Over the labelled texts, Spark counts in how many toxic and other texts each bucket is
+Over all labelled texts, Spark counts in how many toxic and other texts each bucket is
 present; the log-count ratio of the two smoothed frequencies scales the feature.  The
 ``FEATURES`` buckets with the strongest evidence are kept, and a linear classifier (logistic
 loss, L2) is fitted on the scaled features.
 
-The fit reads a sample of at most ``SAMPLE`` labelled texts, chosen by a hash of the id; what
-reaches the driver is bounded by ``BUCKETS`` and by ``SAMPLE`` x ``FEATURES`` bits.
+The fit alone reads a sample of at most ``SAMPLE`` labelled texts, half of each class where both have
+as many, chosen by a hash of the id; a text weighs as many as its class has for each one drawn, so
+the classes keep their shares.  Labels travel to the texts in blocks of ``LABELS`` at most, one pass
+over the documents per block, so no text is shuffled and a task's memory is bounded.  What reaches the driver is bounded by ``BUCKETS`` and by ``SAMPLE`` x ``FEATURES`` bits.
 
 Defined cases: null and empty texts have no features, their score is the intercept's; null
 labels are ignored; repeated label rows of an id count once (the larger label); with one
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
 from innkeep.llm.decontam import normalised
-from innkeep.llm.store import bounded_sample, small_batches
+from innkeep.llm.store import bounded_sample, small_batches, stored
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
 SAMPLE, FEATURES = 20_000, 2048
+#: Labels sent to the tasks at a time.
+LABELS = 1 << 21
 ALPHA, L2, STEPS = 1.0, 1e-4, 200
 _SHIFT = np.uint64(64 - 20)
 
@@ -106,15 +111,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     small_batches(docs.sparkSession)
     known = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).alias("__id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y")))
-    known = bounded_sample(known, SAMPLE, "__id")
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id").select("text", "y")
+    known = stored(known, "toxicity")
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
     totals = known.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in totals}
     weights = np.zeros(BUCKETS)
     if not n.get(0) or not n.get(1):
         share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return Model(weights, float(np.log(share / (1 - share))))
-    got = class_counts(rows).filter("pos + neg >= 3").toArrow()
+    blocks = -(-sum(n.values()) // LABELS)
+    parts = [class_counts(texts.join(F.broadcast(known.filter(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == k)), "__id")) for k in range(blocks)]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    got = counts.filter("pos + neg >= 3").toArrow()
     bucket, pos, neg = (got.column(c).to_numpy() for c in ("bucket", "pos", "neg"))
     order = np.argsort(bucket)
     bucket, pos, neg = bucket[order], pos[order].astype(float), neg[order].astype(float)
@@ -135,24 +143,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             offs += (offs[-1] + np.cumsum(np.bincount(t, minlength=k))).tolist()
         return pa.ListArray.from_arrays(pa.array(np.array(offs, np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
 
+    drawn = {1: min(n[1], max(SAMPLE // 2, SAMPLE - n[0]))}
+    drawn[0] = min(n[0], SAMPLE - drawn[1])
+    sample = [bounded_sample(known.filter(F.col("y") == k), drawn[k], "__id") for k in (0, 1)]
+    rows = texts.join(F.broadcast(sample[0].unionByName(sample[1])), "__id")
     table = rows.select("y", features(F.col("text")).alias("f")).toArrow()
     y = table.column("y").to_numpy().astype(float)
     lists = table.column("f").combine_chunks()
     cols = lists.flatten().to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    w, bias = fit(owner, cols, ratio, y)
+    w, bias = fit(owner, cols, ratio, y, np.where(y == 1, n[1] / drawn[1], n[0] / drawn[0]))
     weights[bucket[best]] = w * ratio
     return Model(weights, bias)
 
 
-def fit(owner: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on ratio-scaled presence features (Adam on the whole sample)."""
-    n, w, bias = len(y), np.zeros(len(ratio)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+def fit(owner: np.ndarray, cols: np.ndarray, ratio: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on ratio-scaled presence features of weighted texts (Adam on the whole sample)."""
+    weight = weight / weight.sum()
+    share = float((weight * y).sum())
+    n, w, bias = len(y), np.zeros(len(ratio)), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     x = ratio[cols]
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
         g = bias + np.bincount(owner, w[cols] * x, n)
-        d = (1 / (1 + np.exp(-np.clip(g, -30, 30))) - y) / n
+        d = (1 / (1 + np.exp(-np.clip(g, -30, 30))) - y) * weight
         gw = np.bincount(cols, d[owner] * x, len(w)) + L2 * w
         gb = d.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw

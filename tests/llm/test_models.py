@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,17 @@ def test_registered_classifiers_on_given_tables(spark, name, column, need):
 def test_registered_language_model_beats_its_base(spark):
     got = QUERIES["op3_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_rare_toxic_class_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "LABELS", 150, raising=False)
+    rng = random.Random(11)
+    fill = lambda: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(6))
+    rows = [(i, fill() + (" zorblax" if i % 67 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 67 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    new = [fill() for _ in range(100)]
+    toxic, good = (model.score(pa.array(x)) for x in ([t + " zorblax" for t in new], new))
+    # every text's evidence counts, and the classes keep their shares (6 in 400)
+    assert (toxic > good).all() and toxic.min() > 0.5 and good.mean() < 0.1
