@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontam, exact_dedup, lm, minhash, mixing, pii, quality, sharding, toxicity
+from innkeep.llm import bpe, chat, decontam, exact_dedup, lm, minhash, mixing, pii, quality, sharding, toxicity
 from innkeep.llm.store import table
 
 
@@ -82,9 +82,18 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(found, ["doc_id"])
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], path)
+    return found.select("doc_id", "n_tokens", F.sha2(bpe.packed("ids"), 256).alias("ids_sha256"),
+                        F.sha2(bpe.decode_column(spark, "ids", path), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_toxicity, op3_lm_scoring, op4_chat_format, op5_minhash_near_dedup, op6_source_mixing,
-    op7_shard_tree, op8_quality, op9_exact_dedup, op10_pii_sanitisation)}
+    op7_shard_tree, op8_quality, op9_exact_dedup, op10_pii_sanitisation, op13_bpe_round_trip)}
 
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
