@@ -11,10 +11,11 @@ renting is reported once, as a booking violation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.operators.intervals import day_cells, overlap_pairs
+from innkeep.operators.intervals import overlap_pairs
+from innkeep.operators.sweep import sweep
 from innkeep.plans.common import active_rentings, open_bookings
 
 # Rule order per record type.
@@ -35,37 +36,30 @@ def booking_renting_pairs(T, key: str = "room_id") -> DataFrame:
     return overlap_pairs(open_bookings(T), active_rentings(T), key, "booking_id", "renting_id")
 
 
-def conflict_flags(T) -> DataFrame:
-    """Per open booking, whether it clashes (by room) with an active
-    renting / another open booking.  One join on room-days, no pairs."""
-    ob = open_bookings(T)
-    mine = day_cells(ob, ["booking_id"], ["room"])
-    hit = mine.join(_held_cells(T, ["room"]), ["kind", "key", "day"]).groupBy("booking_id").agg(
-        F.max(F.col("renting_lo").isNotNull()).alias("r"), F.max(_another("booking", F.col("booking_id"))).alias("b"))
-    return ob.select("booking_id").join(hit, "booking_id", "left").select(
-        "booking_id", F.coalesce("r", F.lit(False)).alias("has_renting_clash"),
-        F.coalesce("b", F.lit(False)).alias("has_booking_clash"))
-
-
-def _held_cells(T, kinds=("room", "customer")) -> DataFrame:
-    """Per (kind, key, day): least and largest id of the bookings and of the
-    rentings that block it.  Another row than x blocks the cell exactly
-    where the least or the largest id is not x, so two ids say it all.
-    Rows are combined before the shuffle: a hot room is a row per day."""
-    frames = []
-    for side in ("booking", "renting"):
-        rows, sid = _side(T, side)
-        frames.append(day_cells(rows.withColumn("_id", F.col(sid)).withColumn("_side", F.lit(side)), ["_side", "_id"], kinds))
-    both = frames[0].unionByName(frames[1])
-    pick = lambda f, side: f(F.when(F.col("_side") == side, F.col("_id")))
-    return both.groupBy("kind", "key", "day").agg(
-        *[pick(f, side).alias(f"{side}_{n}") for side in ("booking", "renting") for n, f in (("lo", F.min), ("hi", F.max))])
+def _by_kind(stays: DataFrame, kinds) -> DataFrame:
+    """A row per stay and kind of key (room, guest); rows without the key have none."""
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").cast("bigint").alias("key")) for k in kinds])
+    return stays.select(*[c for c in stays.columns if c not in ("room_id", "customer_id")], F.explode(keys).alias("_k")) \
+        .select("_k.*", *[c for c in stays.columns if c not in ("room_id", "customer_id")]).filter("key is not null")
 
 
-def _another(side: str, own) -> Column:
-    """Whether a stay of ``side`` other than ``own`` (may be null) holds the cell."""
-    lo, hi = F.col(f"{side}_lo"), F.col(f"{side}_hi")
-    return lo.isNotNull() & (own.isNull() | (lo != own) | (hi != own))
+def _stays(T, side: str) -> DataFrame:
+    """Blocking stays of one side as rows of the sweep."""
+    rows, sid = _side(T, side)
+    return rows.select(F.lit(side).alias("side"), F.col(sid).cast("bigint").alias("id"), "room_id", "customer_id",
+                       "start_date", "end_date", *(["source_booking_id"] if side == "renting" else []))
+
+
+def conflict_flags(T) -> DataFrame:
+    """Per open booking, whether it clashes (by room) with an active
+    renting / another open booking.  One sweep over the stays of each room."""
+    bookings, rentings = _stays(T, "booking"), _stays(T, "renting").drop("source_booking_id")
+    rows = bookings.withColumn("probe", F.lit(True)).unionByName(rentings.withColumn("probe", F.lit(False)))
+    hit = sweep(_by_kind(rows, ["room"]).withColumn("held", F.lit(True)), ["kind", "key"], ["booking", "renting"], {"booking": "id"})
+    known = hit.select(F.col("id").alias("booking_id"), "hit_renting", "hit_booking")
+    return open_bookings(T).select("booking_id").join(known, "booking_id", "left").select(
+        "booking_id", F.coalesce("hit_renting", F.lit(False)).alias("has_renting_clash"),
+        F.coalesce("hit_booking", F.lit(False)).alias("has_booking_clash"))
 
 
 def _side(T, kind):
@@ -103,29 +97,35 @@ def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting
     of new rows to test instead of the stored ones.  A candidate's id is
     ``record_id`` where it has that column; the stored row of its
     ``booking_id``/``renting_id`` is its own and ignored.  All rules come
-    from one join of the records' day cells with the cells that are held.
+    from one sweep over the stays of each room and of each guest.
     """
     if candidates:
         # candidates feed the date bounds and the join: compute them once
         candidates = {k: v.checkpoint(eager=True) for k, v in candidates.items()}
     T = _narrowed_to_candidates(T, candidates)
-    lefts = []
-    for side in sides:
-        stored, sid = _side(T, side)
-        me = candidates[side] if candidates and side in candidates else stored
-        rid = "record_id" if "record_id" in me.columns else sid
-        skip_b = F.col("source_booking_id") if side == "renting" else F.col(sid)
-        skip_r = F.col(sid) if side == "renting" else F.lit(None).cast("bigint")
-        lefts.append(me.select(F.lit(side).alias("record_type"), F.col(rid).alias("record_id"), "room_id",
-                               "customer_id", "start_date", "end_date", skip_b.cast("bigint").alias("skip_b"),
-                               skip_r.cast("bigint").alias("skip_r")))
-    left = lefts[0]
-    for other_left in lefts[1:]:
-        left = left.unionByName(other_left)
-    cells = day_cells(left, ["record_type", "record_id", "skip_b", "skip_r"]).join(_held_cells(T), ["kind", "key", "day"])
-    rules = [F.when(_another("booking", F.col("skip_b")), F.concat("kind", F.lit("_booking"))),
-             F.when(_another("renting", F.col("skip_r")), F.concat("kind", F.lit("_renting")))]
-    return (cells.select("record_type", "record_id", F.explode(F.array(*rules)).alias("rule"))
+    kinds = ("room", "customer")
+    no_id = F.lit(None).cast("bigint")
+    rows = []
+    for side in ("booking", "renting"):
+        own, source = F.col("id"), (F.col("source_booking_id") if side == "renting" else None)
+        skips = {"skip_booking": own if side == "booking" else source, "skip_renting": own if side == "renting" else no_id}
+        asked = side in sides and not (candidates and side in candidates)
+        rows.append(_stays(T, side).withColumns(skips).drop("source_booking_id").withColumns(
+            {"record_id": own, "held": F.lit(True), "probe": F.lit(asked)}))
+        if side in sides and candidates and side in candidates:
+            new, sid = candidates[side], _side(T, side)[1]
+            rid = F.col("record_id") if "record_id" in new.columns else F.col(sid)
+            own = F.col(sid).cast("bigint")
+            skips = {"skip_booking": own if side == "booking" else F.col("source_booking_id").cast("bigint"),
+                     "skip_renting": own if side == "renting" else no_id}
+            rows.append(new.select(F.lit(side).alias("side"), rid.cast("bigint").alias("id"), "room_id", "customer_id", "start_date", "end_date",
+                                   *[v.alias(k) for k, v in skips.items()], rid.alias("record_id"), F.lit(False).alias("held"), F.lit(True).alias("probe")))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    hit = sweep(_by_kind(every, kinds), ["kind", "key"], ["booking", "renting"], {s: f"skip_{s}" for s in ("booking", "renting")})
+    rules = [F.when(F.col(f"hit_{s}"), F.concat("kind", F.lit(f"_{s}"))) for s in ("booking", "renting")]
+    return (hit.select(F.col("side").alias("record_type"), "record_id", F.explode(F.array(*rules)).alias("rule"))
             .filter("rule is not null").distinct())
 
 
