@@ -37,11 +37,11 @@ from innkeep.llm.store import bounded_sample, small_batches, stored
 COMBINED = 1 << 17
 #: Words that the upper trees are fitted on (chosen by hash), the words a leaf should hold, and
 #: the fewest sample words of a leaf.
-SAMPLE, TARGET, LEAF = 1 << 17, 1 << 11, 16
+SAMPLE, TARGET, LEAF = 1 << 17, 1 << 15, 16
 #: Searches and words of one group.
-QUERIES, POINTS = 1 << 14, 1 << 13
-#: Words of a leaf of the trees inside a group; pairs compared at a time.
-BOTTOM, PAIRS = 48, 1 << 15
+QUERIES, POINTS = 1 << 15, 1 << 15
+#: Words placed at a time, words of a leaf of the trees inside a group, code points compared at a time.
+PLACED, BOTTOM, COMPARED = 1 << 15, 24, 1 << 22
 LETTERS = 26 + 0x40
 _RUN = re.compile("[a-zÀ-ÿ]+")
 
@@ -91,82 +91,85 @@ def codes(words: list[str]) -> np.ndarray:
 def letter_counts(points: np.ndarray) -> np.ndarray:
     """Letter-count vectors of rows of code points."""
     dim = np.where(points < 0xC0, points - 97, points - 0xC0 + 26)
-    out = np.zeros((len(points), LETTERS), np.int32)
-    np.add.at(out, (np.arange(len(points))[:, None], dim), 1)
-    return out
+    flat = (dim + np.arange(len(points))[:, None] * LETTERS).ravel()
+    return np.bincount(flat, minlength=len(points) * LETTERS).reshape(len(points), LETTERS).astype(np.int32)
+
+
+def odd_letters(vectors: np.ndarray) -> np.ndarray:
+    """The letters of odd count as bits (folded into 64): one edit changes two of them at most."""
+    bits = np.uint64(1) << (np.arange(LETTERS, dtype=np.uint64) % np.uint64(64))
+    return np.bitwise_xor.reduce(np.where(vectors & 1, bits, np.uint64(0)), axis=1)
 
 
 def split(vectors: np.ndarray) -> tuple[int, int] | None:
     """The coordinate and value that cut points most evenly; None where all are equal."""
-    best, half = None, len(vectors)
-    lo, hi = vectors.min(0), vectors.max(0)
-    for d in np.flatnonzero(hi > lo):
-        below = np.cumsum(np.bincount(vectors[:, d] - lo[d]))[:-1]
-        k = int(np.argmin(np.abs(2 * below - len(vectors))))
-        off = abs(int(2 * below[k]) - len(vectors))
-        if off < half:
-            best, half = (int(d), int(lo[d]) + k), off
+    n, top = len(vectors), vectors.max(0)
+    best, half = None, n
+    for value in range(int(top.max())):  # letters rarely stand more than a few times in a word
+        if best and value > 2:
+            break
+        below = (vectors <= value).sum(0)
+        off = np.where(below < n, np.abs(2 * below - n), n)
+        d = int(np.argmin(off))
+        if off[d] < half:
+            best, half = (d, value), off[d]
     return best
 
 
 class Tree:
-    """A k-d tree over letter counts; ``leaves`` lists the boxes, each a {coordinate: (low, high)}."""
+    """A k-d tree over letter counts.  ``nodes`` holds a leaf's number or (coordinate, value, left,
+    right): up to the value lies left."""
 
     def __init__(self, vectors: np.ndarray, size: int):
         self.nodes: list = []
-        self.leaves: list[dict] = []
-        self._grow(vectors, size, {})
-
-    def _grow(self, vectors: np.ndarray, size: int, box: dict) -> int:
-        at, cut = len(self.nodes), split(vectors) if len(vectors) > size else None
-        if cut is None:
-            self.nodes.append(len(self.leaves))
-            self.leaves.append(box)
-            return at
-        d, value = cut
-        self.nodes.append(None)
-        low, high = box.get(d, (0, 1 << 30))
-        left = vectors[:, d] <= value
-        a = self._grow(vectors[left], size, {**box, d: (low, value)})
-        b = self._grow(vectors[~left], size, {**box, d: (value + 1, high)})
-        self.nodes[at] = (d, value, a, b)
-        return at
+        self.members: list[np.ndarray] = []
+        todo = [(np.arange(len(vectors)), None, 0)]
+        while todo:
+            rows, above, side = todo.pop()
+            if above is not None:
+                self.nodes[above][side] = len(self.nodes)
+            own = vectors[rows]
+            cut = split(own) if len(rows) > size else None
+            if cut is None:
+                self.nodes.append(len(self.members))
+                self.members.append(rows)
+                continue
+            left = own[:, cut[0]] <= cut[1]
+            todo += [(rows[left], len(self.nodes), 2), (rows[~left], len(self.nodes), 3)]
+            self.nodes.append([*cut, 0, 0])
 
     def home(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf each point lies in."""
         out = np.zeros(len(vectors), np.int32)
-        todo = [(0, np.arange(len(vectors)))]
-        while todo:
-            at, rows = todo.pop()
-            node = self.nodes[at]
-            if isinstance(node, int):
-                out[rows] = node
-                continue
-            d, value, a, b = node
-            left = vectors[rows, d] <= value
-            todo += [(a, rows[left]), (b, rows[~left])]
+        for leaf, rows in self.reached(vectors, 0, 0):
+            out[rows] = leaf
         return out
 
     def reached(self, vectors: np.ndarray, missing: int, surplus: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows): the leaves whose box is within so many missing and surplus letters."""
-        todo = [(0, np.arange(len(vectors)), {})]
+        """(leaf, rows): the leaves whose box is within so many missing and surplus letters.
+
+        The distance to a box is kept up on the way down: a cut changes it in one coordinate.
+        """
+        by_letter = np.ascontiguousarray(vectors.T)
+        none = np.zeros(len(vectors), np.int32)
+        todo = [(0, np.arange(len(vectors)), none, none, {})]
         while todo:
-            at, rows, box = todo.pop()
+            at, rows, less, more, box = todo.pop()
             node = self.nodes[at]
             if isinstance(node, int):
-                if len(rows):
-                    yield node, rows
+                yield node, rows
                 continue
-            d, value, a, b = node
+            d, value, left, right = node
+            v = by_letter[d].take(rows)
             low, high = box.get(d, (0, 1 << 30))
-            for child, side in ((a, (low, value)), (b, (value + 1, high))):
-                own = {**box, d: side}
-                dims = list(own)
-                lows, highs = np.array([own[x] for x in dims]).T
-                v = vectors[np.ix_(rows, dims)]
-                near = (np.maximum(lows - v, 0).sum(1) <= missing) & (np.maximum(v - highs, 0).sum(1) <= surplus)
-                if near.any():
-                    todo.append((child, rows[near], own))
+            own = more + np.maximum(v - value, 0) - np.maximum(v - high, 0)
+            near = np.flatnonzero(own <= surplus)
+            if len(near):
+                todo.append((left, rows[near], less[near], own[near], {**box, d: (low, value)}))
+            own = less + np.maximum(value + 1 - v, 0) - np.maximum(low - v, 0)
+            near = np.flatnonzero(own <= missing)
+            if len(near):
+                todo.append((right, rows[near], own[near], more[near], {**box, d: (value + 1, high)}))
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,29 +187,23 @@ def one_deleted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search(queries: list[str], points: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (query, point) one edit apart; points are as long as the queries or one shorter."""
     q, p = codes(queries), codes(points)
-    surplus, missing = 1, 1 if q.shape[1] == p.shape[1] else 0
+    missing = 1 if q.shape[1] == p.shape[1] else 0
     verify = one_replaced if missing else one_deleted
     vq, vp = letter_counts(q), letter_counts(p)
+    odd_q, odd_p = odd_letters(vq), odd_letters(vp)
     tree = Tree(vp, BOTTOM)
-    members = defaultdict(list)
-    for i, leaf in enumerate(tree.home(vp).tolist()):
-        members[leaf].append(i)
     found = []
-    for leaf, rows in tree.reached(vq, missing, surplus):
-        own = np.array(members[leaf])
-        for o in range(0, len(own), PAIRS):
-            part = own[o:o + PAIRS]
-            step = max(1, PAIRS // len(part))
-            for r in range(0, len(rows), step):
-                some = rows[r:r + step]
-                more = vq[some][:, None, :] - vp[part][None, :, :]
-                near = (np.abs(more).sum(2) <= missing + surplus) & (np.maximum(-more, 0).sum(2) <= missing)
-                x, y = np.nonzero(near)
-                most = max(1, LETTERS * PAIRS // q.shape[1])
-                for z in range(0, len(x), most):
-                    i, j = some[x[z:z + most]], part[y[z:z + most]]
-                    ok = verify(q[i], p[j])
-                    found.append((i[ok], j[ok]))
+    most = max(1, COMPARED // q.shape[1])
+    for leaf, rows in tree.reached(vq, missing, 1):
+        own = tree.members[leaf]
+        step = max(1, COMPARED // len(rows))
+        for o in range(0, len(own), step):
+            part = own[o:o + step]
+            x, y = np.nonzero(np.bitwise_count(odd_q[rows][:, None] ^ odd_p[part][None, :]) <= 1 + missing)
+            for z in range(0, len(x), most):
+                i, j = rows[x[z:z + most]], part[y[z:z + most]]
+                ok = verify(q[i], p[j])
+                found.append((i[ok], j[ok]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
@@ -230,17 +227,26 @@ def near_words(words: DataFrame) -> DataFrame:
     trees = words.sparkSession.sparkContext.broadcast(fit_trees(words))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for pdf in frames:
-            sizes = pdf["word"].str.len().to_numpy()
-            for n in np.unique(sizes):
-                own = pdf[sizes == n]
-                vectors = letter_counts(codes(own["word"].tolist()))
-                homes = trees.value[n].home(vectors) if n in trees.value else np.zeros(len(own), np.int32)
-                yield own.assign(size=n, leaf=homes, below=False, query=False)
-                for size, missing in ((n, 1), (n - 1, 0)):
-                    tree = trees.value.get(size)
-                    for leaf, rows in tree.reached(vectors, missing, 1) if tree else [(0, np.arange(len(own)))]:
-                        yield own.iloc[rows].assign(size=size, leaf=leaf, below=not missing, query=True)
+            held.append(pdf)
+            if sum(map(len, held)) >= PLACED:
+                yield from put(pd.concat(held, ignore_index=True))
+                held = []
+        if held:
+            yield from put(pd.concat(held, ignore_index=True))
+
+    def put(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sizes = pdf["word"].str.len().to_numpy()
+        for n in np.unique(sizes):
+            own = pdf[sizes == n]
+            vectors = letter_counts(codes(own["word"].tolist()))
+            homes = trees.value[n].home(vectors) if n in trees.value else 0
+            yield own.assign(size=n, leaf=homes, below=False, query=False)
+            for size, missing in ((n, 1), (n - 1, 0)):
+                tree = trees.value.get(size)
+                for leaf, rows in tree.reached(vectors, missing, 1) if tree else [(0, np.arange(len(own)))]:
+                    yield own.iloc[rows].assign(size=size, leaf=leaf, below=not missing, query=True)
 
     placed = stored(words.mapInPandas(place, "word string, n long, size long, leaf int, below boolean, query boolean"), "placed")
     key = ["size", "leaf"]

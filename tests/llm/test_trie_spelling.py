@@ -102,7 +102,7 @@ def brute_groups(rows, every):
     return sorted((w, form[w], root(w), n[w], len(beside[w]), n[form[w]] if form[w] else None) for w in n)
 
 
-@pytest.mark.parametrize("sizes", [(1 << 14, 1 << 13, 1 << 11, 48), (40, 30, 20, 4)])
+@pytest.mark.parametrize("sizes", [(1 << 15, 1 << 15, 1 << 15, 24), (40, 30, 20, 1)])
 def test_spelling_equals_brute_force(spark, monkeypatch, sizes):
     rng = random.Random(9)
     letters = "abcdeàÉÿ×"
