@@ -371,6 +371,13 @@ def q_transitions(T):
     return _decided(T).drop("arrival")
 
 
+@register("transitions_in_order", None)
+def q_transitions_in_order(T):
+    """J15 with the batch's re-dates meeting each other; tests replay it over all bookings."""
+    from innkeep.plans.reorder import apply_in_order
+    return apply_in_order(T, transition_requests(T["_raw"]["events"], T["_raw"]["orders"]), AS_OF)
+
+
 @register("archive_transitions", snap_sql(
     "booking", "(SELECT b.booking_id, b.room_id, b.customer_id, o.new_start_date AS start_date, "
     "o.new_end_date AS end_date, o.new_status AS status, o.old_status FROM trans_out o "
