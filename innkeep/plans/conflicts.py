@@ -123,7 +123,11 @@ def find_conflicts(T, candidates: dict | None = None, sides=("booking", "renting
     every = rows[0]
     for r in rows[1:]:
         every = every.unionByName(r)
-    hit = sweep(_by_kind(every, kinds), ["kind", "key"], ["booking", "renting"], {s: f"skip_{s}" for s in ("booking", "renting")})
+    swept = _by_kind(every, kinds)
+    if candidates:  # rooms and guests that nobody asks for need no sweep
+        swept = swept.checkpoint(eager=True)
+        swept = swept.join(swept.filter("probe").select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    hit = sweep(swept, ["kind", "key"], ["booking", "renting"], {s: f"skip_{s}" for s in ("booking", "renting")})
     rules = [F.when(F.col(f"hit_{s}"), F.concat("kind", F.lit(f"_{s}"))) for s in ("booking", "renting")]
     return (hit.select(F.col("side").alias("record_type"), "record_id", F.explode(F.array(*rules)).alias("rule"))
             .filter("rule is not null").distinct())

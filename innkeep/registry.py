@@ -1022,6 +1022,28 @@ def q_stream_admission(T):
     return decided.unionByName(rejected)
 
 
+def _arrivals(T) -> DataFrame:
+    from innkeep.sources.bindings import arrival_requests
+    return arrival_requests(T["_raw"]["events"], T["_raw"]["part"], T["booking"])
+
+
+@register("admission_both_kinds", None)
+def q_admission_both_kinds(T):
+    """J2 over bookings and rentings in one order; tests replay it."""
+    from innkeep.plans.arrivals import admit_all
+    return admit_all(T, _arrivals(T))
+
+
+@register("stream_admission_both_kinds", None)
+def q_stream_admission_both_kinds(T):
+    """L3: the same requests, decided micro-batch by micro-batch as they land."""
+    from innkeep.plans.arrivals import admit_all, with_accepted
+    spark = T["booking"].sparkSession
+    src = streams.stage_in_order(_arrivals(T), streams.scratch_dir(spark, "arrivals"), ["arrival", "request_id"], 4)
+    decided = streams.admission_stream(spark, T, src, streams.scratch_dir(spark, "admission"), admit_all, with_accepted)
+    return decided.select("request_id", "record_type", "accepted", "reason")
+
+
 # ---------------------------------------------------------------- guards, accounts, migration
 @register("delete_guards", """
 SELECT 'customer' AS entity, c.customer_id AS id,

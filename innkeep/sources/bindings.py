@@ -255,6 +255,31 @@ def booking_requests(events: DataFrame, part: DataFrame) -> DataFrame:
         F.date_add(start, (F.lit(1) + e % 5).cast("int")).alias("end_date"))
 
 
+def arrival_requests(events: DataFrame, part: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Bookings and rentings in one arrival order (J2, L3): every event is a request.
+
+    'purchase' is a walk-in renting, 'signup' a renting of the stored booking event_id (its room,
+    guest and days, where there is such a booking), anything else a booking.  Rooms are
+    (event_id * 7919) % (#parts + 3), so a few don't exist; every 97th range is the wrong way round.
+    """
+    n_rooms = part.agg(F.count(F.lit(1)) + 3).scalar()
+    e, et = F.col("event_id"), F.col("event_type")
+    start = F.date_add(F.col("ts").cast("date"), _k_from_props())
+    nights = F.when(e % 97 == 0, -1).otherwise(F.lit(1) + e % 5).cast("int")
+    kept = bookings.select(F.col("booking_id").alias("event_id"), F.col("room_id").alias("_room"), F.col("customer_id").alias("_guest"),
+                           F.col("start_date").alias("_start"), F.col("end_date").alias("_end"))
+    from_stored = F.col("_room").isNotNull()
+    pick = lambda own, other: F.when(from_stored, F.col(own)).otherwise(other)
+    asked = events.filter(et.eqNullSafe("signup")).join(kept, "event_id", "left").unionByName(
+        events.filter(~et.eqNullSafe("signup")), allowMissingColumns=True)
+    return asked.select(
+        e.alias("request_id"), F.col("ts").alias("arrival"),
+        F.when(et.isin("purchase", "signup"), "renting").otherwise("booking").alias("record_type"),
+        pick("_room", (e * 7919) % n_rooms).alias("room_id"), pick("_guest", F.col("user_id")).alias("customer_id"),
+        F.when(et == "signup", e).alias("source_booking_id"), pick("_start", start).alias("start_date"),
+        pick("_end", F.date_add(start, nights)).alias("end_date"))
+
+
 # Event type -> transition action.
 ACTIONS = {"click": "check_in", "view": "cancel", "purchase": "complete", "signup": "redate",
            "error": "invalid"}

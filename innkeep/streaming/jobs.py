@@ -1,8 +1,7 @@
 """Structured Streaming forms of the trigger-driven jobs (L1-L3).
 
-No Python callbacks (no ``foreachBatch``): each stream is a declarative
-plan (file source -> stream-static joins -> stateful de-duplication ->
-file sink) run with ``trigger(availableNow=True)``.  Exactly-once comes
+Most streams are declarative plans without callbacks (file source -> stream-static joins -> stateful de-duplication ->
+file sink), run with ``trigger(availableNow=True)``.  Exactly-once comes
 from the checkpoint + file sink protocol; a restarted query resumes from
 its checkpoint (executor or driver loss does not duplicate output).
 
@@ -11,7 +10,10 @@ its checkpoint (executor or driver loss does not duplicate output).
   distributed state store), anti-joined with the existing archive.
 * L2 ``status_stream``: change records -> room status of touched rooms,
   from a running count per room of the open bookings that cover the day.
-* L3 ``land_requests`` + ``admit_landed``: requests land through a stream
+* L3 ``admission_stream``: bookings and rentings are decided in the micro-batch they come in,
+  against the stored stays and all that were accepted before; ``foreachBatch`` writes whole
+  micro-batches by number.
+* L3, second form, ``land_requests`` + ``admit_landed``: requests land through a stream
   (intake reason attached); the landed requests are then admitted in
   arrival-time batches, each against everything accepted before it.
 """
@@ -170,3 +172,50 @@ def admit_landed(T, landed: DataFrame, admit_fn, n_batches: int = 4) -> DataFram
         accepted = accepted.checkpoint(eager=True)
         out = res if out is None else out.unionByName(res)
     return out
+
+
+def _by_batch(spark: SparkSession, path: str, schema, before: int) -> DataFrame:
+    """Rows that the micro-batches before ``before`` have written under ``path``."""
+    return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch_id") < before)
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One micro-batch's rows; a repeated micro-batch replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def admission_stream(spark: SparkSession, T, requests_dir: str, base: str, decide, grow, files_per_trigger: int = 1) -> DataFrame:
+    """L3: requests are decided in the micro-batch they come in, in arrival order inside it.
+
+    The state is the stays accepted so far, kept under ``base`` by micro-batch: a batch reads those
+    of the batches before it and adds its own, beside its decisions.  Both are written as a whole
+    under the batch's number, so a batch that is repeated after a restart replaces itself and
+    no decision is emitted twice.  ``decide(T, requests)`` decides a batch, ``grow(T, accepted)``
+    adds accepted requests to the stored stays.
+    """
+    schema = spark.read.parquet(requests_dir).schema
+    stays, out = f"{base}/accepted", f"{base}/decisions"
+    state = spark.createDataFrame([], schema)
+    kept = state.withColumn("batch_id", F.lit(0)).schema
+    state.write.mode("ignore").parquet(f"{stays}/batch_id=-1")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.checkpoint(eager=True)
+        before = _by_batch(spark, stays, kept, batch_id).drop("batch_id")
+        decisions = decide(grow(T, before), batch).checkpoint(eager=True)
+        _write_batch(batch.join(decisions.filter("accepted").select("request_id"), "request_id", "left_semi").select(*schema.names), stays, batch_id)
+        _write_batch(decisions, out, batch_id)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(requests_dir)
+    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.option("basePath", out).parquet(out)
+
+
+def stage_in_order(df: DataFrame, path: str, order: list[str], n_files: int) -> str:
+    """Test input: ``df`` as ``n_files`` files that a file stream reads in the order of ``order``."""
+    ordered = df.repartitionByRange(n_files, *order).sortWithinPartitions(*order).withColumn("_file", F.spark_partition_id()).checkpoint(eager=True)
+    for (n,) in sorted(ordered.select("_file").distinct().collect()):
+        ordered.filter(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return path
