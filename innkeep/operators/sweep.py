@@ -29,24 +29,27 @@ _SEQ_LAST = (1 << 63) - 1
 def _carried(placed: DataFrame, by: list[str]) -> list[tuple]:
     """(chunk, *key, start, end, side, id, seq): rows that stand in a chunk for those before and after."""
     key = F.struct(*by)
-    edges = placed.groupBy(CHUNK).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    edges = edges.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("k")).groupBy("k").count().filter("count > 1")
-    edges = F.broadcast(edges.select("k.*"))  # at most two keys of a chunk
-    inside = placed.join(edges, by, "left_semi")
-    where = inside.select(CHUNK, *by).distinct().collect()
-    if not where:
+    chunks_of = defaultdict(list)
+    for c, lo, hi in placed.groupBy(CHUNK).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect():  # a row per chunk
+        for k in {tuple(lo), tuple(hi)}:
+            chunks_of[k].append(c)
+    # a key that goes on is the last of one chunk and the first of the next
+    groups = {k: cs for k, cs in chunks_of.items() if len(cs) > 1}
+    if not groups:
         return []
+    spark = placed.sparkSession
+    where = spark.createDataFrame([(c, *k) for k, cs in groups.items() for c in cs], placed.select(CHUNK, *by).schema)
     w = Window.partitionBy(CHUNK, *by, "side")
-    most = lambda *o: inside.filter("held").withColumn("_r", F.row_number().over(w.orderBy(*o))).filter("_r <= 2") \
-        .select(CHUNK, *by, "start_date", "end_date", "side", "id").collect()
-    groups = defaultdict(list)
-    for c, *k in where:
-        groups[tuple(k)].append(c)
+    found = (placed.filter("held").join(F.broadcast(where), [CHUNK, *by], "left_semi")  # at most two keys of a chunk
+             .withColumn("_last", F.row_number().over(w.orderBy(F.desc("end_date"), "_seq")))
+             .withColumn("_next", F.row_number().over(w.orderBy("start_date", "_seq"))).filter("_last <= 2 or _next <= 2")
+             .orderBy(CHUNK, "start_date", "_seq").select(CHUNK, *by, "start_date", "end_date", "side", "id", "_last", "_next").collect())
     rows = []
-    for found, ahead in ((most(F.desc("end_date")), True), (most("start_date", "_seq"), False)):
+    for ahead in (True, False):
         here = defaultdict(list)
-        for c, *rest in found:
-            here[c, tuple(rest[:len(by)])].append(tuple(rest[len(by):]))
+        for c, *rest, last, following in found:
+            if (last if ahead else following) <= 2:
+                here[c, tuple(rest[:len(by)])].append(tuple(rest[len(by):]))
         for k, chunks in groups.items():
             best: dict = {}
             for c in sorted(chunks, reverse=not ahead):

@@ -1044,6 +1044,78 @@ def q_stream_admission_both_kinds(T):
     return decided.select("request_id", "record_type", "accepted", "reason")
 
 
+def stay_changes(T) -> DataFrame:
+    """A day's changes of both tables, by key: bookings are cancelled, moved by three days, deleted or
+    copied one room on; rentings are completed, deleted or copied five days later."""
+    cols = ["room_id", "status", "start_date", "end_date"]
+    none = {c: F.lit(None).cast(t) for c, t in zip(cols, ("bigint", "string", "date", "date"), strict=True)}
+
+    def change(name: str, op: str, picked, new: dict | None, old: bool) -> DataFrame:
+        values = none if new is None else {**{c: F.col(c) for c in cols}, **new}
+        return T[name].filter(picked).select(
+            F.lit(name).alias("record_type"), F.lit(op).alias("op"), F.col(f"{name}_id").alias("id"),
+            *[values[c].alias(c) for c in cols], *[(F.col(c) if old else none[c]).alias(f"old_{c}") for c in cols])
+
+    b, r = F.col("booking_id") % 5, F.col("renting_id") % 7
+    later = lambda n: {c: F.date_add(c, n) for c in ("start_date", "end_date")}
+    parts = [change("booking", "update", b == 0, {"status": F.lit("cancelled")}, True),
+             change("booking", "update", b == 1, later(3), True), change("booking", "delete", b == 2, None, True),
+             change("booking", "insert", b == 3, {"room_id": F.col("room_id") + 1}, False),
+             change("renting", "update", r == 0, {"status": F.lit("completed")}, True),
+             change("renting", "delete", r == 1, None, True), change("renting", "insert", r == 2, later(5), False)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("stream_status_both", f"""
+SELECT r.room_id, CASE
+  WHEN r.current_status = 'maintenance' THEN 'maintenance'
+  WHEN EXISTS (SELECT 1 FROM renting2 x WHERE x.room_id = r.room_id AND x.status = 'active'
+               AND x.start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < x.end_date) THEN 'rented'
+  WHEN EXISTS (SELECT 1 FROM booking2 b WHERE b.room_id = r.room_id AND b.status IN ('reserved', 'checked_in')
+               AND b.start_date <= DATE '{AS_OF}' AND DATE '{AS_OF}' < b.end_date) THEN 'booked'
+  ELSE 'available' END AS status
+FROM room r WHERE r.room_id IN (SELECT room_id FROM touched)""", {
+    "booking2": """SELECT room_id, CASE WHEN booking_id % 5 = 0 THEN 'cancelled' ELSE status END AS status,
+        start_date + CASE WHEN booking_id % 5 = 1 THEN 3 ELSE 0 END AS start_date,
+        end_date + CASE WHEN booking_id % 5 = 1 THEN 3 ELSE 0 END AS end_date FROM booking WHERE booking_id % 5 <> 2
+        UNION ALL SELECT room_id + 1, status, start_date, end_date FROM booking WHERE booking_id % 5 = 3""",
+    "renting2": """SELECT room_id, CASE WHEN renting_id % 7 = 0 THEN 'completed' ELSE status END AS status, start_date, end_date
+        FROM renting WHERE renting_id % 7 <> 1
+        UNION ALL SELECT room_id, status, start_date + 5, end_date + 5 FROM renting WHERE renting_id % 7 = 2""",
+    "touched": """SELECT room_id + CASE WHEN booking_id % 5 = 3 THEN 1 ELSE 0 END AS room_id FROM booking WHERE booking_id % 5 <= 3
+        UNION SELECT room_id FROM renting WHERE renting_id % 7 <= 2"""})
+def q_stream_status_both(T):
+    """L2 over the changes of both tables, dealt over four micro-batches in no order."""
+    spark = T["booking"].sparkSession
+    src, per = streams.stage_files(stay_changes(T).repartition(4), streams.scratch_dir(spark, "both"), 4)
+    return streams.latest_status(streams.status_stream_both(
+        spark, T, src, AS_OF, streams.scratch_dir(spark, "both-out"), streams.scratch_dir(spark, "both-ckpt"), files_per_trigger=per))
+
+
+def renting_changes(T) -> DataFrame:
+    """Every renting ends: change records with an id and an order, some delivered twice."""
+    r = T["renting"]
+    ended = r.select(*[c for c in r.columns if c != "status"], F.col("status").alias("old_status"),
+                     F.when(F.col("renting_id") % 3 == 0, "cancelled").otherwise("completed").alias("status"),
+                     F.lit("update").alias("op"), F.col("renting_id").alias("seq"), F.col("renting_id").alias("change_id"))
+    return ended.unionByName(ended.filter(F.col("renting_id") % 4 == 0))
+
+
+@register("stream_renting_archive", snap_sql(
+    "renting", "(SELECT x.renting_id, x.room_id, x.customer_id, x.source_booking_id, x.start_date, x.end_date, "
+    "CASE WHEN x.renting_id % 3 = 0 THEN 'cancelled' ELSE 'completed' END AS status FROM renting x)",
+    "s.renting_id NOT IN (SELECT source_renting_id FROM archive_bf WHERE record_type = 'renting')"))
+def q_stream_renting_archive(T):
+    """L1 with bounded state over the renting changes; what was archived before stays out."""
+    spark = T["renting"].sparkSession
+    src, per = streams.stage_files(renting_changes(T).repartition(4), streams.scratch_dir(spark, "ended"), 4)
+    return streams.archive_stream_bounded(spark, T, src, arch.archive_backfill(T), streams.scratch_dir(spark, "ended-out"),
+                                          "renting", files_per_trigger=per)[0]
+
+
 # ---------------------------------------------------------------- guards, accounts, migration
 @register("delete_guards", """
 SELECT 'customer' AS entity, c.customer_id AS id,

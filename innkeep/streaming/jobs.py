@@ -32,7 +32,7 @@ from innkeep.functions.columns import as_date, covers
 from innkeep.plans import archive as arch
 from innkeep.plans.common import active_rentings, open_bookings
 from innkeep.session import ensure_checkpoint_dir
-from innkeep.sources.schemas import BLOCKING_BOOKING
+from innkeep.sources.schemas import BLOCKING_BOOKING, BLOCKING_RENTING
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -213,6 +213,88 @@ def admission_stream(spark: SparkSession, T, requests_dir: str, base: str, decid
     return spark.read.option("basePath", out).parquet(out)
 
 
+def _running_both(key, frames, state):
+    """State of a room: changes seen, and their net effect on the bookings and rentings covering the day."""
+    seen, net_b, net_r = state.get if state.exists else (0, 0, 0)
+    first = None
+    for f in frames:
+        first = f.iloc[0] if first is None else first
+        seen, net_b, net_r = seen + len(f), net_b + int(f["booking"].sum()), net_r + int(f["renting"].sum())
+    state.update((seen, net_b, net_r))
+    status = ("maintenance" if first["maintenance"] else "rented" if first["rented"] + net_r > 0
+              else "booked" if first["booked"] + net_b > 0 else "available")
+    yield pd.DataFrame({"room_id": [key[0]], "n_changes": [seen], "status": [status]})
+
+
+def status_stream_both(spark: SparkSession, T, changes_dir: str, as_of, out_dir: str, ckpt_dir: str,
+                       files_per_trigger: int = 1) -> DataFrame:
+    """L2: (room_id, n_changes, status) of rooms touched by changes of bookings and of rentings.
+
+    A change is an insert (no ``old_*``), an update or a delete (no new values) of a row of
+    ``record_type``: room_id, status, start_date, end_date and their ``old_*``.  It takes its old
+    row off the old room and puts the new one on the new room, in one keyed state per room of
+    three numbers, so files may come in any order and a row may change its room.
+    """
+    d = as_date(as_of)
+    schema = spark.read.parquet(changes_dir).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(changes_dir)
+    is_booking = F.col("record_type") == "booking"
+    blocking = lambda st: F.when(is_booking, F.col(st).isin(*BLOCKING_BOOKING)).otherwise(F.col(st).isin(*BLOCKING_RENTING))
+
+    def effect(old: str, sign: int):
+        on = F.coalesce(blocking(f"{old}status") & (F.col(f"{old}start_date") <= d) & (d < F.col(f"{old}end_date")), F.lit(False))
+        n = F.when(on, F.lit(sign)).otherwise(F.lit(0))
+        return F.struct(F.col(f"{old}room_id").cast("bigint").alias("room_id"), F.when(is_booking, n).otherwise(0).alias("booking"),
+                        F.when(is_booking, 0).otherwise(n).alias("renting"))
+
+    moved = stream.select(F.explode(F.array(effect("", 1), effect("old_", -1))).alias("e")).select("e.*").filter("room_id is not null")
+    count = lambda rows, name: rows.filter(covers("start_date", "end_date", as_of)).groupBy("room_id").agg(F.count(F.lit(1)).alias(name))
+    static = T["room"].select("room_id", "current_status").join(count(active_rentings(T), "rented"), "room_id", "left") \
+        .join(count(open_bookings(T), "booked"), "room_id", "left") \
+        .select("room_id", F.coalesce(F.col("current_status") == "maintenance", F.lit(False)).alias("maintenance"),
+                F.coalesce("rented", F.lit(0)).alias("rented"), F.coalesce("booked", F.lit(0)).alias("booked")) \
+        .checkpoint(eager=True)  # static side, once
+    out = "room_id bigint, n_changes bigint, status string"
+    rows = moved.join(static, "room_id").groupBy("room_id").applyInPandasWithState(
+        _running_both, out, "seen bigint, net_b bigint, net_r bigint", "append", GroupStateTimeout.NoTimeout)
+    _run(rows, out_dir, ckpt_dir)
+    return spark.read.schema(out).parquet(out_dir)
+
+
+def archive_stream_bounded(spark: SparkSession, T, changes_dir: str, archive: DataFrame | None, base: str,
+                           record_type: str = "booking", delay: str = "1 hour", files_per_trigger: int = 1) -> tuple[DataFrame, list[int]]:
+    """L1 with bounded state: (the archive rows, state rows after each micro-batch).
+
+    ``changes`` carry ``change_id`` (one per delivered change) and ``seq``.  A change that is
+    delivered again is dropped by ``dropDuplicatesWithinWatermark``, whose state forgets ids older
+    than ``delay``.  The watermark runs on the time the files landed, so no change is ever too
+    late.  That a source id is archived once doesn't rest on state at all: each micro-batch
+    looks its ids up in the stored archive, the given one and what the batches before it wrote.
+    A repeated micro-batch replaces what it wrote.
+    """
+    schema = spark.read.parquet(changes_dir).schema
+    keys = ["record_type", "source_booking_id", "source_renting_id"]
+    path, sizes = f"{base}/archive", []
+    shape = arch.archive_transitions(T, spark.createDataFrame([], schema), None, record_type).schema
+    kept = spark.createDataFrame([], shape).withColumn("batch_id", F.lit(0)).schema
+    spark.createDataFrame([], shape).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    if archive is not None:
+        archive = archive.select(*keys).checkpoint(eager=True)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        known = _by_batch(spark, path, kept, batch_id).select(*keys)
+        known = known.unionByName(archive) if archive is not None else known
+        _write_batch(arch.archive_transitions(T, batch.drop("landed_at"), known, record_type), path, batch_id)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(changes_dir)
+    stream = stream.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
+    once = stream.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["change_id"])
+    query = (once.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return spark.read.schema(kept).option("basePath", path).parquet(path).drop("batch_id"), sizes
+
+
 def stage_in_order(df: DataFrame, path: str, order: list[str], n_files: int) -> str:
     """Test input: ``df`` as ``n_files`` files that a file stream reads in the order of ``order``."""
     ordered = df.repartitionByRange(n_files, *order).sortWithinPartitions(*order).withColumn("_file", F.spark_partition_id()).checkpoint(eager=True)

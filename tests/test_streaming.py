@@ -54,3 +54,75 @@ def test_admission_batches_split_points(spark, T_small):
     outs = [{r.request_id: r.accepted for r in jobs.admit_landed(T_small, q, admit_requests, n).collect()}
             for n in (1, 3, 6)]
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_status_stream_of_both_tables_after_each_batch(spark):
+    """Random inserts, updates (of room, days, status) and deletes of both tables: after every
+    micro-batch the status is J3's over the tables as the changes so far leave them."""
+    import datetime as dt
+    import random
+
+    from innkeep.plans.status import status_as_of
+    from innkeep.streaming import jobs
+    rng, today = random.Random(8), dt.date(2024, 5, 10)
+    states = {"booking": ["reserved", "checked_in", "cancelled", "completed"], "renting": ["active", "completed"]}
+
+    def row(kind):
+        a = today + dt.timedelta(rng.randrange(-4, 3))
+        return (rng.randint(1, 8), rng.choice(states[kind]), a, a + dt.timedelta(rng.randrange(4)))
+
+    now = {k: {i: row(k) for i in range(6)} for k in states}
+    schema = "{0}_id long, room_id long, status string, start_date date, end_date date"
+
+    def frames():
+        T = {k: spark.createDataFrame([(i, *r) for i, r in rows.items()], schema.format(k)) for k, rows in now.items()}
+        return {**T, "room": spark.createDataFrame([(i, "maintenance" if i == 8 else "available") for i in range(1, 9)],
+                                                   "room_id long, current_status string")}
+
+    T = frames()
+    src, out, ckpt = (jobs.scratch_dir(spark, x) for x in ("bc", "bo", "bk"))
+    touched, nothing = set(), (None,) * 4
+    cols = "room_id long, status string, start_date date, end_date date"
+    for _ in range(3):
+        changes = []
+        for _ in range(12):
+            kind = rng.choice(["booking", "renting"])
+            ident = rng.choice([*now[kind], 100 + rng.randrange(900)])
+            old = now[kind].pop(ident, None)
+            new = None if old and rng.random() < 0.3 else row(kind)
+            if new:
+                now[kind][ident] = new
+            changes.append((kind, *(new or nothing), *(old or nothing)))
+            touched |= {r[0] for r in (old, new) if r}
+        rng.shuffle(changes)
+        spark.createDataFrame(changes, f"record_type string, {cols}, " + ", ".join(f"old_{c}" for c in cols.split(", "))) \
+            .coalesce(1).write.mode("append").parquet(src)
+        emitted = jobs.status_stream_both(spark, T, src, today, out, ckpt)
+        want = {r.room_id: r.status for r in status_as_of(frames(), today).collect() if r.room_id in touched}
+        assert {r.room_id: r.status for r in jobs.latest_status(emitted).collect()} == want
+
+
+def test_bounded_archive_stream(spark, T_small):
+    """Each renting once over a long run of repeated deliveries; the state stops growing."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from innkeep.plans import archive as arch
+    from innkeep.registry import renting_changes
+    from innkeep.streaming import jobs
+    part = F.crc32(F.col("renting_id").cast("string")) % 60
+    changes = renting_changes(T_small).filter(part < 6).withColumn("part", part).checkpoint()
+    src, base = jobs.scratch_dir(spark, "long"), jobs.scratch_dir(spark, "long-out")
+    before = arch.archive_backfill(T_small).checkpoint()
+    sizes = []
+    for k in range(5):  # every file repeats half of the one before it
+        changes.filter(F.col("part").between(k, k + 1)).drop("part").coalesce(1).write.mode("append").parquet(src)
+        got, seen = jobs.archive_stream_bounded(spark, T_small, src, before, base, "renting", delay="1 second")
+        sizes += seen
+        time.sleep(2)
+    rows_ = [tuple(r) for r in got.collect()]
+    assert len({r[2] for r in rows_}) == len(rows_) > 0
+    want = arch.archive_transitions(T_small, changes.dropDuplicates(["change_id"]), before, "renting")
+    assert sorted(rows_, key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+    assert 0 < max(sizes) < 0.7 * changes.select("change_id").distinct().count()
