@@ -57,14 +57,15 @@ def rule_int(c: Column, min_value: int = 1):
     """Leading-integer parse (``'12abc'`` -> 12) with a lower bound."""
     p = F.regexp_extract(js_trim(c), INT_PREFIX_RE, 0)
     v = F.when(p != "", p).try_cast("decimal(38,0)")  # ANSI mode: never raise on dirty input
+    v = v.try_cast("bigint")  # a whole number past bigint is no id either
     ok = v.isNotNull() & (v >= min_value)
-    return F.when(ok, v.cast("bigint")), F.when(~ok | v.isNull(), "not_int_ge_min")
+    return F.when(ok, v), F.when(~ok | v.isNull(), "not_int_ge_min")
 
 
 def rule_number(c: Column, min_value: float = 0.01):
     p = F.regexp_extract(js_trim(c), NUM_PREFIX_RE, 0)
     v = F.when(p != "", p).try_cast("double")
-    ok = v.isNotNull() & (v >= min_value)
+    ok = v.isNotNull() & (v >= min_value) & (v < float("inf"))  # 1e999 is not finite
     return F.when(ok, v), F.when(~ok | v.isNull(), "not_number_ge_min")
 
 

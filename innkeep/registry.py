@@ -960,6 +960,19 @@ def q_upsert(T):
     return _upserted(T)[0]
 
 
+def _register(kind: str):
+    def run(T) -> DataFrame:
+        """Every change of a register with its decision; tests replay them."""
+        from innkeep.plans import registers
+        from innkeep.sources.bindings import register_changes
+        return getattr(registers, f"write_{kind}s")(T, register_changes(T["_raw"])[kind]).decided
+    return run
+
+
+for _kind in ("customer", "employee", "hotel", "room"):
+    _REG[f"register_{_kind}s"] = (_register(_kind), None)
+
+
 # ---------------------------------------------------------------- streams (L1-L3)
 from innkeep.streaming import jobs as streams  # noqa: E402
 

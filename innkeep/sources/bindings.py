@@ -310,3 +310,47 @@ def transition_requests(events: DataFrame, orders: DataFrame) -> DataFrame:
         F.when(role == "customer", F.when(u % 4 == 1, u).otherwise(F.col("o_custkey"))).alias("actor_customer_id"),
         F.when(is_redate, new_start).alias("new_start"),
         F.when(is_redate, F.date_add(new_start, (F.lit(1) + e % 5).cast("int"))).alias("new_end"))
+
+
+def register_changes(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Writes to the registers (J18), one per event and register, in event order.
+
+    'purchase' (and for customers 'signup') inserts, anything else updates.  Names, addresses and
+    hotels are dealt so that changes want values of their neighbours, of each other and of
+    stored rows, some ids don't exist and some fields are invalid.
+    """
+    ev = raw["events"]
+    e, u, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    n_staff = raw["supplier"].agg(F.count(F.lit(1))).scalar()
+    n_rooms = raw["part"].agg(F.count(F.lit(1))).scalar()
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    insert = et == "purchase"
+    base = [e.alias("change_id"), e.alias("ord")]
+    person = [text("First", e % 50).alias("first_name"), F.lit("Last").alias("last_name"),
+              F.lpad(e.cast("string"), 10, "5").alias("phone"), text("Street ", e).alias("address_line")]
+    joins = insert | (et == "signup")
+    customers = ev.select(
+        *base, F.when(joins, "insert").otherwise("update").alias("op"), F.when(~joins, u).alias("customer_id"),
+        F.when(e % 3 == 1, (e % 25).cast("bigint")).alias("scope_hotel"),
+        F.when(insert, _lpad_id(300000000, e - e % 3)).when(joins, _lpad_id(200000000, u)).alias("legal_id"), *person,
+        F.when(et == "error", "not an address").when(joins, text("new", e - e % 4, "@mail.example"))
+         .otherwise(text("Customer", u + e % 2, "@mail.example ")).alias("email"),
+        F.concat(F.lit("2024-01-0"), (e % 9 + 1).cast("string")).alias("registration_date"),
+        F.when(joins & (e % 4 != 0), text("guest", e - e % 5)).when(~joins & (e % 2 == 0), text("customer", u + e % 5)).alias("username"))
+    employees = ev.select(
+        *base, F.when(insert, "insert").otherwise("update").alias("op"), F.when(~insert, e % (n_staff + 2)).alias("employee_id"),
+        F.when(e % 4 == 1, (e % 25).cast("bigint")).alias("scope_hotel"), F.when(insert, _lpad_id(800000000, e - e % 2)).alias("legal_id"), *person,
+        F.when(insert, text("hired", e - e % 3, "@hotel.example")).otherwise(text("staff", e % n_staff + e % 2, "@hotel.example")).alias("email"),
+        (e % 26).alias("hotel_id"), F.lit("Clerk").alias("role_title"), F.lit("2024-02-03").alias("hired_on"),
+        F.when(e % 6 == 0, "manager").when(e % 50 == 1, "owner").otherwise("employee").alias("account_role"),
+        text("desk", e % (2 * n_staff)).alias("username"))
+    hotels = ev.select(
+        *base, F.when(insert, "insert").otherwise("update").alias("op"), F.when(~insert, e % 28).alias("hotel_id"),
+        (e % 6).alias("chain_id"), text("NATION_", e % 31).alias("hotel_name"), (e % 6).cast("string").alias("category"), (10 + e % 20).alias("total_rooms"),
+        text("Road ", e, ", City").alias("address_line"), text("h", e, "@x.example").alias("contact_email"), F.lpad(e.cast("string"), 10, "6").alias("contact_phone"))
+    rooms = ev.select(
+        *base, F.when(insert, "insert").otherwise("update").alias("op"), F.when(~insert, (e * 7919) % (n_rooms + 5)).alias("room_id"),
+        (e % 26).alias("hotel_id"), (e % 37 + 100).cast("string").alias("room_number"),
+        F.when(e % 40 == 3, "other").otherwise("double").alias("capacity"), (F.lit(100) + e % 90).alias("base_price"), F.lit("Wi-Fi").alias("amenities"),
+        F.when(e % 3 == 0, "stain").alias("issues"), F.lit("available").alias("current_status"))
+    return {"customer": customers, "employee": employees, "hotel": hotels, "room": rooms}
