@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from innkeep.functions.columns import as_date
-from innkeep.operators.rank import global_rank, rank_within_groups
+from innkeep.operators.rank import global_rank
 from innkeep.plans.common import active_rentings, left_join_known, open_bookings
 from innkeep.plans.conflicts import find_conflicts, first_violation
 
@@ -19,6 +19,14 @@ def _places(T) -> DataFrame:
     return T["room"].select("room_id", "room_number", "hotel_id").join(h, "hotel_id").drop("hotel_id")
 
 
+def _newest(rows: DataFrame, ids: list) -> DataFrame:
+    """Rows with their ``position`` among the guest's, newest first.  Under the filter on it Spark keeps
+    the first ``HISTORY_ROWS`` of each guest before the shuffle (``WindowGroupLimit``), so a
+    guest with very many stays sends that many rows per task."""
+    order = [F.desc("created_at"), F.desc(ids[0]), *ids[1:]]
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("customer_id").orderBy(*order)))
+
+
 def booking_history(T) -> DataFrame:
     """K7: every guest's newest bookings (``HISTORY_ROWS`` each) with room,
     hotel and linked renting; ``position`` counts from the newest."""
@@ -27,9 +35,7 @@ def booking_history(T) -> DataFrame:
         F.col("status").alias("linked_renting_status"))
     b = T["booking"].select("booking_id", "customer_id", "room_id", "start_date", "end_date", "status", "created_at")
     rows = b.join(_places(T), "room_id").join(rt, "booking_id", "left")
-    ranked = rank_within_groups(rows.withColumn("_age", -F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("_b", -F.col("booking_id"))
-                                .withColumn("_r", F.coalesce("linked_renting_id", F.lit(-1))),
-                                ["customer_id"], ["_age", "_b", "_r"], "position")
+    ranked = _newest(rows, ["booking_id", F.coalesce("linked_renting_id", F.lit(-1))])
     return ranked.filter(F.col("position") <= HISTORY_ROWS).select(
         "customer_id", "position", "booking_id", "room_id", "room_number", "hotel_name", "hotel_location",
         "start_date", "end_date", "status", "created_at", "linked_renting_id", "linked_renting_status")
@@ -38,9 +44,7 @@ def booking_history(T) -> DataFrame:
 def renting_history(T) -> DataFrame:
     """K7: every guest's newest rentings, walk-ins included."""
     r = T["renting"].select("renting_id", "source_booking_id", "customer_id", "room_id", "start_date", "end_date", "status", "created_at")
-    ranked = rank_within_groups(
-        r.join(_places(T), "room_id").withColumn("_age", -F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("_b", -F.col("renting_id")),
-        ["customer_id"], ["_age", "_b"], "position")
+    ranked = _newest(r.join(_places(T), "room_id"), ["renting_id"])
     return ranked.filter(F.col("position") <= HISTORY_ROWS).select(
         "customer_id", "position", "renting_id", "source_booking_id", "room_id", "room_number", "hotel_name",
         "hotel_location", "start_date", "end_date", "status", "created_at")

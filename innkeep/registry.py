@@ -1427,10 +1427,29 @@ WHERE NOT EXISTS (SELECT 1 FROM {BLOCKS_SQL} b WHERE b.room_id = r.room_id
                   AND b.start_date <= CAST(r.d AS DATE) AND CAST(r.d AS DATE) < b.end_date)""")
 def q_open_days(T):
     """J25 complement: free room-days of all rooms inside the horizon."""
-    from innkeep.operators.intervals import occupied_days, open_days
-    rooms = T["room"].select("room_id")
-    occ = occupied_days(search.blocks(T, AS_OF), AS_OF, HORIZON)
-    return open_days(rooms, occ, AS_OF, HORIZON)
+    from innkeep.operators.bitmaps import days_of
+    return days_of(_calendar(T), AS_OF, HORIZON + 1, occupied=False)
+
+
+def _calendar(T):
+    """Occupancy bitmaps of all rooms from the reference day on."""
+    from innkeep.operators.bitmaps import for_all, occupancy
+    return for_all(T["room"], occupancy(search.blocks(T, AS_OF), AS_OF, HORIZON + 1), HORIZON + 1)
+
+
+@register("free_ranges", f"""
+SELECT room_id, min(day) AS free_from, max(day) + 1 AS free_to FROM (
+  SELECT room_id, day, day - CAST(row_number() OVER (PARTITION BY room_id ORDER BY day) AS INTEGER) AS run FROM (
+    SELECT r.room_id, CAST(d AS DATE) AS day FROM (
+      SELECT room_id, unnest(generate_series(CAST(DATE '{AS_OF}' AS TIMESTAMP),
+                                             CAST(DATE '{AS_OF}' + {HORIZON} AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM room) r
+    WHERE NOT EXISTS (SELECT 1 FROM {BLOCKS_SQL} b WHERE b.room_id = r.room_id
+                      AND b.start_date <= CAST(r.d AS DATE) AND CAST(r.d AS DATE) < b.end_date)))
+GROUP BY room_id, run""")
+def q_free_ranges(T):
+    """The stretches of open days of every room, read off its bitmap."""
+    from innkeep.operators.bitmaps import free_ranges
+    return free_ranges(_calendar(T), AS_OF, HORIZON + 1)
 
 
 @register("renting_completion_archive", snap_sql(
