@@ -436,6 +436,44 @@ def q_delete(T):
     return tables.delete_summary(deleted, nulled)
 
 
+#: Tables of the cascade, their keys, and the columns shown after it.
+_AFTER = {"customer": (["customer_id"], "hotel_id"), "auth_account": (["account_id"], "customer_id"), "booking": (["booking_id"], "created_by_employee_id"),
+          "renting": (["renting_id"], "source_booking_id"), "archive": (["archive_id"], "source_renting_id")}
+_GONE = "(SELECT customer_id FROM leaving)"
+
+
+def _with_archive(T) -> dict:
+    """The tables with an archive of finished stays (archive_id from the stay's own id)."""
+    a = arch.archive_backfill(T)
+    ident = F.when(F.col("record_type") == "booking", F.col("source_booking_id") * 2).otherwise(F.col("source_renting_id") * 2 + 1)
+    return {**T, "archive": a.withColumn("archive_id", ident)}
+
+
+@register("cascade_tables_after", f"""
+SELECT 'customer' AS table_name, customer_id AS id, CAST(hotel_id AS BIGINT) AS reference FROM customer_t WHERE customer_id NOT IN {_GONE}
+UNION ALL SELECT 'auth_account', account_id, customer_id FROM auth_account WHERE customer_id IS NULL OR customer_id NOT IN {_GONE}
+UNION ALL SELECT 'booking', booking_id, created_by_employee_id FROM booking WHERE customer_id NOT IN {_GONE}
+UNION ALL SELECT 'renting', renting_id, CASE WHEN source_booking_id NOT IN (SELECT booking_id FROM booking WHERE customer_id IN {_GONE}) THEN source_booking_id END
+  FROM renting WHERE customer_id NOT IN {_GONE}
+UNION ALL SELECT 'archive', CASE WHEN record_type = 'booking' THEN source_booking_id * 2 ELSE source_renting_id * 2 + 1 END,
+  CASE WHEN source_renting_id NOT IN (SELECT renting_id FROM renting WHERE customer_id IN {_GONE}) THEN source_renting_id END FROM archive_bf""")
+def q_cascade_after(T):
+    """The cascade published as one version of all tables it reaches, and read back."""
+    from innkeep.sources.versions import VersionedTables
+    spark = T["booking"].sparkSession
+    store = VersionedTables(spark, streams.scratch_dir(spark, "versions"))
+    T = _with_archive({n: df for n, df in T.items() if n != "payment"})
+    store.publish({n: (T[n], key) for n, (key, _ref) in _AFTER.items()})
+    kept = {**T, **{n: store.read(n) for n in _AFTER}}
+    store.apply(tables.cascade_changes(kept, "customer", _leaving(T)))
+    parts = [store.read(n).select(F.lit(n).alias("table_name"), F.col(key[0]).alias("id"), F.col(ref).cast("bigint").alias("reference"))
+             for n, (key, ref) in _AFTER.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---------------------------------------------------------------- reports (more)
 @register("stay_history", """
 SELECT b.booking_id, b.customer_id, b.room_id, b.start_date, b.end_date, b.status,
