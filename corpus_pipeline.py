@@ -23,8 +23,7 @@ MIX_SHARE, MIX_EPOCHS = 0.9, 1
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels").filter(remainder(4) != 2))
-    scored = docs.withColumn("__score", quality.score_column(F.col("text"), model))
-    return scored.filter(F.col("__score") >= QUALITY_AT_LEAST).select(*docs.columns)
+    return docs.filter(quality.score_column(F.col("text"), model) >= QUALITY_AT_LEAST)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
