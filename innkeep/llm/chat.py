@@ -10,7 +10,8 @@ Template, one block per turn::
 
 Control strings inside roles and texts are escaped reversibly: a backslash is doubled and a
 control string gets a backslash behind its first character, so no control string of the
-template, nor of the listed foreign templates, is left in a text.  ``parse`` reads a
+template, nor of the listed foreign templates, is left in a text; text parts in a row are one
+text.  ``parse`` reads a
 formatted conversation back; the loss mask is the list of spans of assistant texts.
 
 Defined cases: null text is the empty text, null role is the empty role, null turn numbers
@@ -22,6 +23,7 @@ An unknown part type raises ValueError.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -67,11 +69,15 @@ class Flatten:
     def turn(self, role: str | None, parts: list[dict]) -> None:
         role = role or ""
         self._put(f"{TURN}{escape(role)}{BODY}")
-        for part in parts:
-            visit = getattr(self, "visit_" + str(part["type"]), None)
+        for kind, run in itertools.groupby(parts, key=lambda part: str(part["type"])):
+            visit = getattr(self, "visit_" + kind, None)
             if visit is None:
-                raise ValueError(f"unknown part type {part['type']!r}")
-            visit(part, role)
+                raise ValueError(f"unknown part type {kind!r}")
+            if kind == "text":  # one text: a control string may lie over a border of parts
+                visit({"text": "".join(part.get("text") or "" for part in run)}, role)
+                continue
+            for part in run:
+                visit(part, role)
         self._put(END + "\n")
 
     def visit_text(self, part: dict, role: str) -> None:

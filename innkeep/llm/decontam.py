@@ -264,8 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose text holds no benchmark item."""
-    cols = docs.columns
     for block in item_blocks(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(Index([t for _, t in block]))
-        docs = docs.withColumn("__leaks", leaks(F.col(text), index)).filter(F.size("__leaks") == 0).select(*cols)
+        docs = docs.filter(F.size(leaks(F.col(text), index)) == 0)
     return docs

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
-from innkeep.llm.store import small_batches, stored
+from innkeep.llm.store import fresh, small_batches, stored
 
 WORDS, CLASSES, DIM = 960, 64, 16
 VOCAB = WORDS + CLASSES
@@ -328,9 +328,16 @@ def score(docs: DataFrame, model: Model, voc: Vocabulary, ids: np.ndarray, count
 
 
 def score_documents(docs: DataFrame, learn_from, keep: list[str], text: str = "text") -> DataFrame:
-    """Train on the rows of ``docs`` where the column ``learn_from`` holds, score all of them."""
+    """Train on the rows of ``docs`` where the column ``learn_from`` holds, score all of them.
+
+    Output columns that clash with a kept column get leading underscores.
+    """
     small_batches(docs.sparkSession)
     training = docs.filter(learn_from)
     counts = stored(word_counts(training, text), "lm-counts")
     voc, ids, c = vocabulary(counts)
-    return score(docs, train(training, voc, text), voc, ids, c, counts, keep, text)
+    inner, outputs = [f"_kept{i}" for i in range(len(keep))], ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    plain = docs.select(*[F.col(k).alias(n) for k, n in zip(keep, inner, strict=True)], F.col(text).alias("text"))
+    found = score(plain, train(training, voc, text), voc, ids, c, counts, inner, "text")
+    return found.select(*[F.col(n).alias(k) for n, k in zip(inner, keep, strict=True)],
+                        *[F.col(o).alias(n) for o, n in zip(outputs, fresh(docs.select(*keep), *outputs), strict=True)])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
 from innkeep.llm.graph import components
-from innkeep.llm.store import small_batches, stored
+from innkeep.llm.store import fresh, small_batches, stored
 
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
@@ -343,13 +343,14 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, t
     """The rows of ``docs``, columns unchanged, that name their component: one of each group.
 
     Rows are told apart by id and text.  Rows that repeat both are one document and leave one
-    row.  Documents without an id stay unless a document with an id is in their component.
+    row.  Helper columns take names that ``docs`` doesn't have.  Documents without an id stay unless a document with an id is in their component.
     """
     found = near_duplicates(docs, size, percent, text, doc_id).select("doc_id", "text_hash", "kept")
     keys = stored(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("kept"), "kept")
-    k = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("n") > 1).alias("__more"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash"))
-    single = docs.join(k.filter("not __more"), same, "left_semi")
+    own, digest, more = fresh(docs, "id", "hash", "more")
+    k = keys.select(F.col("doc_id").alias(own), F.col("text_hash").alias(digest), (F.col("n") > 1).alias(more))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(digest))
+    single = docs.join(k.filter(~F.col(more)), same, "left_semi")
     if keys.filter("n > 1").isEmpty():
         return single
-    return single.unionByName(docs.join(k.filter("__more"), same, "left_semi").dropDuplicates([doc_id, text]))
+    return single.unionByName(docs.join(k.filter(F.col(more)), same, "left_semi").dropDuplicates([doc_id, text]))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
-from innkeep.llm.store import small_batches, stored
+from innkeep.llm.store import fresh, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
@@ -290,8 +290,16 @@ def disclosing_terms(texts: Texts) -> DataFrame:
 
 
 def find_private(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep``, base (start, kind, end) and terms (start, end, disclosure) per row of ``docs``."""
+    """Columns ``keep``, base (start, kind, end) and terms (start, end, disclosure) per row of ``docs``.
+
+    Output columns that clash with a kept column get leading underscores.
+    """
     small_batches(docs.sparkSession)
+    kept = docs.select(*keep)
+    names, asked = fresh(kept, "base", "terms"), keep
+    keep = [f"_kept{i}" for i in range(len(asked))]
+    docs = docs.select(*[F.col(k).alias(n) for k, n in zip(asked, keep, strict=True)], F.col(text).alias("text"))
+    text = "text"
     telling = stored(disclosing_terms(Texts(docs, text)), "telling")
     mask = _marked(telling.select(_bucket(F.col("term"))))
     rows = stored(detected(docs, keep, mask, text).withColumn("row", F.monotonically_increasing_id()), "private")
@@ -300,7 +308,8 @@ def find_private(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
              .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
     none = F.array().cast("array<struct<start:long,end:long,disclosure:double>>")
     return (rows.drop("near").join(terms, "row", "left")
-            .select(*keep, F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms")))
+            .select(*[F.col(n).alias(k) for n, k in zip(keep, asked, strict=True)], F.col("spans").alias(names[0]),
+                    F.coalesce("terms", none).alias(names[1])))
 
 
 def sanitise(text: str, base: list, terms: list) -> str:

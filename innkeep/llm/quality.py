@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm import textops as tx
-from innkeep.llm.store import bounded_sample, small_batches
+from innkeep.llm.store import bounded_sample, fresh, small_batches
 
 #: Bounds of the training samples, in rows; chosen by a hash of the id.
 POSITIVES, UNLABELLED = 12_000, 20_000
@@ -161,7 +161,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
 def _sampled(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> np.ndarray:
     """Statistics of the documents named in ``ids`` (bounded, so broadcast), one row each."""
-    rows = docs.join(F.broadcast(ids.withColumnRenamed("id", "__id")), F.col(doc_id) == F.col("__id"), "left_semi")
+    (own,) = fresh(docs, "id")  # a name that the documents' columns don't have
+    rows = docs.join(F.broadcast(ids.withColumnRenamed("id", own)), F.col(doc_id) == F.col(own), "left_semi")
     got = rows.select(statistics_column(F.col(text)).alias("x")).toArrow().column("x").combine_chunks()
     flat = got.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32)
