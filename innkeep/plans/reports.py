@@ -243,6 +243,27 @@ def search_page(T, limit: int = 300, **criteria) -> DataFrame:
     return page.join(nxt.join(page.select("room_id"), "room_id", "left_semi"), "room_id", "left")
 
 
+def search_page_ranges(T, limit: int = 300, **criteria) -> DataFrame:
+    """K6: every unavailable range, not ended yet, of each room on the page:
+    (room_id, start_date, end_date, source_type).  The page's at most ``limit``
+    room ids meet the stays, whose date predicate reaches the scans."""
+    from innkeep.plans.common import blocks
+    from innkeep.plans.search import search_rooms
+    page = search_rooms(T, limit=limit, **{k: v for k, v in criteria.items() if k != "as_of"}).select("room_id")
+    b = blocks(T, criteria.get("as_of") or criteria["start"])
+    return b.join(page, "room_id", "left_semi").select("room_id", "start_date", "end_date", F.col("block_type").alias("source_type"))
+
+
+def archive_page(archive: DataFrame, T, hotel_id=None, limit: int = 700) -> DataFrame:
+    """K9: the newest rows of a stored archive, by archived_at, then archive_id; a
+    staff viewer only sees rows of their hotel."""
+    a = archive
+    if hotel_id is not None:
+        h = T["hotel"].filter(F.col("hotel_id") == hotel_id).join(T["hotel_chain"], "chain_id").select("hotel_name", "chain_name")
+        a = a.join(h, ["hotel_name", "chain_name"], "left_semi")
+    return a.orderBy(F.desc("archived_at"), F.desc("archive_id")).limit(limit)
+
+
 def archive_history(archive: DataFrame, T, hotel_id=None, limit: int = 700) -> DataFrame:
     """Newest archive rows first; a staff viewer only sees rows
     of their hotel (matched by hotel and chain name, as archived)."""

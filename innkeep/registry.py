@@ -1260,6 +1260,45 @@ def q_search_page(T):
     return reports.search_page(T, 300, capacity="double", max_price=1500, as_of=AS_OF)
 
 
+@register("search_page_ranges", f"""
+SELECT b.room_id, b.start_date, b.end_date, b.block_type AS source_type FROM {BLOCKS_SQL} b
+WHERE b.end_date > DATE '{AS_OF}' AND b.room_id IN (
+  SELECT r.room_id FROM room r JOIN hotel h USING (hotel_id) JOIN hotel_chain c USING (chain_id)
+  WHERE r.capacity = 'double' AND r.base_price <= 1500 ORDER BY h.area, h.hotel_name, r.base_price, r.room_id LIMIT 300)""")
+def q_search_page_ranges(T):
+    return reports.search_page_ranges(T, 300, capacity="double", max_price=1500, as_of=AS_OF)
+
+
+# When the two parts of the stored archive are appended.
+ARCHIVED = {"booking": "1998-06-15 01:00:00", "renting": "1998-06-15 02:00:00"}
+
+
+def _stored_archive(T):
+    """A3: finished bookings, then finished rentings, appended to a stored archive and read back."""
+    from innkeep.sources.sinks import append_archive
+    spark = T["booking"].sparkSession
+    path, rows = streams.scratch_dir(spark, "archive"), arch.archive_backfill(T)
+    for kind in ("booking", "renting", "booking"):  # the second time appends nothing
+        append_archive(spark, rows.filter(F.col("record_type") == kind), path, ARCHIVED[kind])
+    return spark.read.parquet(path)
+
+
+_STORED_ARCHIVE = f"""(SELECT a.*, CASE WHEN record_type = 'booking' THEN TIMESTAMP '{ARCHIVED["booking"]}' ELSE TIMESTAMP '{ARCHIVED["renting"]}' END AS archived_at,
+    row_number() OVER (ORDER BY record_type, source_booking_id NULLS FIRST, source_renting_id NULLS FIRST) AS archive_id FROM archive_bf a)"""
+
+
+@register("archive_page", f"""
+SELECT a.* FROM {_STORED_ARCHIVE} a JOIN hotel h ON h.hotel_name = a.hotel_name JOIN hotel_chain c ON c.chain_id = h.chain_id AND c.chain_name = a.chain_name
+WHERE h.hotel_id = {POLICY_HOTEL} ORDER BY a.archived_at DESC, a.archive_id DESC LIMIT 400""")
+def q_archive_page(T):
+    return reports.archive_page(_stored_archive(T), T, POLICY_HOTEL, 400)
+
+
+@register("archive_page_all", f"SELECT a.* FROM {_STORED_ARCHIVE} a ORDER BY a.archived_at DESC, a.archive_id DESC LIMIT 700")
+def q_archive_page_all(T):
+    return reports.archive_page(_stored_archive(T), T)
+
+
 @register("archive_history", f"""
 SELECT a.*, CASE WHEN a.record_type = 'booking' THEN 'B#' || CAST(a.source_booking_id AS VARCHAR)
                  ELSE 'R#' || CAST(a.source_renting_id AS VARCHAR) END AS source_label
