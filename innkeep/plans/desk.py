@@ -37,7 +37,7 @@ def booking_history(T) -> DataFrame:
     rows = b.join(_places(T), "room_id").join(rt, "booking_id", "left")
     ranked = _newest(rows, ["booking_id", F.coalesce("linked_renting_id", F.lit(-1))])
     return ranked.filter(F.col("position") <= HISTORY_ROWS).select(
-        "customer_id", "position", "booking_id", "room_id", "room_number", "hotel_name", "hotel_location",
+        "customer_id", F.col("position").cast("bigint").alias("position"), "booking_id", "room_id", "room_number", "hotel_name", "hotel_location",
         "start_date", "end_date", "status", "created_at", "linked_renting_id", "linked_renting_status")
 
 
@@ -46,7 +46,7 @@ def renting_history(T) -> DataFrame:
     r = T["renting"].select("renting_id", "source_booking_id", "customer_id", "room_id", "start_date", "end_date", "status", "created_at")
     ranked = _newest(r.join(_places(T), "room_id"), ["renting_id"])
     return ranked.filter(F.col("position") <= HISTORY_ROWS).select(
-        "customer_id", "position", "renting_id", "source_booking_id", "room_id", "room_number", "hotel_name",
+        "customer_id", F.col("position").cast("bigint").alias("position"), "renting_id", "source_booking_id", "room_id", "room_number", "hotel_name",
         "hotel_location", "start_date", "end_date", "status", "created_at")
 
 
