@@ -17,11 +17,12 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations", "labels", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    want, got = con.sql(ORACLE[name]).df(), QUERIES[name](spark, SF).toPandas()
+    want, got = con.sql(ORACLE[name]), QUERIES[name](spark, SF)
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    key = lambda df: sorted(map(tuple, df[cols].astype(str).values.tolist()))
-    assert key(got) == key(want)
+    # rows as Python values: data frames would turn whole numbers beside nulls into floats
+    key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert key(got.select(*cols).collect()) == key(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
 def test_pipeline_stages(spark):
