@@ -1,7 +1,7 @@
 """Exact duplicates by a tree merge of sorted digest runs (DataFrame operations only).
 
 Every input partition sorts its digests into a *run* that keeps, for each digest, the
-surviving identifier and the row count.  In round k the runs whose numbers agree after
+surviving identifier and the row count; a merge reads its runs' slices as sorted streams.  In round k the runs whose numbers agree after
 dropping k * ``bits`` low bits meet and are merged (binomial rounds; ``bits`` > 1 merges
 2**bits runs at once).  A row of a merged run stands for many rows of the runs below, so a
 text that fills a third of the corpus is one row per run and never one group.  The result
@@ -38,22 +38,31 @@ def sorted_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", nor
 
 
 def _merge(runs: DataFrame, keep) -> DataFrame:
-    """One multiway merge: equal verified keys of a run become one row, in digest order."""
-    return (runs.groupBy("run", *KEY).agg(keep("best").alias("best"), F.sum("n").alias("n"))
-            .sortWithinPartitions("run", *KEY))
+    """One multiway merge: equal verified keys of a run become one row, in digest order.
+
+    ``best`` is a (rank, id) pair.  Spark has no hash aggregate for the extreme of a pair, so it
+    sorts each slice of a run by (run, key), reduces it as a sorted stream, and merges and reduces
+    the slices in that order again behind the exchange (SortAggregate over Sort in the plan).
+    """
+    return runs.groupBy("run", *KEY).agg(keep("best").alias("best"), F.sum("n").alias("n"))
 
 
-def tree_merge(digests: DataFrame, keep=F.min, bits: int = 4) -> DataFrame:
+def tree_merge(digests: DataFrame, keep: str = "min", bits: int = 4) -> DataFrame:
     """Per (run, key) of ``digests``: best id and row count over the whole table.
 
     ``digests`` is read several times, so it should be stored.  The number of rounds is
-    log(runs) / bits; each is one shuffle of rows combined before it.
+    log(runs) / bits; each is one shuffle of rows combined before it, and its runs are stored, as the
+    way down reads them again.
     """
+    least = keep == "min"
+    known = F.col("id").isNull() if least else F.col("id").isNotNull()  # a known id goes before null
+    extreme = F.min if least else F.max
     top = digests.agg(F.max("run")).first()[0] or 0
-    levels = [_merge(digests.select("run", *KEY, F.col("id").alias("best"), F.lit(1).cast("long").alias("n")), keep)]
+    first = digests.select("run", *KEY, F.struct(known.alias("rank"), "id").alias("best"), F.lit(1).cast("long").alias("n"))
+    levels = [stored(_merge(first, extreme), "runs")]
     while top > 0:
         top >>= bits
-        levels.append(_merge(levels[-1].withColumn("run", F.shiftright("run", bits)), keep))
+        levels.append(stored(_merge(levels[-1].withColumn("run", F.shiftright("run", bits)), extreme), "runs"))
     found = levels.pop()
     while levels:
         owner = found.select(F.col("run").alias("owner"), *[F.col(k).alias("o_" + k) for k in KEY], "best", "n")
@@ -70,7 +79,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     ``keep``: "min" or "max", the id of a group that stays.
     """
     digests = stored(sorted_runs(docs, text, doc_id, normalise), "digests")
-    found = tree_merge(digests, {"min": F.min, "max": F.max}[keep], bits)
+    found = tree_merge(digests, keep, bits).withColumn("best", F.col("best.id"))
     return (digests.join(found, ["run", *KEY])
             .select(F.col("id").alias(doc_id), F.col("best").alias("keep_id"), F.col("n").alias("group_size"),
                     F.col("id").eqNullSafe(F.col("best")).alias("kept"), F.col("sha").alias("text_sha256")))

@@ -65,6 +65,15 @@ def test_native_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_runs_are_sorted_and_merged_in_order(spark):
+    digests = exact_dedup.sorted_runs(frame(spark, awkward(20), 40))
+    runs = digests.select("run", *exact_dedup.KEY, F.struct("id").alias("best"), F.lit(1).alias("n"))
+    plan = exact_dedup._merge(runs, F.min)._jdf.queryExecution().executedPlan().toString()
+    steps = [x for x in plan.splitlines() if "Aggregate" in x or "Sort [" in x or "hashpartitioning" in x]
+    found = [next(w for w in ("SortAggregate", "Sort [run", "hashpartitioning(run", "other") if w in x or w == "other") for x in steps]
+    assert found == ["SortAggregate", "Sort [run", "hashpartitioning(run", "SortAggregate", "Sort [run"]
+
+
 def test_shards_law_slots_and_growth(spark):
     rows = awkward(600, 5)
     got = sharding.assign_shards(frame(spark, rows)).collect()
