@@ -8,11 +8,13 @@
 3. Stars: in each bucket every class meets the bucket's least class, under two random orders.
    A class keeps two of these partners, the least one that the sketches call similar and the closest
    one, is confirmed on the full shingle sets and joined to it: large groups become a few components.
-4. Rest: buckets that still hold two components are dealt into cells of at most about
-   2 * ``BLOCK`` members, with their texts.  A cell confirms, on full sets, every pair of different
-   components that the sketches accept and that no band before has in a common bucket, unless links
-   already found join the two.  Only the joining links leave the task, so its output is linear in
-   its members, however many pairs are similar.
+4. Rest: buckets that still hold two components are dealt into cells of about 2 * ``BLOCK``
+   members and 2 * ``BLOCK_SHINGLES`` shingles.  Cells first carry sketches and bands only.  The pairs
+   of different components that the sketches accept and that no band before has in a common bucket
+   make *groups* of the cell's members; members without such a pair go no further.  The texts join
+   the others, and each group confirms its pairs on full sets, unless links already found join the
+   two.  Only the joining links leave the task, so its output is linear in its members, however
+   many pairs are similar.  One group's texts are held at a time.
 
 The bands miss a pair of similarity 0.8 with probability (1 - 0.8^6)^32 < 7e-5, the sketch
 threshold is 4.5 standard deviations below the expectation at the wanted similarity.
@@ -41,8 +43,8 @@ from innkeep.llm.store import fresh, small_batches, stored
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-#: Members of a bucket that meet as many others in one cell.
-BLOCK = 256
+#: Members of a bucket that meet as many others in one cell, and the shingles that they have in sum.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 
 _RNG = np.random.default_rng(20240501)
 _MUL = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -177,17 +179,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def cells(places: DataFrame) -> DataFrame:
-    """Members (band, bi, cls, root) of buckets with several components, dealt into cells.
+    """Members (band, bi, cls, root, n) of buckets with several components, dealt into cells.
 
     In each bucket the largest component is set apart.  The others are cut into blocks of
-    about BLOCK members and every two blocks meet in a cell; so do every block of the
-    others and every block of the largest.  Its members are never compared with each other.
+    about BLOCK members and BLOCK_SHINGLES shingles and every two blocks meet in a cell; so do every
+    block of the others and every block of the largest.  Its members are never compared with each other.
     """
-    per = places.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    per = (per.groupBy("band").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("k"))
-           .filter("k > 1"))
-    count = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    df = places.join(per, "band").withColumn("no", count(F.col("m") - F.col("top.c"))).withColumn("nm", count(F.col("top.c")))
+    per = places.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    per = (per.groupBy("band").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("m"), F.sum("w").alias("w"),
+                                   F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    count = lambda c, w: F.ceil(F.greatest(c / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES))).cast("int")
+    df = (places.join(per, "band").withColumn("no", count(F.col("m") - F.col("top.c"), F.col("w") - F.col("top.w")))
+          .withColumn("nm", count(F.col("top.c"), F.col("top.w"))))
     big = F.col("root") == F.col("top.root")
     mine = F.pmod(F.xxhash64("cls"), F.when(big, F.col("nm")).otherwise(F.col("no"))).cast("int")
     df = df.withColumn("mine", mine)
@@ -202,11 +205,11 @@ def cells(places: DataFrame) -> DataFrame:
 
 
 class _Cell:
-    """Members of one cell, their sets made only when a pair is confirmed."""
+    """Members of one cell, or of one group of it."""
 
-    def __init__(self, rows: pa.RecordBatch, size: int, percent: int, limit: int):
+    def __init__(self, rows: pa.RecordBatch, percent: int, limit: int):
         col = lambda name: rows.column(rows.schema.get_field_index(name))
-        self.cls, self.text, self.size, self.percent, self.limit = col("cls").to_pylist(), col("text"), size, percent, limit
+        self.cls, self.percent, self.limit = col("cls").to_pylist(), percent, limit
         self.label = pd.factorize(np.array(col("root").to_pylist(), object))[0]
         self.n = col("n").to_numpy()
         self.sketch = np.frombuffer(b"".join(col("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
@@ -214,15 +217,9 @@ class _Cell:
         self.index = int(col("bi")[0].as_py())
         self.own = col("kind")[0].as_py() == 0 and col("i")[0].as_py() == col("j")[0].as_py()
         self.side = np.asarray(col("side").to_numpy())
-        self.sets: dict[int, np.ndarray] = {}
 
-    def _set(self, k: int) -> np.ndarray:
-        if k not in self.sets:
-            words, first = tx.word_hashes(*tx.text_bytes(self.text.slice(k, 1)))
-            self.sets[k] = tx.shingle_sets(words, first, self.size)[0]
-        return self.sets[k]
-
-    def links(self) -> Iterator[tuple[bytes, bytes]]:
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, js): pairs of different components as they stand, by the sketches, the closest first."""
         left = np.arange(len(self.n)) if self.own else np.flatnonzero(self.side == 0)
         right = left if self.own else np.flatnonzero(self.side == 1)
         for at, i in enumerate(left):
@@ -233,12 +230,32 @@ class _Cell:
                 continue
             flips = np.bitwise_count(self.sketch[i] ^ self.sketch[js]).sum(axis=1)
             js, flips = js[flips <= self.limit], flips[flips <= self.limit]
-            if not len(js):
-                continue
             js = js[np.argsort(flips, kind="stable")]
             js = js[(self.bands[i] == self.bands[js]).argmax(axis=1) == self.index]
+            if len(js):
+                yield i, js
+
+    def groups(self) -> np.ndarray:
+        """Number of each member's group of candidates; -1 without a candidate."""
+        group, some = np.arange(len(self.n)), np.zeros(len(self.n), bool)
+        for i, js in self.candidates():
+            some[i] = some[js] = True
+            group[np.isin(group, np.append(group[js], group[i]))] = group[i]
+        return np.where(some, group, -1)
+
+    def links(self, texts: pa.Array, size: int) -> Iterator[tuple[bytes, bytes]]:
+        """Confirmed links that join different components; sets are made when a pair needs them."""
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                words, first = tx.word_hashes(*tx.text_bytes(texts.slice(k, 1)))
+                sets[k] = tx.shingle_sets(words, first, size)[0]
+            return sets[k]
+
+        for i, js in self.candidates():
             for j in js:
-                if self.label[i] != self.label[j] and similar(self._set(i), self._set(j), self.percent):
+                if self.label[i] != self.label[j] and similar(shingles(i), shingles(j), self.percent):
                     self.label[self.label == self.label[j]] = self.label[i]
                     yield self.cls[i], self.cls[j]
 
@@ -253,34 +270,56 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def joining_links(dealt: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join different components, of all cells; one cell is held at a time."""
-    key = ["band", "kind", "i", "j"]
-    cols = [*key, "side", "bi", "cls", "root", "n", "sketch", "bands", "text"]
+CELL = ["band", "kind", "i", "j"]
+FACTS = ["side", "bi", "cls", "root", "n", "sketch", "bands"]
+
 
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        pairs = list(_Cell(rows.combine_chunks().to_batches()[0], size, percent, limit).links())
-        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], ["a", "b"])
+def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal values in the first ``keys`` columns, one batch a run."""
+    open_: list[pa.Table] = []
+    last = None
+    whole = lambda: pa.concat_tables(open_).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(k[a].tolist())
+            if last is not None and now != last:
+                yield whole()
+                open_ = []
+            open_.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+            last = now
+    if open_:
+        yield whole()
+
+
+def grouped(dealt: DataFrame, limit: int, percent: int) -> DataFrame:
+    """The members (CELL, group, FACTS) that have a candidate in their cell; no text is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(k[a].tolist())
-                if last is not None and now != last:
-                    yield found(pa.concat_tables(open_))
-                    open_ = []
-                open_.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-                last = now
-        if open_:
-            yield found(pa.concat_tables(open_))
+        for rows in _by_key(batches, len(CELL)):
+            group = _Cell(rows, percent, limit).groups()
+            if (group >= 0).any():
+                cols = [*rows.columns[:len(CELL)], pa.array(group.astype(np.int32)), *rows.columns[len(CELL):]]
+                yield pa.RecordBatch.from_arrays(cols, [*CELL, "group", *FACTS]).filter(pa.array(group >= 0))
+
+    return (dealt.repartition(*CELL).sortWithinPartitions(*CELL).select(*CELL, *FACTS).mapInArrow(
+        run, "band long, kind int, i int, j int, group int, side int, bi int, cls binary, root binary, n long, sketch binary, bands array<long>"))
+
+
+def joining_links(members: DataFrame, texts: DataFrame, size: int, limit: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join different components, of all groups; one group is held at a time."""
+    key = [*CELL, "group"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, len(key)):
+            pairs = list(_Cell(rows, percent, limit).links(rows.column(rows.num_columns - 1), size))
+            yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], ["a", "b"])
 
-    return (dealt.repartition(*key).sortWithinPartitions(*key).select(*cols).mapInArrow(run, "a binary, b binary").distinct())
+    return (members.join(texts, "cls").repartition(*key).sortWithinPartitions(*key).select(*key, *FACTS, "text")
+            .mapInArrow(run, "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text",
@@ -318,9 +357,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     comps = stored(components(tried.filter("ok")), "components")
 
     places = (member.select("cls", "band", "bi").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-              .select("cls", "band", "bi", F.coalesce("root", "cls").alias("root")))
-    dealt = cells(stored(places, "places")).join(facts, "cls").join(texts, "cls")
-    more = stored(joining_links(dealt, size, limit, percent), "links")
+              .join(facts.select("cls", "n"), "cls").select("cls", "band", "bi", F.coalesce("root", "cls").alias("root"), "n"))
+    members = stored(grouped(cells(stored(places, "places")).join(facts, "cls"), limit, percent), "groups")
+    more = stored(joining_links(members, texts, size, limit, percent), "links")
     # the second pass only joins components of the first
     step = (more.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
             .join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from innkeep.llm import minhash
 from innkeep.llm import textops as tx
@@ -73,8 +74,9 @@ def test_components_equal_brute_force(spark):
         check(got, brute(rows, size))
 
 
-def test_cells_find_what_the_stars_miss(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+@pytest.mark.parametrize("bound", [("BLOCK", 4), ("BLOCK_SHINGLES", 500)])
+def test_cells_find_what_the_stars_miss(spark, monkeypatch, bound):
+    monkeypatch.setattr(minhash, *bound)
     rows = corpus(8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = minhash.near_duplicates(df, size=4).select("doc_id", "n_shingles", "component_id", "kept").collect()
