@@ -1,7 +1,10 @@
 """Personal data, and terms that reveal it, by information-theoretic sanitisation.
 
 1. Entities: e-mail addresses, IP addresses, card and phone numbers, by fixed patterns, as
-   spans in code points.
+   spans in code points.  An occurrence also counts for the classes that its entity belongs to, as
+   single values seldom recur: the mail domain, the network of an address (its first two parts), the
+   first digit of a card, the zone of a phone number, and the kind.  A class that more than one in
+   ``CLASS_SHARE`` texts holds says little and is left out.
 2. Terms: all words outside entities.  Over the whole corpus, c(e, t) is the number of different
    texts with entity e that hold term t anywhere, c(e) the number of different texts with e, d(t)
    the number of different texts with t, N the number of different texts.  All four count a text
@@ -20,6 +23,9 @@ all texts is not one group.  Pairs are made only for entities and terms that can
 ``SUPPORT`` and ``GENERALISE`` (both need max(c, d) <= N^(1 - g) c^g, g = ``GENERALISE``), found by a
 mask of hash buckets; what a mask lets through in error is dropped by the exact joins after it.
 
+Telling terms travel to the tasks up to ``TELLING`` of them; beyond that the words in their
+buckets are joined with them.
+
 Defined cases: null and empty texts have no spans; repeated rows are reported each; a text
 of any length is read whole; an empty table gives an empty result.
 """
@@ -41,6 +47,10 @@ from innkeep.llm.store import fresh, small_batches, stored
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: A class of entities protects nothing when more than one in this many texts holds it.
+CLASS_SHARE = 20
+#: Most telling terms that travel to the tasks (16 bytes each).
+TELLING = 1 << 20
 #: Hash buckets (2^BITS) of the sets that travel to the tasks, whatever the corpus's size.
 BITS = 22
 #: Pairs made at a time.
@@ -116,13 +126,27 @@ def _entity(kind: int, value: str) -> str:
     return f"{kind}:" + (value.lower() if kind < 2 else re.sub(r"[^0-9]", "", value))
 
 
+def _classes(kind: int, value: str) -> tuple[str, str]:
+    """The entity's class (mail domain, network, first digit or zone) and its kind."""
+    if kind == 0:
+        part = value.lower().rpartition("@")[2]
+    elif kind == 1:
+        part = ".".join(value.split(".")[:2])
+    else:
+        part = value.lstrip("+")[0]
+    return f"{kind}/{part}", f"{kind}/"
+
+
 def _hash64(values: list[str]) -> np.ndarray:
     words, _ = tx.word_hashes(*tx.text_bytes(pa.array(values, pa.string())))
     return words.view(np.int64)
 
 
 def _entity_hashes(body: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    return _hash64([_entity(kind, body[s:e]).replace(" ", "") for s, kind, e in spans])
+    """Hashes of the entities (even) and of their classes (odd)."""
+    single = _hash64([_entity(kind, body[s:e]) for s, kind, e in spans])
+    classes = _hash64([c for s, kind, e in spans for c in _classes(kind, body[s:e])])
+    return np.concatenate([single & np.int64(-2), classes | np.int64(1)])
 
 
 def _bucket(column: Column) -> Column:
@@ -176,33 +200,45 @@ def _counted(keys: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[pa.array(k[first]) for k in keys], pa.array(np.diff(np.append(first, len(order))).astype(np.int64))], [*names, "n"])
 
 
-def detected(docs: DataFrame, keep: list[str], telling: np.ndarray, text: str = "text") -> DataFrame:
-    """Columns ``keep``, spans (start, kind, end) and near (term, start, end) per row: the words in buckets of ``telling``."""
+def detected(docs: DataFrame, keep: list[str], mask: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None, text: str = "text") -> DataFrame:
+    """Columns ``keep``, spans (start, kind, end) and near (term, start, end, disclosure) per row.
+
+    With ``known`` (telling terms ascending, their disclosure) near holds the telling terms; without,
+    the words in buckets of ``mask``, whose disclosure is null.
+    """
     schema = docs.select(*keep).schema
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-    mask = docs.sparkSession.sparkContext.broadcast(telling)
+    near = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())]))
+    shared = docs.sparkSession.sparkContext.broadcast((mask, known))
+
+    def telling(body: str, found: list[tuple[int, int, int]]) -> list[dict]:
+        mask, known = shared.value
+        term, start, end = _terms(body, found)
+        hit = np.flatnonzero(_hits(mask, term))
+        much = [None] * len(hit)
+        if known is not None:
+            at = np.minimum(np.searchsorted(known[0], term[hit]), len(known[0]) - 1)
+            same = known[0][at] == term[hit]
+            hit, much = hit[same], known[1][at[same]].tolist()
+        return [{"term": t, "start": s, "end": e, "disclosure": m}
+                for t, s, e, m in zip(term[hit].tolist(), start[hit].tolist(), end[hit].tolist(), much, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tx.slices(batch, "__text"):
                 words, first = tx.word_hashes(*tx.text_bytes(piece.column(piece.num_columns - 1)))
-                some = np.concatenate([[0], np.cumsum(_hits(mask.value, words))])[first]
+                some = np.concatenate([[0], np.cumsum(_hits(shared.value[0], words))])[first]
                 spans, near_ = [], []
                 for i, body in enumerate(piece.column(piece.num_columns - 1).to_pylist()):
-                    found, own = base_spans(body or ""), []
-                    if some[i + 1] > some[i]:
-                        term, start, end = _terms(body, found)
-                        hit = _hits(mask.value, term)
-                        own = [{"term": t, "start": s, "end": e} for t, s, e in zip(term[hit].tolist(), start[hit].tolist(), end[hit].tolist(), strict=True)]
+                    found = base_spans(body or "")
                     spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                    near_.append(own)
+                    near_.append(telling(body, found) if some[i + 1] > some[i] else [])
                 yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(piece.num_columns - 1)], pa.array(spans, span), pa.array(near_, near)],
                                                  [*schema.names, "spans", "near"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(
-        run, fields + "spans array<struct<start:long,kind:int,end:long>>, near array<struct<term:long,start:long,end:long>>")
+        run, fields + "spans array<struct<start:long,kind:int,end:long>>, near array<struct<term:long,start:long,end:long,disclosure:double>>")
 
 
 def text_frequencies(texts: Texts) -> DataFrame:
@@ -278,7 +314,8 @@ def disclosing_terms(texts: Texts) -> DataFrame:
     n = F.lit(float(texts.n))
     # a term in most texts of an entity, or an entity in most texts of a term, tells at most log(N / max(c, d))
     most = lambda c: F.pow(n, 1 - GENERALISE) * F.pow(c, GENERALISE) * (1 + 1e-9)
-    whole = stored(entity_frequencies(texts).filter(F.col("c") >= SUPPORT), "entities")
+    single = F.col("entity").bitwiseAND(1) == 0
+    whole = stored(entity_frequencies(texts).filter((F.col("c") >= SUPPORT) & (single | (F.col("c") * CLASS_SHARE <= texts.n))), "entities")
     largest = whole.agg(F.max("c")).first()[0] or 0
     words = stored(text_frequencies(texts).filter((F.col("d") >= SUPPORT) & (F.col("d") <= most(F.lit(float(largest))))), "words")
     pairs = pair_frequencies(texts, *[_marked(x.select(_bucket(F.col(c)))) for x, c in ((whole, "entity"), (words, "term"))])
@@ -302,14 +339,19 @@ def find_private(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     text = "text"
     telling = stored(disclosing_terms(Texts(docs, text)), "telling")
     mask = _marked(telling.select(_bucket(F.col("term"))))
-    rows = stored(detected(docs, keep, mask, text).withColumn("row", F.monotonically_increasing_id()), "private")
-    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    renamed = [F.col(n).alias(k) for n, k in zip(keep, asked, strict=True)]
+    if telling.count() <= TELLING:
+        rows = telling.orderBy("term").toArrow()
+        known = tuple(rows.column(c).to_numpy() for c in ("term", "disclosure"))
+        terms = F.transform("near", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["disclosure"].alias("disclosure")))
+        return detected(docs, keep, mask, known, text).select(*renamed, F.col("spans").alias(names[0]), terms.alias(names[1]))
+    rows = stored(detected(docs, keep, mask, None, text).withColumn("row", F.monotonically_increasing_id()), "private")
+    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.term", "x.start", "x.end")
     terms = (near.join(telling, "term").groupBy("row")
              .agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
     none = F.array().cast("array<struct<start:long,end:long,disclosure:double>>")
     return (rows.drop("near").join(terms, "row", "left")
-            .select(*[F.col(n).alias(k) for n, k in zip(keep, asked, strict=True)], F.col("spans").alias(names[0]),
-                    F.coalesce("terms", none).alias(names[1])))
+            .select(*renamed, F.col("spans").alias(names[0]), F.coalesce("terms", none).alias(names[1])))
 
 
 def sanitise(text: str, base: list, terms: list) -> str:

@@ -78,8 +78,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_private(table(spark, sf_dir, "documents"), ["doc_id"])
-    return pii.digest_columns(found, ["doc_id"])
+    found = pii.find_private(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    clean = found.withColumn("sanitised_sha256", F.sha2(F.coalesce(pii.sanitised_column(F.col("text"), F.col("base"), F.col("terms")), F.lit("")), 256))
+    return pii.digest_columns(clean, ["doc_id", "sanitised_sha256"])
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,42 @@ def test_pairs_made_in_parts_equal_brute_force(spark, monkeypatch):
     assert told(spark, texts) == [[w for w in t.split() if w in telling] for t in texts]
 
 
+def protected(text):
+    """Entities and their classes of a text, by the module's definition."""
+    out = set()
+    for s, k, e in brute_spans(text):
+        v = text[s:e]
+        single = v.lower() if k < 2 else "".join(c for c in v if c in "0123456789")
+        part = [v.lower().split("@")[-1], ".".join(v.split(".")[:2]), v[0], v.lstrip("+")[0]][k]
+        out |= {(k, "", single), (k, "class", part), (k, "kind", "")}
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_disclosure_on_the_given_table_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "TELLING", most)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    held, own, both = Counter(), Counter(), Counter()
+    texts = {t for _, t in rows}
+    for t in texts:
+        words = set(pii._terms(t, pii.base_spans(t))[0].tolist())
+        mine = protected(t)
+        held.update(words)
+        own.update(mine)
+        both.update((e, w) for e in mine for w in words)
+    n, telling = len(texts), set()
+    for (e, w), m in both.items():
+        if m >= 3 and (not e[1] or 20 * own[e] <= n) and np.log(n * m / (own[e] * held[w])) / np.log(n / own[e]) >= 0.8:
+            telling.add(w)
+    assert telling
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["terms"]] for r in pii.find_private(docs, ["doc_id"]).collect()}
+    assert len(got) == len(rows) and any(got.values())
+    for d, t in rows:
+        term, start, end = pii._terms(t, pii.base_spans(t))
+        assert got[d] == [(s, e) for w, s, e in zip(term.tolist(), start.tolist(), end.tolist(), strict=True) if w in telling]
+
+
 def test_every_passage_of_an_item_is_found(monkeypatch):
     rng = random.Random(9)
     for n in (12, 30, 60):
