@@ -83,3 +83,17 @@ def test_no_changes(spark):
     frame = spark.createDataFrame
     assert decide_writes(frame([], "entity string, home string"), frame([], "entity string, uq int, value string"),
                          frame([], CHANGES), frame([], "change_id long, uq int, value string")).count() == 0
+
+
+def test_hot_values_need_a_step_a_slice_not_a_change(spark):
+    """300 changes on 3 entities that want 2 values: slices of 100 changes, not a round for each."""
+    rng = random.Random(5)
+    entities, held = [("e0", "x"), ("e1", "x")], [("e0", 0, "v0")]
+    changes = [(i, i, f"e{rng.randrange(3)}", rng.choice(["insert", "update"]), None, None) for i in range(300)]
+    sets = [(i, 0, rng.choice([None, "v0", "v1"])) for i in range(300)]
+    frame = spark.createDataFrame
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = decide_writes(frame(entities, "entity string, home string"), frame(held, "entity string, uq int, value string"),
+                        frame(changes, CHANGES), frame(sets, "change_id long, uq int, value string"), 100).collect()
+    assert {r.change_id: r.code for r in got} == loop(entities, held, changes, sets)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 200
