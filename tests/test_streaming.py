@@ -126,3 +126,22 @@ def test_bounded_archive_stream(spark, T_small):
     want = arch.archive_transitions(T_small, changes.dropDuplicates(["change_id"]), before, "renting")
     assert sorted(rows_, key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
     assert 0 < max(sizes) < 0.7 * changes.select("change_id").distinct().count()
+
+
+def test_staged_batches_have_a_file_a_task(spark, T_small):
+    """A micro-batch is dealt over as many tasks as a shuffle has, not written by one."""
+    from innkeep.streaming import jobs
+    df = spark.range(1000)
+    path, per = jobs.stage_files(jobs.dealt(df, 4), jobs.scratch_dir(spark, "dealt"), 4)
+    files = spark.read.parquet(path).inputFiles()
+    assert len(files) == 8 and per == 2
+    assert spark.read.parquet(path).count() == 1000
+
+
+def test_stays_once_keeps_rows_and_types(T_small):
+    from innkeep.registry import _stays_once
+    once = _stays_once(T_small)
+    for name in ("booking", "renting"):
+        assert once[name].dtypes == T_small[name].dtypes
+        assert rows(once[name].select("room_id", "customer_id", f"{name}_id")) == rows(T_small[name].select("room_id", "customer_id", f"{name}_id"))
+        assert "stays" in once[name].inputFiles()[0]
