@@ -37,7 +37,6 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 def append_archive(spark: SparkSession, rows: DataFrame, path: str, archived_at=None) -> DataFrame:
     """A3: append archive rows not yet present (by key), with new ids
     ``max(archive_id) + rank``; returns the appended rows."""
-    rows = rows.dropDuplicates(ARCHIVE_KEY)
     old = _read_or_none(spark, path)
     if old is not None:
         keys = old.select(*[F.col(c).alias(f"_o_{c}") for c in ARCHIVE_KEY])
@@ -46,14 +45,15 @@ def append_archive(spark: SparkSession, rows: DataFrame, path: str, archived_at=
             e = F.col(c).eqNullSafe(F.col(f"_o_{c}"))
             cond = e if cond is None else cond & e
         new = rows.join(keys, cond, "left_anti")
-        base = old.agg(F.coalesce(F.max("archive_id"), F.lit(0))).scalar()
+        base = old.agg(F.coalesce(F.max("archive_id"), F.lit(0))).first()[0]
     else:
-        new, base = rows, F.lit(0)
-    ranked = global_rank(new, [F.col(c).asc_nulls_first() for c in ARCHIVE_KEY], "_rk")
+        new, base = rows, 0
+    # stored keys leave before the rows are shuffled for their duplicates
+    ranked = global_rank(new.dropDuplicates(ARCHIVE_KEY), [F.col(c).asc_nulls_first() for c in ARCHIVE_KEY], "_rk")
     ts = (F.current_timestamp() if archived_at is None else F.lit(archived_at)).cast("timestamp_ntz")
-    out = ranked.withColumn("archive_id", (base + F.col("_rk")).cast("bigint")) \
+    out = ranked.withColumn("archive_id", (F.lit(base) + F.col("_rk")).cast("bigint")) \
         .withColumn("archived_at", ts).drop("_rk")
-    out = out.checkpoint(eager=True)  # ids fixed before the write
+    # rows and ids are fixed by the rank's checkpoint
     out.write.mode("append").partitionBy("record_type").parquet(path)
     return out
 
