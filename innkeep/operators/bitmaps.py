@@ -39,7 +39,10 @@ def occupancy(blocks: DataFrame, start, days: int, key: str = "room_id") -> Data
     d0 = as_date(start)
     a = F.greatest(F.datediff("start_date", d0), F.lit(0))
     b = F.least(F.datediff("end_date", d0), F.lit(days))
-    near = blocks.select(key, a.alias("_a"), b.alias("_b")).filter(F.col("_a") < F.col("_b"))
+    # both ends by themselves, so that far stays leave before they are joined or sorted
+    starts, ends = F.col("start_date"), F.col("end_date")
+    live = blocks.filter((starts.isNull() | (starts < F.date_add(d0, days))) & (ends.isNull() | (ends > d0)))
+    near = live.select(key, a.alias("_a"), b.alias("_b")).filter(F.col("_a") < F.col("_b"))
     words = near.groupBy(key).agg(*[F.bit_or(mask(F.col("_a"), F.col("_b"), w)).alias(f"_w{w}") for w in range(n_words(days))])
     return words.select(key, F.array(*[F.col(f"_w{w}") for w in range(n_words(days))]).alias("words"))
 
