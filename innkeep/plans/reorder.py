@@ -109,24 +109,23 @@ def replay(rows: pd.DataFrame, as_of) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def _touched(left: DataFrame, states: DataFrame, wanted: DataFrame) -> DataFrame:
+def _touched(left: DataFrame, states: DataFrame) -> DataFrame:
     """(booking_id, request_id or null, cell): days of re-dates, and the days that bookings hold among them."""
+    asked = left.filter("live").select("room_id", "customer_id", F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"))
+    wanted = day_cells(asked, []).distinct()
     held = day_cells(states.filter(F.col("status").isin(*BLOCKING_BOOKING)).select(
         "booking_id", "room_id", "customer_id", F.col("start").alias("start_date"), F.col("end").alias("end_date")), ["booking_id"])
     new = left.filter("live").select("booking_id", "request_id", "room_id", "customer_id",
                                      F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"))
     held = held.join(wanted, CELL, "left_semi").select("booking_id", F.lit(None).cast("bigint").alias("request_id"), *CELL)
-    return held.unionByName(day_cells(new, ["booking_id", "request_id"]))
+    return held.unionByName(day_cells(new, ["booking_id", "request_id"])).checkpoint(eager=True)
 
 
-def _linked(left: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((booking_id, root) of bookings that share a wanted day with another one, touched cells)."""
-    new = left.filter("live").select("room_id", "customer_id", F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"))
-    wanted = day_cells(new, []).distinct()
-    touched = _touched(left, states, wanted).checkpoint(eager=True)
+def _linked(touched: DataFrame) -> DataFrame:
+    """(booking_id, root) of bookings that share a wanted day with another one."""
     first = touched.groupBy(*CELL).agg(F.min("booking_id").alias("lo"), F.max("booking_id").alias("hi")).filter("lo < hi")
     edges = touched.join(first, CELL).select(F.col("booking_id").alias("a"), F.col("lo").alias("b"))
-    return components(edges).select(F.col("node").alias("booking_id"), "root").checkpoint(eager=True), touched
+    return components(edges).select(F.col("node").alias("booking_id"), "root").checkpoint(eager=True)
 
 
 def apply_in_order(T, requests: DataFrame, as_of, replay_most: int | None = None) -> DataFrame:
@@ -148,7 +147,7 @@ def apply_in_order(T, requests: DataFrame, as_of, replay_most: int | None = None
     # a re-date that may pass at some time: the booking is reserved at first, its dates are in order
     live = (F.col("action") == "redate") & (F.col("actor") != "customer") & (F.col("new_start") >= d) & (F.col("new_end") > F.col("new_start"))
     joined = requests.join(states, "booking_id").withColumn("live", F.coalesce(live & (F.col("status") == "reserved"), F.lit(False)))
-    roots, _ = _linked(joined, states)
+    roots = _linked(_touched(joined, states))
     plain = apply_transitions(T, requests.join(roots.select("booking_id"), "booking_id", "left_anti").select(*requests.columns), as_of)
 
     T_rest = {**T, "booking": T["booking"].join(roots.select("booking_id"), "booking_id", "left_anti")}
@@ -165,12 +164,11 @@ def apply_in_order(T, requests: DataFrame, as_of, replay_most: int | None = None
     schema = OUT.format(at=requests.schema["arrival"].dataType.simpleString())
     play = lambda pdf: replay(pdf, as_of_date)
     as_of_date = spark.range(1).select(d.alias("d")).first()["d"]
-    first_round = True
+    touched = None
     while not left.isEmpty():
-        if not first_round:
-            roots, touched = _linked(left, states)
-        else:
-            touched, first_round = _linked(left, states)[1], False
+        if done[1:]:
+            touched = _touched(left, states)
+            roots = _linked(touched)
         rows = left.join(states.drop("room_id", "customer_id"), "booking_id").join(roots, "booking_id", "left") \
             .withColumn("root", F.coalesce("root", "booking_id"))
         small = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select("root")
@@ -179,6 +177,8 @@ def apply_in_order(T, requests: DataFrame, as_of, replay_most: int | None = None
         left = left.join(step.select("request_id"), "request_id", "left_anti").checkpoint(eager=True)
         if left.isEmpty():
             break
+        # components share no day, so those just replayed don't count
+        touched = _touched(left, states) if touched is None else touched
         step = _frontier(left, states, touched, play, schema)
         done.append(step)
         left = left.join(step.select("request_id"), "request_id", "left_anti").checkpoint(eager=True)

@@ -105,3 +105,12 @@ def test_given_tables_equal_replay(spark, T_small):
     today = dt.date.fromisoformat(AS_OF) if isinstance(AS_OF, str) else AS_OF
     got = outcome(reorder.apply_in_order(T_small, requests, AS_OF))
     assert got == replay_all(bookings, rentings, asked, hotel_of, staff, today)
+
+
+def test_components_are_linked_once_a_round(spark, monkeypatch):
+    """Where every component is small, one linking is all that the replay needs."""
+    calls = []
+    monkeypatch.setattr(reorder, "components", lambda edges, real=reorder.components: calls.append(1) or real(edges))
+    bookings, requests = random_case(3, 60, 7)
+    got = outcome(reorder.apply_in_order(tables(spark, bookings), spark.createDataFrame(requests, REQ), TODAY))
+    assert len(got) == 60 and len(calls) == 1
