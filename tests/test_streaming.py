@@ -102,6 +102,34 @@ def test_status_stream_of_both_tables_after_each_batch(spark):
         assert {r.room_id: r.status for r in jobs.latest_status(emitted).collect()} == want
 
 
+def test_status_of_both_tables_is_a_running_aggregate(spark, monkeypatch):
+    """No Python call per room and micro-batch; a room listed twice meets each change twice."""
+    import datetime as dt
+
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    from innkeep.streaming import jobs
+
+    def called(*_, **__):
+        raise AssertionError("a Python call per room")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandasWithState", called)
+    today = dt.date(2024, 5, 10)
+    cols, (a, b) = "room_id long, status string, start_date date, end_date date", (today, today + dt.timedelta(2))
+    old = "record_type string, " + cols + ", " + ", ".join(f"old_{c}" for c in cols.split(", "))
+    nothing, src, out = (None,) * 4, jobs.scratch_dir(spark, "rc"), jobs.scratch_dir(spark, "ro")
+    T = {"booking": spark.createDataFrame([(1, 2, "reserved", a, b), (2, 3, "reserved", a, b), (3, 3, "reserved", a, b), (4, 3, "reserved", a, b)], f"booking_id long, {cols}"),
+         "renting": spark.createDataFrame([], f"renting_id long, {cols}"),
+         "room": spark.createDataFrame([(1, "available"), (2, None), (3, "available"), (3, "available"), (4, "maintenance"), (None, "available")], "room_id long, current_status string")}
+    emitted = []
+    for changes in ([("booking", 1, "reserved", a, b, *nothing), ("booking", *nothing, 2, "reserved", a, b), ("booking", *nothing, 3, "reserved", a, b)],
+                    [("renting", 1, "active", a, b, 4, "active", a, b), ("booking", *nothing, 3, "reserved", a, b), ("booking", 9, "reserved", a, b, *nothing)]):
+        spark.createDataFrame(changes, old).coalesce(1).write.mode("append").parquet(src)
+        got = jobs.status_stream_both(spark, T, src, today, out, out + "-ckpt")
+        emitted.append({(r.room_id, r.n_changes, r.status) for r in got.collect()} - set().union(*emitted))
+    assert emitted == [{(1, 1, "booked"), (2, 1, "available"), (3, 2, "booked")}, {(1, 2, "rented"), (4, 1, "maintenance"), (3, 4, "available")}]
+
+
 def test_bounded_archive_stream(spark, T_small):
     """Each renting once over a long run of repeated deliveries; the state stops growing."""
     import time
