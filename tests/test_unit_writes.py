@@ -97,3 +97,20 @@ def test_hot_values_need_a_step_a_slice_not_a_change(spark):
                         frame(changes, CHANGES), frame(sets, "change_id long, uq int, value string"), 100).collect()
     assert {r.change_id: r.code for r in got} == loop(entities, held, changes, sets)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 200
+
+
+def test_many_slices_hand_on_what_they_leave(spark):
+    """Slices of 5 changes equal the loop, homes, moved and given up values and several holders included; a
+    slice is a few jobs however many tables it might have to join."""
+    entities, held, changes, sets = case(11, 100)
+    frame, tracker = spark.createDataFrame, spark.sparkContext.statusTracker()
+
+    def decided(most):
+        before = len(tracker.getJobIdsForGroup(None))
+        got = decide_writes(frame(entities, "entity string, home string"), frame(held, "entity string, uq int, value string"),
+                            frame(changes, CHANGES).repartition(3), frame(sets, "change_id long, uq int, value string"), most).collect()
+        assert {r.change_id: r.code for r in got} == loop(entities, held, changes, sets) and len(got) == 100
+        return len(tracker.getJobIdsForGroup(None)) - before
+
+    few, many = decided(50), decided(5)
+    assert many - few < 18 * 6  # 18 slices more
